@@ -26,6 +26,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     """Session for tests and the bench (a cluster passes its own session in)."""
     builder = (SparkSession.builder.master(master).appName(app)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", "16g")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
