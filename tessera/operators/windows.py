@@ -23,13 +23,18 @@ def global_row_number(df: DataFrame, order: Sequence, name: str = "row_number",
                       num_partitions: int | None = None, with_total: str | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order`` (must be a total order).
 
-    Cost: a sampling pass and one range shuffle, one local sort per partition,
-    a tiny per-partition count table.  No step holds more than one range.
+    The rows are range-partitioned on the sort key and checkpointed once (to the shared
+    checkpoint folder), so the per-partition numbering and the per-partition counts are
+    read from one fixed partitioning – two evaluations of a range shuffle need not agree
+    once the optimiser pushes different filters into them.  Cost: a sampling pass, one
+    range shuffle written once, a local sort per partition and a table with one row per
+    partition.  No step holds more than one range of rows.
     """
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ocols = _cols(order)
-    ranged = df.repartitionByRange(n_parts, *ocols).withColumn("_pid", F.spark_partition_id())
+    ranged = df.repartitionByRange(n_parts, *ocols).checkpoint(eager=True) \
+        .withColumn("_pid", F.spark_partition_id())
     local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*ocols)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
