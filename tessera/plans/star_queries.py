@@ -167,3 +167,243 @@ def q_fact_sales(spark, sf_dir):
                     F.col("units_sold").cast("bigint").alias("units_sold"),
                     F.col("sell_price").cast("double").alias("sell_price"),
                     F.col("discount_amount").cast("double").alias("discount_amount"))
+
+
+# ---- load, keys, audits ------------------------------------------------------------------
+
+from ..functions.scalar import age_bucket as _age_bucket  # noqa: E402
+from ..functions.scalar import age_years as _age_years  # noqa: E402
+from ..operators.joins import fanout_audit, fk_audit  # noqa: E402
+from ..sources.fixtures import AS_OF, fixture  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+from .star_sql import STAR_FIXTURES  # noqa: E402,F401
+
+STAR_TABLES = ["dim_car", "dim_car_origin", "dim_distributor", "dim_time", "customer_prep", "dim_customer_data",
+               "fact_sales"]
+
+
+@register("load_star", star_sql(" UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST(COUNT(*) AS BIGINT) AS n_rows FROM {t}" for t in STAR_TABLES)))
+def q_load_star(spark, sf_dir):
+    """Row count of every table written by the load (read back from storage)."""
+    star = _star(spark, sf_dir)
+    out = None
+    for t in STAR_TABLES:
+        one = getattr(star, t).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")) \
+            .select(F.lit(t).alias("table_name"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("dim_time", star_sql("""
+SELECT time_id, month_name, month_number, quarter_name, quarter_number, year FROM dim_time"""))
+def q_dim_time(spark, sf_dir):
+    return _star(spark, sf_dir).dim_time.select("time_id", "month_name", "month_number", "quarter_name",
+                                                "quarter_number", "year")
+
+
+@register("salary_quintile", star_sql("""
+SELECT customer_id, gender, educational_level, age_bucket, CAST(salary_range AS BIGINT) AS salary_range FROM customer_prep"""))
+def q_salary_quintile(spark, sf_dir):
+    return _star(spark, sf_dir).customer_prep.select("customer_id", "gender", "educational_level", "age_bucket",
+                                                     "salary_range")
+
+
+@register("surrogate_key", star_sql("SELECT origin_id, make, country, region FROM dim_car_origin"))
+def q_surrogate_key(spark, sf_dir):
+    return _star(spark, sf_dir).dim_car_origin.select("origin_id", "make", "country", "region")
+
+
+@register("join_inner", star_sql("""
+SELECT dist_dim_id, distributor_name, city, state, region, distributor_id FROM dim_distributor"""))
+def q_join_inner(spark, sf_dir):
+    return _star(spark, sf_dir).dim_distributor.select("dist_dim_id", "distributor_name", "city", "state", "region",
+                                                       "distributor_id")
+
+
+@register("join_expr_key", star_sql("""
+SELECT dt.time_id, CAST(COUNT(*) AS BIGINT) AS n_sales, CAST(SUM(so.sell_price) AS DOUBLE) AS sales
+FROM sell_orders_data so JOIN dim_time dt ON dt.year = year(so.sell_date) AND dt.month_number = month(so.sell_date)
+GROUP BY dt.time_id"""))
+def q_join_expr_key(spark, sf_dir):
+    """Sales matched to the month dimension on expressions of the sale date."""
+    so = fixture(spark, sf_dir, "sell_orders_data")
+    tm = _star(spark, sf_dir).dim_time.select("time_id", "year", "month_number")
+    j = so.join(F.broadcast(tm), (F.year("sell_date") == tm["year"]) & (F.month("sell_date") == tm["month_number"]))
+    return j.groupBy("time_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_sales"),
+                                    F.sum("sell_price").cast("double").alias("sales"))
+
+
+@register("join_profile_key", star_sql("""
+SELECT csd.customer_id, dcu.cust_dim_id FROM customer_prep csd JOIN dim_customer_data dcu
+ON dcu.gender = csd.gender AND dcu.educational_level = csd.educational_level AND dcu.age_bucket = csd.age_bucket
+   AND dcu.salary_range = csd.salary_range"""))
+def q_join_profile_key(spark, sf_dir):
+    star = _star(spark, sf_dir)
+    keys = ["gender", "educational_level", "age_bucket", "salary_range"]
+    return star.customer_prep.join(star.dim_customer_data, keys).select("customer_id", "cust_dim_id")
+
+
+@register("join_fanout_audit", star_sql("""
+SELECT l.make, l.left_rows, CAST(COALESCE(r.right_matches, 0) AS BIGINT) AS right_matches,
+       CAST(l.left_rows * COALESCE(r.right_matches, 0) AS BIGINT) AS joined_rows
+FROM (SELECT dc.make, CAST(COUNT(*) AS BIGINT) AS left_rows FROM sell_orders_data so JOIN dim_car dc ON so.car_id = dc.car_id
+      GROUP BY dc.make) l
+LEFT JOIN (SELECT make, COUNT(*) AS right_matches FROM dim_car_origin GROUP BY make) r ON l.make = r.make"""))
+def q_join_fanout_audit(spark, sf_dir):
+    star = _star(spark, sf_dir)
+    so = fixture(spark, sf_dir, "sell_orders_data").join(star.dim_car.select("car_id", "make"), "car_id")
+    return fanout_audit(so.select("make"), star.dim_car_origin.select("make"), "make") \
+        .withColumn("left_rows", F.col("left_rows").cast("bigint"))
+
+
+@register("fk_audit", star_sql("""
+SELECT 'car_id' AS fk_column, CAST(COUNT(*) AS BIGINT) AS orphan_rows, CAST(COUNT(DISTINCT car_id) AS BIGINT) AS orphan_keys
+FROM sell_orders_data WHERE car_id NOT IN (SELECT car_id FROM dim_car)
+UNION ALL
+SELECT 'distributor_id', CAST(COUNT(*) AS BIGINT), CAST(COUNT(DISTINCT distributor_id) AS BIGINT)
+FROM sell_orders_data WHERE distributor_id NOT IN (SELECT distributor_id FROM dim_distributor)
+UNION ALL
+SELECT 'customer_id', CAST(COUNT(*) AS BIGINT), CAST(COUNT(DISTINCT customer_id) AS BIGINT)
+FROM sell_orders_data WHERE customer_id NOT IN (SELECT customer_id FROM customer_prep)"""))
+def q_fk_audit(spark, sf_dir):
+    """Sales whose keys have no dimension row (the inner-join load drops them silently)."""
+    star = _star(spark, sf_dir)
+    so = fixture(spark, sf_dir, "sell_orders_data")
+    parts = [fk_audit(so, "car_id", star.dim_car, "car_id"),
+             fk_audit(so, "distributor_id", star.dim_distributor, "distributor_id"),
+             fk_audit(so, "customer_id", star.customer_prep, "customer_id")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("fk_column", F.col("orphan_rows").cast("bigint"), F.col("orphan_keys").cast("bigint"))
+
+
+@register("load_reconcile", star_sql("""
+SELECT 'dim_car' AS table_name, (SELECT CAST(COUNT(*) AS BIGINT) FROM cars) AS source_rows,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM dim_car) AS target_rows, (SELECT MIN(car_dim_id) FROM dim_car) AS min_key
+UNION ALL
+SELECT 'dim_car_origin', (SELECT CAST(COUNT(*) AS BIGINT) FROM car_make_country),
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM dim_car_origin), (SELECT MIN(origin_id) FROM dim_car_origin)"""))
+def q_load_reconcile(spark, sf_dir):
+    star = _star(spark, sf_dir)
+
+    def one(name, src, tgt, key):
+        s = src.agg(F.count(F.lit(1)).cast("bigint").alias("source_rows"))
+        t = tgt.agg(F.count(F.lit(1)).cast("bigint").alias("target_rows"), F.min(key).cast("bigint").alias("min_key"))
+        # two one-row aggregates side by side
+        return s.withColumn("_k", F.lit(1)).join(t.withColumn("_k", F.lit(1)), "_k") \
+            .select(F.lit(name).alias("table_name"), "source_rows", "target_rows", "min_key")
+
+    return one("dim_car", fixture(spark, sf_dir, "cars"), star.dim_car, "car_dim_id").unionByName(
+        one("dim_car_origin", fixture(spark, sf_dir, "car_make_country"), star.dim_car_origin, "origin_id"))
+
+
+@register("scan_table", "SELECT * FROM nation")
+def q_scan_table(spark, sf_dir):
+    return read_table(spark, sf_dir, "nation")
+
+
+@register("conform_schema", star_sql("""
+SELECT CAST(id AS BIGINT) AS id, make, model, CAST(year AS BIGINT) AS year, market_category, target_market,
+       CAST(retail_price AS DOUBLE) AS retail_price FROM cars"""))
+def q_conform_schema(spark, sf_dir):
+    """Cast the source to the declared target schema (names, order, types) with ``DataFrame.to``."""
+    from pyspark.sql import types as T
+    target = T.StructType([T.StructField("id", T.LongType()), T.StructField("make", T.StringType()),
+                           T.StructField("model", T.StringType()), T.StructField("year", T.LongType()),
+                           T.StructField("market_category", T.StringType()), T.StructField("target_market", T.StringType()),
+                           T.StructField("retail_price", T.DoubleType())])
+    return fixture(spark, sf_dir, "cars").to(target)
+
+
+AGE_SQL = ("2024 - year(birthday) - CASE WHEN month(birthday) > 1 OR (month(birthday) = 1 AND day(birthday) > 1) "
+           "THEN 1 ELSE 0 END")
+
+
+@register("age_years", star_sql(f"SELECT id, CAST({AGE_SQL} AS BIGINT) AS age_years FROM customers_data"))
+def q_age_years(spark, sf_dir):
+    return fixture(spark, sf_dir, "customers_data").select("id", _age_years("birthday", AS_OF).alias("age_years"))
+
+
+@register("age_bucket", star_sql(f"""
+SELECT id, CASE WHEN a < 25 THEN 'Under 25' WHEN a BETWEEN 25 AND 40 THEN '25-40' ELSE 'Over 40' END AS age_bucket
+FROM (SELECT id, {AGE_SQL} AS a FROM customers_data) t"""))
+def q_age_bucket(spark, sf_dir):
+    return fixture(spark, sf_dir, "customers_data").select("id", _age_bucket("birthday", AS_OF).alias("age_bucket"))
+
+
+@register("filter_between", star_sql(f"""
+SELECT id, CAST({AGE_SQL} AS BIGINT) AS age_years FROM customers_data WHERE {AGE_SQL} BETWEEN 25 AND 40"""))
+def q_filter_between(spark, sf_dir):
+    c = fixture(spark, sf_dir, "customers_data").select("id", _age_years("birthday", AS_OF).alias("age_years"))
+    return c.where(F.col("age_years").between(25, 40))
+
+
+@register("agg_sum_multi_key", star_sql("""
+SELECT dd.state, dd.distributor_name, CAST(SUM(fs.sell_price) AS DOUBLE) AS total_sales,
+       CAST(SUM(fs.units_sold) AS BIGINT) AS total_units
+FROM fact_sales fs JOIN dim_distributor dd ON fs.dist_dim_id = dd.dist_dim_id GROUP BY dd.state, dd.distributor_name"""))
+def q_agg_sum_multi_key(spark, sf_dir):
+    star = _star(spark, sf_dir)
+    per = star.fact_sales.groupBy("dist_dim_id").agg(F.sum("sell_price").alias("s"), F.sum("units_sold").alias("u"))
+    j = per.join(star.dim_distributor.select("dist_dim_id", "state", "distributor_name"), "dist_dim_id")
+    return j.groupBy("state", "distributor_name").agg(F.sum("s").cast("double").alias("total_sales"),
+                                                      F.sum("u").cast("bigint").alias("total_units"))
+
+
+@register("agg_ratio_of_sums", star_sql("""
+SELECT dc.target_market,
+       round(CAST(SUM(fs.discount_amount) AS DOUBLE) / CAST(SUM(dc.retail_price) AS DOUBLE) * 100.0, 4) AS discount_percent
+FROM fact_sales fs JOIN dim_car dc ON fs.car_dim_id = dc.car_dim_id GROUP BY dc.target_market"""))
+def q_agg_ratio_of_sums(spark, sf_dir):
+    """Weighted discount: sum of discounts over sum of list prices, not a mean of ratios."""
+    star = _star(spark, sf_dir)
+    per = star.fact_sales.groupBy("car_dim_id").agg(F.sum("discount_amount").alias("d"), F.count(F.lit(1)).alias("n"))
+    j = per.join(star.dim_car.select("car_dim_id", "target_market", "retail_price"), "car_dim_id")
+    g = j.groupBy("target_market").agg(F.sum("d").alias("sd"), F.sum(F.col("retail_price") * F.col("n")).alias("sr"))
+    return g.select("target_market", F.round(F.col("sd").cast("double") / F.col("sr").cast("double") * F.lit(100.0), 4)
+                    .alias("discount_percent"))
+
+
+@register("pivot_years", star_sql(f"""
+SELECT dc.make, dc.model, CAST(dc.year AS BIGINT) AS car_model_year,
+       CAST(SUM(CASE WHEN dt.year = {Y0} THEN fs.units_sold END) AS BIGINT) AS units_{Y0},
+       CAST(SUM(CASE WHEN dt.year = {Y1} THEN fs.units_sold END) AS BIGINT) AS units_{Y1}
+FROM fact_sales fs JOIN dim_car dc ON fs.car_dim_id = dc.car_dim_id JOIN dim_time dt ON fs.time_dim_id = dt.time_id
+WHERE dt.year IN ({Y0}, {Y1})
+GROUP BY dc.make, dc.model, dc.year"""))
+def q_pivot_years(spark, sf_dir):
+    star = _star(spark, sf_dir)
+    per = (star.fact_sales.join(star.dim_time.where(F.col("year").isin(Y0, Y1))
+                                .select(F.col("time_id").alias("time_dim_id"), "year"), "time_dim_id")
+           .groupBy("car_dim_id", "year").agg(F.sum("units_sold").alias("u")))
+    j = per.join(star.dim_car.select("car_dim_id", "make", "model", F.col("year").alias("car_model_year")), "car_dim_id")
+    p = j.groupBy("make", "model", "car_model_year").pivot("year", [Y0, Y1]).agg(F.sum("u"))
+    return p.select("make", "model", F.col("car_model_year").cast("bigint").alias("car_model_year"),
+                    F.col(str(Y0)).cast("bigint").alias(f"units_{Y0}"), F.col(str(Y1)).cast("bigint").alias(f"units_{Y1}"))
+
+
+@register("sort_nulls", star_sql("""
+SELECT id, market_category,
+       CAST(row_number() OVER (ORDER BY market_category DESC NULLS FIRST, id) AS BIGINT) AS sort_position
+FROM cars"""))
+def q_sort_nulls(spark, sf_dir):
+    """Oracle-style descending order (NULLs first) made visible as a position column."""
+    from ..operators.windows import global_row_number
+    cars = fixture(spark, sf_dir, "cars").select("id", "market_category")
+    return global_row_number(cars, [F.col("market_category").desc_nulls_first(), F.col("id").asc()],
+                             name="sort_position")
+
+
+@register("filter_in", star_sql(f"""
+SELECT car_dim_id, market_category FROM dim_car WHERE market_category IN ({LUX})"""))
+def q_filter_in(spark, sf_dir):
+    from ..sources.fixtures import LUXURY_CATEGORIES
+    return _star(spark, sf_dir).dim_car.where(F.col("market_category").isin(*LUXURY_CATEGORIES)) \
+        .select("car_dim_id", "market_category")
+
+
+@register("distinct_rows", star_sql("SELECT DISTINCT make, country, region FROM car_make_country"))
+def q_distinct_rows(spark, sf_dir):
+    return fixture(spark, sf_dir, "car_make_country").select("make", "country", "region").distinct()
