@@ -132,7 +132,7 @@ def _partial_hulls(batches):
 
 def convex_hull(points: DataFrame, x: str, y: str) -> DataFrame:
     """Convex hull as ordered vertices (vertex_index, x, y), counter-clockwise from the
-    lowest-leftmost point.
+    leftmost (then lowest) point.
 
     1. Akl–Toussaint: the extreme points in 8 directions (one aggregate) bound an
        octagon; points strictly inside it cannot be hull vertices and are dropped by a

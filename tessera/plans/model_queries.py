@@ -233,3 +233,169 @@ def q_dummy_encode(spark, sf_dir):
 
 
 _ = FF
+
+
+# ---- MLlib models (no SQL equivalent: checked by properties in tests) ---------------------
+
+def _fire_data(spark, sf_dir):
+    return fire_sets(spark, sf_dir)
+
+
+def _regression_row(name, pred, label="fire_area"):
+    m = M.regression_metrics(pred, label, "prediction")
+    return m.select(F.lit(name).alias("model"), _r("mae", 6), _r("mse", 6), _r("rmse", 6), F.col("n").cast("bigint"))
+
+
+@register("linreg")
+def q_linreg(spark, sf_dir):
+    """OLS on the noise-free fire target: recovers 0.003, 0.02, -0.01, 1.5 and intercept 2."""
+    s = _fire_data(spark, sf_dir)
+    model = ML.linear_regression(s.train, FIRE_FEATURES, "fire_area_exact")
+    return ML.coefficients_table(model, FIRE_FEATURES, spark).select("term", F.round("estimate", 9).alias("estimate"))
+
+
+def _rf(spark, sf_dir):
+    s = _fire_data(spark, sf_dir)
+    return ML.random_forest(s.train, FIRE_FEATURES, "fire_area", num_trees=20, max_depth=8), s
+
+
+@register("rf_regression")
+def q_rf(spark, sf_dir):
+    model, s = _rf(spark, sf_dir)
+    return _regression_row("random_forest", ML.predict(model, s.test, FIRE_FEATURES, ["fire_area"]))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    model, _ = _rf(spark, sf_dir)
+    return ML.feature_importance(model, FIRE_FEATURES, spark)
+
+
+@register("gbt_regression")
+def q_gbt(spark, sf_dir):
+    s = _fire_data(spark, sf_dir)
+    model = ML.gradient_boosting(s.train, FIRE_FEATURES, "fire_area", max_iter=30, step=0.1, max_depth=3)
+    return _regression_row("gradient_boosting", ML.predict(model, s.test, FIRE_FEATURES, ["fire_area"]))
+
+
+@register("bagged_knn")
+def q_bagged_knn(spark, sf_dir, estimators: int = 5, max_features: int = 3, k: int = K_FIRE):
+    """Bagging of kNN regressors: estimator e draws a bootstrap sample (with replacement,
+    by hash) and a feature subset (by hash order); predictions are averaged."""
+    from ..operators.sampling import hash_key
+    s = _fire_data(spark, sf_dir)
+    train = s.train.select("row_id", "fire_area", *FIRE_FEATURES)
+    n = train.count()
+    ranked = kfold(train, ["row_id"], n, SEED, name="_pos")  # a permutation position 0..n-1
+    preds = None
+    for e in range(estimators):
+        feats = sorted(FIRE_FEATURES, key=lambda f: __import__("hashlib").md5(f"{SEED}|{e}|{f}".encode()).hexdigest())
+        feats = feats[:max_features]
+        draws = spark.range(n).select(F.col("id").alias("_j")).withColumn(
+            "_pos", F.pmod(F.conv(F.substring(hash_key(SEED + e, ["_j"]), 1, 15), 16, 10).cast("decimal(20,0)"),
+                           F.lit(n)).cast("bigint"))
+        boot = draws.join(ranked, "_pos").select("row_id", "_j", "fire_area", *feats)
+        p = K.knn_regress(s.test, boot, feats, k, "row_id", ["row_id", "_j"], "fire_area") \
+            .withColumnRenamed("prediction", f"p{e}")
+        preds = p if preds is None else preds.join(p, "row_id")
+    avg = sum((F.col(f"p{e}") for e in range(estimators)), F.lit(0.0)) / estimators
+    out = s.test.select("row_id", "fire_area").join(preds.select("row_id", avg.alias("prediction")), "row_id")
+    return _regression_row("bagged_knn", out)
+
+
+def _wine_scaled(spark, sf_dir):
+    s = wine_sets(spark, sf_dir)
+    params = standard_params(s.train, WINE_FEATURES)
+    return apply_standard(s.train, params), apply_standard(s.test, params)
+
+
+def _classification_row(name, pred):
+    acc = M.accuracy(pred, "quality", "prediction").select(_r("accuracy"))
+    auc = M.roc_auc(pred, "quality", "probability").select(_r("auc"))
+    return acc.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), "_k") \
+        .select(F.lit(name).alias("model"), "accuracy", "auc")
+
+
+@register("logreg")
+def q_logreg(spark, sf_dir):
+    tr, te = _wine_scaled(spark, sf_dir)
+    model = ML.logistic_regression(tr, WINE_FEATURES, "quality", C=1.0)
+    pred = ML.predict(model, te, WINE_FEATURES, ["row_id", "quality"])
+    return _classification_row("logistic_regression", pred.withColumn("prediction", F.col("prediction").cast("int")))
+
+
+@register("decision_tree")
+def q_decision_tree(spark, sf_dir):
+    tr, te = _wine_scaled(spark, sf_dir)
+    model = ML.decision_tree(tr, WINE_FEATURES, "quality", max_depth=10)
+    pred = ML.predict(model, te, WINE_FEATURES, ["row_id", "quality"])
+    return _classification_row("decision_tree", pred.withColumn("prediction", F.col("prediction").cast("int")))
+
+
+@register("mlp_classifier")
+def q_mlp(spark, sf_dir):
+    s = wine_sets(spark, sf_dir)
+    params = minmax_params(s.train, WINE_FEATURES)
+    tr, te = apply_minmax(s.train, params), apply_minmax(s.test, params)
+    model = ML.mlp(tr, WINE_FEATURES, "quality", max_iter=100)
+    pred = ML.predict(model, te, WINE_FEATURES, ["row_id", "quality"])
+    return _classification_row("mlp", pred.withColumn("prediction", F.col("prediction").cast("int")))
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    """Random-forest grid (trees x depth) scored by 5-fold CV R^2 on hash folds, in parallel."""
+    from pyspark.ml.regression import RandomForestRegressor
+    s = _fire_data(spark, sf_dir)
+    train = kfold(s.train, ["row_id"], 5, SEED, name="fold").withColumn("fold", F.col("fold").cast("int"))
+    est = RandomForestRegressor(featuresCol="features", labelCol="fire_area", seed=SEED)
+    _, table = ML.grid_search(train, FIRE_FEATURES, "fire_area", est, {"numTrees": [10, 20], "maxDepth": [4, 8]},
+                              fold_col="fold", folds=5, metric="r2")
+    return table.select("params", _r("cv_metric"))
+
+
+@register("nested_cv")
+def q_nested_cv(spark, sf_dir, outer: int = 5, inner: int = 3):
+    """Outer stratified folds; inside each, a 3-fold CV grid picks the tree; the outer fold
+    scores it.  Returns per-fold accuracy plus mean and population sd."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    s = wine_sets(spark, sf_dir)
+    data = kfold(s.train, ["row_id", "copy_index"], outer, SEED, strata=["quality"], name="outer")
+    rows = []
+    for f in range(outer):
+        tr = data.where(F.col("outer") != f)
+        te = data.where(F.col("outer") == f)
+        tr = kfold(tr, ["row_id", "copy_index"], inner, SEED, strata=["quality"], name="inner") \
+            .withColumn("inner", F.col("inner").cast("int"))
+        est = DecisionTreeClassifier(featuresCol="features", labelCol="quality", seed=SEED)
+        model, _ = ML.grid_search(tr, WINE_FEATURES, "quality", est, {"maxDepth": [3, 5, 10],
+                                                                      "impurity": ["gini", "entropy"]},
+                                  fold_col="inner", folds=inner, metric="accuracy", classification=True)
+        pred = ML.predict(model.bestModel, te, WINE_FEATURES, ["quality"])
+        acc = M.accuracy(pred.withColumn("prediction", F.col("prediction").cast("int")), "quality", "prediction")
+        rows.append(acc.select(F.lit(f).cast("bigint").alias("fold"), "accuracy"))
+    per = rows[0]
+    for r in rows[1:]:
+        per = per.unionByName(r)
+    per = per.checkpoint(eager=True)
+    summary = per.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("sd_accuracy"))
+    return per.withColumn("_k", F.lit(1)).join(summary.withColumn("_k", F.lit(1)), "_k").drop("_k") \
+        .select("fold", _r("accuracy"), _r("mean_accuracy"), _r("sd_accuracy"))
+
+
+@register("model_leaderboard")
+def q_leaderboard(spark, sf_dir):
+    """Test-set MAE / MSE / RMSE of every regression model, ranked by RMSE."""
+    from pyspark.sql import Window
+    s = _fire_data(spark, sf_dir)
+    lr = ML.linear_regression(s.train, FIRE_FEATURES, "fire_area")
+    rf, _ = _rf(spark, sf_dir)
+    gbt = ML.gradient_boosting(s.train, FIRE_FEATURES, "fire_area", max_iter=30)
+    rows = [_regression_row("linear_regression", ML.predict(lr, s.test, FIRE_FEATURES, ["fire_area"])),
+            _regression_row("knn", fire_knn_predictions(spark, sf_dir)),
+            _regression_row("random_forest", ML.predict(rf, s.test, FIRE_FEATURES, ["fire_area"])),
+            _regression_row("gradient_boosting", ML.predict(gbt, s.test, FIRE_FEATURES, ["fire_area"]))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.withColumn("rank", F.rank().over(Window.orderBy("rmse")).cast("bigint"))
