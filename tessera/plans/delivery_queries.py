@@ -352,3 +352,33 @@ def q_pk_audit(spark, sf_dir):
 
 
 _ = T  # types used by callers through this module's namespace
+
+
+@register("haversine", dsql(f"SELECT row_id, round({HAV} * 1000.0, 3) AS distance_m FROM deliveries_raw"))
+def q_haversine(spark, sf_dir):
+    from ..functions.scalar import haversine_m
+    d = deliveries_raw(spark, sf_dir)
+    return d.select("row_id", F.round(haversine_m(*COORDS), 3).alias("distance_m"))
+
+
+@register("arith_scalar", dsql("""
+SELECT row_id, abs(delivery_person_age - humidity) AS abs_diff, delivery_person_age + humidity AS total,
+       delivery_person_age * 2 AS doubled, round(humidity / delivery_person_age, 6) AS ratio,
+       round(sqrt(humidity), 6) AS root FROM deliveries_raw"""))
+def q_arith_scalar(spark, sf_dir):
+    d = deliveries_raw(spark, sf_dir)
+    age, hum = F.col("delivery_person_age"), F.col("humidity")
+    return d.select("row_id", F.abs(age - hum).alias("abs_diff"), (age + hum).alias("total"),
+                    (age * 2).alias("doubled"), F.round(hum / age, 6).alias("ratio"), F.round(F.sqrt(hum), 6).alias("root"))
+
+
+@register("round_modes", dsql("""
+SELECT row_id, CAST(round(CAST(distance_raw AS DECIMAL(10,2)), 1) AS DOUBLE) AS half_up,
+       CAST(round_even(CAST(distance_raw AS DECIMAL(10,2)), 1) AS DOUBLE) AS half_even
+FROM deliveries_raw WHERE TRY_CAST(distance_raw AS DECIMAL(10,2)) IS NOT NULL"""))
+def q_round_modes(spark, sf_dir):
+    """Oracle rounds exact numbers half away from zero, R rounds half to even: both on
+    exact decimals (no binary ties)."""
+    d = deliveries_raw(spark, sf_dir).withColumn("_d", F.expr("try_cast(distance_raw AS DECIMAL(10,2))"))
+    return d.where(F.col("_d").isNotNull()).select(
+        "row_id", F.round("_d", 1).cast("double").alias("half_up"), F.bround("_d", 1).cast("double").alias("half_even"))

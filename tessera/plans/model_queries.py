@@ -399,3 +399,18 @@ def q_leaderboard(spark, sf_dir):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.withColumn("rank", F.rank().over(Window.orderBy("rmse")).cast("bigint"))
+
+
+@register("kde_by_group", wsql("""
+SELECT s.quality, CAST(g.i AS BIGINT) AS grid_index, round(s.g0 + g.i * s.step, 6) AS x,
+       round(SUM(exp(-pow((s.g0 + g.i * s.step - z0.f11) / s.h, 2) / 2.0)) / (s.n * s.h * sqrt(2 * pi())), 6) AS density
+FROM z0 JOIN st3 s ON s.quality = z0.quality, range(64) g(i)
+WHERE z0.f11 IS NOT NULL
+GROUP BY s.quality, g.i, s.g0, s.step, s.n, s.h""", [
+    ("st", "SELECT quality, COUNT(*) AS n, STDDEV_SAMP(f11) AS sd, MIN(f11) AS lo, MAX(f11) AS hi FROM z0 "
+           "WHERE f11 IS NOT NULL GROUP BY quality"),
+    ("st2", "SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st"),
+    ("st3", "SELECT *, lo - 3.0 * h AS g0, (hi + 3.0 * h - (lo - 3.0 * h)) / 63 AS step FROM st2")]))
+def q_kde(spark, sf_dir):
+    """Density of the last feature per (binary) class on a 64-point grid."""
+    return P.kde_by_group(wine_binary(spark, sf_dir), "f11", "quality", 64)

@@ -248,3 +248,33 @@ def q_clip_by_hull(spark, sf_dir):
         .select("name", S.clip_by_convex("ring", "hull").alias("clip"))
     area = F.when(F.size("clip") > 3, G.ring_area_km2("clip")).otherwise(F.lit(0.0))
     return clipped.select("name", F.round(area, 2).alias("area_interseccion_km2"), F.size("clip").alias("vertices"))
+
+
+DISSOLVE_CTES = [
+    ("e", f"SELECT id, a_x AS ax, a_y AS ay, b_x AS bx, b_y AS ey FROM edges WHERE name IN ({COAST})"),
+    ("v", "SELECT DISTINCT ax AS vx, ay AS vy FROM e"),
+    ("pts", """
+SELECT DISTINCT e.id, e.ax, e.ay, e.bx, e.ey, v.vx, v.vy,
+       CAST((v.vx - e.ax) * (e.bx - e.ax) + (v.vy - e.ay) * (e.ey - e.ay) AS DOUBLE)
+       / ((e.bx - e.ax) * (e.bx - e.ax) + (e.ey - e.ay) * (e.ey - e.ay)) AS t
+FROM e JOIN v ON (e.bx - e.ax) * (v.vy - e.ay) - (e.ey - e.ay) * (v.vx - e.ax) = 0
+         AND v.vx BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx)
+         AND v.vy BETWEEN least(e.ay, e.ey) AND greatest(e.ay, e.ey)"""),
+    ("pieces", """
+SELECT vx, vy, lead(vx) OVER w AS wx, lead(vy) OVER w AS wy FROM pts
+WINDOW w AS (PARTITION BY id, ax, ay, bx, ey ORDER BY t)"""),
+    ("norm", """
+SELECT CASE WHEN vx < wx OR (vx = wx AND vy <= wy) THEN vx ELSE wx END AS x1,
+       CASE WHEN vx < wx OR (vx = wx AND vy <= wy) THEN vy ELSE wy END AS y1,
+       CASE WHEN vx < wx OR (vx = wx AND vy <= wy) THEN wx ELSE vx END AS x2,
+       CASE WHEN vx < wx OR (vx = wx AND vy <= wy) THEN wy ELSE vy END AS y2
+FROM pieces WHERE wx IS NOT NULL"""),
+]
+
+
+@register("dissolve_outline", ssql("SELECT x1, y1, x2, y2 FROM norm GROUP BY x1, y1, x2, y2 HAVING COUNT(*) = 1",
+                                   DISSOLVE_CTES))
+def q_dissolve_outline(spark, sf_dir):
+    """Outline of the two coast provinces' union (their shared edge cancels)."""
+    coast = provinces(spark, sf_dir).where(F.col("name").isin(*COAST_PROVINCES))
+    return S.dissolve_outline(coast, "id")
