@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The studies this library reproduces contain no stream, watermark, event-time
+window or stateful operator (every input is a finished file or table), so there
+is nothing to express with Structured Streaming here.  Batch jobs write their
+intermediate tables below ``spark.checkpoint.dir``; an incremental variant would
+start from those tables.
+"""
