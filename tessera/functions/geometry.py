@@ -29,7 +29,9 @@ def point(x, y) -> Column:
 def ring_of(*xy: tuple) -> Column:
     """Ring from (x, y) column pairs; closes it if needed."""
     pts = [point(x, y) for x, y in xy]
-    if xy[0] != xy[-1]:
+    # same objects first and last = already closed (a repeated vertex would only add a
+    # zero-length edge, which no predicate counts)
+    if not (xy[0][0] is xy[-1][0] and xy[0][1] is xy[-1][1]):
         pts.append(point(*xy[0]))
     return F.array(*pts)
 

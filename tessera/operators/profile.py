@@ -42,8 +42,8 @@ def global_stats(df: DataFrame, columns: Sequence[str], strict: bool = False, sc
         guard = (lambda e: F.when(nulls == 0, e)) if strict else (lambda e: e)
         rows.append(F.struct(F.lit(c).alias("column_name"),
                              guard(F.round(F.avg(c), scale)).cast("double").alias("mean"),
-                             guard(F.min(c)).cast("double").alias("min"),
-                             guard(F.max(c)).cast("double").alias("max")))
+                             guard(F.round(F.min(c).cast("double"), scale)).alias("min"),
+                             guard(F.round(F.max(c).cast("double"), scale)).alias("max")))
     return df.agg(F.array(*rows).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 

@@ -183,8 +183,8 @@ STAT_COLS = ["distance", "delivery_time_min", "delivery_person_age", "delivery_p
 
 
 @register("agg_global_stats", dsql(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, round(AVG({c}), 6) AS mean, CAST(MIN({c}) AS DOUBLE) AS min, "
-    f"CAST(MAX({c}) AS DOUBLE) AS max FROM clean" for c in STAT_COLS)))
+    f"SELECT '{c}' AS column_name, round(AVG({c}), 6) AS mean, round(CAST(MIN({c}) AS DOUBLE), 6) AS min, "
+    f"round(CAST(MAX({c}) AS DOUBLE), 6) AS max FROM clean" for c in STAT_COLS)))
 def q_global_stats(spark, sf_dir):
     return P.global_stats(deliveries(spark, sf_dir), STAT_COLS)
 
@@ -325,9 +325,11 @@ def q_numeric_columns(spark, sf_dir):
     return n.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("column_name"), "n_rows")
 
 
-@register("preview", dsql("SELECT * FROM clean ORDER BY row_id LIMIT 10"))
+@register("preview", dsql("SELECT * REPLACE (round(distance, 6) AS distance) FROM clean ORDER BY row_id LIMIT 10"))
 def q_preview(spark, sf_dir):
-    return deliveries(spark, sf_dir).orderBy("row_id").limit(10)
+    """First rows in key order (Spark has no row order of its own); the imputed distance is
+    rounded to 6 places because the engines' trigonometry differs in the last bits."""
+    return deliveries(spark, sf_dir).orderBy("row_id").limit(10).withColumn("distance", F.round("distance", 6))
 
 
 @register("guarded_ratio", dsql("""
