@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import small_side
 
 # The lambda grid 0, 0.25, …, 10 (41 points).
@@ -64,7 +65,7 @@ def fit(train: DataFrame, label: str, factors: Sequence[str], lambdas: Sequence[
                             *[(F.col(f"_s{i}") / (F.col("_n") + F.lit(lam))).alias(model.coef(f, i))
                               for i, lam in enumerate(lambdas)])
         # coefficient tables are small and reused by every later stage: cut lineage
-        table = table.checkpoint(eager=True)
+        table = materialize(table, f"bias-{f}")
         tables[f] = table
         cur = _join_coef(cur, table, f)
         cur = cur.select(*[c for c in cur.columns if not c.startswith("_r") and not c.startswith("b_")],

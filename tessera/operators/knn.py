@@ -5,8 +5,9 @@ sized by ``block_rows``).  Query rows are copied to every reference block and
 reference rows to every query block; each (query block, reference block) group
 then holds at most ``2 * block_rows`` rows and computes its local top-k with NumPy
 (Arrow batches in, k rows per query out).  A window over the k x T candidates of
-each query keeps the global top-k.  Distances are squared Euclidean, summed
-feature by feature in a fixed order; ties break on the reference ids.
+each query keeps the global top-k.  Candidates come from a BLAS distance
+expansion with a rounding margin; their exact squared Euclidean distances are then
+summed feature by feature in a fixed order, and ties break on the reference ids.
 
 The work is quadratic, as exact brute-force kNN is; no distance pair is written as
 a row, no block or group grows with the data, and nothing passes through the driver.
@@ -35,18 +36,24 @@ def _topk_block(features: list[str], k: int):
                                  "_y": pd.Series(dtype="float64")})
         Q = q[features].to_numpy(dtype="float64")
         R = r[features].to_numpy(dtype="float64")
-        d = np.zeros((len(Q), len(R)))
-        for j in range(Q.shape[1]):           # fixed summation order, feature by feature
-            diff = Q[:, j][:, None] - R[:, j][None, :]
-            d += diff * diff
         kk = min(k, len(R))
-        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        # every candidate at or below the k-th distance: ties are settled exactly later
-        rows, cols = np.nonzero(d <= kth[:, None])
+        # 1) candidates from the BLAS expansion |q|^2 + |r|^2 - 2 q.r, with a margin that
+        #    covers its rounding error, so every true top-k row is kept
+        qn = np.einsum("ij,ij->i", Q, Q)
+        rn = np.einsum("ij,ij->i", R, R)
+        approx = qn[:, None] + rn[None, :] - 2.0 * (Q @ R.T)
+        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+        margin = 1e-9 * (qn + rn.max() + 1.0)
+        rows, cols = np.nonzero(approx <= (kth + 2 * margin)[:, None])
+        # 2) exact distances of the candidates, summed feature by feature in a fixed order
+        d = np.zeros(len(rows))
+        for j in range(Q.shape[1]):
+            diff = Q[rows, j] - R[cols, j]
+            d += diff * diff
         return pd.DataFrame({"_qid": q["_qid"].to_numpy(dtype="int64")[rows],
                              "_r0": r["_r0"].to_numpy(dtype="int64")[cols],
                              "_r1": r["_r1"].to_numpy(dtype="int64")[cols],
-                             "_dist": d[rows, cols], "_y": r["_y"].to_numpy(dtype="float64")[cols]})
+                             "_dist": d, "_y": r["_y"].to_numpy(dtype="float64")[cols]})
     return run
 
 

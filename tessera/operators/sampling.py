@@ -15,7 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import small_side
 
 
 def hash_key(seed: int, keys: Sequence[str]) -> Column:
@@ -34,25 +33,27 @@ def hash_rank(df: DataFrame, seed: int, keys: Sequence[str], strata: Sequence[st
 
     The leading hex digits of the hash form a bucket whose order is the sort order, so
     rank = rows in earlier buckets of the stratum + row number inside the bucket.  The
-    per-bucket counts (at most strata x 65,536 rows) give the offsets; the row numbering
-    is partitioned by (stratum, bucket), so even a stratum holding a third of all rows is
-    spread over many tasks.  Every column is deterministic, so repeated evaluation
-    agrees."""
+    per-bucket counts (at most strata x 65,536 rows) give the offsets.  Numbering and
+    offsets are both keyed by (stratum, bucket): the offsets join lands on the
+    partitioning the numbering window already produced, so only the small count table
+    moves, and even a stratum holding a third of all rows is spread over many tasks.
+    Every column is deterministic, so repeated evaluation agrees."""
     st = list(strata)
-    d = df.withColumn("_h", hash_key(seed, keys)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    per_bucket = d.groupBy(*st, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    prior = Window.partitionBy(*st).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*[F.col(c).alias(f"_s_{c}") for c in st], F.col("_b").alias("_ob"),
-                                F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_boff"),
-                                F.sum("_bn").over(Window.partitionBy(*st)).alias("_gn"))
+    # one non-NULL text key per stratum (NULL is a stratum of its own)
+    g = F.to_json(F.struct(*[F.col(c) for c in st])) if st else F.lit("")
+    d = df.withColumn("_h", hash_key(seed, keys)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS)) \
+        .withColumn("_g", g)
+    per_bucket = d.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    prior = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select("_g", "_b", F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_boff"),
+                                F.sum("_bn").over(Window.partitionBy("_g")).alias("_gn"))
     local = d.withColumn("_lr", F.row_number().over(
-        Window.partitionBy(*st, "_b").orderBy("_h", *[F.col(k) for k in keys])))
-    cond = [local["_b"] == offsets["_ob"]] + [local[c].eqNullSafe(offsets[f"_s_{c}"]) for c in st]
-    out = local.join(small_side(offsets, 5_000_000), cond)
+        Window.partitionBy("_g", "_b").orderBy("_h", *[F.col(k) for k in keys])))
+    out = local.join(offsets, ["_g", "_b"])
     out = out.withColumn(name, (F.col("_boff") + F.col("_lr")).cast("bigint"))
     if size_name:
         out = out.withColumn(size_name, F.col("_gn").cast("bigint"))
-    return out.drop("_h", "_b", "_lr", "_ob", "_boff", "_gn", *[f"_s_{c}" for c in st])
+    return out.drop("_h", "_b", "_g", "_lr", "_boff", "_gn")
 
 
 def split_exact(df: DataFrame, keys: Sequence[str], fraction: float, seed: int, strata: Sequence[str] = (),

@@ -23,18 +23,20 @@ def global_row_number(df: DataFrame, order: Sequence, name: str = "row_number",
                       num_partitions: int | None = None, with_total: str | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order`` (must be a total order).
 
-    The rows are range-partitioned on the sort key and checkpointed once (to the shared
-    checkpoint folder), so the per-partition numbering and the per-partition counts are
-    read from one fixed partitioning – two evaluations of a range shuffle need not agree
-    once the optimiser pushes different filters into them.  Cost: a sampling pass, one
-    range shuffle written once, a local sort per partition and a table with one row per
-    partition.  No step holds more than one range of rows.
+    The rows are range-partitioned on the sort key and written once, with their range
+    partition id as a column, to the shared checkpoint folder: the per-partition
+    numbering and the per-partition counts then read one fixed assignment (two
+    evaluations of a range shuffle need not agree once the optimiser pushes different
+    filters into them).  Cost: a sampling pass, one range shuffle written once, one
+    shuffle + local sort by partition id, and a table with one row per partition.  No
+    step holds more than one range of rows.
     """
+    from ..session import materialize
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ocols = _cols(order)
-    ranged = df.repartitionByRange(n_parts, *ocols).checkpoint(eager=True) \
-        .withColumn("_pid", F.spark_partition_id())
+    ranged = materialize(df.repartitionByRange(n_parts, *ocols).withColumn("_pid", F.spark_partition_id()),
+                         "ranged")
     local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*ocols)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,8 +68,18 @@ def global_ntile(df: DataFrame, order: Sequence, buckets: int, name: str = "ntil
     return ranked.withColumn(name, ntile_from_rank("_grn", "_gn", buckets)).drop("_grn", "_gn")
 
 
-def surrogate_key(df: DataFrame, order: Sequence, name: str) -> DataFrame:
-    """Identity-style key 1..n in the order of the natural key (stable across runs)."""
+# Rows up to which a single-task window is the cheaper way to number a table.
+SMALL_TABLE_ROWS = 100_000
+
+
+def surrogate_key(df: DataFrame, order: Sequence, name: str, small_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """Identity-style key 1..n in the order of the natural key (stable across runs).
+
+    The size is checked first (reading at most ``small_rows + 1`` rows): a small table
+    is numbered by one window task, anything larger by the range-partitioned
+    ``global_row_number``."""
+    if df.limit(small_rows + 1).count() <= small_rows:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*_cols(order))).cast("bigint"))
     return global_row_number(df, order, name=name)
 
 

@@ -9,6 +9,7 @@ from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import profile as P
 from ..operators.sampling import kfold, split_random
+from ..session import materialize
 from ..sources.fixtures import SEED, fixture
 from .deliveries import deliveries
 from .delivery_queries import dsql
@@ -377,7 +378,7 @@ def q_nested_cv(spark, sf_dir, outer: int = 5, inner: int = 3):
     per = rows[0]
     for r in rows[1:]:
         per = per.unionByName(r)
-    per = per.checkpoint(eager=True)
+    per = materialize(per, "nested-cv")
     summary = per.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("sd_accuracy"))
     return per.withColumn("_k", F.lit(1)).join(summary.withColumn("_k", F.lit(1)), "_k").drop("_k") \
         .select("fold", _r("accuracy"), _r("mean_accuracy"), _r("sd_accuracy"))

@@ -32,10 +32,12 @@ def movielens(spark: SparkSession, sf_dir: str) -> DataFrame:
                      round_to_day("rated_at").alias("day"), title_year("title").alias("year_publication"))
 
 
-def holdout_split(ml: DataFrame, fraction: float = 0.1, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def holdout_split(ml: DataFrame, fraction: float = 0.1, seed: int = SEED, flagged: DataFrame | None = None
+                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edx, final_holdout, removed): sample ``fraction`` by rating quantile group, keep
     only hold-out rows whose user and item occur in the rest, return the others."""
-    flagged = split_quantile(ml, "rating", KEYS, fraction, seed, name="_h")
+    if flagged is None:
+        flagged = split_quantile(ml, "rating", KEYS, fraction, seed, name="_h")
     temp = flagged.where("_h").drop("_h")
     edx0 = flagged.where(~F.col("_h")).drop("_h")
     final = semi_join_all(temp, [(edx0, "movieid"), (edx0, "userid")])
@@ -43,9 +45,11 @@ def holdout_split(ml: DataFrame, fraction: float = 0.1, seed: int = SEED) -> tup
     return edx0.unionByName(removed), final, removed
 
 
-def inner_split(edx: DataFrame, fraction: float = 0.8, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def inner_split(edx: DataFrame, fraction: float = 0.8, seed: int = SEED, flagged: DataFrame | None = None
+                ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, test, test_before_filter): test keeps only users and items seen in train."""
-    flagged = split_quantile(edx, "rating", KEYS, fraction, seed, name="_t")
+    if flagged is None:
+        flagged = split_quantile(edx, "rating", KEYS, fraction, seed, name="_t")
     train = flagged.where("_t").drop("_t")
     test0 = flagged.where(~F.col("_t")).drop("_t")
     return train, semi_join_all(test0, [(train, "movieid"), (train, "userid")]), test0
@@ -79,14 +83,14 @@ def rating_sets(spark: SparkSession, sf_dir: str, seed: int = SEED) -> RatingSet
             return spark.read.parquet(f"{base}/{name}")
 
         ml = keep(movielens(spark, sf_dir), "ml")
-        edx, final, removed = holdout_split(ml, 0.1, seed)
+        # each split is computed once and written; every derived set is a filter of it
+        flagged = keep(split_quantile(ml, "rating", KEYS, 0.1, seed, name="_h"), "holdout_flags")
+        edx, final, removed = holdout_split(ml, 0.1, seed, flagged=flagged)
         final = keep(final, "holdout")
-        removed = keep(removed, "removed")
-        edx = keep(edx, "edx")
-        train, test, test0 = inner_split(edx, 0.8, seed)
-        train = keep(train, "train")
-        test0 = keep(test0, "test0")
-        test = semi_join_all(test0, [(train, "movieid"), (train, "userid")])
+        removed = flagged.where("_h").drop("_h").join(final.select(*KEYS), KEYS, "left_anti")
+        edx = keep(flagged.where(~F.col("_h")).drop("_h").unionByName(removed), "edx")
+        flagged2 = keep(split_quantile(edx, "rating", KEYS, 0.8, seed, name="_t"), "train_flags")
+        train, test, test0 = inner_split(edx, 0.8, seed, flagged=flagged2)
         test = keep(test, "test")
         sets = RatingSets(ml, edx, final, removed, train, test, test0)
         _SETS[key] = sets

@@ -65,3 +65,13 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 
 def fresh_path(spark: SparkSession, prefix: str) -> str:
     return scratch_path(spark, f"{prefix}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, prefix: str = "tbl"):
+    """Write ``df`` as parquet below the shared checkpoint folder and read it back.
+
+    One computation (an eager ``checkpoint()`` computes its input twice), lineage cut at
+    the table, and the result survives the loss of any executor."""
+    path = fresh_path(df.sparkSession, prefix)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
