@@ -13,10 +13,7 @@ from ..functions.scalar import haversine_km, lenient_cast
 
 def lenient_columns(df: DataFrame, columns: dict[str, str], to: str = "double") -> DataFrame:
     """``{source: target}``: add ``target`` = text of ``source`` as ``to``; bad text -> NULL."""
-    out = df
-    for src, dst in columns.items():
-        out = out.withColumn(dst, lenient_cast(src, to))
-    return out
+    return df.withColumns({dst: lenient_cast(src, to) for src, dst in columns.items()})
 
 
 def drop_both_missing(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -38,10 +35,15 @@ def rename_all(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.toDF(*names)
 
 
-def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row per key in an explicit order (``distinct(key, .keep_all=TRUE)``)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """First row per key in ascending ``order`` (``distinct(key, .keep_all=TRUE)``).
+
+    ``min_by`` is an aggregate: each task keeps one candidate per key before the
+    shuffle, so a key holding a third of all rows never lands whole in one task (a
+    row_number window would sort all of its rows there).  ``order`` must be unique."""
+    rest = [c for c in df.columns if c not in key]
+    best = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order]))
+    return df.groupBy(*key).agg(best.alias("_first")).select(*key, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
@@ -93,7 +95,4 @@ def binarize_target(df: DataFrame, column: str, threshold, name: str | None = No
 
 
 def round_columns(df: DataFrame, columns: Sequence[str], scale: int) -> DataFrame:
-    out = df
-    for c in columns:
-        out = out.withColumn(c, F.round(c, scale))
-    return out
+    return df.withColumns({c: F.round(c, scale) for c in columns})

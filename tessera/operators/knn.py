@@ -1,10 +1,10 @@
 """Exact k-nearest-neighbour search as a block-pair Spark job.
 
-Query rows are hashed into ``B`` blocks and reference rows into ``T`` blocks (both
-sized by ``block_rows``).  Query rows are copied to every reference block and
-reference rows to every query block; each (query block, reference block) group
-then holds at most ``2 * block_rows`` rows and computes its local top-k with NumPy
-(Arrow batches in, k rows per query out).  A window over the k x T candidates of
+Query rows are hashed into ``B`` blocks (``block_rows`` each) and reference rows into
+``T`` blocks (``ref_block_rows`` each).  Query rows are copied to every reference block
+and reference rows to every query block; each (query block, reference block) group
+holds a bounded number of rows and computes its local top-k with NumPy, 512 queries
+at a time (Arrow batches in, about k rows per query out).  A window over the k x T candidates of
 each query keeps the global top-k.  Candidates come from a BLAS distance
 expansion with a rounding margin; their exact squared Euclidean distances are then
 summed feature by feature in a fixed order, and ties break on the reference ids.
@@ -23,7 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_ROWS = 2048
+DEFAULT_BLOCK_ROWS = 2048        # query rows per block
+REF_BLOCK_ROWS = 16384           # reference rows per block
+QUERY_CHUNK = 512                # queries per distance matrix inside a group
 
 
 def _topk_block(features: list[str], k: int):
@@ -37,34 +39,41 @@ def _topk_block(features: list[str], k: int):
         Q = q[features].to_numpy(dtype="float64")
         R = r[features].to_numpy(dtype="float64")
         kk = min(k, len(R))
-        # 1) candidates from the BLAS expansion |q|^2 + |r|^2 - 2 q.r, with a margin that
-        #    covers its rounding error, so every true top-k row is kept
-        qn = np.einsum("ij,ij->i", Q, Q)
         rn = np.einsum("ij,ij->i", R, R)
-        approx = qn[:, None] + rn[None, :] - 2.0 * (Q @ R.T)
-        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        margin = 1e-9 * (qn + rn.max() + 1.0)
-        rows, cols = np.nonzero(approx <= (kth + 2 * margin)[:, None])
-        # 2) exact distances of the candidates, summed feature by feature in a fixed order
-        d = np.zeros(len(rows))
-        for j in range(Q.shape[1]):
-            diff = Q[rows, j] - R[cols, j]
-            d += diff * diff
-        return pd.DataFrame({"_qid": q["_qid"].to_numpy(dtype="int64")[rows],
-                             "_r0": r["_r0"].to_numpy(dtype="int64")[cols],
-                             "_r1": r["_r1"].to_numpy(dtype="int64")[cols],
-                             "_dist": d, "_y": r["_y"].to_numpy(dtype="float64")[cols]})
+        qid = q["_qid"].to_numpy(dtype="int64")
+        r0 = r["_r0"].to_numpy(dtype="int64")
+        r1 = r["_r1"].to_numpy(dtype="int64")
+        ry = r["_y"].to_numpy(dtype="float64")
+        parts = []
+        for lo in range(0, len(Q), QUERY_CHUNK):
+            Qc = Q[lo:lo + QUERY_CHUNK]
+            qn = np.einsum("ij,ij->i", Qc, Qc)
+            # 1) candidates from the BLAS expansion |q|^2 + |r|^2 - 2 q.r, with a margin
+            #    covering its rounding error, so every true top-k row is kept
+            approx = qn[:, None] + rn[None, :] - 2.0 * (Qc @ R.T)
+            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+            margin = 1e-9 * (qn + rn.max() + 1.0)
+            rows, cols = np.nonzero(approx <= (kth + 2 * margin)[:, None])
+            # 2) exact distances of the candidates, summed feature by feature in a fixed order
+            d = np.zeros(len(rows))
+            for j in range(Q.shape[1]):
+                diff = Qc[rows, j] - R[cols, j]
+                d += diff * diff
+            parts.append(pd.DataFrame({"_qid": qid[lo + rows], "_r0": r0[cols], "_r1": r1[cols], "_dist": d,
+                                       "_y": ry[cols]}))
+        return pd.concat(parts, ignore_index=True)
     return run
 
 
 def knn_neighbours(queries: DataFrame, reference: DataFrame, features: Sequence[str], k: int, query_id: str,
-                   ref_ids: Sequence[str], label: str, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   ref_ids: Sequence[str], label: str, block_rows: int = DEFAULT_BLOCK_ROWS,
+                   ref_block_rows: int | None = None) -> DataFrame:
     """(query_id, neighbour rank 1..k, dist, label) of the k nearest reference rows."""
     feats = list(features)
     nq = queries.count()
     nr = reference.count()
     qb = max(1, math.ceil(nq / block_rows))
-    tb = max(1, math.ceil(nr / block_rows))
+    tb = max(1, math.ceil(nr / (ref_block_rows or max(block_rows, REF_BLOCK_ROWS))))
     r1 = F.coalesce(F.col(ref_ids[1]).cast("bigint"), F.lit(-1)) if len(ref_ids) > 1 else F.lit(0).cast("bigint")
     q = queries.select(F.col(query_id).cast("bigint").alias("_qid"), *[F.col(c).cast("double").alias(c) for c in feats]) \
         .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb))) \

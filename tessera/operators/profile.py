@@ -11,6 +11,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (as ``percentile`` / ``quantile_cont``)
+    per group, without gathering a group's values in one task.
+
+    The values are numbered in (group, value) order by the range-partitioned global row
+    number; subtracting the rows of earlier groups gives the rank inside the group.  Only
+    the rows at the interpolation positions floor/ceil(p (n - 1)) are kept (at most two
+    per probability and group) and aggregated.  One row per group is returned with one
+    column per probability."""
+    from .windows import global_row_number
+    g = list(by)
+    names = list(names or [f"q{i}" for i in range(len(probs))])
+    base = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ranked = global_row_number(base, [*[F.col(c).asc_nulls_first() for c in g], F.col("_v")], name="_grn")
+    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    if g:
+        prior = Window.orderBy(*[F.col(c).asc_nulls_first() for c in g]).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0)))  # one row per group
+        cond = [ranked[c].eqNullSafe(sizes[c]) for c in g]
+        r = ranked.join(F.broadcast(sizes), cond).select(*[ranked[c] for c in g], "_v", "_grn", "_n", "_off")
+    else:  # a single group: its size is one row, joined on a constant key
+        one = sizes.withColumn("_k", F.lit(1)).withColumn("_off", F.lit(0))
+        r = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k")
+    r = r.withColumn("_r", F.col("_grn") - F.col("_off") - 1)  # 0-based rank inside the group
+    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    keep = None
+    for p_ in pos:
+        hit = (F.col("_r") == F.floor(p_)) | (F.col("_r") == F.ceil(p_))
+        keep = hit if keep is None else keep | hit
+    few = r.where(keep)
+    aggs = []
+    for i, p_ in enumerate(pos):
+        lo, hi = F.floor(p_), F.ceil(p_)
+        vlo = F.max(F.when(F.col("_r") == lo, F.col("_v")))
+        vhi = F.max(F.when(F.col("_r") == hi, F.col("_v")))
+        # same interpolation as Spark's percentile: (hi - pos) * v_lo + (pos - lo) * v_hi
+        aggs += [vlo.alias(f"_lo{i}"), vhi.alias(f"_hi{i}"), F.first(p_).alias(f"_p{i}")]
+    out = few.groupBy(*g).agg(*aggs)
+    res = []
+    for i, nm in enumerate(names):
+        p_, lo, hi = F.col(f"_p{i}"), F.floor(F.col(f"_p{i}")), F.ceil(F.col(f"_p{i}"))
+        res.append(F.when(lo == hi, F.col(f"_lo{i}"))
+                   .otherwise((hi - p_) * F.col(f"_lo{i}") + (p_ - lo) * F.col(f"_hi{i}")).alias(nm))
+    return out.select(*g, *res)
+
+
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One pass: NULL (and NaN) count per column, returned long: column_name, null_count."""
     cols = list(columns or df.columns)
@@ -77,8 +124,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = ()
 
 def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], scale: int = 6) -> DataFrame:
     """Quartiles (linear interpolation), 1.5 IQR whiskers and outlier count per group."""
-    q = df.groupBy(*by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.5).alias("median"),
-                            F.percentile(value, 0.75).alias("q3"))
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
         .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = df.select(*by, value).join(q, list(by))
@@ -95,37 +141,53 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], scale: int = 6)
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:
     """Pearson correlations of every column pair from one aggregate pass, long form
-    (var1, var2, value) – the melted matrix."""
+    (var1, var2, value) – the melted matrix.
+
+    Three small steps keep the plan compact: one flat aggregate (sample covariance per
+    pair, sample sd per column), a projection that divides named columns, and an
+    unpivot.  A constant column has no correlation: NULL (R's NA; ANSI ``corr`` would
+    fail with a division by zero)."""
     cols = list(columns)
+    idx = {c: i for i, c in enumerate(cols)}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    # covariance over the product of standard deviations; NULL (R: NA) when a column is
-    # constant, where ANSI ``corr`` would fail with a division by zero
-    sd = {c: F.stddev_samp(c) for c in cols}
-    wide = df.agg(*[F.when((sd[a] > 0) & (sd[b] > 0), F.covar_samp(a, b) / (sd[a] * sd[b])).alias(f"{a}__{b}")
-                    for a, b in pairs])
-    structs = []
+    wide = df.agg(*[F.stddev_samp(c).alias(f"s{idx[c]}") for c in cols],
+                  *[F.covar_samp(a, b).alias(f"c{idx[a]}_{idx[b]}") for a, b in pairs if a != b])
+    vals = {}
     for a, b in pairs:
-        v = F.round(F.col(f"{a}__{b}"), scale)
-        structs.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), v.alias("value")))
+        i, j = idx[a], idx[b]
+        si, sj = F.col(f"s{i}"), F.col(f"s{j}")
+        cov = F.col(f"c{i}_{j}") if a != b else si * si
+        v = F.round(F.when((si > 0) & (sj > 0), cov / (si * sj)), scale)
+        vals[f"{a}|{b}"] = v
         if a != b:
-            structs.append(F.struct(F.lit(b).alias("var1"), F.lit(a).alias("var2"), v.alias("value")))
-    return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+            vals[f"{b}|{a}"] = v
+    corr = wide.select(*[v.alias(k) for k, v in vals.items()])
+    long = corr.unpivot([], list(vals), "pair", "value")
+    return long.select(F.split("pair", r"\|").getItem(0).alias("var1"), F.split("pair", r"\|").getItem(1).alias("var2"),
+                       "value")
 
 
 def describe(df: DataFrame, columns: Sequence[str], scale: int = 6) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per column."""
-    stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+    """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per column.
+    Moments come from one aggregate; quantiles from one ranking of the long
+    (column, value) table, so no column's values are gathered in one task."""
+    stats = ["count", "mean", "std", "min", "max"]
     aggs = []
     for c in columns:
-        aggs += [F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"),
-                 F.percentile(c, 0.25), F.percentile(c, 0.5), F.percentile(c, 0.75), F.max(c).cast("double")]
+        aggs += [F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), F.max(c).cast("double")]
     row = df.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)])
     structs = []
     for j, c in enumerate(columns):
-        for k, s in enumerate(stats):
-            structs.append(F.struct(F.lit(c).alias("column_name"), F.lit(s).alias("stat"),
+        for k, st in enumerate(stats):
+            structs.append(F.struct(F.lit(c).alias("column_name"), F.lit(st).alias("stat"),
                                     F.round(F.col(f"_{j * len(stats) + k}"), scale).alias("value")))
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    moments = row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]) \
+        .unpivot([], list(columns), "column_name", "value")
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column_name"], ["25%", "50%", "75%"])
+    qlong = q.unpivot(["column_name"], ["25%", "50%", "75%"], "stat", "value") \
+        .select("column_name", "stat", F.round("value", scale).alias("value"))
+    return moments.unionByName(qlong)
 
 
 def binned_scatter(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> DataFrame:
@@ -135,7 +197,8 @@ def binned_scatter(df: DataFrame, x: str, y: str, x_width: float, y_width: float
 
 
 def order_by_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    m = df.groupBy(key).agg(F.percentile(value, 0.5).alias("median"))
+    m = exact_quantiles(df, value, [0.5], [key], ["median"])
+    # one row per category: a bounded table ranked in one task
     return m.withColumn("median_rank", F.row_number().over(Window.orderBy("median", key)).cast("bigint"))
 
 

@@ -78,8 +78,10 @@ def split_stratified(df: DataFrame, keys: Sequence[str], label: str, test_fracti
 def quantile_group(df: DataFrame, y: str, groups: int = 5, name: str = "qgroup") -> DataFrame:
     """Interval of ``y`` between its distinct quantile breaks (0, 1/(g-1), …, 1), lowest
     break included in the first interval.  One aggregate for the breaks (g numbers)."""
+    from .profile import exact_quantiles
     probs = [i / (groups - 1) for i in range(groups)]
-    breaks = df.agg(F.array_distinct(F.percentile(y, probs)).alias("b")).first()["b"] or []
+    row = exact_quantiles(df, y, probs).first()
+    breaks = sorted(set(float(v) for v in row)) if row is not None else []
     arr = F.array(*[F.lit(float(b)) for b in breaks])
     return df.withColumn(name, F.greatest(F.lit(1), F.size(F.filter(arr, lambda b: b < F.col(y))))
                          .cast("bigint"))
@@ -102,21 +104,36 @@ def kfold(df: DataFrame, keys: Sequence[str], k: int, seed: int = 42, strata: Se
 def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Random over-sampling with replacement until every class has the majority count.
 
-    Extra row j (0-based) of a class with n rows and deficit d copies the class row whose
-    in-class rank is 1 + md5(seed|label|j) mod n.  The copies are produced by an equi-join
-    on (class, rank) – no per-class collection, no cross join."""
+    Extra row j (0-based) of a class with n rows copies the class row whose in-class rank
+    is 1 + md5(seed|label|j) mod n.  The extra indices come from a distributed
+    ``spark.range`` over all deficits (mapped to (class, j) with the per-class offsets –
+    one row per class), and the copies are an equi-join on (class, rank): no class is
+    generated or gathered in one task, and there is no cross join."""
     ranked = hash_rank(df, seed, keys, [label], name="_rk", size_name="_n")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    target = counts.agg(F.max("_n")).first()[0]
-    extra = counts.where(F.col("_n") < target).select(
-        label, "_n", F.explode(F.sequence(F.lit(0), F.lit(target) - F.col("_n") - 1)).alias("_j"))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).collect()  # one row per class
+    target = max((r["_n"] for r in counts), default=0)
+    deficits = sorted(((r[label], r["_n"], target - r["_n"]) for r in counts if r["_n"] < target),
+                      key=lambda t: (t[0] is None, t[0]))
+    originals = ranked.drop("_rk", "_n").withColumn("copy_index", F.lit(None).cast("int"))
+    if not deficits:
+        return originals
+    spark = df.sparkSession
+    total = sum(d for _, _, d in deficits)
+    label_type = df.schema[label].dataType
+    cls, size, start, acc = None, None, None, 0
+    for value, n, d in deficits:
+        hit = F.col("id") < acc + d
+        cls = (F.when(hit, F.lit(value).cast(label_type)) if cls is None else cls.when(hit, F.lit(value).cast(label_type)))
+        size = F.when(hit, F.lit(n)) if size is None else size.when(hit, F.lit(n))
+        start = F.when(hit, F.lit(acc)) if start is None else start.when(hit, F.lit(acc))
+        acc += d
+    extra = spark.range(total).select(cls.alias(label), size.alias("_cn"), (F.col("id") - start).alias("_j"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(label).cast("string"),
                                                 F.col("_j").cast("string"))), 1, 15), 16, 10).cast("decimal(20,0)")
-    extra = extra.withColumn("_rk", (F.pmod(pick, F.col("_n")) + 1).cast("bigint")).select(label, "_rk", "_j")
-    copies = ranked.join(extra, [label, "_rk"]).drop("_rk", "_n")
-    originals = ranked.drop("_rk", "_n").withColumn("_j", F.lit(None).cast("int"))
-    return originals.unionByName(copies.withColumn("_j", F.col("_j").cast("int"))) \
-        .withColumnRenamed("_j", "copy_index")
+    extra = extra.withColumn("_rk", (F.pmod(pick, F.col("_cn")) + 1).cast("bigint")).select(label, "_rk", "_j")
+    copies = ranked.join(extra, [label, "_rk"]).drop("_rk", "_n") \
+        .withColumn("copy_index", F.col("_j").cast("int")).drop("_j")
+    return originals.unionByName(copies)
 
 
 def sample_values(df: DataFrame, column: str, k: int, seed: int = 42) -> DataFrame:

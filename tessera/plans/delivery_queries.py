@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import guarded_ratio
 from ..operators import cleaning as C
 from ..operators import profile as P
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 from .deliveries import COORDS, deliveries, deliveries_raw, typed_deliveries
 from .oracle import fx, with_ctes
 from .registry import register
@@ -141,7 +141,7 @@ SELECT delivery_person_id, row_id, delivery_person_age
 FROM (SELECT *, row_number() OVER (PARTITION BY delivery_person_id ORDER BY row_id) AS rn FROM clean) t WHERE rn = 1"""))
 def q_first_per_key(spark, sf_dir):
     d = deliveries(spark, sf_dir)
-    return C.first_per_key(d, ["delivery_person_id"], [F.col("row_id")]) \
+    return C.first_per_key(d, ["delivery_person_id"], ["row_id"]) \
         .select("delivery_person_id", "row_id", "delivery_person_age")
 
 
@@ -216,21 +216,21 @@ def q_null_profile(spark, sf_dir):
 
 @register("location_popularity", dsql("""
 SELECT restaurant_latitude, restaurant_longitude, order_count, mean_delivery_time,
-       CAST(rank_most AS BIGINT) AS rank_most, CAST(rank_least AS BIGINT) AS rank_least
+       order_count = MAX(order_count) OVER () AS is_most, order_count = MIN(order_count) OVER () AS is_least
 FROM (SELECT restaurant_latitude, restaurant_longitude, CAST(COUNT(*) AS BIGINT) AS order_count,
-             round(AVG(delivery_time_min), 6) AS mean_delivery_time,
-             RANK() OVER (ORDER BY COUNT(*) DESC) AS rank_most, RANK() OVER (ORDER BY COUNT(*)) AS rank_least
+             round(AVG(delivery_time_min), 6) AS mean_delivery_time
       FROM clean GROUP BY restaurant_latitude, restaurant_longitude) t
-WHERE rank_most = 1 OR rank_least = 1"""))
+QUALIFY is_most OR is_least"""))
 def q_location_popularity(spark, sf_dir):
-    from pyspark.sql import Window
+    """Most and least popular restaurant locations (all ties) with their mean time; the
+    extremes are two scalars, then a filter – no ranking of every location in one task."""
     g = deliveries(spark, sf_dir).groupBy("restaurant_latitude", "restaurant_longitude").agg(
         F.count(F.lit(1)).cast("bigint").alias("order_count"),
         F.round(F.avg("delivery_time_min"), 6).alias("mean_delivery_time"))
-    # one row per location: a bounded table, ranked in one task
-    g = g.withColumn("rank_most", F.rank().over(Window.orderBy(F.col("order_count").desc())).cast("bigint")) \
-        .withColumn("rank_least", F.rank().over(Window.orderBy("order_count")).cast("bigint"))
-    return g.where((F.col("rank_most") == 1) | (F.col("rank_least") == 1))
+    g = materialize(g, "locations")
+    hi, lo = g.agg(F.max("order_count"), F.min("order_count")).first()
+    return g.select("*", (F.col("order_count") == hi).alias("is_most"), (F.col("order_count") == lo).alias("is_least")) \
+        .where(F.col("is_most") | F.col("is_least"))
 
 
 @register("histogram", dsql("""

@@ -31,11 +31,8 @@ def minmax_params(train: DataFrame, cols) -> dict[str, tuple[float, float]]:
 
 
 def apply_minmax(df: DataFrame, params: dict) -> DataFrame:
-    out = df
-    for c, (mn, mx) in params.items():
-        rng = (mx - mn) if mx != mn else 1.0
-        out = out.withColumn(c, (F.col(c) - F.lit(mn)) / F.lit(rng))
-    return out
+    return df.withColumns({c: (F.col(c) - F.lit(mn)) / F.lit((mx - mn) if mx != mn else 1.0)
+                           for c, (mn, mx) in params.items()})
 
 
 def standard_params(train: DataFrame, cols) -> dict[str, tuple[float, float]]:
@@ -45,10 +42,7 @@ def standard_params(train: DataFrame, cols) -> dict[str, tuple[float, float]]:
 
 
 def apply_standard(df: DataFrame, params: dict) -> DataFrame:
-    out = df
-    for c, (mu, sd) in params.items():
-        out = out.withColumn(c, (F.col(c) - F.lit(mu)) / F.lit(sd if sd else 1.0))
-    return out
+    return df.withColumns({c: (F.col(c) - F.lit(mu)) / F.lit(sd if sd else 1.0) for c, (mu, sd) in params.items()})
 
 
 def wine_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,7 +144,8 @@ def test_knn_equals_bruteforce(spark):
                                 "rid long, a double, b double, c double, y double")
     qdf = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(qry)],
                                 "qid long, a double, b double, c double")
-    nb = K.knn_neighbours(qdf, rdf, ["a", "b", "c"], 7, "qid", ["rid"], "y", block_rows=64).collect()
+    nb = K.knn_neighbours(qdf, rdf, ["a", "b", "c"], 7, "qid", ["rid"], "y", block_rows=16,
+                          ref_block_rows=64).collect()
     got = {}
     for r in nb:
         got.setdefault(r["qid"], []).append((r["rank"], r["ref_id"]))
