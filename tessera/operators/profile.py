@@ -25,16 +25,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     g = list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     base = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = global_row_number(base, [*[F.col(c).asc_nulls_first() for c in g], F.col("_v")], name="_grn")
-    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    order = [*[F.col(c).asc_nulls_first() for c in g], F.col("_v")]
     if g:
+        ranked = global_row_number(base, order, name="_grn")
+        sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
         prior = Window.orderBy(*[F.col(c).asc_nulls_first() for c in g]).rowsBetween(Window.unboundedPreceding, -1)
         sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0)))  # one row per group
         cond = [ranked[c].eqNullSafe(sizes[c]) for c in g]
         r = ranked.join(F.broadcast(sizes), cond).select(*[ranked[c] for c in g], "_v", "_grn", "_n", "_off")
-    else:  # a single group: its size is one row, joined on a constant key
-        one = sizes.withColumn("_k", F.lit(1)).withColumn("_off", F.lit(0))
-        r = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k")
+    else:  # one group: the row count comes with the numbering
+        r = global_row_number(base, order, name="_grn", with_total="_n").withColumn("_off", F.lit(0))
     r = r.withColumn("_r", F.col("_grn") - F.col("_off") - 1)  # 0-based rank inside the group
     pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
     keep = None

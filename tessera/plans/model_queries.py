@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import knn as K
@@ -311,10 +312,11 @@ def _wine_scaled(spark, sf_dir):
 
 
 def _classification_row(name, pred):
-    acc = M.accuracy(pred, "quality", "prediction").select(_r("accuracy"))
-    auc = M.roc_auc(pred, "quality", "probability").select(_r("auc"))
-    return acc.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), "_k") \
-        .select(F.lit(name).alias("model"), "accuracy", "auc")
+    """(model, metric, value) rows: test accuracy and ROC AUC."""
+    acc = M.accuracy(pred, "quality", "prediction").select(F.lit("accuracy").alias("metric"),
+                                                           F.round("accuracy", 6).alias("value"))
+    auc = M.roc_auc(pred, "quality", "probability").select(F.lit("auc").alias("metric"), F.round("auc", 6).alias("value"))
+    return acc.unionByName(auc).select(F.lit(name).alias("model"), "metric", "value")
 
 
 @register("logreg")
@@ -379,9 +381,9 @@ def q_nested_cv(spark, sf_dir, outer: int = 5, inner: int = 3):
     for r in rows[1:]:
         per = per.unionByName(r)
     per = materialize(per, "nested-cv")
-    summary = per.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("sd_accuracy"))
-    return per.withColumn("_k", F.lit(1)).join(summary.withColumn("_k", F.lit(1)), "_k").drop("_k") \
-        .select("fold", _r("accuracy"), _r("mean_accuracy"), _r("sd_accuracy"))
+    every = Window.partitionBy()  # one row per outer fold
+    return per.select("fold", _r("accuracy"), F.round(F.avg("accuracy").over(every), 6).alias("mean_accuracy"),
+                      F.round(F.stddev_pop("accuracy").over(every), 6).alias("sd_accuracy"))
 
 
 @register("model_leaderboard")

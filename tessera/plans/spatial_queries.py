@@ -239,13 +239,15 @@ def q_convex_hull(spark, sf_dir):
 @register("clip_by_hull")
 def q_clip_by_hull(spark, sf_dir):
     """Area (km^2, 2 places) of the clip province intersected with the strong-quake hull."""
-    hull = S.hull_ring(S.convex_hull(strong_quakes(spark, sf_dir), "x_md", "y_md"))
+    # the hull is a bounded set of vertices: it enters the plan as a literal ring
+    verts = S.convex_hull(strong_quakes(spark, sf_dir), "x_md", "y_md").orderBy("vertex_index").collect()
+    ring = [(v["x"], v["y"]) for v in verts] + [(verts[0]["x"], verts[0]["y"])] if verts else []
+    hull = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring]) \
+        if ring else F.array().cast(S.RING_TYPE)
     prov = provinces(spark, sf_dir).where(F.col("name") == CLIP_PROVINCE) \
         .select("name", F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"),
                                                                p["y"].cast("double").alias("y"))).alias("ring"))
-    # one province row meets the one hull row
-    clipped = prov.withColumn("_k", F.lit(1)).join(hull.withColumn("_k", F.lit(1)), "_k", "left") \
-        .select("name", S.clip_by_convex("ring", "hull").alias("clip"))
+    clipped = prov.select("name", S.clip_by_convex("ring", hull).alias("clip"))
     area = F.when(F.size("clip") > 3, G.ring_area_km2("clip")).otherwise(F.lit(0.0))
     return clipped.select("name", F.round(area, 2).alias("area_interseccion_km2"), F.size("clip").alias("vertices"))
 

@@ -289,10 +289,12 @@ def q_load_reconcile(spark, sf_dir):
     star = _star(spark, sf_dir)
 
     def one(name, src, tgt, key):
-        s = src.agg(F.count(F.lit(1)).cast("bigint").alias("source_rows"))
-        t = tgt.agg(F.count(F.lit(1)).cast("bigint").alias("target_rows"), F.min(key).cast("bigint").alias("min_key"))
-        # two one-row aggregates side by side
-        return s.withColumn("_k", F.lit(1)).join(t.withColumn("_k", F.lit(1)), "_k") \
+        # both counts in one aggregate over the union of the two sides
+        both = src.select(F.lit("s").alias("side"), F.lit(None).cast("bigint").alias("k")) \
+            .unionByName(tgt.select(F.lit("t").alias("side"), F.col(key).cast("bigint").alias("k")))
+        return both.agg(F.sum((F.col("side") == "s").cast("bigint")).alias("source_rows"),
+                        F.sum((F.col("side") == "t").cast("bigint")).alias("target_rows"),
+                        F.min("k").alias("min_key")) \
             .select(F.lit(name).alias("table_name"), "source_rows", "target_rows", "min_key")
 
     return one("dim_car", fixture(spark, sf_dir, "cars"), star.dim_car, "car_dim_id").unionByName(
