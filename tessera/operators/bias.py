@@ -21,12 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import small_side
 
 # The lambda grid 0, 0.25, …, 10 (41 points).
 LAMBDA_GRID = [i * 0.25 for i in range(41)]
-# Keys with a bounded number of values (genres, days, years) are broadcast after a size check.
-BOUNDED_ROWS = 200_000
 
 
 def _lam_tag(i: int) -> str:
@@ -45,8 +42,10 @@ class BiasModel:
 
 
 def _join_coef(df: DataFrame, table: DataFrame, factor: str) -> DataFrame:
-    t = small_side(table, BOUNDED_ROWS)
-    return df.join(t, df[factor].eqNullSafe(t[f"_k_{factor}"]), "left").drop(f"_k_{factor}")
+    """Left join of a coefficient table (written parquet).  The planner sizes it from its
+    files: below ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast, above it the
+    join shuffles – a size check without an extra job."""
+    return df.join(table, df[factor].eqNullSafe(table[f"_k_{factor}"]), "left").drop(f"_k_{factor}")
 
 
 def fit(train: DataFrame, label: str, factors: Sequence[str], lambdas: Sequence[float] = (0.0,)) -> BiasModel:

@@ -300,14 +300,27 @@ def q_bias_lambda_grid(spark, sf_dir):
     return lambda_curve(spark, sf_dir).select("lambda", F.round("rmse", R6).alias("rmse"))
 
 
-@register("bias_final")
+def _final_sql():
+    grid = bias_ctes("train", grid_lams(), FACTORS, "g_")
+    curve = ("curve", "SELECT lam, sqrt(AVG((rating - pred) * (rating - pred))) AS rmse FROM ("
+             + predict_sql("test", FACTORS, "g_") + ") p GROUP BY lam")
+    best = ("best", "SELECT lam FROM curve ORDER BY rmse, lam LIMIT 1")
+    final = bias_ctes("edx", "SELECT lam FROM best", FACTORS, "f_")
+    body = ("SELECT lam AS lambda, round(sqrt(AVG((rating - pred) * (rating - pred))), 6) AS rmse, "
+            "CAST(SUM(CASE WHEN pred IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_predictions, "
+            "CAST(COUNT(*) AS BIGINT) AS n FROM (" + predict_sql("final_holdout", FACTORS, "f_") + ") p GROUP BY lam")
+    return rsql(body, grid + [curve, best] + final)
+
+
+@register("bias_final", _final_sql())
 def q_bias_final(spark, sf_dir):
     """Best lambda on the inner split, refit on the whole working set, score the hold-out."""
     s = _sets(spark, sf_dir)
     lam = B.best_lambda(lambda_curve(spark, sf_dir))
     final = B.fit(s.edx, "rating", FACTORS, [lam])
     r = rmse(B.predict(final, s.holdout), "rating", "pred_l0")
-    return r.select(F.lit(lam).alias("lambda"), F.round("rmse", R6).alias("rmse"), "null_predictions", "n")
+    return r.select(F.lit(lam).alias("lambda"), F.round("rmse", R6).alias("rmse"),
+                    F.col("null_predictions").cast("bigint"), F.col("n").cast("bigint"))
 
 
 _ = Window

@@ -230,9 +230,47 @@ def strong_quakes(spark, sf_dir, threshold: float = 6.0):
     return quakes(spark, sf_dir).where(F.col("magnitude") >= threshold)
 
 
-@register("convex_hull")
+def _cross(ax, ay, bx, by, px, py):
+    return f"(({bx}) - ({ax})) * (({py}) - ({ay})) - (({by}) - ({ay})) * (({px}) - ({ax}))"
+
+
+HULL_CTES = [
+    ("hp", "SELECT DISTINCT CAST(x_md AS DOUBLE) AS x, CAST(y_md AS DOUBLE) AS y FROM quakes WHERE magnitude >= 6"),
+    # extreme points in eight directions, in counter-clockwise order of their outward normals
+    ("ext", """
+SELECT 1 AS i, arg_max(x, x) AS x, arg_max(y, x) AS y FROM hp UNION ALL
+SELECT 2, arg_max(x, x + y), arg_max(y, x + y) FROM hp UNION ALL
+SELECT 3, arg_max(x, y), arg_max(y, y) FROM hp UNION ALL
+SELECT 4, arg_max(x, y - x), arg_max(y, y - x) FROM hp UNION ALL
+SELECT 5, arg_min(x, x), arg_min(y, x) FROM hp UNION ALL
+SELECT 6, arg_min(x, x + y), arg_min(y, x + y) FROM hp UNION ALL
+SELECT 7, arg_min(x, y), arg_min(y, y) FROM hp UNION ALL
+SELECT 8, arg_max(x, x - y), arg_max(y, x - y) FROM hp"""),
+    ("oct", """
+SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM ext a JOIN ext b ON b.i = a.i % 8 + 1
+WHERE NOT (a.x = b.x AND a.y = b.y)"""),
+    # points strictly inside the octagon cannot be hull vertices
+    ("surv", f"""
+SELECT p.x, p.y FROM hp p
+WHERE NOT (SELECT bool_and({_cross('o.ax', 'o.ay', 'o.bx', 'o.by_', 'p.x', 'p.y')} > 0) FROM oct o)"""),
+    ("hedge", f"""
+SELECT a.x, a.y FROM surv a JOIN surv b ON NOT (a.x = b.x AND a.y = b.y)
+WHERE NOT EXISTS (SELECT 1 FROM surv p WHERE {_cross('a.x', 'a.y', 'b.x', 'b.y', 'p.x', 'p.y')} < 0)
+  AND NOT EXISTS (SELECT 1 FROM surv p WHERE {_cross('a.x', 'a.y', 'b.x', 'b.y', 'p.x', 'p.y')} = 0
+                  AND ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y) < 0
+                       OR (p.x - b.x) * (a.x - b.x) + (p.y - b.y) * (a.y - b.y) < 0))"""),
+    ("hv", "SELECT DISTINCT x, y FROM hedge"),
+    ("p0", "SELECT x AS x0, y AS y0 FROM hv ORDER BY x, y LIMIT 1"),
+]
+
+
+@register("convex_hull", ssql("""
+SELECT CAST(row_number() OVER (ORDER BY CASE WHEN x = x0 AND y = y0 THEN -10.0 ELSE atan2(y - y0, x - x0) END) - 1
+            AS BIGINT) AS vertex_index, x, y
+FROM hv, p0""", HULL_CTES))
 def q_convex_hull(spark, sf_dir):
-    """Hull of the earthquakes with magnitude >= 6 (checked against brute force in tests)."""
+    """Hull of the earthquakes with magnitude >= 6, counter-clockwise from the leftmost
+    (then lowest) vertex."""
     return S.convex_hull(strong_quakes(spark, sf_dir), "x_md", "y_md")
 
 
