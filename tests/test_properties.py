@@ -205,3 +205,37 @@ def test_results_stable_across_shuffle_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     b = q(spark, SF_SMALL)
     assert ra == canonical(b.columns, [tuple(r) for r in b.collect()])
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from tessera.operators.profile import exact_quantiles
+    rng = np.random.default_rng(11)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, 2000), rng.normal(size=2000).round(2))]
+    rows += [(None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    ours = {r["g"]: (r["a"], r["b"], r["c"]) for r in
+            exact_quantiles(df, "v", [0.25, 0.5, 0.9], ["g"], ["a", "b", "c"]).collect()}
+    ref = {r["g"]: tuple(r["p"]) for r in df.groupBy("g").agg(F.percentile("v", [0.25, 0.5, 0.9]).alias("p")).collect()}
+    assert ours.keys() == ref.keys()
+    for g in ours:
+        for x, y in zip(ours[g], ref[g]):
+            assert abs(x - y) < 1e-12
+    whole = exact_quantiles(df, "v", [0.5], names=["m"]).first()["m"]
+    assert abs(whole - df.agg(F.percentile("v", 0.5)).first()[0]) < 1e-12
+
+
+def test_first_per_key_with_a_hot_key(spark):
+    from tessera.operators.cleaning import first_per_key
+    df = spark.range(3000).select((F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 7 + 1)).alias("k"),
+                                  F.col("id").alias("row_id"), (F.col("id") * 3).alias("v"))
+    got = {r["k"]: (r["row_id"], r["v"]) for r in first_per_key(df, ["k"], ["row_id"]).collect()}
+    ref = {r["k"]: (r["m"], r["m"] * 3) for r in df.groupBy("k").agg(F.min("row_id").alias("m")).collect()}
+    assert got == ref
+
+
+def test_oversample_copies_come_from_their_class(spark):
+    df = spark.range(40).select(F.col("id").alias("k"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    out = oversample(df, "y", ["k"], 7)
+    copies = out.where(F.col("copy_index").isNotNull())
+    assert copies.where("y = 1 AND k % 5 <> 0").count() == 0
+    assert sorted(r["copy_index"] for r in copies.collect()) == list(range(32 - 8))
