@@ -274,7 +274,58 @@ def q_convex_hull(spark, sf_dir):
     return S.convex_hull(strong_quakes(spark, sf_dir), "x_md", "y_md")
 
 
-@register("clip_by_hull")
+def _clip_sql() -> str:
+    a = "h[i + 1]"
+    b = "h[CASE WHEN i + 1 = len(h) THEN 1 ELSE i + 2 END]"
+    cur = "l[j + 1]"
+    prev = "l[CASE WHEN j = 0 THEN len(l) ELSE j END]"
+
+    def side(p):
+        return f"(({b}.x - {a}.x) * ({p}.y - {a}.y) - ({b}.y - {a}.y) * ({p}.x - {a}.x))"
+
+    sc, sp = side(cur), side(prev)
+    t = f"({sp} / ({sp} - {sc}))"
+    inter = (f"{{'x': {prev}.x + {t} * ({cur}.x - {prev}.x), 'y': {prev}.y + {t} * ({cur}.y - {prev}.y)}}")
+    step = (f"flatten(list_transform(range(0, len(l)), lambda j: CASE WHEN {sc} >= 0 THEN "
+            f"(CASE WHEN {sp} < 0 THEN [{inter}, {cur}] ELSE [{cur}] END) "
+            f"WHEN {sp} >= 0 THEN [{inter}] ELSE [] END))")
+    return step
+
+
+def _area_sql(ring: str) -> str:
+    def proj(p):
+        lat = f"radians({p}.y / 1000.0)"
+        return f"(radians({p}.x / 1000.0) * cos({lat}) * 6371.0088)", f"({lat} * 6371.0088)"
+
+    ax, ay = proj(f"{ring}[k]")
+    bx, by = proj(f"{ring}[k + 1]")
+    terms = f"list_transform(range(1, len({ring})), lambda k: {ax} * {by} - {bx} * {ay})"
+    return f"abs(list_reduce({terms}, lambda acc, v: acc + v) / 2.0)"
+
+
+CLIP_CTES = HULL_CTES + [
+    ("hull_idx", """
+SELECT row_number() OVER (ORDER BY CASE WHEN x = x0 AND y = y0 THEN -10.0 ELSE atan2(y - y0, x - x0) END) AS vi, x, y
+FROM hv, p0"""),
+    ("hl", "SELECT list({'x': x, 'y': y} ORDER BY vi) AS h FROM hull_idx"),
+    ("sj", f"""
+SELECT name, list_transform(ring[1:len(ring) - 1], lambda p: {{'x': CAST(p.x AS DOUBLE), 'y': CAST(p.y AS DOUBLE)}}) AS s
+FROM prov WHERE name = '{CLIP_PROVINCE}'"""),
+    ("clipped", f"""
+SELECT name, l FROM (
+  WITH RECURSIVE steps(name, i, l) AS (
+    SELECT name, 0, s FROM sj
+    UNION ALL
+    SELECT name, i + 1, {_clip_sql()} FROM steps, hl WHERE i < len(h) AND len(l) > 0)
+  SELECT name, i, l FROM steps) t
+QUALIFY row_number() OVER (PARTITION BY name ORDER BY i DESC) = 1"""),
+    ("closed", "SELECT name, CASE WHEN len(l) > 0 THEN list_append(l, l[1]) ELSE [] END AS c FROM clipped"),
+]
+
+
+@register("clip_by_hull", ssql(f"""
+SELECT name, round(CASE WHEN len(c) > 3 THEN {_area_sql('c')} ELSE 0.0 END, 2) AS area_interseccion_km2,
+       CAST(len(c) AS INTEGER) AS vertices FROM closed""", CLIP_CTES))
 def q_clip_by_hull(spark, sf_dir):
     """Area (km^2, 2 places) of the clip province intersected with the strong-quake hull."""
     # the hull is a bounded set of vertices: it enters the plan as a literal ring
