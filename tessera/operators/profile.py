@@ -11,20 +11,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Distinct (group, value) pairs up to which quantiles are read off a value histogram.
+HISTOGRAM_QUANTILE_ROWS = 200_000
+
+
+def _interpolate(out: DataFrame, g: list, names: list, n_probs: int) -> DataFrame:
+    res = []
+    for i, nm in enumerate(names):
+        p_, lo, hi = F.col(f"_p{i}"), F.floor(F.col(f"_p{i}")), F.ceil(F.col(f"_p{i}"))
+        # same interpolation as Spark's percentile: (hi - pos) * v_lo + (pos - lo) * v_hi
+        res.append(F.when(lo == hi, F.col(f"_lo{i}"))
+                   .otherwise((hi - p_) * F.col(f"_lo{i}") + (p_ - lo) * F.col(f"_hi{i}")).alias(nm))
+    return out.select(*g, *res)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (as ``percentile`` / ``quantile_cont``)
     per group, without gathering a group's values in one task.
 
-    The values are numbered in (group, value) order by the range-partitioned global row
-    number; subtracting the rows of earlier groups gives the rank inside the group.  Only
-    the rows at the interpolation positions floor/ceil(p (n - 1)) are kept (at most two
-    per probability and group) and aggregated.  One row per group is returned with one
-    column per probability."""
+    Counting path: when the (group, value) histogram is small (checked by reading at most
+    ``HISTOGRAM_QUANTILE_ROWS + 1`` of its rows), the ranks covered by each value follow
+    from cumulative counts over that small table.  Ranking path otherwise: the values are
+    numbered in (group, value) order by the range-partitioned global row number and only
+    the rows at the interpolation positions floor/ceil(p (n - 1)) are aggregated.  One
+    row per group is returned with one column per probability."""
     from .windows import global_row_number
     g = list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     base = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    hist = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if hist.limit(HISTOGRAM_QUANTILE_ROWS + 1).count() <= HISTOGRAM_QUANTILE_ROWS:
+        w = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        h = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*g)))
+        aggs = []
+        for i, p in enumerate(probs):
+            pos = F.lit(float(p)) * (F.col("_n") - 1)
+            covers = lambda r: (F.col("_cum") - F.col("_c") <= r) & (r < F.col("_cum"))
+            aggs += [F.max(F.when(covers(F.floor(pos)), F.col("_v"))).alias(f"_lo{i}"),
+                     F.max(F.when(covers(F.ceil(pos)), F.col("_v"))).alias(f"_hi{i}"), F.first(pos).alias(f"_p{i}")]
+        return _interpolate(h.groupBy(*g).agg(*aggs), g, names, len(probs))
+
     order = [*[F.col(c).asc_nulls_first() for c in g], F.col("_v")]
     if g:
         ranked = global_row_number(base, order, name="_grn")
@@ -41,21 +68,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     for p_ in pos:
         hit = (F.col("_r") == F.floor(p_)) | (F.col("_r") == F.ceil(p_))
         keep = hit if keep is None else keep | hit
-    few = r.where(keep)
     aggs = []
     for i, p_ in enumerate(pos):
-        lo, hi = F.floor(p_), F.ceil(p_)
-        vlo = F.max(F.when(F.col("_r") == lo, F.col("_v")))
-        vhi = F.max(F.when(F.col("_r") == hi, F.col("_v")))
-        # same interpolation as Spark's percentile: (hi - pos) * v_lo + (pos - lo) * v_hi
-        aggs += [vlo.alias(f"_lo{i}"), vhi.alias(f"_hi{i}"), F.first(p_).alias(f"_p{i}")]
-    out = few.groupBy(*g).agg(*aggs)
-    res = []
-    for i, nm in enumerate(names):
-        p_, lo, hi = F.col(f"_p{i}"), F.floor(F.col(f"_p{i}")), F.ceil(F.col(f"_p{i}"))
-        res.append(F.when(lo == hi, F.col(f"_lo{i}"))
-                   .otherwise((hi - p_) * F.col(f"_lo{i}") + (p_ - lo) * F.col(f"_hi{i}")).alias(nm))
-    return out.select(*g, *res)
+        aggs += [F.max(F.when(F.col("_r") == F.floor(p_), F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("_r") == F.ceil(p_), F.col("_v"))).alias(f"_hi{i}"), F.first(p_).alias(f"_p{i}")]
+    return _interpolate(r.where(keep).groupBy(*g).agg(*aggs), g, names, len(probs))
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

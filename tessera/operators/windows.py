@@ -19,8 +19,13 @@ def _cols(cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+# Rows up to which a single-task window is the cheaper way to number a table.
+SMALL_TABLE_ROWS = 100_000
+
+
 def global_row_number(df: DataFrame, order: Sequence, name: str = "row_number",
-                      num_partitions: int | None = None, with_total: str | None = None) -> DataFrame:
+                      num_partitions: int | None = None, with_total: str | None = None,
+                      small_rows: int | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order`` (must be a total order).
 
     The rows are range-partitioned on the sort key and written once, with their range
@@ -30,11 +35,20 @@ def global_row_number(df: DataFrame, order: Sequence, name: str = "row_number",
     filters into them).  Cost: a sampling pass, one range shuffle written once, one
     shuffle + local sort by partition id, and a table with one row per partition.  No
     step holds more than one range of rows.
+
+    A table of at most ``small_rows`` rows (checked by reading at most one row more) is
+    numbered by a single window task instead.
     """
     from ..session import materialize
     spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ocols = _cols(order)
+    limit = SMALL_TABLE_ROWS if small_rows is None else small_rows
+    if limit > 0 and df.limit(limit + 1).count() <= limit:
+        out = df.withColumn(name, F.row_number().over(Window.orderBy(*ocols)).cast("bigint"))
+        if with_total:
+            out = out.withColumn(with_total, F.count(F.lit(1)).over(Window.partitionBy()).cast("bigint"))
+        return out
+    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(df.repartitionByRange(n_parts, *ocols).withColumn("_pid", F.spark_partition_id()),
                          "ranged")
     local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*ocols)))
@@ -68,18 +82,8 @@ def global_ntile(df: DataFrame, order: Sequence, buckets: int, name: str = "ntil
     return ranked.withColumn(name, ntile_from_rank("_grn", "_gn", buckets)).drop("_grn", "_gn")
 
 
-# Rows up to which a single-task window is the cheaper way to number a table.
-SMALL_TABLE_ROWS = 100_000
-
-
-def surrogate_key(df: DataFrame, order: Sequence, name: str, small_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Identity-style key 1..n in the order of the natural key (stable across runs).
-
-    The size is checked first (reading at most ``small_rows + 1`` rows): a small table
-    is numbered by one window task, anything larger by the range-partitioned
-    ``global_row_number``."""
-    if df.limit(small_rows + 1).count() <= small_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*_cols(order))).cast("bigint"))
+def surrogate_key(df: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """Identity-style key 1..n in the order of the natural key (stable across runs)."""
     return global_row_number(df, order, name=name)
 
 

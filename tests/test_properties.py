@@ -19,7 +19,7 @@ from .conftest import SF_MID, SF_SMALL
 
 def test_global_row_number_is_a_permutation_in_order(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id"))
-    out = global_row_number(df, [F.col("k"), F.col("id")], name="rn", num_partitions=7).collect()
+    out = global_row_number(df, [F.col("k"), F.col("id")], name="rn", num_partitions=7, small_rows=0).collect()
     ranks = sorted((r["k"], r["id"], r["rn"]) for r in out)
     assert [r[2] for r in ranks] == list(range(1, 5001))
 
@@ -28,6 +28,10 @@ def test_global_row_number_is_a_permutation_in_order(spark):
 def test_global_ntile_matches_sql_ntile(spark, n):
     df = spark.range(n).select(F.col("id"), (F.col("id") % 3).alias("v"))
     ours = {r["id"]: r["t"] for r in global_ntile(df, [F.col("v"), F.col("id")], 5, name="t").collect()}
+    from tessera.operators import windows as Wn
+    big = Wn.global_row_number(df, [F.col("v"), F.col("id")], name="_grn", with_total="_gn", small_rows=0)
+    distributed = {r["id"]: r["t"] for r in big.select("id", Wn.ntile_from_rank("_grn", "_gn", 5).alias("t")).collect()}
+    assert distributed == ours
     df.createOrReplaceTempView("nt")
     ref = {r["id"]: r["t"] for r in spark.sql("SELECT id, ntile(5) OVER (ORDER BY v, id) AS t FROM nt").collect()}
     assert ours == ref
@@ -239,3 +243,13 @@ def test_oversample_copies_come_from_their_class(spark):
     copies = out.where(F.col("copy_index").isNotNull())
     assert copies.where("y = 1 AND k % 5 <> 0").count() == 0
     assert sorted(r["copy_index"] for r in copies.collect()) == list(range(32 - 8))
+
+
+def test_exact_quantiles_ranking_path(spark, monkeypatch):
+    from tessera.operators import profile as P
+    monkeypatch.setattr(P, "HISTOGRAM_QUANTILE_ROWS", 5)
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000 / 10.0).alias("v"))
+    ours = {r["g"]: (r["a"], r["b"]) for r in P.exact_quantiles(df, "v", [0.1, 0.75], ["g"], ["a", "b"]).collect()}
+    ref = {r["g"]: tuple(r["p"]) for r in df.groupBy("g").agg(F.percentile("v", [0.1, 0.75]).alias("p")).collect()}
+    for g in ref:
+        assert all(abs(x - y) < 1e-12 for x, y in zip(ours[g], ref[g]))
