@@ -106,3 +106,24 @@ def knn_classify(queries: DataFrame, reference: DataFrame, features, k: int, que
     nb = knn_neighbours(queries, reference, features, k, query_id, ref_ids, label, **kw)
     g = nb.groupBy(query_id).agg(F.avg(F.col(label)).alias("probability"))
     return g.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+
+
+def knn_cv_grid(train: DataFrame, features, label: str, id_col: str, ks, fold_col: str = "fold") -> DataFrame:
+    """Mean cross-validated R^2 of kNN regression for every k (scikit-learn's default
+    score).  All k share one neighbour search per fold: the largest k is searched once
+    and smaller k take a prefix of the ranked neighbours."""
+    spark = train.sparkSession
+    folds = [r[0] for r in train.select(fold_col).distinct().orderBy(fold_col).collect()]  # k folds
+    kmax = max(ks)
+    per_fold = None
+    for f in folds:
+        fit, val = train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f)
+        nb = knn_neighbours(val, fit, features, kmax, id_col, [id_col], label)
+        preds = nb.groupBy(id_col).agg(*[F.avg(F.when(F.col("rank") <= k, F.col(label))).alias(f"p{k}") for k in ks])
+        j = val.select(id_col, F.col(label).alias("_y")).join(preds, id_col)
+        sst = F.var_pop("_y") * F.count(F.lit(1))  # total sum of squares, one aggregate
+        scored = j.agg(*[(1 - F.sum(F.pow(F.col("_y") - F.col(f"p{k}"), 2)) / sst).alias(f"r2_{k}") for k in ks])
+        per_fold = scored if per_fold is None else per_fold.unionByName(scored)
+    means = per_fold.agg(*[F.avg(f"r2_{k}").alias(f"r2_{k}") for k in ks]).first()
+    return spark.createDataFrame([(f"n_neighbors={k}", float(means[f"r2_{k}"])) for k in ks],
+                                 "params string, cv_metric double")
