@@ -67,26 +67,28 @@ def classification_report(df: DataFrame, label: str, pred: str, classes=(0, 1))
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, highest first, plus the (inf, 0, 0) start.
-    Aggregating to distinct scores first keeps the ordered window small."""
+    """(threshold, fpr, tpr) at every distinct score, highest first.  Aggregate to distinct
+    scores, then a distributed prefix sum over descending thresholds (no single-task
+    window even when every score is distinct)."""
+    from .windows import global_cumsum
     per = df.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.col(label).cast("double")).alias("tp"), F.sum((1 - F.col(label)).cast("double")).alias("fp"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy()
-    cum = per.select("threshold", F.sum("tp").over(w).alias("ctp"), F.sum("fp").over(w).alias("cfp"),
-                     F.sum("tp").over(tot).alias("P"), F.sum("fp").over(tot).alias("N"))
+    tot = per.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()
+    cum = global_cumsum(per, [F.col("threshold").desc()], ["tp", "fp"])
+    P, N = tot["P"] or 0.0, tot["N"] or 0.0
     return cum.select(F.col("threshold").cast("double"),
-                      F.when(F.col("N") > 0, F.col("cfp") / F.col("N")).alias("fpr"),
-                      F.when(F.col("P") > 0, F.col("ctp") / F.col("P")).alias("tpr"))
+                      (F.col("cum_fp") / F.lit(N) if N > 0 else F.lit(None).cast("double")).alias("fpr"),
+                      (F.col("cum_tp") / F.lit(P) if P > 0 else F.lit(None).cast("double")).alias("tpr"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Rank-sum AUC with average ranks for ties (Mann–Whitney), exact (no score binning)."""
+    """Rank-sum AUC with average ranks for ties (Mann–Whitney), exact (no score binning).
+    The rows below each distinct score come from a distributed prefix sum."""
+    from .windows import global_cumsum
     per = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("pos"),
                                                   F.count(F.lit(1)).alias("cnt"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("below", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    ranked = ranked.withColumn("avg_rank", F.col("below") + (F.col("cnt") + 1) / 2.0)
+    cum = global_cumsum(per, [F.col("s")], ["cnt"])
+    ranked = cum.withColumn("avg_rank", (F.col("cum_cnt") - F.col("cnt")) + (F.col("cnt") + 1) / 2.0)
     agg = ranked.agg(F.sum(F.col("pos") * F.col("avg_rank")).alias("rsum"), F.sum("pos").alias("P"),
                      F.sum("cnt").alias("n"))
     nneg = F.col("n") - F.col("P")

@@ -65,6 +65,31 @@ def global_row_number(df: DataFrame, order: Sequence, name: str = "row_number",
     return out.drop("_pid", "_lrn", "_off", "_total")
 
 
+def global_cumsum(df: DataFrame, order: Sequence, values: Sequence[str], prefix: str = "cum_",
+                  small_rows: int | None = None) -> DataFrame:
+    """Running sums of ``values`` over the total order ``order`` (rows up to and including
+    the current one), without a single-task window on large inputs: range-partition on
+    the order, write once with the partition id, running sums inside each partition,
+    plus the totals of all earlier partitions (one row per partition, broadcast)."""
+    from ..session import materialize
+    ocols = _cols(order)
+    vals = list(values)
+    limit = SMALL_TABLE_ROWS if small_rows is None else small_rows
+    upto = Window.orderBy(*ocols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if limit > 0 and df.limit(limit + 1).count() <= limit:
+        return df.select("*", *[F.sum(v).over(upto).alias(f"{prefix}{v}") for v in vals])
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n_parts, *ocols).withColumn("_pid", F.spark_partition_id()), "ranged")
+    local_w = Window.partitionBy("_pid").orderBy(*ocols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.sum(v).over(local_w).alias(f"_l_{v}") for v in vals])
+    totals = ranged.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in vals])
+    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(prior), F.lit(0)).alias(f"_o_{v}") for v in vals])
+    out = local.join(F.broadcast(offsets), "_pid")  # one row per range partition
+    out = out.select("*", *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{prefix}{v}") for v in vals])
+    return out.drop("_pid", *[f"_l_{v}" for v in vals], *[f"_o_{v}" for v in vals])
+
+
 def ntile_from_rank(rank, total, buckets: int) -> Column:
     """NTILE(buckets) from a 1-based row number and the row count (SQL NTILE semantics:
     the first ``total % buckets`` tiles hold one extra row)."""

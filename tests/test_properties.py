@@ -253,3 +253,13 @@ def test_exact_quantiles_ranking_path(spark, monkeypatch):
     ref = {r["g"]: tuple(r["p"]) for r in df.groupBy("g").agg(F.percentile("v", [0.1, 0.75]).alias("p")).collect()}
     for g in ref:
         assert all(abs(x - y) < 1e-12 for x, y in zip(ours[g], ref[g]))
+
+
+def test_global_cumsum_distributed_equals_window(spark):
+    from pyspark.sql import Window
+    from tessera.operators.windows import global_cumsum
+    df = spark.range(3000).select(F.col("id"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
+    dist = {r["id"]: r["cum_v"] for r in global_cumsum(df, [F.col("id").desc()], ["v"], small_rows=0).collect()}
+    w = Window.orderBy(F.col("id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ref = {r["id"]: r["c"] for r in df.select("id", F.sum("v").over(w).alias("c")).collect()}
+    assert dist == ref
