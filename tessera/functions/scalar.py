@@ -49,13 +49,9 @@ def pct_change(cur, prev) -> Column:
     return F.when(p.isNotNull() & (p != 0), (col(cur) - p) / p * F.lit(100.0))
 
 
-def lenient_double(c) -> Column:
-    """Text to double; unreadable text and '' become NULL instead of failing the job."""
-    return F.expr(f"try_cast(nullif(trim({c}), '') AS DOUBLE)") if isinstance(c, str) else \
-        F.try_to_number(c, F.lit("9999999999.99999"))
-
-
 def lenient_cast(c: str, to: str) -> Column:
+    """Text to ``to``; unreadable text and '' become NULL instead of failing the job
+    (R's ``as.numeric`` gives NA; an ANSI ``cast`` would abort)."""
     return F.expr(f"try_cast(nullif(trim(`{c}`), '') AS {to})")
 
 
@@ -78,6 +74,7 @@ def round_to_day(ts) -> Column:
 
 
 def epoch_to_day(seconds) -> Column:
+    """Epoch seconds to the nearest day (the ratings files store epoch integers)."""
     return round_to_day(F.timestamp_seconds(col(seconds)))
 
 

@@ -263,3 +263,20 @@ def test_global_cumsum_distributed_equals_window(spark):
     w = Window.orderBy(F.col("id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ref = {r["id"]: r["c"] for r in df.select("id", F.sum("v").over(w).alias("c")).collect()}
     assert dist == ref
+
+
+def test_study_file_adapters(spark, tmp_path):
+    from tessera.plans.deliveries import clean_deliveries
+    from tessera.sources.study_files import DELIVERY_COLUMNS, read_deliveries_csv, read_movielens
+    (tmp_path / "ratings.dat").write_text("1::10::4.0::838985046\n2::10::2.5::838983525\n1::11::5::838983392\n")
+    (tmp_path / "movies.dat").write_text("10::GoldenEye (1995)::Action|Adventure\n11::No Year::Drama\n")
+    ml = read_movielens(spark, str(tmp_path / "ratings.dat"), str(tmp_path / "movies.dat"))
+    rows = {(r["userid"], r["movieid"]): r for r in ml.collect()}
+    assert rows[(1, 10)]["year_publication"] == 1995 and rows[(1, 11)]["year_publication"] is None
+    header = ",".join(f'"{c}"' for c, _, _ in DELIVERY_COLUMNS)
+    line1 = "a1,P1,30,4.5,22.7,75.8,22.76,75.91,Snack,motorcycle,20,50,0,Sunny,,Low,#VALUE!,25"
+    line2 = "a2,P2,31,4.6,22.7,75.8,22.76,75.91,Meal,scooter,21,51,0,Sunny,,High,3.5,#VALUE!"
+    (tmp_path / "d.csv").write_text(header + "\n" + line1 + "\n" + line2 + "\n")
+    raw = read_deliveries_csv(spark, str(tmp_path / "d.csv"))
+    clean = clean_deliveries(raw).collect()
+    assert len(clean) == 1 and clean[0]["id"] == "a1" and clean[0]["distance"] > 0
