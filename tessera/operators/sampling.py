@@ -10,6 +10,8 @@ landing in one window partition.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,18 +24,28 @@ def hash_key(seed: int, keys: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-# Hex digits of the hash used as a bucket: 16**4 = 65,536 buckets per stratum.
-BUCKET_DIGITS = 4
+# Target rows per hash bucket, and the range of hex digits used for the bucket key.
+BUCKET_TARGET_ROWS = 50_000
+MAX_BUCKET_DIGITS = 6
+
+
+def bucket_digits(n_rows: int) -> int:
+    """Hex digits of the hash that give buckets of about ``BUCKET_TARGET_ROWS`` rows
+    (1 digit = 16 buckets per stratum ... 6 digits = 16.7 million)."""
+    if n_rows <= BUCKET_TARGET_ROWS:
+        return 1
+    return max(1, min(MAX_BUCKET_DIGITS, math.ceil(math.log(n_rows / BUCKET_TARGET_ROWS, 16))))
 
 
 def hash_rank(df: DataFrame, seed: int, keys: Sequence[str], strata: Sequence[str] = (), name: str = "hrank",
-              size_name: str | None = None) -> DataFrame:
+              size_name: str | None = None, digits: int | None = None) -> DataFrame:
     """1-based rank of each row inside its stratum in the order (md5(seed|keys), keys),
     plus the stratum size.
 
     The leading hex digits of the hash form a bucket whose order is the sort order, so
-    rank = rows in earlier buckets of the stratum + row number inside the bucket.  The
-    per-bucket counts (at most strata x 65,536 rows) give the offsets.  Numbering and
+    rank = rows in earlier buckets of the stratum + row number inside the bucket; the
+    number of digits follows the row count (about 50,000 rows per bucket).  The
+    per-bucket counts give the offsets.  Numbering and
     offsets are both keyed by (stratum, bucket): the offsets join lands on the
     partitioning the numbering window already produced, so only the small count table
     moves, and even a stratum holding a third of all rows is spread over many tasks.
@@ -41,7 +53,8 @@ def hash_rank(df: DataFrame, seed: int, keys: Sequence[str], strata: Sequence[st
     st = list(strata)
     # one non-NULL text key per stratum (NULL is a stratum of its own)
     g = F.to_json(F.struct(*[F.col(c) for c in st])) if st else F.lit("")
-    d = df.withColumn("_h", hash_key(seed, keys)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS)) \
+    digits = digits or bucket_digits(df.count())
+    d = df.withColumn("_h", hash_key(seed, keys)).withColumn("_b", F.substring("_h", 1, digits)) \
         .withColumn("_g", g)
     per_bucket = d.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_bn"))
     prior = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -177,10 +177,21 @@ def q_kfold(spark, sf_dir):
     return kfold(fire_sets(spark, sf_dir).train, ["row_id"], 5, SEED).select("row_id", "fold")
 
 
-def fire_knn_predictions(spark, sf_dir, k=K_FIRE):
-    s = fire_sets(spark, sf_dir)
-    pred = K.knn_regress(s.test, s.train, FIRE_FEATURES, k, "row_id", ["row_id"], "fire_area")
-    return s.test.select("row_id", "fire_area").join(pred, "row_id")
+_KNN: dict = {}
+
+
+def fire_knn_predictions(spark, sf_dir, k=K_FIRE, with_seconds: bool = False):
+    """Test-set kNN predictions, written once per application (the search is the
+    expensive part; the leaderboard and the metrics reuse it) with its search time."""
+    import time
+    key = (spark.sparkContext.applicationId, sf_dir, k)
+    if key not in _KNN:
+        s = fire_sets(spark, sf_dir)
+        t0 = time.time()
+        pred = K.knn_regress(s.test, s.train, FIRE_FEATURES, k, "row_id", ["row_id"], "fire_area")
+        out = materialize(s.test.select("row_id", "fire_area").join(pred, "row_id"), "knn-pred")
+        _KNN[key] = (out, time.time() - t0)
+    return _KNN[key] if with_seconds else _KNN[key][0]
 
 
 @register("knn_regression", fsql("SELECT row_id, round(prediction, 4) AS prediction FROM fpred"))
@@ -397,7 +408,7 @@ def q_leaderboard(spark, sf_dir):
     lr, t_lr = ML.timed(ML.linear_regression, s.train, FIRE_FEATURES, "fire_area")
     (rf, _), t_rf = ML.timed(_rf, spark, sf_dir)
     gbt, t_gbt = ML.timed(ML.gradient_boosting, s.train, FIRE_FEATURES, "fire_area", max_iter=30)
-    knn_pred, t_knn = ML.timed(lambda: materialize(fire_knn_predictions(spark, sf_dir), "knn-pred"))
+    knn_pred, t_knn = fire_knn_predictions(spark, sf_dir, with_seconds=True)
     rows = [(_regression_row("linear_regression", ML.predict(lr, s.test, FIRE_FEATURES, ["fire_area"])), t_lr),
             (_regression_row("knn", knn_pred), t_knn),
             (_regression_row("random_forest", ML.predict(rf, s.test, FIRE_FEATURES, ["fire_area"])), t_rf),
