@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import age_bucket, month_start
-from ..operators.joins import small_side
 from ..operators.windows import global_ntile, surrogate_key
 from ..session import scratch_path
 from ..sources.fixtures import AS_OF, fixture
@@ -93,15 +92,16 @@ def build_fact_sales(sell_orders: DataFrame, dim_car: DataFrame, dim_distributor
     """Five inner joins, as the reference load: a sale without a match in any dimension is
     dropped and a MAKE with two origins is counted twice (see ``join_fanout_audit``)."""
     keys = ["gender", "educational_level", "age_bucket", "salary_range"]
-    # Customer -> profile key first: the profile table is tiny (checked), the fact then
-    # meets one customer-sized table instead of two.
-    cust_key = customer_prep.join(small_side(dim_customer_data), keys).select("customer_id", "cust_dim_id")
+    # The dimensions are written tables: the planner sizes each from its files and
+    # broadcasts it below spark.sql.autoBroadcastJoinThreshold, shuffling otherwise.
+    # Customer -> profile key first: the fact then meets one customer-sized table, not two.
+    cust_key = customer_prep.join(dim_customer_data, keys).select("customer_id", "cust_dim_id")
     so = sell_orders.withColumn("_y", F.year("sell_date").cast("bigint")) \
         .withColumn("_m", F.month("sell_date").cast("bigint"))
     car = dim_car.select("car_dim_id", "car_id", "make", "retail_price")
-    dist = small_side(dim_distributor.select("dist_dim_id", "distributor_id"))
-    tm = small_side(dim_time.select("time_id", F.col("year").alias("_y"), F.col("month_number").alias("_m")))
-    origin = small_side(dim_car_origin.select("origin_id", "make"))
+    dist = dim_distributor.select("dist_dim_id", "distributor_id")
+    tm = dim_time.select("time_id", F.col("year").alias("_y"), F.col("month_number").alias("_m"))
+    origin = dim_car_origin.select("origin_id", "make")
     f = (so.join(car, "car_id")
          .join(dist, "distributor_id")
          .join(tm, ["_y", "_m"])
