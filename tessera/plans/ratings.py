@@ -24,7 +24,7 @@ KEYS = ["userid", "movieid"]
 FACTORS = ["movieid", "userid", "genres", "day", "year_publication"]
 
 
-def movielens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ratings_working_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ratings LEFT JOIN movies, with the rounded day and the publication year."""
     r, m = fixture(spark, sf_dir, "ratings"), fixture(spark, sf_dir, "movies")
     ml = r.join(m, "movieid", "left")
@@ -82,7 +82,7 @@ def rating_sets(spark: SparkSession, sf_dir: str, seed: int = SEED) -> RatingSet
             df.write.mode("overwrite").parquet(f"{base}/{name}")
             return spark.read.parquet(f"{base}/{name}")
 
-        ml = keep(movielens(spark, sf_dir), "ml")
+        ml = keep(ratings_working_set(spark, sf_dir), "ml")
         # each split is computed once and written; every derived set is a filter of it
         flagged = keep(split_quantile(ml, "rating", KEYS, 0.1, seed, name="_h"), "holdout_flags")
         edx, final, removed = holdout_split(ml, 0.1, seed, flagged=flagged)

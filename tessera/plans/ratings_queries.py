@@ -14,7 +14,7 @@ from ..operators.sampling import sample_values
 from ..session import fresh_path, materialize
 from ..sources.fixtures import SEED, fixture
 from ..sources.readers import read_delimited, write_delimited
-from .ratings import FACTORS, KEYS, movielens, rating_sets
+from .ratings import FACTORS, KEYS, ratings_working_set, rating_sets
 from .ratings_sql import bias_ctes, grid_lams, lam_list, predict_sql, rsql
 from .registry import register
 
@@ -40,7 +40,7 @@ def q_scan_delimited(spark, sf_dir):
 
 @register("join_left", rsql("SELECT userid, movieid, rating, title, genres FROM ml"))
 def q_join_left(spark, sf_dir):
-    return movielens(spark, sf_dir).select("userid", "movieid", "rating", "title", "genres")
+    return ratings_working_set(spark, sf_dir).select("userid", "movieid", "rating", "title", "genres")
 
 
 @register("round_to_day", rsql("SELECT userid, movieid, day FROM ml"))
@@ -65,7 +65,7 @@ def q_truncate_label(spark, sf_dir):
 SELECT userid, movieid, true AS in_holdout FROM h_in UNION ALL SELECT userid, movieid, false AS in_holdout FROM h_out"""))
 def q_split_quantile(spark, sf_dir):
     from ..operators.sampling import split_quantile
-    ml = movielens(spark, sf_dir)
+    ml = ratings_working_set(spark, sf_dir)
     return split_quantile(ml, "rating", KEYS, 0.1, SEED, name="in_holdout").select("userid", "movieid", "in_holdout")
 
 

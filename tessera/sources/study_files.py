@@ -35,7 +35,7 @@ DELIVERY_COLUMNS = [
 ]
 
 
-def read_movielens(spark: SparkSession, ratings_path: str, movies_path: str) -> DataFrame:
+def read_ratings_files(spark: SparkSession, ratings_path: str, movies_path: str) -> DataFrame:
     """ratings.dat and movies.dat ('::'-separated) -> the working set of the bias model
     (userid, movieid, rating, rated_at, title, genres, day, year_publication)."""
     r = read_delimited(spark, ratings_path, RATINGS_SCHEMA, "::")

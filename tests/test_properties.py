@@ -267,10 +267,10 @@ def test_global_cumsum_distributed_equals_window(spark):
 
 def test_study_file_adapters(spark, tmp_path):
     from tessera.plans.deliveries import clean_deliveries
-    from tessera.sources.study_files import DELIVERY_COLUMNS, read_deliveries_csv, read_movielens
+    from tessera.sources.study_files import DELIVERY_COLUMNS, read_deliveries_csv, read_ratings_files
     (tmp_path / "ratings.dat").write_text("1::10::4.0::838985046\n2::10::2.5::838983525\n1::11::5::838983392\n")
     (tmp_path / "movies.dat").write_text("10::GoldenEye (1995)::Action|Adventure\n11::No Year::Drama\n")
-    ml = read_movielens(spark, str(tmp_path / "ratings.dat"), str(tmp_path / "movies.dat"))
+    ml = read_ratings_files(spark, str(tmp_path / "ratings.dat"), str(tmp_path / "movies.dat"))
     rows = {(r["userid"], r["movieid"]): r for r in ml.collect()}
     assert rows[(1, 10)]["year_publication"] == 1995 and rows[(1, 11)]["year_publication"] is None
     header = ",".join(f'"{c}"' for c, _, _ in DELIVERY_COLUMNS)
