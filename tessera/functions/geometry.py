@@ -13,9 +13,12 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Mean earth radius (km) for point distances, and km per degree of latitude.
+# Mean earth radius (km) for point distances, and km per degree of latitude;
+# WGS-84 semi-major axis (km) and flattening for the ellipsoidal option.
 EARTH_RADIUS_KM = 6371.0088
 KM_PER_DEGREE = math.pi / 180.0 * EARTH_RADIUS_KM
+WGS84_A_KM = 6378.137
+WGS84_F = 1 / 298.257223563
 
 
 def _c(c) -> Column:
@@ -89,6 +92,24 @@ def haversine_km(x1, y1, x2, y2) -> Column:
     return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(a))
 
 
+def andoyer_lambert_km(x1, y1, x2, y2) -> Column:
+    """Geodesic distance (km) on the WGS-84 ellipsoid between milli-degree points, by the
+    closed-form Andoyer–Lambert first-order correction of the spherical distance (error
+    of the order of metres at these ranges).  Coincident points give 0."""
+    f = WGS84_F
+    b1 = F.atan((1 - f) * F.tan(F.radians(_c(y1) / 1000.0)))  # reduced latitudes
+    b2 = F.atan((1 - f) * F.tan(F.radians(_c(y2) / 1000.0)))
+    dl = F.radians(_c(x2) / 1000.0) - F.radians(_c(x1) / 1000.0)
+    cos_s = F.sin(b1) * F.sin(b2) + F.cos(b1) * F.cos(b2) * F.cos(dl)
+    sigma = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos_s)))
+    P, Q = (b1 + b2) / 2, (b2 - b1) / 2
+    sin_s = F.sin(sigma)
+    X = (sigma - sin_s) * F.pow(F.sin(P) * F.cos(Q), 2) / F.pow(F.cos(sigma / 2), 2)
+    Y = (sigma + sin_s) * F.pow(F.cos(P) * F.sin(Q), 2) / F.pow(F.sin(sigma / 2), 2)
+    d = F.lit(WGS84_A_KM) * (sigma - f / 2 * (X + Y))
+    return F.when(sigma > 0, d).otherwise(F.lit(0.0))
+
+
 def point_ring_distance_km(ring, px, py) -> Column:
     """Distance (km) from a point to a polygon: 0 when inside or on it, else the smallest
     point-segment distance in a local equirectangular frame centred on the point."""

@@ -74,15 +74,18 @@ def _lon_pad_md(km: float, max_abs_lat_md: float) -> float:
 
 
 def within_distance_points(a: DataFrame, b: DataFrame, km: float, ax: str, ay: str, bx: str, by: str,
-                           cell: int = CELL_MD) -> DataFrame:
-    """Pairs of points within ``km`` (great circle).  Side ``a`` is spread over the cells its
-    search box touches, side ``b`` sits in one cell; exact distance filters the candidates."""
+                           cell: int = CELL_MD, ellipsoidal: bool = False) -> DataFrame:
+    """Pairs of points within ``km`` (great circle, or WGS-84 geodesic when ``ellipsoidal``).
+    Side ``a`` is spread over the cells its search box touches, side ``b`` sits in one
+    cell; the exact distance filters the candidates.  The search box is padded by 1 %
+    so the ellipsoid's slightly longer degrees cannot drop a pair."""
     max_lat = a.agg(F.max(F.abs(F.col(ay)))).first()[0] or 0
-    px, py = _lon_pad_md(km, max_lat), _lat_pad_md(km)
+    px, py = 1.01 * _lon_pad_md(km, max_lat), 1.01 * _lat_pad_md(km)
     ac = a.withColumn("_cx", F.explode(_cells_between(F.col(ax) - px, F.col(ax) + px, cell))) \
         .withColumn("_cy", F.explode(_cells_between(F.col(ay) - py, F.col(ay) + py, cell)))
     pairs = point_cells(b, bx, by, cell).join(small_side(ac), ["_cx", "_cy"]).drop("_cx", "_cy")
-    return pairs.withColumn("distance_km", G.haversine_km(ax, ay, bx, by)).where(F.col("distance_km") <= km)
+    dist = G.andoyer_lambert_km(ax, ay, bx, by) if ellipsoidal else G.haversine_km(ax, ay, bx, by)
+    return pairs.withColumn("distance_km", dist).where(F.col("distance_km") <= km)
 
 
 def within_distance_polygons(polys: DataFrame, points: DataFrame, km: float, key: str, x: str = "x_md",

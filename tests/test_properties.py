@@ -280,3 +280,13 @@ def test_study_file_adapters(spark, tmp_path):
     raw = read_deliveries_csv(spark, str(tmp_path / "d.csv"))
     clean = clean_deliveries(raw).collect()
     assert len(clean) == 1 and clean[0]["id"] == "a1" and clean[0]["distance"] > 0
+
+
+def test_ellipsoidal_distance_close_to_spherical(spark):
+    # two points about 20 km apart near latitude 10: the ellipsoid differs by well under 0.5 %
+    df = spark.createDataFrame([(-84000, 10000, -83850, 10100), (-84000, 10000, -84000, 10000)],
+                               "x1 long, y1 long, x2 long, y2 long")
+    r = df.select(G.haversine_km("x1", "y1", "x2", "y2").alias("s"),
+                  G.andoyer_lambert_km("x1", "y1", "x2", "y2").alias("e")).collect()
+    assert 15 < r[0]["s"] < 25 and abs(r[0]["e"] - r[0]["s"]) / r[0]["s"] < 0.005
+    assert r[1]["e"] == 0.0
