@@ -72,15 +72,18 @@ def fit(train: DataFrame, label: str, factors: Sequence[str], lambdas: Sequence[
     return model
 
 
-def predict(model: BiasModel, df: DataFrame, prefix: str = "pred") -> DataFrame:
-    """One prediction column per lambda: mu + sum of the biases (NULL if any key is unseen)."""
+def predict(model: BiasModel, df: DataFrame, prefix: str = "pred", fill_unseen: bool = False) -> DataFrame:
+    """One prediction column per lambda: mu + sum of the biases.  A key unseen in training
+    makes the prediction NULL (R's NA; counted by ``metrics.rmse``), or adds 0 with
+    ``fill_unseen``."""
     out = df
     for f in model.factors:
         out = _join_coef(out, model.tables[f], f)
     for i in range(len(model.lambdas)):
         p = F.lit(model.mu)
         for f in model.factors:
-            p = p + F.col(model.coef(f, i))
+            b = F.col(model.coef(f, i))
+            p = p + (F.coalesce(b, F.lit(0.0)) if fill_unseen else b)
         out = out.withColumn(f"{prefix}_{_lam_tag(i)}", p)
     return out.drop(*[model.coef(f, i) for f in model.factors for i in range(len(model.lambdas))])
 

@@ -39,10 +39,22 @@ def exact_avg(total, n, scale: int = 2) -> Column:
     return exact_quotient.cast("double") / F.lit(float(10 ** scale))
 
 
-def monthly_sales(star: Star) -> DataFrame:
+def monthly_sales(star: Star, fill_months: bool = False) -> DataFrame:
+    """Sales per month present in the time dimension.  ``fill_months`` adds a calendar
+    spine (every month between the first and the last, one row each) with 0 sales where
+    nothing was sold, so LAG compares with the previous calendar month instead of the
+    previous row (the reference compares rows)."""
     per_time = star.fact_sales.groupBy("time_dim_id").agg(F.sum("sell_price").alias("total_month_sales"))
-    return per_time.join(star.dim_time.withColumnRenamed("time_id", "time_dim_id"), "time_dim_id") \
+    m = per_time.join(star.dim_time.withColumnRenamed("time_id", "time_dim_id"), "time_dim_id") \
         .select("year", "month_number", "month_name", "total_month_sales")
+    if not fill_months:
+        return m
+    bounds = star.dim_time.agg(F.min("month_start").alias("lo"), F.max("month_start").alias("hi"))
+    spine = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("d")).select(
+        F.year("d").cast("bigint").alias("year"), F.month("d").cast("bigint").alias("month_number"),
+        F.date_format("d", "MMMM").alias("month_name"))
+    return spine.join(m.drop("month_name"), ["year", "month_number"], "left") \
+        .withColumn("total_month_sales", F.coalesce("total_month_sales", F.lit(0).cast("decimal(38,4)")))
 
 
 def report_top3_distributors(star: Star, k: int = 3) -> DataFrame:
@@ -69,8 +81,8 @@ def report_brand_share(star: Star) -> DataFrame:
         .orderBy("year", F.col("percent_of_year_sales").desc_nulls_first())
 
 
-def report_mom_change(star: Star) -> DataFrame:
-    m = monthly_sales(star)
+def report_mom_change(star: Star, fill_months: bool = False) -> DataFrame:
+    m = monthly_sales(star, fill_months)
     prev = F.lag("total_month_sales", 1).over(Window.orderBy("year", "month_number"))
     out = m.withColumn("previous_month_sales", prev)
     change = F.when(F.col("previous_month_sales").isNotNull() & (F.col("previous_month_sales") != 0),
@@ -89,9 +101,9 @@ def report_moving_avg(star: Star) -> DataFrame:
         avg.alias("centered_3_month_moving_avg")).orderBy("year", "month_number")
 
 
-def report_yoy_change(star: Star) -> DataFrame:
+def report_yoy_change(star: Star, fill_months: bool = False) -> DataFrame:
     prev = F.lag("total_month_sales", 1).over(Window.partitionBy("month_number").orderBy("year"))
-    m = monthly_sales(star).withColumn("previous_year_sales", prev)
+    m = monthly_sales(star, fill_months).withColumn("previous_year_sales", prev)
     return m.select("year", "month_name", _d("total_month_sales").alias("total_month_sales"),
                     _d("previous_year_sales").alias("previous_year_sales"),
                     _d(F.abs(F.col("total_month_sales") - F.col("previous_year_sales"))).alias("absolute_difference"),

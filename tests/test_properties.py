@@ -290,3 +290,25 @@ def test_ellipsoidal_distance_close_to_spherical(spark):
                   G.andoyer_lambert_km("x1", "y1", "x2", "y2").alias("e")).collect()
     assert 15 < r[0]["s"] < 25 and abs(r[0]["e"] - r[0]["s"]) / r[0]["s"] < 0.005
     assert r[1]["e"] == 0.0
+
+
+def test_fill_months_spine(spark):
+    import __spark_entry__ as entry  # noqa: F401  (package import)
+    from tessera.plans.reports import monthly_sales
+    from tessera.plans.warehouse import load_star
+    star = load_star(spark, SF_SMALL)
+    plain = monthly_sales(star).count()
+    filled = monthly_sales(star, fill_months=True)
+    lo, hi = star.dim_time.agg(F.min("month_start"), F.max("month_start")).first()
+    months = (hi.year - lo.year) * 12 + hi.month - lo.month + 1
+    assert filled.count() == months >= plain
+
+
+def test_bias_fill_unseen(spark):
+    from tessera.operators import bias as B
+    train = spark.createDataFrame([(1, 4.0), (2, 2.0)], "item long, rating double")
+    test = spark.createDataFrame([(1, 4.0), (3, 3.0)], "item long, rating double")
+    m = B.fit(train, "rating", ["item"])
+    strict = {r["item"]: r["pred_l0"] for r in B.predict(m, test).collect()}
+    filled = {r["item"]: r["pred_l0"] for r in B.predict(m, test, fill_unseen=True).collect()}
+    assert strict == {1: 4.0, 3: None} and filled == {1: 4.0, 3: 3.0}
