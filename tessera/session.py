@@ -75,3 +75,12 @@ def materialize(df, prefix: str = "tbl"):
     path = fresh_path(df.sparkSession, prefix)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete this application's scratch folder (written star schema, splits, model sets)
+    through the Hadoop FileSystem of the checkpoint folder.  Call once the results are
+    no longer needed; other applications' folders are untouched."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))
