@@ -30,13 +30,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     """Exact quantiles with linear interpolation (as ``percentile`` / ``quantile_cont``)
     per group, without gathering a group's values in one task.
 
-    Counting path: when the (group, value) histogram is small (checked by reading at most
-    ``HISTOGRAM_QUANTILE_ROWS + 1`` of its rows), the ranks covered by each value follow
-    from cumulative counts over that small table.  Ranking path otherwise: the values are
-    numbered in (group, value) order by the range-partitioned global row number and only
-    the rows at the interpolation positions floor/ceil(p (n - 1)) are aggregated.  One
-    row per group is returned with one column per probability."""
-    from .windows import global_row_number
+    The values are first counted per (group, value): a value repeated in a third of all
+    rows becomes one histogram row.  The rank interval each value covers then follows
+    from cumulative counts – a window per group when the histogram is small (checked by
+    reading at most ``HISTOGRAM_QUANTILE_ROWS + 1`` of its rows), otherwise the
+    range-partitioned prefix sum over the histogram, whose keys are unique – and only
+    the values at the interpolation positions floor/ceil(p (n - 1)) are aggregated.
+    One row per group is returned with one column per probability."""
+    from .windows import global_cumsum
     g = list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     base = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -44,35 +45,27 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     if hist.limit(HISTOGRAM_QUANTILE_ROWS + 1).count() <= HISTOGRAM_QUANTILE_ROWS:
         w = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         h = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*g)))
-        aggs = []
-        for i, p in enumerate(probs):
-            pos = F.lit(float(p)) * (F.col("_n") - 1)
-            covers = lambda r: (F.col("_cum") - F.col("_c") <= r) & (r < F.col("_cum"))
-            aggs += [F.max(F.when(covers(F.floor(pos)), F.col("_v"))).alias(f"_lo{i}"),
-                     F.max(F.when(covers(F.ceil(pos)), F.col("_v"))).alias(f"_hi{i}"), F.first(pos).alias(f"_p{i}")]
-        return _interpolate(h.groupBy(*g).agg(*aggs), g, names, len(probs))
-
-    order = [*[F.col(c).asc_nulls_first() for c in g], F.col("_v")]
-    if g:
-        ranked = global_row_number(base, order, name="_grn")
-        sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-        prior = Window.orderBy(*[F.col(c).asc_nulls_first() for c in g]).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0)))  # one row per group
-        cond = [ranked[c].eqNullSafe(sizes[c]) for c in g]
-        r = ranked.join(F.broadcast(sizes), cond).select(*[ranked[c] for c in g], "_v", "_grn", "_n", "_off")
-    else:  # one group: the row count comes with the numbering
-        r = global_row_number(base, order, name="_grn", with_total="_n").withColumn("_off", F.lit(0))
-    r = r.withColumn("_r", F.col("_grn") - F.col("_off") - 1)  # 0-based rank inside the group
-    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    keep = None
-    for p_ in pos:
-        hit = (F.col("_r") == F.floor(p_)) | (F.col("_r") == F.ceil(p_))
-        keep = hit if keep is None else keep | hit
+    else:
+        from ..session import materialize
+        hist = materialize(hist, "value-hist")
+        cum = global_cumsum(hist, [*[F.col(c).asc_nulls_first() for c in g], F.col("_v")], ["_c"], prefix="_all_")
+        if g:
+            sizes = hist.groupBy(*g).agg(F.sum("_c").alias("_n"))
+            prior = Window.orderBy(*[F.col(c).asc_nulls_first() for c in g]).rowsBetween(Window.unboundedPreceding, -1)
+            sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0)))  # one row per group
+            cond = [cum[c].eqNullSafe(sizes[c]) for c in g]
+            h = cum.join(F.broadcast(sizes), cond).select(*[cum[c] for c in g], "_v", "_c", "_all__c", "_n", "_off")
+        else:
+            total = hist.agg(F.sum("_c")).first()[0]
+            h = cum.withColumn("_n", F.lit(total)).withColumn("_off", F.lit(0))
+        h = h.withColumn("_cum", F.col("_all__c") - F.col("_off"))
     aggs = []
-    for i, p_ in enumerate(pos):
-        aggs += [F.max(F.when(F.col("_r") == F.floor(p_), F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when(F.col("_r") == F.ceil(p_), F.col("_v"))).alias(f"_hi{i}"), F.first(p_).alias(f"_p{i}")]
-    return _interpolate(r.where(keep).groupBy(*g).agg(*aggs), g, names, len(probs))
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        covers = lambda r: (F.col("_cum") - F.col("_c") <= r) & (r < F.col("_cum"))
+        aggs += [F.max(F.when(covers(F.floor(pos)), F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(covers(F.ceil(pos)), F.col("_v"))).alias(f"_hi{i}"), F.first(pos).alias(f"_p{i}")]
+    return _interpolate(h.groupBy(*g).agg(*aggs), g, names, len(probs))
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

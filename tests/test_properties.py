@@ -247,12 +247,16 @@ def test_oversample_copies_come_from_their_class(spark):
 
 def test_exact_quantiles_ranking_path(spark, monkeypatch):
     from tessera.operators import profile as P
+    from tessera.operators import windows as Wn
     monkeypatch.setattr(P, "HISTOGRAM_QUANTILE_ROWS", 5)
+    monkeypatch.setattr(Wn, "SMALL_TABLE_ROWS", 0)
     df = spark.range(500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000 / 10.0).alias("v"))
     ours = {r["g"]: (r["a"], r["b"]) for r in P.exact_quantiles(df, "v", [0.1, 0.75], ["g"], ["a", "b"]).collect()}
     ref = {r["g"]: tuple(r["p"]) for r in df.groupBy("g").agg(F.percentile("v", [0.1, 0.75]).alias("p")).collect()}
     for g in ref:
         assert all(abs(x - y) < 1e-12 for x, y in zip(ours[g], ref[g]))
+    whole = P.exact_quantiles(df, "v", [0.3], names=["m"]).first()["m"]
+    assert abs(whole - df.agg(F.percentile("v", 0.3)).first()[0]) < 1e-12
 
 
 def test_global_cumsum_distributed_equals_window(spark):
