@@ -150,31 +150,29 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], scale: int = 6)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:
-    """Pearson correlations of every column pair from one aggregate pass, long form
-    (var1, var2, value) – the melted matrix.
-
-    Three small steps keep the plan compact: one flat aggregate (sample covariance per
-    pair, sample sd per column), a projection that divides named columns, and an
-    unpivot.  A constant column has no correlation: NULL (R's NA; ANSI ``corr`` would
-    fail with a division by zero)."""
+    """Pearson correlations of every column pair, long form (var1, var2, value) – the
+    melted matrix.
+
+    One aggregate pass over the data (sample covariance per pair, sample sd per column)
+    returns a single row of k(k+1)/2 numbers; the k x k cells are assembled from that
+    row, like MLlib's ``Correlation`` returns its matrix, and rounded in Spark.  A
+    constant column has no correlation: NULL (R's NA; ANSI ``corr`` would fail with a
+    division by zero)."""
     cols = list(columns)
     idx = {c: i for i, c in enumerate(cols)}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[F.stddev_samp(c).alias(f"s{idx[c]}") for c in cols],
-                  *[F.covar_samp(a, b).alias(f"c{idx[a]}_{idx[b]}") for a, b in pairs if a != b])
-    vals = {}
-    for a, b in pairs:
-        i, j = idx[a], idx[b]
-        si, sj = F.col(f"s{i}"), F.col(f"s{j}")
-        cov = F.col(f"c{i}_{j}") if a != b else si * si
-        v = F.round(F.when((si > 0) & (sj > 0), cov / (si * sj)), scale)
-        vals[f"{a}|{b}"] = v
-        if a != b:
-            vals[f"{b}|{a}"] = v
-    corr = wide.select(*[v.alias(k) for k, v in vals.items()])
-    long = corr.unpivot([], list(vals), "pair", "value")
-    return long.select(F.split("pair", r"\|").getItem(0).alias("var1"), F.split("pair", r"\|").getItem(1).alias("var2"),
-                       "value")
+    row = df.agg(*[F.stddev_samp(c).alias(f"s{idx[c]}") for c in cols],
+                 *[F.covar_samp(a, b).alias(f"c{idx[a]}_{idx[b]}") for i, a in enumerate(cols) for b in cols[i + 1:]]
+                 ).first()
+    cells = []
+    for a in cols:
+        for b in cols:
+            i, j = idx[a], idx[b]
+            si, sj = row[f"s{i}"], row[f"s{j}"]
+            cov = si * si if i == j and si is not None else row[f"c{min(i, j)}_{max(i, j)}"] if i != j else None
+            ok = si is not None and sj is not None and cov is not None and si > 0 and sj > 0
+            cells.append((a, b, cov / (si * sj) if ok else None))
+    out = df.sparkSession.createDataFrame(cells, "var1 string, var2 string, value double")
+    return out.select("var1", "var2", F.round("value", scale).alias("value"))
 
 
 def describe(df: DataFrame, columns: Sequence[str], scale: int = 6) -> DataFrame:
