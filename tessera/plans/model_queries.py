@@ -119,7 +119,7 @@ _CLS = """
 SELECT class, precision, recall, f1, support FROM (
   SELECT class, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1, support FROM (
     SELECT CAST(c AS VARCHAR) AS class,
-           CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS p, CASE WHEN ap > 0 THEN tp / ap ELSE 0.0 END AS r, ap AS support
+           CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS p, CASE WHEN ap > 0 THEN tp / ap ELSE 0.0 END AS r, CAST(ap AS DOUBLE) AS support
     FROM (SELECT c, SUM(CASE WHEN quality = c AND prediction = c THEN 1.0 ELSE 0.0 END) AS tp,
                  SUM(CASE WHEN prediction = c THEN 1.0 ELSE 0.0 END) AS pp, SUM(CASE WHEN quality = c THEN 1.0 ELSE 0.0 END) AS ap
           FROM wpred, (SELECT 0 AS c UNION ALL SELECT 1) cs GROUP BY c) a) b) per"""
