@@ -49,43 +49,59 @@ def _join_coef(df: DataFrame, table: DataFrame, factor: str) -> DataFrame:
 
 
 def fit(train: DataFrame, label: str, factors: Sequence[str], lambdas: Sequence[float] = (0.0,)) -> BiasModel:
-    """Fit mean + one bias per factor in order, for every lambda at once (wide)."""
+    """Fit mean + one bias per factor in order, for every lambda at once (wide).
+
+    The first stage's residual (label - mu) does not depend on lambda: one sum per key,
+    and the lambda columns appear only in its small coefficient table.  From the second
+    stage on, each lambda has its own running-residual column."""
     lambdas = list(lambdas)
+    n_l = len(lambdas)
     mu = train.agg(F.avg(label)).first()[0]
-    cur = train.select(*set([label, *factors]))
-    for i in range(len(lambdas)):
-        cur = cur.withColumn(f"_r{i}", F.col(label) - F.lit(mu))
+    cur = train.select(*dict.fromkeys([label, *factors]))
     tables: dict[str, DataFrame] = {}
     model = BiasModel(mu, list(factors), lambdas, tables)
-    for f in factors:
-        sums = cur.groupBy(f).agg(F.count(F.lit(1)).alias("_n"),
-                                  *[F.sum(f"_r{i}").alias(f"_s{i}") for i in range(len(lambdas))])
+    for stage, f in enumerate(factors):
+        if stage == 0:
+            sums = cur.groupBy(f).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label) - F.lit(mu)).alias("_s"))
+            sum_of = lambda i: F.col("_s")
+        else:
+            sums = cur.groupBy(f).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_r{i}").alias(f"_s{i}") for i in range(n_l)])
+            sum_of = lambda i: F.col(f"_s{i}")
         table = sums.select(F.col(f).alias(f"_k_{f}"),
-                            *[(F.col(f"_s{i}") / (F.col("_n") + F.lit(lam))).alias(model.coef(f, i))
+                            *[(sum_of(i) / (F.col("_n") + F.lit(lam))).alias(model.coef(f, i))
                               for i, lam in enumerate(lambdas)])
         # coefficient tables are small and reused by every later stage: cut lineage
         table = materialize(table, f"bias-{f}")
         tables[f] = table
-        cur = _join_coef(cur, table, f)
-        cur = cur.select(*[c for c in cur.columns if not c.startswith("_r") and not c.startswith("b_")],
-                         *[(F.col(f"_r{i}") - F.col(model.coef(f, i))).alias(f"_r{i}") for i in range(len(lambdas))])
+        if stage == len(factors) - 1:
+            break
+        joined = _join_coef(cur, table, f)
+        keep = [c for c in cur.columns if not c.startswith("_r")]
+        prev = (lambda i: F.col(label) - F.lit(mu)) if stage == 0 else (lambda i: F.col(f"_r{i}"))
+        cur = joined.select(*keep, *[(prev(i) - F.col(model.coef(f, i))).alias(f"_r{i}") for i in range(n_l)])
     return model
 
 
 def predict(model: BiasModel, df: DataFrame, prefix: str = "pred", fill_unseen: bool = False) -> DataFrame:
     """One prediction column per lambda: mu + sum of the biases.  A key unseen in training
     makes the prediction NULL (R's NA; counted by ``metrics.rmse``), or adds 0 with
-    ``fill_unseen``."""
-    out = df
+    ``fill_unseen``.
+
+    Each coefficient table is folded into the running prediction columns right after its
+    join, so rows never carry more than one table's columns (whole-stage code generation
+    stays on however many lambdas there are)."""
+    n_l = len(model.lambdas)
+    out = df.select("*", *[F.lit(model.mu).alias(f"{prefix}_{_lam_tag(i)}") for i in range(n_l)])
     for f in model.factors:
-        out = _join_coef(out, model.tables[f], f)
-    for i in range(len(model.lambdas)):
-        p = F.lit(model.mu)
-        for f in model.factors:
+        joined = _join_coef(out, model.tables[f], f)
+        keep = [c for c in out.columns if not c.startswith(f"{prefix}_")]
+        terms = []
+        for i in range(n_l):
             b = F.col(model.coef(f, i))
-            p = p + (F.coalesce(b, F.lit(0.0)) if fill_unseen else b)
-        out = out.withColumn(f"{prefix}_{_lam_tag(i)}", p)
-    return out.drop(*[model.coef(f, i) for f in model.factors for i in range(len(model.lambdas))])
+            terms.append((F.col(f"{prefix}_{_lam_tag(i)}") + (F.coalesce(b, F.lit(0.0)) if fill_unseen else b))
+                         .alias(f"{prefix}_{_lam_tag(i)}"))
+        out = joined.select(*keep, *terms)
+    return out
 
 
 def grid_rmse(model: BiasModel, test: DataFrame, label: str) -> DataFrame:
