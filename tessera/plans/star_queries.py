@@ -377,9 +377,8 @@ WHERE dt.year IN ({Y0}, {Y1})
 GROUP BY dc.make, dc.model, dc.year"""))
 def q_pivot_years(spark, sf_dir):
     star = _star(spark, sf_dir)
-    per = (star.fact_sales.join(star.dim_time.where(F.col("year").isin(Y0, Y1))
-                                .select(F.col("time_id").alias("time_dim_id"), "year"), "time_dim_id")
-           .groupBy("car_dim_id", "year").agg(F.sum("units_sold").alias("u")))
+    per = (star.fact_sales.where(F.col("sale_year").isin(Y0, Y1))  # partition pruning
+           .groupBy("car_dim_id", F.col("sale_year").alias("year")).agg(F.sum("units_sold").alias("u")))
     j = per.join(star.dim_car.select("car_dim_id", "make", "model", F.col("year").alias("car_model_year")), "car_dim_id")
     p = j.groupBy("make", "model", "car_model_year").pivot("year", [Y0, Y1]).agg(F.sum("u"))
     return p.select("make", "model", F.col("car_model_year").cast("bigint").alias("car_model_year"),

@@ -110,7 +110,8 @@ def build_fact_sales(sell_orders: DataFrame, dim_car: DataFrame, dim_distributor
     return f.select("car_dim_id", "dist_dim_id", "cust_dim_id",
                     F.col("time_id").alias("time_dim_id"), F.col("origin_id").alias("origin_dim_id"),
                     F.lit(1).cast("int").alias("units_sold"), "sell_price",
-                    (F.col("retail_price") - F.col("sell_price")).alias("discount_amount"))
+                    (F.col("retail_price") - F.col("sell_price")).alias("discount_amount"),
+                    F.col("_y").alias("sale_year"))
 
 
 # ---- the load ------------------------------------------------------------------------
@@ -119,8 +120,11 @@ _LOCK = threading.Lock()
 _LOADED: dict[tuple, Star] = {}
 
 
-def _write_read(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+def _write_read(spark: SparkSession, df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -144,8 +148,9 @@ def load_star(spark: SparkSession, sf_dir: str, as_of: date = AS_OF) -> Star:
         dim_time = _write_read(spark, build_dim_time(sell_orders), f"{base}/dim_time")
         prep = _write_read(spark, build_customer_prep(fx("customers_data"), as_of), f"{base}/customer_prep")
         dim_cust = _write_read(spark, build_dim_customer_data(prep), f"{base}/dim_customer_data")
+        # the fact is partitioned by sale year: year-filtered reports prune partitions
         fact = _write_read(spark, build_fact_sales(sell_orders, dim_car, dim_dist, dim_time, dim_origin,
-                                                   prep, dim_cust), f"{base}/fact_sales")
+                                                   prep, dim_cust), f"{base}/fact_sales", partition_by="sale_year")
         star = Star(dim_car, dim_origin, dim_dist, dim_time, prep, dim_cust, fact)
         _LOADED[key] = star
         return star

@@ -38,3 +38,12 @@ def test_scan_reads_only_the_needed_columns(spark):
     text = df._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in text.splitlines() if "lineitem" in line and "ReadSchema" in line]
     assert scans and all("l_tax" not in s and "l_shipdate" not in s and "l_returnflag" not in s for s in scans)
+
+
+def test_year_filtered_report_prunes_fact_partitions(spark):
+    from pyspark.sql import functions as F
+    from tessera.plans.warehouse import load_star
+    star = load_star(spark, SF_SMALL)
+    df = star.fact_sales.where(F.col("sale_year").isin(1999, 2000)).select("car_dim_id")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sale_year" in text or "PartitionFilters: [sale_year" in text, text
