@@ -121,6 +121,10 @@ _LOADED: dict[tuple, Star] = {}
 
 
 def _write_read(spark: SparkSession, df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    if partition_by:
+        # rows of a task sorted by the partition value: the writer keeps one file open at
+        # a time per task (no repartition by year, which would put a hot year in one task)
+        df = df.sortWithinPartitions(partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
