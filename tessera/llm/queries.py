@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, resample, simhash
+from . import chat, decontaminate, packing, resample, simhash, substring
 from .tables import read
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(read(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_chat_formatting, op6_benchmark_decontamination,
+    return {f.__name__: f for f in (op1_substring_dedup, op4_best_fit_packing, op5_chat_formatting, op6_benchmark_decontamination,
                                      op8_simhash_near_dedup, op10_importance_resampling)}
 
 
