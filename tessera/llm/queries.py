@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, resample, simhash, substring
+from . import chat, decontaminate, packing, quality, resample, simhash, substring
 from .tables import read
 
 
@@ -26,6 +26,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
@@ -36,8 +40,8 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op4_best_fit_packing, op5_chat_formatting, op6_benchmark_decontamination,
-                                     op8_simhash_near_dedup, op10_importance_resampling)}
+                                     op7_quality_rules, op8_simhash_near_dedup, op10_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality.ORACLE}
