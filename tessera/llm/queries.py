@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, quality, resample, simhash, substring
+from . import chat, decontaminate, packing, pii, quality, resample, simhash, substring
 from .tables import read
 
 
@@ -34,13 +34,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op4_best_fit_packing, op5_chat_formatting, op6_benchmark_decontamination,
-                                     op7_quality_rules, op8_simhash_near_dedup, op10_importance_resampling)}
+                                     op7_quality_rules, op8_simhash_near_dedup, op9_personal_data,
+                                     op10_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
