@@ -125,6 +125,29 @@ def repeated_runs(docs: DataFrame, base: int, length: int, items: Callable) -> D
     return materialize(BitFilter(anchors, "anchor").keep(runs, "anchor").join(anchors, "anchor"), "runs")
 
 
+def _candidate_range(length: int, base: int) -> list[Column]:
+    """First and past last window of a run that can be repeated, given which extended anchors are.
+
+    The window i of a run has its anchor ``off - i`` items in.  With fewer than ``base`` items before the
+    anchor it holds the right extension, with more than ``length - 2 * base`` the left one, else both."""
+    first = F.when(F.col("left_again"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("off") - base + 1))
+    last = F.when(F.col("right_again"), F.col("n")).otherwise(F.least(F.col("n"), F.col("off") - length + 2 * base))
+    return [first.cast("int").alias("i0"), last.cast("int").alias("i1")]
+
+
+def open_kinds(open_: DataFrame, base: int, length: int) -> DataFrame:
+    """(run, key, anchor, i0, i1, weight): the distinct open runs, the text that tells each, the windows that can
+    be repeated since an anchor extended to twice its length is, and the number of occurrences (2 for more)."""
+    left = open_.groupBy("left").count().where("count > 1").select("left", F.lit(True).alias("left_again"))
+    right = open_.groupBy("right").count().where("count > 1").select("right", F.lit(True).alias("right_again"))
+    kinds = open_.groupBy("run").agg(
+        F.least(F.count(F.lit(1)), F.lit(2)).alias("weight"), F.min("key").alias("key"),
+        *[F.max(c).alias(c) for c in ("anchor", "n", "off", "left", "right")])
+    return kinds.join(left, "left", "left").join(right, "right", "left") \
+        .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("left_again", "right_again")}) \
+        .select("run", "key", "anchor", "weight", *_candidate_range(length, base)).where("i0 < i1")
+
+
 def per_text(spans: DataFrame, fields: list[str]) -> DataFrame:
     """(key, guard, parts): the distinct rows of each text; a text has no more of them than runs."""
     return spans.groupBy("key", "guard").agg(F.collect_set(F.struct(*fields)).alias("parts"))

@@ -33,17 +33,6 @@ def _items(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return T.word_hashes(data, starts, ends), rows
 
 
-def _candidate_range(length: int, base: int):
-    """First and past last window of a run that can be repeated, given which extended anchors are.
-
-    The window i of a run has its anchor ``off - i`` words in.  With fewer than ``base`` words before the
-    anchor it holds the right extension, with more than ``length - 2 * base`` words the left one, else both."""
-    right_only, left_only = base, length - 2 * base
-    first = F.when(F.col("left_again"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("off") - right_only + 1))
-    last = F.when(F.col("right_again"), F.col("n")).otherwise(F.least(F.col("n"), F.col("off") - left_only))
-    return first.cast("int").alias("i0"), last.cast("int").alias("i1")
-
-
 def _window_rows(length: int):
     """(text, parts) -> (hash, run, i, weight) of the candidate windows of the wanted runs."""
     out = arrow_schema("hash bigint, run bigint, i int, weight bigint")
@@ -109,18 +98,9 @@ def repeated_windows(docs: DataFrame, length: int, base: int) -> DataFrame:
     """(key, guard, pos, n, windows) of runs that hold repeated windows; ``windows`` is null for all n of them."""
     held = R.repeated_runs(docs, base, length, _items)  # level 9
     open_ = held.where(~F.col("pure"))
-    # level 18
-    left = open_.groupBy("left").count().where("count > 1").select("left", F.lit(True).alias("left_again"))
-    right = open_.groupBy("right").count().where("count > 1").select("right", F.lit(True).alias("right_again"))
-    kinds = open_.groupBy("run").agg(
-        F.count(F.lit(1)).alias("c"), F.min("key").alias("rep"),
-        *[F.max(c).alias(c) for c in ("n", "off", "left", "right")])
-    kinds = kinds.join(left, "left", "left").join(right, "right", "left") \
-        .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("left_again", "right_again")}) \
-        .select("run", "c", F.col("rep").alias("key"), *_candidate_range(length, base)).where("i0 < i1")
+    kinds = R.open_kinds(open_, base, length).drop("anchor")  # level 18
     # level 35: one text that has the run tells its windows
-    told = open_.select("key", "guard", "pos", "run").join(kinds, ["run", "key"]).select(
-        "key", "guard", "pos", "run", "i0", "i1", F.least("c", F.lit(2)).cast("bigint").alias("weight"))
+    told = open_.select("key", "guard", "pos", "run").join(kinds, ["run", "key"])
     wanted = materialize(R.per_text(told, ["run", "pos", "i0", "i1", "weight"]), "wanted")
     texts = R.BitFilter(wanted, "key").keep(docs, "key").join(wanted, ["key", "guard"])
     # a run told by several rows of one text, or in several batches, still counts once
