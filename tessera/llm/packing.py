@@ -10,6 +10,7 @@ pieces find their sequence by their rank among the pieces of their length.  Rank
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ from .tables import arrow_schema, materialize
 
 CAPACITY = 2048
 END_ID = 0
-#: distinct words whose ids a task remembers
-MEMORY_WORDS = 200_000
+#: the vocabulary's own split of a word into parts
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: distinct words and parts of words whose ids a task remembers
+MEMORY_WORDS = 400_000
 
 
 def default_vocabulary() -> str:
@@ -41,50 +45,97 @@ class _Places(dict):
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
+        self.new: list = []
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word) -> int:
         n = self[word] = len(self)
         self.new.append(word)
         return n
 
 
+class _Ragged:
+    """Growing lists of ids, one per entry."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.begin, self.count, self.entries = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.entries + len(sizes), self.used + len(flat)
+        while n > len(self.begin):
+            self.begin, self.count = np.append(self.begin, self.begin * 0), np.append(self.count, self.count * 0)
+        while m > len(self.flat):
+            self.flat = np.append(self.flat, self.flat * 0)
+        self.flat[self.used:m] = flat
+        self.begin[self.entries:n] = self.used + np.cumsum(sizes) - sizes
+        self.count[self.entries:n] = sizes
+        self.entries, self.used = n, m
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the entries ``at``, one after the other, their sizes)."""
+        count = self.count[at]
+        shift = self.begin[at] - (np.cumsum(count) - count)
+        return self.flat[np.repeat(shift, count) + np.arange(int(count.sum()))], count
+
+
 class WordIds:
     """Token ids of whole texts, put together from the ids of their white-space separated words.
 
-    The tokenizer drops white space and never joins across it, so each distinct word is encoded once."""
+    The tokenizer drops white space and never joins across it, nor across the parts its own pattern cuts a
+    word into: each distinct word is cut once, each distinct part encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cut = regex.compile(PARTS).findall
         self.forget()
 
     def forget(self) -> None:
-        self.place = _Places()
-        self.flat = np.zeros(1 << 16, np.int64)
-        self.begin = np.zeros(1 << 12, np.int64)
-        self.count = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.place, self.part = _Places(), _Places()
+        self.words, self.parts = _Ragged(), _Ragged()
+
+    def _by_position(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each text): a token belongs to the text its first character stands in."""
+        encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        place = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        at = np.searchsorted(place, [o[0] for o in encoded.offsets], "right") - 1
+        return np.array(encoded.ids, np.int32), np.bincount(at, minlength=len(texts))
+
+    def _learn_parts(self) -> None:
+        new, self.part.new = self.part.new, []
+        for i in range(0, len(new), 4096):
+            texts = new[i:i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.closing[ids]) + 1  # every part ends in one token that closes it
+            sizes = np.diff(ends, prepend=0)
+            if len(ends) != len(texts) or int(sizes.sum()) != len(ids):
+                ids, sizes = self._by_position(texts)
+            self.parts.extend(ids, sizes)
 
     def _learn(self) -> None:
         new, self.place.new = self.place.new, []
-        first = len(self.place) - len(new)
-        encoded = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(new))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.int64, int(sizes.sum()))
-        while len(self.place) > len(self.begin):
-            self.begin, self.count = np.append(self.begin, self.begin * 0), np.append(self.count, self.count * 0)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.append(self.flat, self.flat * 0)
-        self.flat[self.used:self.used + len(flat)] = flat
-        self.begin[first:len(self.place)] = self.used + np.cumsum(sizes) - sizes
-        self.count[first:len(self.place)] = sizes
-        self.used += len(flat)
+        for i in range(0, len(new), 4096):
+            texts = [w.decode() for w in new[i:i + 4096]]
+            joined = " ".join(texts)
+            plain = unicodedata.normalize("NFC", joined).lower().split(" ")
+            if "<|" in joined or len(plain) != len(texts):  # special tokens are not cut into parts
+                self.words.extend(*self._by_position(texts))
+                continue
+            cut = [self.cut(w) for w in plain]
+            count = np.fromiter(map(len, cut), np.int64, len(cut))
+            at = np.fromiter((self.part[p] for own in cut for p in own), np.int64, int(count.sum()))
+            if self.part.new:
+                self._learn_parts()
+            ids, sizes = self.parts.gather(at)
+            self.words.extend(ids, np.bincount(np.repeat(np.arange(len(cut)), count), sizes, len(cut)).astype(np.int64))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.place) > MEMORY_WORDS:
+        if len(self.place) + len(self.part) > MEMORY_WORDS:
             self.forget()
         place, found = self.place, []
         for text in texts:
@@ -92,13 +143,7 @@ class WordIds:
             found.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
         if place.new:
             self._learn()
-        return [self._ids(at) for at in found]
-
-    def _ids(self, at: np.ndarray) -> np.ndarray:
-        count = self.count[at]
-        total = int(count.sum())
-        shift = self.begin[at] - (np.cumsum(count) - count)
-        return self.flat[np.repeat(shift, count) + np.arange(total)]
+        return [self.words.gather(at)[0] for at in found]
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id",
@@ -113,8 +158,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         words = WordIds(path)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            many = (x for i in range(0, len(texts), 64) for x in words.encode(texts[i:i + 64]))
+            many = (x for i in range(0, len(batch), 64)
+                    for x in words.encode([t or "" for t in batch.column(1).slice(i, 64).to_pylist()]))
             for k, own in enumerate(many):
                 ids = np.append(own, END_ID).astype("<u4")
                 for p, s in enumerate(range(0, len(ids), capacity)):
