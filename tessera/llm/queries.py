@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, pii, quality, resample, simhash, substring, suffixes
+from . import chat, decontaminate, extract, packing, pii, quality, resample, simhash, substring, suffixes
 from .tables import read
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(read(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.digest(read(spark, sf_dir, "pages"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_suffix_array_dedup, op4_best_fit_packing, op5_chat_formatting, op6_benchmark_decontamination,
+    return {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_suffix_array_dedup, op4_best_fit_packing, op5_chat_formatting, op6_benchmark_decontamination,
                                      op7_quality_rules, op8_simhash_near_dedup, op9_personal_data,
                                      op10_importance_resampling)}
 
