@@ -237,3 +237,21 @@ def digest(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row per component: the smallest id, then the smallest text hash; equal rows are one.
+
+    Only ids, fingerprints and text hashes are grouped; the rows themselves are joined once."""
+    mark = ["_id", "_h"]
+    marked = docs.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(text_col)})
+    slim = marked.select(F.struct(*mark).alias("row"), F.col(text_col).alias("text"))
+    # the pair stands in for the id: smallest id first, rows without id last
+    ordered = slim.select(F.struct(F.col("row._id").isNull().alias("none"), F.col("row._id").alias("_id"),
+                                   F.col("row._h").alias("_h")).alias("doc"), "text")
+    groups = near_duplicates(ordered, "doc", "text", shingle, max_bits)
+    first = groups.select(F.col("component").alias("c")).distinct().select(F.col("c._id").alias("_id2"), F.col("c._h").alias("_h2"))
+    kept = marked.join(first, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left_semi")
+    # rows equal in id and text: keep one of them
+    return kept.dropDuplicates(mark).drop(*mark)
