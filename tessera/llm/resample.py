@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .repeats import BitFilter
 from .tables import arrow_schema, materialize
 
 BUCKETS = 1 << 18
@@ -34,38 +35,39 @@ def _features(data: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndar
     return (np.concatenate([h, pairs]) % np.uint64(buckets)).astype(np.int64), np.concatenate([row, pair_row])
 
 
-def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, target): counts over all rows of (text, target), summed per task before the shuffle."""
-    schema = "bucket bigint, raw bigint, target bigint"
+def ngram_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n): n-grams of all rows of the column ``text``, summed per task before they are shuffled."""
+    schema = "bucket bigint, n bigint"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        n = np.zeros(buckets, np.int64)
         for batch in batches:
             data, offs = T.string_bytes(batch.column(0))
-            chosen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in T.blocks(offs):
-                bucket, row = _features(data[offs[a]:offs[b]], offs[a:b + 1] - offs[a], buckets)
-                raw += np.bincount(bucket, minlength=buckets)
-                target += np.bincount(bucket[chosen[a + row]], minlength=buckets)
-        used = np.flatnonzero(raw)
+                bucket, _ = _features(data[offs[a]:offs[b]], offs[a:b + 1] - offs[a], buckets)
+                n += np.bincount(bucket, minlength=buckets)
+        used = np.flatnonzero(n)
         for i in range(0, len(used), 1 << 16):
             k = used[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(raw[k]), pa.array(target[k])], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], schema=out)
 
-    return docs.select("text", "target").mapInArrow(run, schema) \
-        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return texts.select("text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def log_ratio(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log p_target - log p_raw of each bucket; at most ``buckets`` rows reach the driver."""
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    table = counts.toPandas()
-    raw[table.bucket], target[table.bucket] = table.raw, table.target
-    if not target.sum():
+def _vector(counts: DataFrame, buckets: int) -> np.ndarray:
+    table = counts.toPandas()  # at most ``buckets`` rows
+    out = np.zeros(buckets)
+    out[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(float)
+    return out
+
+
+def log_ratio(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
+    """log p_target - log p_raw of each bucket; zeros without target text."""
+    t, r = _vector(target, buckets), _vector(raw, buckets)
+    if not t.sum():
         return np.zeros(buckets)
-    return np.log((target + smoothing) / (target.sum() + smoothing * buckets)) \
-        - np.log((raw + smoothing) / (raw.sum() + smoothing * buckets))
+    return np.log((t + smoothing) / (t.sum() + smoothing * buckets)) - np.log((r + smoothing) / (r.sum() + smoothing * buckets))
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,10 +129,11 @@ def resample(docs: DataFrame, target: DataFrame, k: int | None = None, share: fl
     ``docs`` has doc_id and text, ``target`` the doc_ids of the target documents (nulls and repeats there do
     not count).  Null and empty texts have weight 0 and can be drawn; equal rows draw the same noise and share
     their fate but for ties at the end.  Without target documents all weights are 0."""
-    wanted = target.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left") \
-        .select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    ratio = log_ratio(ngram_counts(marked, buckets), buckets, smoothing)
+    wanted = target.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
+    # only texts that may be of the target are shuffled; a merge at every size, so that the plan does not turn with it
+    could = BitFilter(wanted, "_id").keep(docs.select("doc_id", "text"), "doc_id")
+    of_target = could.join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"))
+    ratio = log_ratio(ngram_counts(docs, buckets), ngram_counts(of_target, buckets), buckets, smoothing)
     uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     scored = materialize(log_weights(docs, ratio).withColumn("draw", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     n = scored.count()
