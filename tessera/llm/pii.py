@@ -22,7 +22,7 @@ KINDS = ("email", "ip", "card", "phone", "id", "secret")
 # The contract's patterns, written so that no start inside a run is tried in vain and no digit run recurses.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
-CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # shorter runs hold no card
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])?"
 IP_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"

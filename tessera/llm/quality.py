@@ -49,9 +49,8 @@ def lines(text: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
-    """Hash of a normalised line: lower case, white space collapsed, digit runs alike."""
-    plain = F.regexp_replace(F.btrim(F.lower(line), F.lit(SPACE)), SPACES, " ")
-    return F.xxhash64(F.regexp_replace(plain, "[0-9]+", "0"))
+    """Hash of a normalised line: lower case, white space collapsed."""
+    return F.xxhash64(F.regexp_replace(F.btrim(F.lower(line), F.lit(SPACE)), SPACES, " "))
 
 
 def repeat_words(own: Column, window: int = REPEAT_WINDOW) -> Column:
@@ -170,12 +169,12 @@ win AS (SELECT uid, i, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, l
 hit AS (SELECT uid, i, count(*) OVER (PARTITION BY uid, k) AS n FROM win WHERE whole),
 cov AS (SELECT uid, count(DISTINCT i + d) AS n FROM hit, range(5) r(d) WHERE hit.n > 1 GROUP BY uid),
 norm AS (SELECT uid, source, text, unnest(ls) AS l FROM w),
-nl AS (SELECT DISTINCT uid, source, text, regexp_replace(regexp_replace(trim(lower(l), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g') AS l FROM norm),
+nl AS (SELECT DISTINCT uid, source, text, regexp_replace(trim(lower(l), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\x20\x09-\x0D]+', ' ', 'g') AS l FROM norm),
 hosts AS (SELECT source, count(DISTINCT text) AS size FROM t GROUP BY source),
 freq AS (SELECT nl.source, l FROM nl JOIN hosts ON hosts.source IS NOT DISTINCT FROM nl.source
          GROUP BY nl.source, l HAVING count(DISTINCT text) >= 100 AND count(DISTINCT text) > 0.05 * max(size)),
 gone AS (SELECT uid, sum(len(regexp_extract_all(n.l, '[^\x20\x09-\x0D]+'))) AS n FROM norm n JOIN freq f
-         ON f.source IS NOT DISTINCT FROM n.source AND f.l = regexp_replace(regexp_replace(trim(lower(n.l), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g') GROUP BY uid),
+         ON f.source IS NOT DISTINCT FROM n.source AND f.l = regexp_replace(trim(lower(n.l), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\x20\x09-\x0D]+', ' ', 'g') GROUP BY uid),
 m AS (SELECT doc_id, len(w) AS n_words,
              length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,

@@ -245,13 +245,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Only ids, fingerprints and text hashes are grouped; the rows themselves are joined once."""
     mark = ["_id", "_h"]
-    marked = docs.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(text_col)})
-    slim = marked.select(F.struct(*mark).alias("row"), F.col(text_col).alias("text"))
-    # the pair stands in for the id: smallest id first, rows without id last
-    ordered = slim.select(F.struct(F.col("row._id").isNull().alias("none"), F.col("row._id").alias("_id"),
-                                   F.col("row._h").alias("_h")).alias("doc"), "text")
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"),
+                         F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
+    # (id, hash) stands in for the id: smallest id first, rows without id last
+    ordered = marked.select(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h").alias("doc"), F.col("_text").alias("text"))
     groups = near_duplicates(ordered, "doc", "text", shingle, max_bits)
     first = groups.select(F.col("component").alias("c")).distinct().select(F.col("c._id").alias("_id2"), F.col("c._h").alias("_h2"))
-    kept = marked.join(first, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left_semi")
+    kept = marked.drop("_text").join(first, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left_semi")
     # rows equal in id and text: keep one of them
-    return kept.dropDuplicates(mark).drop(*mark)
+    return kept.dropDuplicates(mark).select("_row.*")
