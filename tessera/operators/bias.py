@@ -79,9 +79,16 @@ def fit(train: DataFrame, label: str, factors: Sequence[str], lambdas: Sequence[
         keep = [c for c in cur.columns if not c.startswith("_r")]
         prev = (lambda i: F.col(label) - F.lit(mu)) if stage == 0 else (lambda i: F.col(f"_r{i}"))
         cur = joined.select(*keep, *[(prev(i) - F.col(model.coef(f, i))).alias(f"_r{i}") for i in range(n_l)])
+        # the residuals are read twice from here on (next sums, next residuals): written once per stage
+        cur = materialize(cur, "bias-residual")
     return model
 
 
+def prefix(model: BiasModel, k: int) -> BiasModel:
+    """The model of the first k factors: stages are fitted in order, so they are the same."""
+    return BiasModel(model.mu, model.factors[:k], model.lambdas, model.tables)
+
+
 def predict(model: BiasModel, df: DataFrame, prefix: str = "pred", fill_unseen: bool = False) -> DataFrame:
     """One prediction column per lambda: mu + sum of the biases.  A key unseen in training
     makes the prediction NULL (R's NA; counted by ``metrics.rmse``), or adds 0 with

@@ -65,8 +65,8 @@ def factor_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def decode_lookup(df: DataFrame, column: str, mapping: DataFrame, code: str, label: str) -> DataFrame:
-    """Replace coded values by labels through a (small, broadcast) lookup table."""
-    return df.join(F.broadcast(mapping.select(F.col(code).alias(column), label)), column, "left")
+    """Replace coded values by labels through a lookup table of any size (the planner picks the join)."""
+    return df.join(mapping.select(F.col(code).alias(column), label), column, "left")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

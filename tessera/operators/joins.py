@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast, NULL-safe keys and integrity audits."""
+"""Join helpers: NULL-safe keys and integrity audits."""
 
 from __future__ import annotations
 
@@ -7,20 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a dimension may hold and still be broadcast to every task.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the side really has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the join
-    stays a shuffle join (AQE may still pick broadcast from runtime sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join where NULL keys match NULL keys (dplyr's default); keys appear once."""
     r = right

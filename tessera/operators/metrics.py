@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,12 @@ def accuracy(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> Da
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str, classes=(0, 1)) -> DataFrame:
-    """Rows: actual class; columns pred_<c>; zero-filled."""
-    return df.groupBy(F.col(label).alias("actual")).pivot(pred, list(classes)).count() \
+    """Rows: actual class, one for every class even without rows; columns pred_<c>; zero-filled."""
+    counts = df.groupBy(F.col(label).alias("actual")).pivot(pred, list(classes)).count()
+    kind = df.schema[label].dataType
+    absent = df.sparkSession.createDataFrame([(str(c),) for c in classes], "actual string") \
+        .select(F.col("actual").cast(kind).alias("actual")).join(counts.select("actual"), "actual", "left_anti")
+    return counts.unionByName(absent, allowMissingColumns=True) \
         .select("actual", *[F.coalesce(F.col(str(c)), F.lit(0)).cast("bigint").alias(f"pred_{c}") for c in classes])
 
 
@@ -53,7 +57,6 @@ def classification_report(df: DataFrame, label: str, pred: str, classes=(0, 1))
         rows.append(F.struct(F.lit(str(c)).alias("class"), p.alias("precision"), r.alias("recall"),
                              f1.alias("f1"), F.col(f"ap{c}").alias("support")))
     per = row.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-    total = F.sum("support").over(Window.partitionBy())
     summary = per.agg(
         F.struct(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
                  F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.sum("support").alias("support")).alias("m"),
@@ -62,7 +65,6 @@ def classification_report(df: DataFrame, label: str, pred: str, classes=(0, 1))
                  (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("recall"),
                  (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1"),
                  F.sum("support").alias("support")).alias("w"))
-    _ = total
     return per.unionByName(summary.select("m.*")).unionByName(summary.select("w.*"))
 
 

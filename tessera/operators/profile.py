@@ -9,10 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-# Distinct (group, value) pairs up to which quantiles are read off a value histogram.
-HISTOGRAM_QUANTILE_ROWS = 200_000
+from .joins import join_nullsafe
 
 
 def _interpolate(out: DataFrame, g: list, names: list, n_probs: int) -> DataFrame:
@@ -25,40 +24,36 @@ def _interpolate(out: DataFrame, g: list, names: list, n_probs: int) -> DataFram
     return out.select(*g, *res)
 
 
+def value_histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., _v, _c): rows per group and value, written once; a value repeated in a third of all rows is one row."""
+    from ..session import materialize
+    base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    return materialize(base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "value-hist")
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, hist: DataFrame | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (as ``percentile`` / ``quantile_cont``)
     per group, without gathering a group's values in one task.
 
-    The values are first counted per (group, value): a value repeated in a third of all
-    rows becomes one histogram row.  The rank interval each value covers then follows
-    from cumulative counts – a window per group when the histogram is small (checked by
-    reading at most ``HISTOGRAM_QUANTILE_ROWS + 1`` of its rows), otherwise the
-    range-partitioned prefix sum over the histogram, whose keys are unique – and only
-    the values at the interpolation positions floor/ceil(p (n - 1)) are aggregated.
-    One row per group is returned with one column per probability."""
+    The rank interval each value of the histogram covers follows from the range-partitioned
+    prefix sum over the histogram, whose keys are unique, and only the values at the
+    interpolation positions floor/ceil(p (n - 1)) are aggregated.  One row per group (NULL is
+    a group) is returned with one column per probability."""
     from .windows import global_cumsum
     g = list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    base = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    hist = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    if hist.limit(HISTOGRAM_QUANTILE_ROWS + 1).count() <= HISTOGRAM_QUANTILE_ROWS:
-        w = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        h = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*g)))
+    hist = value_histogram(df, value, g) if hist is None else hist
+    cum = global_cumsum(hist, [*[F.col(c).asc_nulls_first() for c in g], F.col("_v")], ["_c"], prefix="_all_")
+    if g:
+        sizes = hist.groupBy(*g).agg(F.sum("_c").alias("_n"))
+        prior = Window.orderBy(*[F.col(c).asc_nulls_first() for c in g]).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0)))  # one row per group
+        h = join_nullsafe(cum, sizes, g, "inner")
     else:
-        from ..session import materialize
-        hist = materialize(hist, "value-hist")
-        cum = global_cumsum(hist, [*[F.col(c).asc_nulls_first() for c in g], F.col("_v")], ["_c"], prefix="_all_")
-        if g:
-            sizes = hist.groupBy(*g).agg(F.sum("_c").alias("_n"))
-            prior = Window.orderBy(*[F.col(c).asc_nulls_first() for c in g]).rowsBetween(Window.unboundedPreceding, -1)
-            sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0)))  # one row per group
-            cond = [cum[c].eqNullSafe(sizes[c]) for c in g]
-            h = cum.join(F.broadcast(sizes), cond).select(*[cum[c] for c in g], "_v", "_c", "_all__c", "_n", "_off")
-        else:
-            total = hist.agg(F.sum("_c")).first()[0]
-            h = cum.withColumn("_n", F.lit(total)).withColumn("_off", F.lit(0))
-        h = h.withColumn("_cum", F.col("_all__c") - F.col("_off"))
+        total = hist.agg(F.sum("_c")).first()[0]
+        h = cum.withColumn("_n", F.lit(total)).withColumn("_off", F.lit(0))
+    h = h.withColumn("_cum", F.col("_all__c") - F.col("_off"))
     aggs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
@@ -71,7 +66,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One pass: NULL (and NaN) count per column, returned long: column_name, null_count."""
     cols = list(columns or df.columns)
-    wide = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(c) for c in cols])
+    real = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    missing = {c: F.col(c).isNull() | F.isnan(c) if c in real else F.col(c).isNull() for c in cols}
+    wide = df.agg(*[F.sum(missing[c].cast("bigint")).alias(c) for c in cols])
     return wide.unpivot([], cols, "column_name", "null_count") \
         .select("column_name", F.coalesce("null_count", F.lit(0)).cast("bigint").alias("null_count"))
 
@@ -126,48 +123,56 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = ()
             *by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"))
     else:
         spine = spark.range(bins).withColumnRenamed("id", "bin")
-    out = spine.join(counts, ["bin", *by], "left")
+    out = join_nullsafe(spine, counts, ["bin", *by], "left")
     return out.select("bin", *by, (F.lit(float(lo)) + F.col("bin") * F.lit(width)).alias("bin_lo"),
                       (F.lit(float(lo)) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
                       F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], scale: int = 6) -> DataFrame:
-    """Quartiles (linear interpolation), 1.5 IQR whiskers and outlier count per group."""
-    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
+    """Quartiles (linear interpolation), 1.5 IQR whiskers and outlier count per group (NULL is a group).
+
+    All of it is read off the (group, value) histogram; the rows are not joined again."""
+    hist = value_histogram(df, value, by)
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"], hist=hist)
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
         .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = df.select(*by, value).join(q, list(by))
-    inside = (F.col(value) >= F.col("lo_fence")) & (F.col(value) <= F.col("hi_fence"))
+    j = join_nullsafe(hist, q, by, "inner")
+    inside = (F.col("_v") >= F.col("lo_fence")) & (F.col("_v") <= F.col("hi_fence"))
     agg = j.groupBy(*by, "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col(value))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col(value))).alias("whisker_hi"),
-        F.sum((~inside).cast("bigint")).alias("outliers"),
-        F.count(F.lit(1)).cast("bigint").alias("n"))
-    return agg.select(*by, *[F.round(c, scale).cast("double").alias(c)
-                             for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
-                      F.col("outliers").cast("bigint").alias("outliers"), "n")
+        F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"), F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("outliers"))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return join_nullsafe(agg, sizes, by, "inner").select(
+        *by, *[F.round(c, scale).cast("double").alias(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
+        F.col("outliers").cast("bigint").alias("outliers"), "n")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:
     """Pearson correlations of every column pair, long form (var1, var2, value) – the
     melted matrix.
 
-    One aggregate pass over the data (sample covariance per pair, sample sd per column)
-    returns a single row of k(k+1)/2 numbers; the k x k cells are assembled from that
-    row, like MLlib's ``Correlation`` returns its matrix, and rounded in Spark.  A
-    constant column has no correlation: NULL (R's NA; ANSI ``corr`` would fail with a
-    division by zero)."""
+    A pair's covariance and deviations are over the rows where both columns have a value.
+    One aggregate counts the missing values per column; a second one returns a single row of
+    covariances and deviations (a column without missing values needs one deviation for all
+    its pairs), and the k x k cells are assembled from that row.  A constant column has no
+    correlation: NULL (R's NA; ANSI ``corr`` would fail with a division by zero)."""
     cols = list(columns)
     idx = {c: i for i, c in enumerate(cols)}
-    row = df.agg(*[F.stddev_samp(c).alias(f"s{idx[c]}") for c in cols],
-                 *[F.covar_samp(a, b).alias(f"c{idx[a]}_{idx[b]}") for i, a in enumerate(cols) for b in cols[i + 1:]]
-                 ).first()
+    gaps = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(c) for c in cols]).first()
+    sd, aggs = {}, []  # (i, j): name of the deviation of column i over the rows where j has a value
+    for a in cols:
+        for b in cols:
+            name = f"s{idx[a]}_{idx[b]}" if gaps[b] and a != b else f"s{idx[a]}"
+            if name not in sd.values():
+                aggs.append(F.stddev_samp(F.when(F.col(b).isNotNull(), F.col(a)) if "_" in name else F.col(a)).alias(name))
+            sd[idx[a], idx[b]] = name
+    row = df.agg(*aggs, *[F.covar_samp(a, b).alias(f"c{idx[a]}_{idx[b]}") for i, a in enumerate(cols) for b in cols[i + 1:]]).first()
     cells = []
     for a in cols:
         for b in cols:
             i, j = idx[a], idx[b]
-            si, sj = row[f"s{i}"], row[f"s{j}"]
+            si, sj = row[sd[i, j]], row[sd[j, i]]
             cov = si * si if i == j and si is not None else row[f"c{min(i, j)}_{max(i, j)}"] if i != j else None
             ok = si is not None and sj is not None and cov is not None and si > 0 and sj > 0
             cells.append((a, b, cov / (si * sj) if ok else None))
@@ -223,7 +228,7 @@ def kde_by_group(df: DataFrame, value: str, by: str, points: int = 64, pad_bandw
     stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))) \
         .withColumn("_g0", F.col("_lo") - pad_bandwidths * F.col("_h")) \
         .withColumn("_step", (F.col("_hi") + pad_bandwidths * F.col("_h") - F.col("_g0")) / (points - 1))
-    j = df.select(by, value).join(F.broadcast(stats), by)  # one row per group: bounded
+    j = join_nullsafe(df.select(by, value), stats, [by], "inner")
     terms = j.select(by, "_n", "_h", "_g0", "_step",
                      F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
                                               lambda i: F.exp(-F.pow((F.col("_g0") + i * F.col("_step") - F.col(value))

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_nullsafe
 
 
 def hash_key(seed: int, keys: Sequence[str]) -> Column:
@@ -24,17 +25,16 @@ def hash_key(seed: int, keys: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-# Target rows per hash bucket, and the range of hex digits used for the bucket key.
+# Target rows per hash bucket.
 BUCKET_TARGET_ROWS = 50_000
-MAX_BUCKET_DIGITS = 6
 
 
 def bucket_digits(n_rows: int) -> int:
     """Hex digits of the hash that give buckets of about ``BUCKET_TARGET_ROWS`` rows
-    (1 digit = 16 buckets per stratum ... 6 digits = 16.7 million)."""
+    (1 digit = 16 buckets per stratum, 2 digits = 256, and so on)."""
     if n_rows <= BUCKET_TARGET_ROWS:
         return 1
-    return max(1, min(MAX_BUCKET_DIGITS, math.ceil(math.log(n_rows / BUCKET_TARGET_ROWS, 16))))
+    return max(1, math.ceil(math.log(n_rows / BUCKET_TARGET_ROWS, 16)))
 
 
 def hash_rank(df: DataFrame, seed: int, keys: Sequence[str], strata: Sequence[str] = (), name: str = "hrank",
@@ -118,33 +118,23 @@ def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int = 42) -
     """Random over-sampling with replacement until every class has the majority count.
 
     Extra row j (0-based) of a class with n rows copies the class row whose in-class rank
-    is 1 + md5(seed|label|j) mod n.  The extra indices come from a distributed
-    ``spark.range`` over all deficits (mapped to (class, j) with the per-class offsets –
-    one row per class), and the copies are an equi-join on (class, rank): no class is
-    generated or gathered in one task, and there is no cross join."""
+    is 1 + md5(seed|label|j) mod n.  The deficits stay a table with one row per class; their
+    indices are made in chunks that are spread over the tasks, and the copies are an equi-join
+    on (class, rank): no class is generated or gathered in one task, there is no cross join,
+    and any number of classes will do."""
     ranked = hash_rank(df, seed, keys, [label], name="_rk", size_name="_n")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).collect()  # one row per class
-    target = max((r["_n"] for r in counts), default=0)
-    deficits = sorted(((r[label], r["_n"], target - r["_n"]) for r in counts if r["_n"] < target),
-                      key=lambda t: (t[0] is None, t[0]))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_cn"))
+    target = counts.agg(F.max("_cn")).first()[0] or 0
     originals = ranked.drop("_rk", "_n").withColumn("copy_index", F.lit(None).cast("int"))
-    if not deficits:
-        return originals
-    spark = df.sparkSession
-    total = sum(d for _, _, d in deficits)
-    label_type = df.schema[label].dataType
-    cls, size, start, acc = None, None, None, 0
-    for value, n, d in deficits:
-        hit = F.col("id") < acc + d
-        cls = (F.when(hit, F.lit(value).cast(label_type)) if cls is None else cls.when(hit, F.lit(value).cast(label_type)))
-        size = F.when(hit, F.lit(n)) if size is None else size.when(hit, F.lit(n))
-        start = F.when(hit, F.lit(acc)) if start is None else start.when(hit, F.lit(acc))
-        acc += d
-    extra = spark.range(total).select(cls.alias(label), size.alias("_cn"), (F.col("id") - start).alias("_j"))
+    chunk = 10_000
+    missing = counts.where(F.col("_cn") < target).withColumn("_d", F.lit(target) - F.col("_cn"))
+    chunks = missing.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_d") - 1, F.lit(chunk).cast("bigint")))) \
+        .repartition(label, "_from")
+    extra = chunks.withColumn("_j", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.col("_d")) - 1)))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(label).cast("string"),
                                                 F.col("_j").cast("string"))), 1, 15), 16, 10).cast("decimal(20,0)")
     extra = extra.withColumn("_rk", (F.pmod(pick, F.col("_cn")) + 1).cast("bigint")).select(label, "_rk", "_j")
-    copies = ranked.join(extra, [label, "_rk"]).drop("_rk", "_n") \
+    copies = join_nullsafe(ranked, extra, [label, "_rk"], "inner").drop("_rk", "_n") \
         .withColumn("copy_index", F.col("_j").cast("int")).drop("_j")
     return originals.unionByName(copies)
 

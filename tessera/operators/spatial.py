@@ -3,8 +3,8 @@
 Joins prune candidates with a grid: each polygon (bounding box, grown by the search
 distance) lists the cells it covers, each point falls in one cell, and the two meet
 in an equi-join on the cell – no cross product.  The exact predicate then runs as a
-column expression.  The polygon-cell table is broadcast only after a size check;
-beyond it the join shuffles on the cell and AQE splits a hot cell.
+column expression.  No side is hinted: the planner and AQE size them (rings can be large),
+and AQE splits a hot cell of a shuffled join.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from .joins import small_side
 
 # Default grid cell: 500 milli-degrees (about 55 km) on each side.
 CELL_MD = 500
@@ -28,6 +27,14 @@ def _cells_between(lo: Column, hi: Column, cell: int) -> Column:
     return F.sequence(F.floor(lo / cell).cast("bigint"), F.floor(hi / cell).cast("bigint"))
 
 
+def _wrapped_cells(lo: Column, hi: Column, cell: int) -> Column:
+    """Cells between two longitudes (milli-degrees), continued across the 180th meridian."""
+    over = F.when(hi > 180_000, _cells_between(F.lit(-180_000.0), hi - 360_000, cell))
+    under = F.when(lo < -180_000, _cells_between(lo + 360_000, F.lit(180_000.0), cell))
+    none = F.expr("cast(array() as array<bigint>)")
+    return F.array_distinct(F.concat(_cells_between(lo, hi, cell), F.coalesce(over, none), F.coalesce(under, none)))
+
+
 def polygon_cells(polys: DataFrame, ring: str = "ring", cell: int = CELL_MD, pad_x: Column | float = 0.0,
                   pad_y: Column | float = 0.0) -> DataFrame:
     """Polygons exploded to the grid cells their (padded) bounding box covers."""
@@ -44,7 +51,7 @@ def point_cells(points: DataFrame, x: str, y: str, cell: int = CELL_MD) -> DataF
 
 
 def _cell_pairs(poly_cells: DataFrame, pts: DataFrame) -> DataFrame:
-    return pts.join(small_side(poly_cells), ["_cx", "_cy"]).drop("_cx", "_cy")
+    return pts.join(poly_cells, ["_cx", "_cy"]).drop("_cx", "_cy")
 
 
 def contains_join(polys: DataFrame, points: DataFrame, x: str = "x_md", y: str = "y_md", ring: str = "ring",
@@ -78,12 +85,13 @@ def within_distance_points(a: DataFrame, b: DataFrame, km: float, ax: str, ay: s
     """Pairs of points within ``km`` (great circle, or WGS-84 geodesic when ``ellipsoidal``).
     Side ``a`` is spread over the cells its search box touches, side ``b`` sits in one
     cell; the exact distance filters the candidates.  The search box is padded by 1 %
-    so the ellipsoid's slightly longer degrees cannot drop a pair."""
+    so the ellipsoid's slightly longer degrees cannot drop a pair; a box that crosses the
+    180th meridian goes on at the other side."""
     max_lat = a.agg(F.max(F.abs(F.col(ay)))).first()[0] or 0
-    px, py = 1.01 * _lon_pad_md(km, max_lat), 1.01 * _lat_pad_md(km)
-    ac = a.withColumn("_cx", F.explode(_cells_between(F.col(ax) - px, F.col(ax) + px, cell))) \
+    px, py = min(1.01 * _lon_pad_md(km, max_lat), 179_999.0), 1.01 * _lat_pad_md(km)
+    ac = a.withColumn("_cx", F.explode(_wrapped_cells(F.col(ax) - px, F.col(ax) + px, cell))) \
         .withColumn("_cy", F.explode(_cells_between(F.col(ay) - py, F.col(ay) + py, cell)))
-    pairs = point_cells(b, bx, by, cell).join(small_side(ac), ["_cx", "_cy"]).drop("_cx", "_cy")
+    pairs = point_cells(b, bx, by, cell).join(ac, ["_cx", "_cy"]).drop("_cx", "_cy")
     dist = G.andoyer_lambert_km(ax, ay, bx, by) if ellipsoidal else G.haversine_km(ax, ay, bx, by)
     return pairs.withColumn("distance_km", dist).where(F.col("distance_km") <= km)
 
@@ -124,13 +132,28 @@ def _monotone_chain(xs, ys):
     return lower[:-1] + upper[:-1]
 
 
+def _hull_rows(group: int, xs, ys) -> pd.DataFrame:
+    h = _monotone_chain(xs, ys)
+    return pd.DataFrame({"g": [group] * len(h), "x": [p[0] for p in h], "y": [p[1] for p in h]}).astype(
+        {"g": "int64", "x": "float64", "y": "float64"})
+
+
 def _partial_hulls(batches):
-    xs, ys = [], []
+    """One hull per task, carried from batch to batch: a task holds a batch and a hull."""
+    hull, group = [], 0
     for b in batches:
-        xs.extend(b["x"].tolist())
-        ys.extend(b["y"].tolist())
-    h = _monotone_chain(xs, ys)
-    yield pd.DataFrame({"x": [p[0] for p in h], "y": [p[1] for p in h]}, dtype="float64")
+        if len(b):
+            group = int(b["g"].iloc[0])
+            hull = _monotone_chain([p[0] for p in hull] + b["x"].tolist(), [p[1] for p in hull] + b["y"].tolist())
+    yield _hull_rows(group, [p[0] for p in hull], [p[1] for p in hull])
+
+
+def _merged_hull(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+    return _hull_rows(int(key[0]), df["x"].tolist(), df["y"].tolist())
+
+
+# Groups of partial hulls after each merge step; the last step joins at most 8 hulls.
+HULL_STEPS = (512, 64, 8, 1)
 
 
 def convex_hull(points: DataFrame, x: str, y: str) -> DataFrame:
@@ -141,8 +164,8 @@ def convex_hull(points: DataFrame, x: str, y: str) -> DataFrame:
        octagon; points strictly inside it cannot be hull vertices and are dropped by a
        column filter.
     2. Each partition reduces its survivors to their hull (Arrow batches).
-    3. The hull of the partial hulls – a set bounded by partitions x hull size – is
-       computed once; hull(A ∪ B) = hull(hull(A) ∪ hull(B)).
+    3. Partial hulls are merged in groups over a few shuffles, 8 to one at each step;
+       hull(A ∪ B) = hull(hull(A) ∪ hull(B)).
     """
     p = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     dirs = {"a": F.col("x"), "b": F.col("y"), "c": F.col("x") + F.col("y"), "d": F.col("x") - F.col("y")}
@@ -162,18 +185,19 @@ def convex_hull(points: DataFrame, x: str, y: str) -> DataFrame:
             left = (F.lit(bx - ax) * (F.col("y") - ay) - F.lit(by - ay) * (F.col("x") - ax)) > 0
             inside = left if inside is None else inside & left
         cand = p.where(~inside)
-    partial = cand.mapInPandas(_partial_hulls, "x double, y double")
-    final = partial.coalesce(1).mapInPandas(_partial_hulls, "x double, y double")
-    idx = final.mapInPandas(_number_vertices, "vertex_index bigint, x double, y double")
-    return idx
-
-
-def _number_vertices(batches):
-    frames = [b for b in batches]
-    df = pd.concat(frames) if frames else pd.DataFrame({"x": [], "y": []})
-    df = df.reset_index(drop=True)
-    df.insert(0, "vertex_index", range(len(df)))
-    yield df.astype({"vertex_index": "int64"})
+    part = "g bigint, x double, y double"
+    hulls = cand.withColumn("g", F.spark_partition_id().cast("bigint")).select("g", "x", "y").mapInPandas(_partial_hulls, part)
+    for n in HULL_STEPS:
+        hulls = hulls.withColumn("g", F.pmod("g", F.lit(n))).groupBy("g").applyInPandas(
+            _merged_hull, part)
+    # one group is left and its rows are in hull order: the vertex number is the place in it
+    return hulls.groupBy("g").applyInPandas(_number_vertices, "vertex_index bigint, x double, y double")
+
+
+def _number_vertices(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+    h = _monotone_chain(df["x"].tolist(), df["y"].tolist())
+    return pd.DataFrame({"vertex_index": range(len(h)), "x": [p[0] for p in h], "y": [p[1] for p in h]}).astype(
+        {"vertex_index": "int64", "x": "float64", "y": "float64"})
 
 
 # ---- clipping -----------------------------------------------------------------------------

@@ -19,13 +19,8 @@ def _cols(cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-# Rows up to which a single-task window is the cheaper way to number a table.
-SMALL_TABLE_ROWS = 100_000
-
-
 def global_row_number(df: DataFrame, order: Sequence, name: str = "row_number",
-                      num_partitions: int | None = None, with_total: str | None = None,
-                      small_rows: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, with_total: str | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order`` (must be a total order).
 
     The rows are range-partitioned on the sort key and written once, with their range
@@ -34,20 +29,11 @@ def global_row_number(df: DataFrame, order: Sequence, name: str = "row_number",
     evaluations of a range shuffle need not agree once the optimiser pushes different
     filters into them).  Cost: a sampling pass, one range shuffle written once, one
     shuffle + local sort by partition id, and a table with one row per partition.  No
-    step holds more than one range of rows.
-
-    A table of at most ``small_rows`` rows (checked by reading at most one row more) is
-    numbered by a single window task instead.
+    step holds more than one range of rows.  One path for every size.
     """
     from ..session import materialize
     spark = df.sparkSession
     ocols = _cols(order)
-    limit = SMALL_TABLE_ROWS if small_rows is None else small_rows
-    if limit > 0 and df.limit(limit + 1).count() <= limit:
-        out = df.withColumn(name, F.row_number().over(Window.orderBy(*ocols)).cast("bigint"))
-        if with_total:
-            out = out.withColumn(with_total, F.count(F.lit(1)).over(Window.partitionBy()).cast("bigint"))
-        return out
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(df.repartitionByRange(n_parts, *ocols).withColumn("_pid", F.spark_partition_id()),
                          "ranged")
@@ -65,19 +51,14 @@ def global_row_number(df: DataFrame, order: Sequence, name: str = "row_number",
     return out.drop("_pid", "_lrn", "_off", "_total")
 
 
-def global_cumsum(df: DataFrame, order: Sequence, values: Sequence[str], prefix: str = "cum_",
-                  small_rows: int | None = None) -> DataFrame:
+def global_cumsum(df: DataFrame, order: Sequence, values: Sequence[str], prefix: str = "cum_") -> DataFrame:
     """Running sums of ``values`` over the total order ``order`` (rows up to and including
-    the current one), without a single-task window on large inputs: range-partition on
+    the current one), without a single-task window: range-partition on
     the order, write once with the partition id, running sums inside each partition,
     plus the totals of all earlier partitions (one row per partition, broadcast)."""
     from ..session import materialize
     ocols = _cols(order)
     vals = list(values)
-    limit = SMALL_TABLE_ROWS if small_rows is None else small_rows
-    upto = Window.orderBy(*ocols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if limit > 0 and df.limit(limit + 1).count() <= limit:
-        return df.select("*", *[F.sum(v).over(upto).alias(f"{prefix}{v}") for v in vals])
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(df.repartitionByRange(n_parts, *ocols).withColumn("_pid", F.spark_partition_id()), "ranged")
     local_w = Window.partitionBy("_pid").orderBy(*ocols).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -353,7 +353,6 @@ def q_pk_audit(spark, sf_dir):
     return pk_audit(deliveries_raw(spark, sf_dir), ["id"]).withColumn("n", F.col("n").cast("bigint"))
 
 
-_ = T  # types used by callers through this module's namespace
 
 
 @register("haversine", dsql(f"SELECT row_id, round({HAV} * 1000.0, 3) AS distance_m FROM deliveries_raw"))

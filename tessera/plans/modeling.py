@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cleaning import binarize_target, zscore_filter
 from ..operators.sampling import oversample, split_random, split_stratified
-from ..session import scratch_path
+from ..session import cache, folder_state, scratch_path
 from ..sources.fixtures import SEED, fixture
 
 WINE_FEATURES = [f"f{i}" for i in range(1, 12)]
@@ -58,7 +58,7 @@ class WineSets:
 
 
 _LOCK = threading.Lock()
-_CACHE: dict[tuple, object] = {}
+_CACHE: dict[tuple, object] = cache()
 
 
 def _keep(spark, base, df, name):
@@ -67,10 +67,10 @@ def _keep(spark, base, df, name):
 
 
 def wine_sets(spark: SparkSession, sf_dir: str, seed: int = SEED) -> WineSets:
-    key = ("wine", spark.sparkContext.applicationId, sf_dir, seed)
+    key = ("wine", spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir), seed)
     with _LOCK:
         if key not in _CACHE:
-            base = scratch_path(spark, "wine-" + hashlib.sha1(f"{sf_dir}|{seed}".encode()).hexdigest()[:12])
+            base = scratch_path(spark, "wine-" + hashlib.sha1(str(key).encode()).hexdigest()[:12])
             clean = _keep(spark, base, zscore_filter(wine_binary(spark, sf_dir), [*WINE_FEATURES, "quality"]), "clean")
             split = split_stratified(clean, ["row_id"], "quality", 0.2, seed)
             train_raw = _keep(spark, base, split.where(F.col("split") == "train").drop("split"), "train_raw")
@@ -88,10 +88,10 @@ class FireSets:
 
 
 def fire_sets(spark: SparkSession, sf_dir: str, seed: int = SEED) -> FireSets:
-    key = ("fire", spark.sparkContext.applicationId, sf_dir, seed)
+    key = ("fire", spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir), seed)
     with _LOCK:
         if key not in _CACHE:
-            base = scratch_path(spark, "fire-" + hashlib.sha1(f"{sf_dir}|{seed}".encode()).hexdigest()[:12])
+            base = scratch_path(spark, "fire-" + hashlib.sha1(str(key).encode()).hexdigest()[:12])
             fires = fixture(spark, sf_dir, "fires")
             split = split_random(fires, ["row_id"], 0.2, seed)
             train = _keep(spark, base, split.where(F.col("split") == "train").drop("split"), "train")

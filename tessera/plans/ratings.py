@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import round_to_day, title_year
 from ..operators.joins import semi_join_all
 from ..operators.sampling import split_quantile
-from ..session import scratch_path
+from ..session import cache, folder_state, scratch_path
 from ..sources.fixtures import SEED, fixture
 
 KEYS = ["userid", "movieid"]
@@ -67,15 +67,15 @@ class RatingSets:
 
 
 _LOCK = threading.Lock()
-_SETS: dict[tuple, RatingSets] = {}
+_SETS: dict[tuple, RatingSets] = cache()
 
 
 def rating_sets(spark: SparkSession, sf_dir: str, seed: int = SEED) -> RatingSets:
-    key = (spark.sparkContext.applicationId, sf_dir, seed)
+    key = (spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir), seed)
     with _LOCK:
         if key in _SETS:
             return _SETS[key]
-        tag = hashlib.sha1(f"{sf_dir}|{seed}".encode()).hexdigest()[:12]
+        tag = hashlib.sha1(str(key).encode()).hexdigest()[:12]
         base = scratch_path(spark, f"ratings-{tag}")
 
         def keep(df, name):

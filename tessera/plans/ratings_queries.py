@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import round_to_day, title_year, truncate_label
 from ..operators import bias as B
-from ..operators.joins import join_nullsafe
+from ..operators.joins import anti_join_rows, join_nullsafe
 from ..operators.metrics import rmse
 from ..operators.sampling import sample_values
-from ..session import fresh_path, materialize
+from ..session import cache, folder_state, fresh_path, materialize
 from ..sources.fixtures import SEED, fixture
 from ..sources.readers import read_delimited, write_delimited
 from .ratings import FACTORS, KEYS, ratings_working_set, rating_sets
@@ -76,7 +75,9 @@ def q_join_semi(spark, sf_dir):
 
 @register("join_anti", rsql("SELECT userid, movieid FROM removed"))
 def q_join_anti(spark, sf_dir):
-    return _sets(spark, sf_dir).removed.select(*KEYS)
+    """Rows set aside for the hold-out that are in it no longer: an anti join on all common columns."""
+    s = _sets(spark, sf_dir)
+    return anti_join_rows(s.holdout.unionByName(s.removed), s.holdout).select(*KEYS)
 
 
 @register("union_by_name", rsql("SELECT userid, movieid, rating FROM edx"))
@@ -271,21 +272,21 @@ def q_model_log(spark, sf_dir):
     mu = s.train.agg(F.avg("rating")).first()[0]
     log = rmse(s.test.withColumn("pred", F.lit(mu)), "rating", "pred").select(
         F.lit(0).cast("bigint").alias("factors"), F.round("rmse", R6).alias("rmse"))
+    whole = B.fit(s.train, "rating", FACTORS)  # the stages of a prefix are the first stages of the whole
     for k in range(1, len(FACTORS) + 1):
-        m = B.fit(s.train, "rating", FACTORS[:k])
-        r = rmse(B.predict(m, s.test), "rating", "pred_l0").select(
+        r = rmse(B.predict(B.prefix(whole, k), s.test), "rating", "pred_l0").select(
             F.lit(k).cast("bigint").alias("factors"), F.round("rmse", R6).alias("rmse"))
         log = log.unionByName(r)
     return log
 
 
-_CURVES: dict = {}
+_CURVES: dict = cache()
 
 
 def lambda_curve(spark, sf_dir):
     """(lambda, rmse) curve of the 5-factor model on the inner split, computed once per
     application and input folder (41 rows, kept as a written table)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir))
     if key not in _CURVES:
         m, s = _fit(spark, sf_dir, FACTORS, B.LAMBDA_GRID)
         _CURVES[key] = materialize(B.grid_rmse(m, s.test, "rating"), "lambda-curve")
@@ -322,5 +323,3 @@ def q_bias_final(spark, sf_dir):
     return r.select(F.lit(lam).alias("lambda"), F.round("rmse", R6).alias("rmse"),
                     F.col("null_predictions").cast("bigint"), F.col("n").cast("bigint"))
 
-
-_ = Window

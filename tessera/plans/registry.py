@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import utc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
@@ -20,8 +20,8 @@ def register(key: str, oracle: str | None = None):
             raise ValueError(f"duplicate query key {key!r}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
-            return fn(spark, sf_dir)
+            with utc(spark):
+                return fn(spark, sf_dir)
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

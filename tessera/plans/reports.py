@@ -26,17 +26,19 @@ def _d(c) -> Column:
 
 
 def exact_avg(total, n, scale: int = 2) -> Column:
-    """round(total / n, scale) for a non-negative DECIMAL total (at most 4 places) and a
-    positive count, half away from zero as on exact numbers; integer arithmetic only,
-    so no binary rounding tie can flip the last digit."""
-    t = F.col(total) if isinstance(total, str) else total
+    """round(total / n, scale) for a DECIMAL total (at most 4 places) and a positive count,
+    half away from zero as on exact numbers; integer arithmetic only, so no binary rounding
+    tie can flip the last digit."""
+    signed = F.col(total) if isinstance(total, str) else total
+    t = F.abs(signed)
     c = (F.col(n) if isinstance(n, str) else n).cast("decimal(38,0)")
     units = (t * 10000).cast("decimal(38,0)")
     step = 10 ** (4 - scale)
     q = (units * 2 + c * step).cast("decimal(38,0)")
     den = (c * (2 * step)).cast("decimal(38,0)")
     exact_quotient = (q - F.pmod(q, den)) / den  # q div den, exact
-    return exact_quotient.cast("double") / F.lit(float(10 ** scale))
+    rounded = exact_quotient.cast("double") / F.lit(float(10 ** scale))
+    return F.when(signed < 0, -rounded).otherwise(rounded)
 
 
 def monthly_sales(star: Star, fill_months: bool = False) -> DataFrame:

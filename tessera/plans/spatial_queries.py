@@ -328,15 +328,14 @@ SELECT name, round(CASE WHEN len(c) > 3 THEN {_area_sql('c')} ELSE 0.0 END, 2) A
        CAST(len(c) AS INTEGER) AS vertices FROM closed""", CLIP_CTES))
 def q_clip_by_hull(spark, sf_dir):
     """Area (km^2, 2 places) of the clip province intersected with the strong-quake hull."""
-    # the hull is a bounded set of vertices: it enters the plan as a literal ring
-    verts = S.convex_hull(strong_quakes(spark, sf_dir), "x_md", "y_md").orderBy("vertex_index").collect()
-    ring = [(v["x"], v["y"]) for v in verts] + [(verts[0]["x"], verts[0]["y"])] if verts else []
-    hull = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring]) \
-        if ring else F.array().cast(S.RING_TYPE)
+    # the hull stays on the executors: its one row (the closed ring) and the province's meet in an aggregate
+    hull = S.hull_ring(S.convex_hull(strong_quakes(spark, sf_dir), "x_md", "y_md"))
     prov = provinces(spark, sf_dir).where(F.col("name") == CLIP_PROVINCE) \
         .select("name", F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"),
                                                                p["y"].cast("double").alias("y"))).alias("ring"))
-    clipped = prov.select("name", S.clip_by_convex("ring", hull).alias("clip"))
+    both = prov.unionByName(hull, allowMissingColumns=True).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("name", "ring", "hull")]).where("name IS NOT NULL")
+    clipped = both.select("name", S.clip_by_convex("ring", F.coalesce("hull", F.array().cast(S.RING_TYPE))).alias("clip"))
     area = F.when(F.size("clip") > 3, G.ring_area_km2("clip")).otherwise(F.lit(0.0))
     return clipped.select("name", F.round(area, 2).alias("area_interseccion_km2"), F.size("clip").alias("vertices"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources.fixtures import PIVOT_YEARS
 from . import reports as R
 from .registry import register
-from .star_sql import star_sql
+from .star_sql import PER_BRAND, PER_CATEGORY_AGE, PER_DISTRIBUTOR, per_discount, star_sql
 from .warehouse import load_star
 
 CATS = R.PIVOT_CATEGORIES
@@ -20,27 +20,18 @@ def _star(spark, sf_dir):
 
 
 @register("report_top3_distributors", star_sql("""
-SELECT state, distributor_name, CAST(total_sales AS DOUBLE) AS total_sales, CAST(total_units AS BIGINT) AS total_units,
-       CAST(distributor_rank AS BIGINT) AS distributor_rank
-FROM (SELECT state, distributor_name, total_sales, total_units,
-             RANK() OVER (PARTITION BY state ORDER BY total_sales DESC) AS distributor_rank
-      FROM (SELECT dd.state, dd.distributor_name, SUM(fs.sell_price) AS total_sales, SUM(fs.units_sold) AS total_units
-            FROM fact_sales fs JOIN dim_distributor dd ON fs.dist_dim_id = dd.dist_dim_id
-            GROUP BY dd.state, dd.distributor_name) t) r
-WHERE distributor_rank <= 3
-ORDER BY state, distributor_rank"""))
+SELECT a.state, a.distributor_name, CAST(a.sales AS DOUBLE) AS total_sales, CAST(a.units AS BIGINT) AS total_units,
+       CAST(1 + COUNT(b.sales) AS BIGINT) AS distributor_rank
+FROM per_distributor a LEFT JOIN per_distributor b ON b.state IS NOT DISTINCT FROM a.state AND b.sales > a.sales
+GROUP BY ALL HAVING COUNT(b.sales) < 3""", [PER_DISTRIBUTOR]))
 def q_top3(spark, sf_dir):
     return R.report_top3_distributors(_star(spark, sf_dir))
 
 
 @register("report_brand_share", star_sql("""
-SELECT year, make, CAST(total_brand_sales AS DOUBLE) AS total_brand_sales,
-       ROUND(CASE WHEN SUM(total_brand_sales) OVER (PARTITION BY year) <> 0
-                  THEN CAST(total_brand_sales AS DOUBLE) / CAST(SUM(total_brand_sales) OVER (PARTITION BY year) AS DOUBLE) * 100.0
-             END, 2) AS percent_of_year_sales
-FROM (SELECT dt.year, dc.make, SUM(fs.sell_price) AS total_brand_sales
-      FROM fact_sales fs JOIN dim_car dc ON fs.car_dim_id = dc.car_dim_id JOIN dim_time dt ON fs.time_dim_id = dt.time_id
-      GROUP BY dt.year, dc.make) t"""))
+SELECT p.year, p.make, CAST(p.sales AS DOUBLE) AS total_brand_sales,
+       ROUND(CAST(p.sales AS DOUBLE) / CAST(NULLIF(t.sales, 0) AS DOUBLE) * 100.0, 2) AS percent_of_year_sales
+FROM per_brand p JOIN (SELECT year, SUM(sales) AS sales FROM per_brand GROUP BY year) t USING (year)""", [PER_BRAND]))
 def q_brand_share(spark, sf_dir):
     return R.report_brand_share(_star(spark, sf_dir))
 
@@ -83,12 +74,12 @@ def q_cumulative(spark, sf_dir):
 
 
 @register("report_country_units", star_sql("""
-SELECT dco.country, CAST(SUM(fs.units_sold) AS BIGINT) AS total_units_sold,
-       CAST((2 * CAST(SUM(dc.retail_price) * 10000 AS HUGEINT) + 100 * COUNT(*)) // (200 * COUNT(*)) AS DOUBLE) / 100.0
+SELECT country, CAST(SUM(units) AS BIGINT) AS total_units_sold,
+       CAST((2 * CAST(SUM(price) * 10000 AS HUGEINT) + 100 * COUNT(*)) // (200 * COUNT(*)) AS DOUBLE) / 100.0
          AS average_retail_price
-FROM fact_sales fs JOIN dim_car dc ON fs.car_dim_id = dc.car_dim_id
-JOIN dim_car_origin dco ON fs.origin_dim_id = dco.origin_id
-GROUP BY dco.country"""))
+FROM (SELECT g.country, f.units_sold AS units, c.retail_price AS price FROM dim_car_origin g, dim_car c, fact_sales f
+      WHERE f.origin_dim_id = g.origin_id AND f.car_dim_id = c.car_dim_id)
+GROUP BY country"""))
 def q_country_units(spark, sf_dir):
     return R.report_country_units(_star(spark, sf_dir))
 
@@ -111,30 +102,18 @@ def q_pivot_category(spark, sf_dir):
 
 
 @register("report_category_age_share", star_sql("""
-SELECT market_category, age_bucket, CAST(total_sales AS DOUBLE) AS total_sales,
-       ROUND(CASE WHEN SUM(total_sales) OVER (PARTITION BY market_category) <> 0
-                  THEN CAST(total_sales AS DOUBLE) / CAST(SUM(total_sales) OVER (PARTITION BY market_category) AS DOUBLE) * 100.0
-             END, 2) AS percent_of_category_sales
-FROM (SELECT dc.market_category, dcu.age_bucket, SUM(fs.sell_price) AS total_sales
-      FROM fact_sales fs JOIN dim_car dc ON fs.car_dim_id = dc.car_dim_id
-      JOIN dim_customer_data dcu ON fs.cust_dim_id = dcu.cust_dim_id
-      WHERE dc.market_category IS NOT NULL
-      GROUP BY dc.market_category, dcu.age_bucket) t"""))
+SELECT p.market_category, p.age_bucket, CAST(p.sales AS DOUBLE) AS total_sales,
+       ROUND(CAST(p.sales AS DOUBLE) / CAST(NULLIF(t.sales, 0) AS DOUBLE) * 100.0, 2) AS percent_of_category_sales
+FROM per_category_age p JOIN (SELECT market_category, SUM(sales) AS sales FROM per_category_age GROUP BY ALL) t
+USING (market_category)""", [PER_CATEGORY_AGE]))
 def q_category_age_share(spark, sf_dir):
     return R.report_category_age_share(_star(spark, sf_dir))
 
 
-@register("report_discount_trend", star_sql(f"""
-SELECT year, month_name, ROUND(adp, 2) AS avg_discount_percent, ROUND(prev, 2) AS previous_month_avg_discount,
-       ROUND(CASE WHEN prev IS NOT NULL AND prev <> 0 THEN (adp - prev) / prev * 100.0 END, 2) AS discount_trend_percent_change
-FROM (SELECT *, LAG(adp, 1) OVER (ORDER BY year, month_number) AS prev
-      FROM (SELECT dt.year, dt.month_number, dt.month_name,
-                   CAST(SUM(les.discount_amount) AS DOUBLE) / CAST(SUM(les.retail_price) AS DOUBLE) * 100.0 AS adp
-            FROM (SELECT fs.time_dim_id, fs.discount_amount, dc.retail_price
-                  FROM fact_sales fs JOIN dim_car dc ON fs.car_dim_id = dc.car_dim_id
-                  WHERE dc.market_category IN ({LUX})) les
-            JOIN dim_time dt ON les.time_dim_id = dt.time_id
-            GROUP BY dt.year, dt.month_number, dt.month_name) m) d"""))
+@register("report_discount_trend", star_sql("""
+SELECT year, month_name, ROUND(pct, 2) AS avg_discount_percent, ROUND(earlier, 2) AS previous_month_avg_discount,
+       ROUND((pct - earlier) / NULLIF(earlier, 0) * 100.0, 2) AS discount_trend_percent_change
+FROM (SELECT *, LAG(pct) OVER (ORDER BY month_start) AS earlier FROM per_discount)""", [per_discount(LUX)]))
 def q_discount_trend(spark, sf_dir):
     return R.report_discount_trend(_star(spark, sf_dir))
 
@@ -229,7 +208,7 @@ def q_join_expr_key(spark, sf_dir):
     """Sales matched to the month dimension on expressions of the sale date."""
     so = fixture(spark, sf_dir, "sell_orders_data")
     tm = _star(spark, sf_dir).dim_time.select("time_id", "year", "month_number")
-    j = so.join(F.broadcast(tm), (F.year("sell_date") == tm["year"]) & (F.month("sell_date") == tm["month_number"]))
+    j = so.join(tm, (F.year("sell_date") == tm["year"]) & (F.month("sell_date") == tm["month_number"]))
     return j.groupBy("time_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_sales"),
                                     F.sum("sell_price").cast("double").alias("sales"))
 
@@ -343,9 +322,8 @@ def q_filter_between(spark, sf_dir):
 
 
 @register("agg_sum_multi_key", star_sql("""
-SELECT dd.state, dd.distributor_name, CAST(SUM(fs.sell_price) AS DOUBLE) AS total_sales,
-       CAST(SUM(fs.units_sold) AS BIGINT) AS total_units
-FROM fact_sales fs JOIN dim_distributor dd ON fs.dist_dim_id = dd.dist_dim_id GROUP BY dd.state, dd.distributor_name"""))
+SELECT state, distributor_name, CAST(sales AS DOUBLE) AS total_sales, CAST(units AS BIGINT) AS total_units
+FROM per_distributor""", [PER_DISTRIBUTOR]))
 def q_agg_sum_multi_key(spark, sf_dir):
     star = _star(spark, sf_dir)
     per = star.fact_sales.groupBy("dist_dim_id").agg(F.sum("sell_price").alias("s"), F.sum("units_sold").alias("u"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import age_bucket, month_start
 from ..operators.windows import global_ntile, surrogate_key
-from ..session import scratch_path
+from ..session import cache, folder_state, scratch_path
 from ..sources.fixtures import AS_OF, fixture
 
 
@@ -117,7 +117,7 @@ def build_fact_sales(sell_orders: DataFrame, dim_car: DataFrame, dim_distributor
 # ---- the load ------------------------------------------------------------------------
 
 _LOCK = threading.Lock()
-_LOADED: dict[tuple, Star] = {}
+_LOADED: dict[tuple, Star] = cache()
 
 
 def _write_read(spark: SparkSession, df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
@@ -134,11 +134,11 @@ def _write_read(spark: SparkSession, df: DataFrame, path: str, partition_by: str
 
 def load_star(spark: SparkSession, sf_dir: str, as_of: date = AS_OF) -> Star:
     """Build and write the star schema once per application and input folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, as_of)
+    key = (spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir), as_of)
     with _LOCK:
         if key in _LOADED:
             return _LOADED[key]
-        tag = hashlib.sha1(f"{sf_dir}|{as_of}".encode()).hexdigest()[:12]
+        tag = hashlib.sha1(str(key).encode()).hexdigest()[:12]
         base = scratch_path(spark, f"star-{tag}")
 
         def fx(name):

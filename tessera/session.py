@@ -2,7 +2,8 @@
 
 Library code never invents a machine-local folder: every intermediate table
 is written below ``spark.checkpoint.dir``, which on a cluster names a shared
-file system.  Only when the setting is missing (local tests) do we create one.
+file system.  Only on a local master is one created when the setting is missing;
+anywhere else that is an error.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -38,17 +40,50 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime SQL settings every query relies on (UTC dates, AQE)."""
-    for k, v in SESSION_CONF.items():
-        spark.conf.set(k, v)
-    return spark
+TIME_ZONE = "spark.sql.session.timeZone"
+
+
+@contextmanager
+def utc(spark: SparkSession):
+    """Plans made inside read dates in UTC (the zone is fixed when a plan is analysed); the
+    caller's setting is back afterwards, and no other setting is touched."""
+    before = spark.conf.get(TIME_ZONE)
+    spark.conf.set(TIME_ZONE, "UTC")
+    try:
+        yield spark
+    finally:
+        spark.conf.set(TIME_ZONE, before)
+
+
+_CACHES: list[dict] = []
+
+
+def cache() -> dict:
+    """A dictionary of written tables that :func:`drop_scratch` empties."""
+    kept: dict = {}
+    _CACHES.append(kept)
+    return kept
+
+
+def folder_state(spark: SparkSession, path: str) -> int:
+    """Hash of names, sizes and times of the files of an input folder (two levels deep), so that
+    what is kept of it is not used after the files change."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for entry in fs.listStatus(hadoop):
+        files = fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return hash(tuple(sorted(found)))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; created only when unset."""
+    """The shared checkpoint folder named by the session; created only when unset on a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -80,7 +115,10 @@ def materialize(df, prefix: str = "tbl"):
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete this application's scratch folder (written star schema, splits, model sets)
     through the Hadoop FileSystem of the checkpoint folder.  Call once the results are
-    no longer needed; other applications' folders are untouched."""
+    no longer needed; other applications' folders are untouched, and tables kept for reuse are
+    forgotten."""
+    for kept in _CACHES:
+        kept.clear()
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.delete(path, True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,15 +28,15 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, n
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "::") -> None:
-    """One line per row, fields joined by ``sep`` (unquoted, as the ratings files)."""
-    df.select(F.concat_ws(sep, *[F.col(c).cast("string") for c in df.columns]).alias("value")) \
+    """One line per row, fields joined by ``sep`` (unquoted, as the ratings files); NULL is an empty field."""
+    df.select(F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value")) \
         .write.mode("overwrite").text(path)
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str = "::") -> DataFrame:
     """Split each line on a (multi-character) delimiter and type the fields by ``schema``.
-    Fields that do not parse become NULL."""
-    parts = F.split(F.col("value"), sep.replace("|", "\\|").replace(".", "\\."))
-    cols = [F.expr(f"try_cast(nullif(trim(element_at(_p, {i + 1})), '') AS {f.dataType.simpleString()})")
+    Fields that are empty, missing or do not parse become NULL."""
+    parts = F.split(F.col("value"), re.escape(sep))
+    cols = [F.expr(f"try_cast(nullif(trim(try_element_at(_p, {i + 1})), '') AS {f.dataType.simpleString()})")
             .alias(f.name) for i, f in enumerate(schema.fields)]
     return spark.read.text(path).select(parts.alias("_p")).select(*cols)

@@ -12,7 +12,7 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else v
+        return "NaN" if math.isnan(v) else v  # not a number is not missing
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, dt.datetime):

@@ -19,7 +19,7 @@ from .conftest import SF_MID, SF_SMALL
 
 def test_global_row_number_is_a_permutation_in_order(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id"))
-    out = global_row_number(df, [F.col("k"), F.col("id")], name="rn", num_partitions=7, small_rows=0).collect()
+    out = global_row_number(df, [F.col("k"), F.col("id")], name="rn", num_partitions=7).collect()
     ranks = sorted((r["k"], r["id"], r["rn"]) for r in out)
     assert [r[2] for r in ranks] == list(range(1, 5001))
 
@@ -29,7 +29,7 @@ def test_global_ntile_matches_sql_ntile(spark, n):
     df = spark.range(n).select(F.col("id"), (F.col("id") % 3).alias("v"))
     ours = {r["id"]: r["t"] for r in global_ntile(df, [F.col("v"), F.col("id")], 5, name="t").collect()}
     from tessera.operators import windows as Wn
-    big = Wn.global_row_number(df, [F.col("v"), F.col("id")], name="_grn", with_total="_gn", small_rows=0)
+    big = Wn.global_row_number(df, [F.col("v"), F.col("id")], name="_grn", with_total="_gn")
     distributed = {r["id"]: r["t"] for r in big.select("id", Wn.ntile_from_rank("_grn", "_gn", 5).alias("t")).collect()}
     assert distributed == ours
     df.createOrReplaceTempView("nt")
@@ -248,8 +248,6 @@ def test_oversample_copies_come_from_their_class(spark):
 def test_exact_quantiles_ranking_path(spark, monkeypatch):
     from tessera.operators import profile as P
     from tessera.operators import windows as Wn
-    monkeypatch.setattr(P, "HISTOGRAM_QUANTILE_ROWS", 5)
-    monkeypatch.setattr(Wn, "SMALL_TABLE_ROWS", 0)
     df = spark.range(500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000 / 10.0).alias("v"))
     ours = {r["g"]: (r["a"], r["b"]) for r in P.exact_quantiles(df, "v", [0.1, 0.75], ["g"], ["a", "b"]).collect()}
     ref = {r["g"]: tuple(r["p"]) for r in df.groupBy("g").agg(F.percentile("v", [0.1, 0.75]).alias("p")).collect()}
@@ -263,7 +261,7 @@ def test_global_cumsum_distributed_equals_window(spark):
     from pyspark.sql import Window
     from tessera.operators.windows import global_cumsum
     df = spark.range(3000).select(F.col("id"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
-    dist = {r["id"]: r["cum_v"] for r in global_cumsum(df, [F.col("id").desc()], ["v"], small_rows=0).collect()}
+    dist = {r["id"]: r["cum_v"] for r in global_cumsum(df, [F.col("id").desc()], ["v"]).collect()}
     w = Window.orderBy(F.col("id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ref = {r["id"]: r["c"] for r in df.select("id", F.sum("v").over(w).alias("c")).collect()}
     assert dist == ref
@@ -316,3 +314,85 @@ def test_bias_fill_unseen(spark):
     strict = {r["item"]: r["pred_l0"] for r in B.predict(m, test).collect()}
     filled = {r["item"]: r["pred_l0"] for r in B.predict(m, test, fill_unseen=True).collect()}
     assert strict == {1: 4.0, 3: None} and filled == {1: 4.0, 3: 3.0}
+
+
+def test_correlation_of_pairs_with_missing_values(spark):
+    from tessera.operators.profile import correlation_matrix
+    rows = [(float(i), 2.0 * i if i % 4 else None, -1.0 * i) for i in range(20)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["var1"], r["var2"]): r["value"] for r in correlation_matrix(df, ["a", "b", "c"], 6).collect()}
+    assert got["a", "b"] == got["b", "a"] == got["a", "a"] == 1.0 and got["b", "c"] == -1.0
+
+
+def test_null_and_nan_are_both_missing(spark):
+    from tessera.operators.profile import null_profile
+    df = spark.createDataFrame([(1.0, "x"), (float("nan"), None), (None, "y")], "a double, b string")
+    assert {r["column_name"]: r["null_count"] for r in null_profile(df).collect()} == {"a": 2, "b": 1}
+
+
+def test_null_group_has_its_box_plot_and_density(spark):
+    from tessera.operators.profile import boxplot_stats, kde_by_group
+    df = spark.createDataFrame([(None if i % 2 else "g", float(i)) for i in range(40)], "g string, v double")
+    assert {r["g"]: r["n"] for r in boxplot_stats(df, "v", ["g"]).collect()} == {None: 20, "g": 20}
+    assert kde_by_group(df, "v", "g", points=8).where("g IS NULL").count() == 8
+
+
+def test_deep_trees_are_refused(spark):
+    from tessera.operators.models import decision_tree
+    df = spark.createDataFrame([(0.0, 0), (1.0, 1)], "x double, y int")
+    with pytest.raises(ValueError):
+        decision_tree(df, ["x"], "y", max_depth=31)
+
+
+def test_delimited_file_keeps_missing_fields(spark, tmp_path):
+    from pyspark.sql import types as T
+    from tessera.sources.readers import read_delimited, write_delimited
+    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in "abc"])
+    for sep in ("::", "|", "$^"):
+        path = f"{tmp_path}/{len(sep)}{ord(sep[0])}"
+        write_delimited(spark.createDataFrame([(1, None, 3), (None, 2, None)], schema), path, sep)
+        assert sorted(map(str, (tuple(r) for r in read_delimited(spark, path, schema, sep).collect()))) \
+            == ["(1, None, 3)", "(None, 2, None)"]
+
+
+def test_averages_of_refunds_round_like_sales(spark):
+    from tessera.plans.reports import exact_avg
+    df = spark.sql("SELECT CAST(t AS DECIMAL(20,4)) AS t, 2 AS n FROM VALUES (-1.01), (1.01), (0.0) AS v(t)")
+    assert sorted(r[0] for r in df.select(exact_avg("t", "n")).collect()) == [-0.51, 0.0, 0.51]
+
+
+def test_pairs_across_the_180th_meridian(spark):
+    from tessera.operators.spatial import within_distance_points
+    a = spark.createDataFrame([(1, 179_990, 0), (2, -179_980, 0)], "a bigint, ax int, ay int")
+    b = spark.createDataFrame([(7, -179_990, 0), (8, 179_970, 0)], "b bigint, bx int, by_ int")
+    got = {(r["a"], r["b"]) for r in within_distance_points(a, b, 5.0, "ax", "ay", "bx", "by_").collect()}
+    assert got == {(1, 7), (1, 8), (2, 7)}  # 2 and 8 are 5.6 km apart
+
+
+def test_confusion_matrix_has_a_row_for_every_class(spark):
+    from tessera.operators.metrics import confusion_matrix
+    df = spark.createDataFrame([(0, 0), (0, 1)], "y int, p int")
+    assert sorted(tuple(r) for r in confusion_matrix(df, "y", "p").collect()) == [(0, 1, 1), (1, 0, 0)]
+
+
+def test_caller_settings_come_back(spark):
+    import tessera.plans.registry as registry
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        registry.queries()["scan_table"](spark, SF_SMALL)
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_changed_input_is_loaded_anew(spark, tmp_path):
+    from tessera.session import folder_state
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    first = folder_state(spark, str(tmp_path))
+    assert folder_state(spark, str(tmp_path)) == first
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert folder_state(spark, str(tmp_path)) != first
