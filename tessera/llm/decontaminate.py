@@ -27,7 +27,7 @@ SAMPLE_STEP = 8
 #: benchmark text (bytes) whose phrases are sent to the tasks at once
 PHRASE_BLOCK_BYTES = 8 << 20
 #: text (bytes) per shard and index
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 # --------------------------------------------------------------------------- index
@@ -232,7 +232,7 @@ _RESULT = "n_words bigint, spans array<struct<start:int,end:int>>, word_spans ar
 
 def _searcher(phrases: Phrases, text_col: str, name: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches, 2048):
             data, offs = T.string_bytes(batch.column(batch.schema.get_field_index(text_col)))
             result = []
             for a, b in T.blocks(offs, SHARD_BYTES):

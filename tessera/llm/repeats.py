@@ -36,33 +36,42 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class BitFilter:
-    """Bit table over the hashes of a column; a broadcast of fixed size."""
+    """Bit table over a column of hashes; a broadcast of fixed size."""
 
     def __init__(self, df: DataFrame, column: str, bits: int = FILTER_BITS):
-        at = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(bits))
+        at = F.col(column).bitwiseAND(F.lit(bits - 1).cast("bigint"))
         words = df.select(at.alias("at")).selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, CAST(at & 63 AS INT)) AS b") \
             .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most bits / 64 rows
         table = np.zeros(bits // 64, np.uint64)
         table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-        self.bits, self.shared = bits, df.sparkSession.sparkContext.broadcast(table)
+        self.mask, self.shared = bits - 1, df.sparkSession.sparkContext.broadcast(table)
 
-    def place(self, column: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(self.bits))
+    def test(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Function for tasks: which hashes may be in the table (the others surely are not)."""
+        shared, mask = self.shared, np.uint64(self.mask)
 
-    def keep(self, df: DataFrame, column: str, hit: bool = True) -> DataFrame:
-        """Rows of ``df`` whose ``column`` may be in the table (or, with ``hit`` false, surely is not)."""
-        shared = self.shared
-        marked = df.withColumn("_bit", self.place(column))
+        def may_be(hashes: np.ndarray) -> np.ndarray:
+            at = hashes.view(np.uint64) & mask
+            return (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return may_be
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
+    def rows(self, column: str, hit: bool = True, then: Callable | None = None) -> Callable:
+        """mapInArrow function: the rows whose ``column`` may be in the table (or, with ``hit`` false, surely is
+        not), passed through ``then`` in the same Python worker."""
+        test = self.test()
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy().astype(np.uint64)
-                set_ = (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                if set_.any() if hit else not set_.all():
-                    yield batch.filter(pa.array(set_ if hit else ~set_))
+                may = test(batch.column(batch.schema.get_field_index(column)).to_numpy())
+                if not hit:
+                    may = ~may
+                if may.any():
+                    yield batch.filter(pa.array(may))
+
+        return chosen if then is None else lambda batches: then(chosen(batches))
 
-        return marked.mapInArrow(run, marked.schema).drop("_bit")
+    def keep(self, df: DataFrame, column: str) -> DataFrame:
+        return df.mapInArrow(self.rows(column), df.schema)
 
 
 def anchored_runs(codes: np.ndarray, rows: np.ndarray, base: int, length: int):
@@ -70,27 +79,35 @@ def anchored_runs(codes: np.ndarray, rows: np.ndarray, base: int, length: int):
 
     Returns (prefix hashes, row, first window, windows, anchor position) of every run."""
     prefix = T.prefix_hash(codes)
-    starts, row = T.window_rows(rows, length)
-    empty = np.zeros(0, np.int64)
-    if not len(starts):
+    sizes = np.diff(rows)
+    whole = np.maximum(sizes - length + 1, 0)  # windows of each row; the starts after them run out of it
+    if not whole.any():
+        empty = np.zeros(0, np.int64)
         return prefix, empty, empty, empty, empty
-    short = np.arange(len(codes) - base + 1)
-    at = T.minimizers(T.range_hash(prefix, short, short + base), length - base + 1)[starts]
-    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
-    size = np.diff(first, append=len(at))
-    return prefix, row[first], starts[first], size, at[first]
+    inside = np.repeat(np.tile([True, False], len(sizes)), np.stack([whole, sizes - whole], axis=1).ravel())
+    at = T.minimizers(T.window_hashes(prefix, base), length - base + 1)
+    inside = inside[:len(at)]
+    opens = np.append(True, at[1:] != at[:-1])
+    opens[1:] |= ~inside[:-1]
+    opens[rows[:-1][whole > 0]] = True
+    opens &= inside
+    first = np.flatnonzero(opens)
+    closes = inside & np.append(opens[1:] | ~inside[1:], True)
+    size = np.flatnonzero(closes) - first + 1
+    return prefix, np.searchsorted(rows, first, "right") - 1, first, size, at[first]
 
 
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def run_rows(base: int, length: int, items: Callable) -> Callable:
-    """mapInArrow function (key, guard, id, text) -> runs.
+def run_rows(base: int, length: int, items: Callable, anchors: BitFilter | None = None) -> Callable:
+    """mapInArrow function (key, guard, id, text) -> runs; with ``anchors``, those whose anchor may be in the table.
 
     ``items(data, offs)`` gives the (codes, row offsets) of a block of texts.  ``left`` and ``right`` are the
     anchor extended to twice its length to either side (0 where the text ends before)."""
     out = arrow_schema(RUN)
+    test = anchors.test() if anchors else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,6 +119,9 @@ def run_rows(base: int, length: int, items: Callable) -> Callable:
                 if not len(row):
                     continue
                 anchor = T.range_hash(prefix, at, at + base)
+                if test:
+                    may = test(anchor)
+                    row, first, size, at, anchor = row[may], first[may], size[may], at[may], anchor[may]
                 begin, end = rows[row], rows[row + 1]
                 left = np.where(at - base >= begin, T.range_hash(prefix, np.maximum(at - base, 0), at + base), np.uint64(0))
                 right = np.where(at + 2 * base <= end, T.range_hash(prefix, at, np.minimum(at + 2 * base, len(codes))), np.uint64(0))
@@ -122,7 +142,8 @@ def repeated_runs(docs: DataFrame, base: int, length: int, items: Callable) -> D
     anchors = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("run").alias("lo"), F.max("run").alias("hi")) \
         .where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("pure"))
     anchors = materialize(anchors, "anchors")
-    return materialize(BitFilter(anchors, "anchor").keep(runs, "anchor").join(anchors, "anchor"), "runs")
+    held = docs.mapInArrow(run_rows(base, length, items, BitFilter(anchors, "anchor")), RUN)
+    return materialize(held.join(anchors, "anchor"), "runs")
 
 
 def _candidate_range(length: int, base: int) -> list[Column]:
@@ -153,8 +174,8 @@ def per_text(spans: DataFrame, fields: list[str]) -> DataFrame:
     return spans.groupBy("key", "guard").agg(F.collect_set(F.struct(*fields)).alias("parts"))
 
 
-def attach(docs: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts joined with their parts, texts that surely have none)."""
+def attach(docs: DataFrame, parts: DataFrame, cut: Callable, schema: str) -> DataFrame:
+    """``cut`` over all texts: joined with their parts where there may be some, as they are where there are none."""
     bits = BitFilter(parts, "key")
-    some = bits.keep(docs, "key").join(parts, ["key", "guard"], "left")
-    return some, bits.keep(docs, "key", hit=False)
+    some = bits.keep(docs, "key").join(parts, ["key", "guard"], "left").select("id", "text", "parts")
+    return some.mapInArrow(cut, schema).unionByName(docs.mapInArrow(bits.rows("key", False, cut), schema))

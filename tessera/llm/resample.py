@@ -131,7 +131,8 @@ def resample(docs: DataFrame, target: DataFrame, k: int | None = None, share: fl
     their fate but for ties at the end.  Without target documents all weights are 0."""
     wanted = target.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
     # only texts that may be of the target are shuffled; a merge at every size, so that the plan does not turn with it
-    could = BitFilter(wanted, "_id").keep(docs.select("doc_id", "text"), "doc_id")
+    bits = BitFilter(wanted.select(F.xxhash64("_id").alias("h")), "h")
+    could = bits.keep(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), "h")
     of_target = could.join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"))
     ratio = log_ratio(ngram_counts(docs, buckets), ngram_counts(of_target, buckets), buckets, smoothing)
     uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)

@@ -40,14 +40,14 @@ def _window_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = T.string_bytes(batch.column(batch.schema.get_field_index("text")))
-            parts = batch.column(batch.schema.get_field_index("parts")).to_pylist()
+            parts = batch.column(batch.schema.get_field_index("parts"))
             for a, b in T.blocks(offs):
                 codes, rows = _items(data[offs[a]:offs[b]], offs[a:b + 1] - offs[a])
                 prefix = T.prefix_hash(codes)
                 wanted = {}
-                for d in range(a, b):
-                    for p in parts[d] or ():
-                        wanted.setdefault(p["run"], (rows[d - a] + p["pos"], p["i0"], p["i1"], p["weight"]))
+                for d, own in enumerate(parts.slice(a, b - a).to_pylist()):
+                    for p in own or ():
+                        wanted.setdefault(p["run"], (rows[d] + p["pos"], p["i0"], p["i1"], p["weight"]))
                 if not wanted:
                     continue
                 runs = np.fromiter(wanted, np.int64, len(wanted))
@@ -67,7 +67,7 @@ def _cut(length: int, id_type: str):
     out = arrow_schema(f"id {id_type}, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches):
             where = batch.schema.get_field_index("parts")
             texts = batch.column(batch.schema.get_field_index("text"))
             n_words, n_removed, spans, kept = [], [], [], []
@@ -125,11 +125,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, base: int | None = Non
     texts = R.keyed(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
     parts = materialize(R.per_text(repeated_windows(texts, length, base), ["pos", "n", "windows"]), "parts")
-    some, none = R.attach(texts, parts)
     schema = f"id {id_type}, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string"
-    cut = _cut(length, id_type)
-    return some.select("id", "text", "parts").mapInArrow(cut, schema) \
-        .unionByName(none.select("id", "text").mapInArrow(cut, schema))
+    return R.attach(texts, parts, _cut(length, id_type), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text handled at once; a single longer text is still handled whole
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240607)
 _BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,6 +84,13 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0]:offs[-1]], offs - offs[0]
 
 
+def slices(batches, rows: int = 1024):
+    """The same rows in smaller batches, so that what is made of a batch stays small."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def blocks(offs: np.ndarray, size: int = BLOCK_BYTES):
     """Row ranges (first, past last) of about ``size`` bytes; a longer text is a range of its own."""
     n, i = len(offs) - 1, 0
@@ -145,33 +152,27 @@ def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
+def window_hashes(prefix: np.ndarray, length: int) -> np.ndarray:
+    """:func:`range_hash` of every run of ``length`` codes, by contiguous passes."""
+    n = len(prefix) - length
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    return mix((prefix[length:] - prefix[:-length]) * _cached_powers(n, _BASE_INV) + np.uint64(length))
+
+
 def minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each of the n - width + 1 windows of ``width`` values: index of its rightmost smallest value.
+    """For each of the n - width + 1 windows of ``width`` hashes: index of its smallest, the rightmost of equals.
 
-    Van Herk's two-pass minimum (prefix and suffix minima of blocks), so the cost does not depend on width."""
+    Leading hash bits and the place (from the right) make one key; minima come from the prefix and suffix
+    minima of blocks of ``width``, so the cost does not depend on it."""
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.int64)
-    # order by value, later positions first among equals: pack into one sortable key
-    pad = -n % width
-    idx = np.arange(n + pad)
-    val = np.concatenate([hashes, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    idx = idx.reshape(-1, width)
-
-    def running(v, order):
-        low = np.minimum.accumulate(v[:, order], axis=1)
-        where = np.where(v[:, order] == low, idx[:, order], -1)
-        return low, where
-
-    fwd = np.arange(width)
-    low_f, at_f = running(val, fwd)
-    at_f = np.maximum.accumulate(at_f, axis=1)  # latest position of the current minimum
-    low_b, at_b = running(val, fwd[::-1])
-    hit = np.concatenate([np.ones((len(val), 1), bool), low_b[:, 1:] < low_b[:, :-1]], axis=1)
-    keep = np.maximum.accumulate(np.where(hit, fwd, 0), axis=1)  # first position reached from the right
-    at_b = np.take_along_axis(at_b, keep, axis=1)
-    low_f, at_f = low_f.ravel(), at_f.ravel()
-    low_b, at_b = low_b[:, ::-1].ravel(), at_b[:, ::-1].ravel()
-    left, right = slice(0, n - width + 1), slice(width - 1, n)
-    # suffix part (from the window's start to its block's end) against prefix part (next block)
-    return np.where(low_f[right] <= low_b[left], at_f[right], at_b[left])
+    bits = np.uint64(n.bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    key = ((hashes >> bits) << bits) | (low - np.arange(n, dtype=np.uint64))
+    key = np.append(key, np.full(-n % width, np.iinfo(np.uint64).max, np.uint64)).reshape(-1, width)
+    before = np.minimum.accumulate(key, axis=1).ravel()
+    after = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
+    best = np.minimum(after[:n - width + 1], before[width - 1:n])
+    return (low - (best & low)).astype(np.int64)
