@@ -105,15 +105,19 @@ def distinct_per_group(df: DataFrame, key: str, attr: str, name: str = "distinct
     return df.groupBy(key).agg(F.count_distinct(attr).cast("bigint").alias(name))
 
 
-def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins over [min, max] (last bin closed), empty bins included.
+def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = (), binwidth: float | None = None) -> DataFrame:
+    """Equal-width bins over [min, max] (last bin closed), empty bins included; ``binwidth`` sets
+    the width instead of the number of bins, which then start at a multiple of it.
     Two passes: one for the range, one for the counts; the bin spine has ``bins`` rows."""
     rng = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
     lo, hi = rng["lo"], rng["hi"]
     spark = df.sparkSession
     if lo is None:
         return spark.createDataFrame([], "bin bigint, bin_lo double, bin_hi double, n bigint")
-    width = (float(hi) - float(lo)) / bins if hi != lo else 1.0
+    if binwidth:
+        lo = math.floor(float(lo) / binwidth) * binwidth
+        bins = math.floor((float(hi) - lo) / binwidth) + 1
+    width = binwidth or ((float(hi) - float(lo)) / bins if hi != lo else 1.0)
     b = F.least(F.floor((F.col(column).cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(bins - 1))
     counts = df.where(F.col(column).isNotNull()).groupBy(b.cast("bigint").alias("bin"), *by) \
         .agg(F.count(F.lit(1)).alias("n"))

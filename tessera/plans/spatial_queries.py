@@ -171,6 +171,32 @@ def q_distance_join_points(spark, sf_dir):
                     F.round("distance_km", 6).alias("distance_km"))
 
 
+def _geodesic_sql(ax, ay, bx, by):
+    """WGS-84 distance to first order in the flattening, in sums and differences of reduced-latitude sines."""
+    f, a = "(1 / 298.257223563)", "6378.137"
+    b1, b2 = (f"atan((1 - {f}) * tan(radians({y} / 1000.0)))" for y in (ay, by))
+    cos_s = f"least(1.0, greatest(-1.0, sin({b1}) * sin({b2}) + cos({b1}) * cos({b2}) * cos(radians(({bx} - {ax}) / 1000.0))))"
+    s = f"acos({cos_s})"
+    plus = f"({s} - sin({s})) * pow(sin({b1}) + sin({b2}), 2) / (2 * (1 + {cos_s}))"
+    minus = f"({s} + sin({s})) * pow(sin({b1}) - sin({b2}), 2) / (2 * (1 - {cos_s}))"
+    return f"CASE WHEN {s} > 0 THEN {a} * ({s} - {f} / 2 * ({plus} + {minus})) ELSE 0.0 END"
+
+
+@register("distance_join_ellipsoid", ssql(f"""
+SELECT id, magnitude, nombre, round(d, 4) AS distance_km
+FROM (SELECT q.id, CAST(q.magnitude AS DOUBLE) AS magnitude, c.nombre, {_geodesic_sql('c.x_md', 'c.y_md', 'q.x_md', 'q.y_md')} AS d
+      FROM cities c, quakes q WHERE c.id = {ANCHOR_CITY_ID})
+WHERE d <= 20"""))
+def q_distance_join_ellipsoid(spark, sf_dir):
+    """Quakes within 20 km of one city on the WGS-84 ellipsoid."""
+    c = cities(spark, sf_dir).where(F.col("id") == ANCHOR_CITY_ID).select("nombre", F.col("x_md").alias("cx"),
+                                                                          F.col("y_md").alias("cy"))
+    q = quakes(spark, sf_dir).select("id", "magnitude", "x_md", "y_md")
+    j = S.within_distance_points(c, q, 20.0, "cx", "cy", "x_md", "y_md", ellipsoidal=True)
+    return j.select("id", F.col("magnitude").cast("double").alias("magnitude"), "nombre",
+                    F.round("distance_km", 4).alias("distance_km"))
+
+
 def _seg_sql():
     kx = f"({KPD} * cos(radians(q.y_md / 1000.0)))"
     ax = f"(CAST(e.a_x - q.x_md AS DOUBLE) / 1000.0 * {kx})"

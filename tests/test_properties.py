@@ -396,3 +396,10 @@ def test_changed_input_is_loaded_anew(spark, tmp_path):
     assert folder_state(spark, str(tmp_path)) == first
     spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert folder_state(spark, str(tmp_path)) != first
+
+
+def test_histogram_by_bin_width(spark):
+    from tessera.operators.profile import histogram
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.5, 2.9, 7.0, None)], "v double")
+    got = [(r["bin_lo"], r["bin_hi"], r["n"]) for r in histogram(df, "v", binwidth=2.5).orderBy("bin").collect()]
+    assert got == [(0.0, 2.5, 1), (2.5, 5.0, 2), (5.0, 7.5, 1)]
