@@ -12,6 +12,7 @@ windows of the range share.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +39,20 @@ _BITS, _PER_KEY = 9, 7
 # --------------------------------------------------------------------------- suffix array
 
 class SuffixArray:
-    """Suffix array of symbols 1.. (1 separates) by two-stage sorting; neighbours' common prefixes on request."""
+    """Suffix array of symbols (1 separates, texts are 2 and up) by two-stage sorting; neighbours' common prefixes
+    on request.  Suffixes end at their separator; equal ones are in any order."""
 
     def __init__(self, symbols: np.ndarray):
         self.t = t = np.append(symbols, END).astype(np.int64)
         self.n = n = len(t)
-        codes = T.mix((t + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.prefix = T.prefix_hash(codes)
+        self.prefix = T.prefix_hash(T.mix((t + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        # the first symbols as one number; nothing counts after a separator
         padded = np.append(t, np.zeros(_PER_KEY, np.int64)).astype(np.uint64)
-        self.key = np.zeros(n, np.uint64)
+        self.key, open_ = np.zeros(n, np.uint64), np.ones(n, bool)
         for k in range(_PER_KEY):
-            self.key = (self.key << np.uint64(_BITS)) | padded[k:k + n]
+            symbol = padded[k:k + n]
+            self.key = (self.key << np.uint64(_BITS)) | np.where(open_, symbol, np.uint64(0))
+            open_ &= symbol > SEPARATOR
         # a suffix is smaller than its successor iff the next different symbol is larger
         step = np.sign(np.diff(t))
         next_ = np.where(step != 0, np.arange(n - 1), n - 1)
@@ -75,30 +79,20 @@ class SuffixArray:
         return np.where(same, limit, got)
 
     def _sort(self, pos: np.ndarray) -> np.ndarray:
-        """Suffixes at ``pos`` in order: by key, ties by the key after their common prefix, and so on."""
+        """Suffixes at ``pos`` in order: by key, ties by all symbols up to the separator, then by place."""
         key = self.key[pos]
         by = np.argsort(key, kind="stable")
         pos, key = pos[by], key[by]
-        depth = np.full(len(pos), _PER_KEY, np.int64)
-        new = np.append(True, key[1:] != key[:-1])
-        while True:
-            alone = new & np.append(new[1:], True)
-            slots = np.flatnonzero(~alone)
-            if not len(slots):
-                return pos
-            p, d = pos[slots], depth[slots]
-            heads = np.flatnonzero(new[slots])
-            group = np.cumsum(new[slots]) - 1
-            shared = self.common(p + d, (p + d)[heads][group])
-            sizes = np.diff(heads, append=len(slots))
-            others = shared.copy()
-            others[heads] = np.iinfo(np.int64).max  # a head has all in common with itself
-            d = d + np.repeat(np.minimum.reduceat(others, heads), sizes)
-            key = self.key[np.minimum(p + d, self.n - 1)]
-            by = np.lexsort((key, group))
-            p, key, d = p[by], key[by], d[by]
-            pos[slots], depth[slots] = p, d + _PER_KEY
-            new[slots] = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(head, append=len(pos))
+        stops = np.append(np.flatnonzero(self.t <= SEPARATOR), self.n)
+        end = (2 * stops[np.searchsorted(stops, pos)]).tolist()
+        raw, start = self.t.astype(">u2").tobytes(), (2 * pos).tolist()
+        for h, m in zip(head[size > 1].tolist(), size[size > 1].tolist()):
+            rest = [raw[start[i]:end[i]] for i in range(h, h + m)]
+            own = sorted(range(m), key=rest.__getitem__)
+            pos[h:h + m] = pos[h:h + m][own]
+        return pos
 
     def _induce(self, sorted_small: np.ndarray) -> np.ndarray:
         """Place the larger suffixes: each is put next in its bucket when its successor is scanned."""
@@ -148,7 +142,7 @@ def repeated_starts(stretches: list[bytes], length: int) -> list[np.ndarray]:
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     room = np.append((begin + sizes)[owner] - np.arange(len(owner)), 0)  # bytes left in the own stretch
     whole = room >= length
-    pair = np.flatnonzero(whole[order[1:]] & whole[order[:-1]])
+    pair = np.flatnonzero(whole[order[1:]] & whole[order[:-1]] & (array.key[order[1:]] == array.key[order[:-1]]))
     a, b = order[pair], order[pair + 1]
     limit = 1 << (length - 1).bit_length()
     long = array.common(a, b, limit) >= length
@@ -174,7 +168,7 @@ def _stretch_rows(length: int):
     out = arrow_schema(_STRETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches):
             texts = batch.column(batch.schema.get_field_index("text"))
             parts = batch.column(batch.schema.get_field_index("parts"))
             rows = []
@@ -203,12 +197,21 @@ def _stretch_rows(length: int):
 _FOUND = "run bigint, ranges array<struct<start:int,end:int>>"
 
 
+def _may_repeat_itself(stretch: bytes, length: int) -> bool:
+    """False if no two windows of the stretch are equal: equal ones make all between them periodic."""
+    n = len(stretch) - length + 1
+    probe = stretch[n:n + min(32, length - n)] if n < length else b""
+    return not probe or stretch.find(probe, n + 1, 2 * n + len(probe)) >= 0
+
+
 def _sorter(length: int):
     """Stretches sorted by shard -> ranges of repeated starts of each run; whole shards are sorted together."""
     out = arrow_schema(_FOUND)
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         rows = list({(r[0], r[1], r[2]): r for r in rows}.values())  # equal texts tell a run more than once
+        shards = Counter(r[0] for r in rows)
+        rows = [r for r in rows if shards[r[0]] > 1 or r[3] > 1 or _may_repeat_itself(r[4], length)]
         runs, ranges = [], []
         for row, starts in zip(rows, repeated_starts([r[4] for r in rows], length)):
             if row[3] > 1:  # occurs several times: each copy's suffixes stand side by side
@@ -238,7 +241,7 @@ def _cut(length: int, id_type: str):
     out = arrow_schema(f"id {id_type}, n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches):
             where = batch.schema.get_field_index("parts")
             texts = batch.column(batch.schema.get_field_index("text"))
             n_bytes, n_removed, spans, kept = [], [], [], []
@@ -294,11 +297,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, base: int | None = Non
     texts = R.keyed(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
     parts = materialize(R.per_text(repeated_ranges(texts, length, base, crowded), ["pos", "ranges"]), "parts")
-    some, none = R.attach(texts, parts)
     schema = f"id {id_type}, n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept binary"
-    cut = _cut(length, id_type)
-    return some.select("id", "text", "parts").mapInArrow(cut, schema) \
-        .unionByName(none.select("id", "text").mapInArrow(cut, schema))
+    return R.attach(texts, parts, _cut(length, id_type), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
