@@ -4,8 +4,8 @@ Pages are read into text lines (blocks).  What is no text, or marks itself as so
 article (menus, footers, forms, adverts, reader comments, ...), is left out while reading.  Pages of a host stand next to
 each other in the order of their URL paths; each page is aligned with its neighbours by the longest common
 subsequence of lines, and the shared lines, the host's furniture, are deleted.  Lines that the page itself
-marks as its article stay, and are all of the text where there are any.  A neighbour that shares nearly
-everything is a copy, not a sibling, and deletes nothing.
+marks as its article stay; they are all of the text where they make up most of what differencing leaves.  A
+neighbour that shares nearly everything is a copy, not a sibling, and deletes nothing.
 
 The order is cut into ranges by a slim pass over the URLs; then each page's lines are shuffled once, to the
 task of its range, and the pages at the edges of a range also to the next one.  A host of any size is
@@ -190,17 +190,23 @@ def shared_lines(own: list[str], other: list[str]) -> set[int]:
 
 
 def difference(own: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> list[str]:
-    """The page's lines without those it shares with a neighbour; marked lines stay and are all, if there are any."""
-    article = [line for line, marked in own if marked]
-    if article:
-        return article
+    """The page's lines without those it shares with a neighbour.
+
+    Marked lines stay; the others go with the shared ones where the marked lines hold most of what is left, and
+    stay where the mark is on a small part only (teasers, a quoted post)."""
     lines = [line for line, _ in own]
+    article = {i for i, (_, marked) in enumerate(own) if marked}
+    if len(article) == len(lines):
+        return lines  # nothing that differencing may delete
     size, gone = sum(map(len, lines)), set()
     for other in neighbours:
         shared = shared_lines(lines, [line for line, _ in other])
         if sum(len(lines[i]) for i in shared) <= COPY_SHARE * size:
             gone |= shared
-    return [line for i, line in enumerate(lines) if i not in gone]
+    left = [i for i in range(len(lines)) if i in article or i not in gone]
+    if article and 2 * sum(len(lines[i]) for i in article) >= sum(len(lines[i]) for i in left):
+        left = sorted(article)
+    return [lines[i] for i in left]
 
 
 # --------------------------------------------------------------------------- operator

@@ -58,6 +58,14 @@ def test_marked_article_is_all_of_the_text(spark):
     assert got == {i: f"Same line\n\nown {i}" for i in range(5)}
 
 
+def test_a_mark_on_a_small_part_does_not_drop_the_rest(spark):
+    story = "The story of page {0} is told outside any article element, at some length, and ends with number {0}"
+    rows = [(i, f"http://h/{i}", f"<div>Home and more</div><p>{story.format(i)}</p><article>Teaser {i}</article><div>(c) Site</div>")
+            for i in range(5)]
+    got = {r.page_id: r.text for r in extract.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"{story.format(i)}\n\nTeaser {i}" for i in range(5)}
+
+
 def test_copies_delete_nothing_and_odd_rows(spark):
     page = "<p>An article of its own</p><p>with two lines</p>"
     rows = [(1, "http://a/x", page), (2, "http://a/y", page), (3, None, "<p>q"), (4, "http://a/z", None), (5, "no host", "<p>b"), (5, "no host", "<p>b"),
