@@ -2,18 +2,21 @@
 
 Pages are read into text lines (blocks).  What is no text, or marks itself as something else than the
 article (menus, footers, forms, adverts, reader comments, ...), is left out while reading.  Pages of a host stand next to
-each other in the order of their URL paths; each page is aligned with its neighbours by the longest common
-subsequence of lines, and the shared lines, the host's furniture, are deleted.  Lines that the page itself
-marks as its article stay; they are all of the text where they make up most of what differencing leaves.  A
-neighbour that shares nearly everything is a copy, not a sibling, and deletes nothing.
-
-The order is cut into ranges by a slim pass over the URLs; then each page's lines are shuffled once, to the
-task of its range, and the pages at the edges of a range also to the next one.  A host of any size is
-spread over many ranges.
+each other in the order of their URL paths; each page is aligned with its neighbours, the nearest pages with other
+lines, by the longest common subsequence of lines, and the shared lines, the host's furniture, are deleted.  Lines that the page itself
+marks as its article stay; they are all of the text where they make up most of what differencing leaves.  Pages
+of equal lines that stand together are copies: they have the same neighbours and the same text.  What a neighbour
+shares beyond most of the page goes only where the other neighbour shares it too, as one of them may be a version of
+the page.
+
+The order is cut into ranges by a slim pass over the URLs and digests of the lines; then each page's lines are
+shuffled once, to the task of its range, and the pages that are neighbours across the edge of a range also to that
+range.  A host or a group of copies of any size is spread over many ranges.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import arrow_schema
+from .tables import arrow_schema, materialize
 
-#: share of a page's characters that a neighbour may delete; beyond it the neighbour is a copy
+#: share of a page's characters that a neighbour may delete alone; beyond it both neighbours must share a line
 COPY_SHARE = 0.8
+#: neighbours of a page: one to either side, or all to one side at the edges of a host
+NEIGHBOURS = 2
 RANGES_PER_PARTITION = 4
 
 # fixed values: element names of HTML
@@ -199,10 +204,12 @@ def difference(own: list[tuple[str, bool]], neighbours: list[list[tuple[str, boo
     if len(article) == len(lines):
         return lines  # nothing that differencing may delete
     size, gone = sum(map(len, lines)), set()
-    for other in neighbours:
-        shared = shared_lines(lines, [line for line, _ in other])
-        if sum(len(lines[i]) for i in shared) <= COPY_SHARE * size:
-            gone |= shared
+    shared = [shared_lines(lines, [line for line, _ in other]) for other in neighbours]
+    for places in shared:
+        if sum(len(lines[i]) for i in places) <= COPY_SHARE * size:
+            gone |= places
+    if len(shared) > 1:
+        gone |= set.intersection(*shared)
     left = [i for i in range(len(lines)) if i in article or i not in gone]
     if article and 2 * sum(len(lines[i]) for i in article) >= sum(len(lines[i]) for i in left):
         left = sorted(article)
@@ -222,22 +229,74 @@ def _host(key: str) -> str:
     return key[:key.index("\u0001")]
 
 
+def page_key(key: str, lines: list[tuple[str, bool]]) -> str:
+    """``url_key`` followed by the digest of the page's lines, by which copies are known."""
+    return key + "\u0001" + hashlib.blake2b(repr(lines).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def _run(key: str) -> tuple[str, str]:
+    """(host, digest): equal for copies."""
+    return _host(key), key[key.rindex("\u0001"):]
+
+
+def context_of(ranges: list[tuple[list[str], list[str]]]) -> dict[str, list[int]]:
+    """The ranges that need a page of another range as a neighbour, by its key.
+
+    ``ranges`` has a key of each of the first and of the last NEIGHBOURS + 1 runs of copies of every range, in order."""
+    needs: dict[str, list[int]] = {}
+    for order in (range(len(ranges)), range(len(ranges) - 1, -1, -1)):
+        back = order.step > 0
+        near: list[str] = []  # keys of the runs beside the range, nearest first
+        for k in order:
+            firsts, lasts = ranges[k] if back else (ranges[k][1][::-1], ranges[k][0][::-1])
+            if near and _run(near[0]) == _run(firsts[0]):
+                near = near[1:]
+            for key in near[:NEIGHBOURS]:
+                needs.setdefault(key, []).append(k)
+            # fewer runs than asked for are all of them: what was beside this range is near the next one too
+            near = lasts[::-1] + (near if len(lasts) <= NEIGHBOURS else [])
+            near = near[:NEIGHBOURS + 1]
+    return needs
+
+
 _LINES = "lines array<struct<line:string,marked:boolean>>"
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) per page: the main text, blocks joined by two \\n.
 
-    Null and empty pages have an empty text; pages without a host (null url) have no neighbours; repeated rows
-    are copies and delete nothing of each other.  Other columns are not read; an empty table gives no rows."""
+    Null and empty pages have an empty text and are nobody's neighbours; pages without a host (null url) have no
+    neighbours; repeated rows are copies and delete nothing of each other.  Other columns are not read; an empty table
+    gives no rows."""
     spark = pages.sparkSession
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
                         url_key(F.col(url_col), F.col(id_col)).alias("key"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     n = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slim.select("key").where("key IS NOT NULL").repartitionByRange(n, "key") \
-        .groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    edges = sorted((r["low"].encode(), r["high"].encode()) for r in ranged.collect())  # one row per range, n at most
-    lows, before, after = [e[0] for e in edges], {e[1]: k + 1 for k, e in enumerate(edges[:-1])}, {e[0]: k - 1 for k, e in enumerate(edges) if k}
+    key_out, ends_out = arrow_schema("key string"), arrow_schema("firsts array<string>, lasts array<string>")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                found = ((x["key"], read_lines(x["html"])) for x in batch.slice(i, 512).to_pylist())
+                yield pa.RecordBatch.from_pylist([{"key": page_key(key, lines)} for key, lines in found if lines], schema=key_out)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts: list[str] = []
+        lasts: list[str] = []
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                if lasts and _run(lasts[-1]) == _run(key):
+                    continue
+                if len(firsts) <= NEIGHBOURS:
+                    firsts.append(key)
+                lasts = [*lasts[-NEIGHBOURS:], key]
+        if firsts:
+            yield pa.RecordBatch.from_pylist([{"firsts": firsts, "lasts": lasts}], schema=ends_out)
+
+    keyed = materialize(slim.select("key", "html").where("key IS NOT NULL").mapInArrow(keys, "key string"), "page-keys")
+    found = keyed.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(ends, "firsts array<string>, lasts array<string>")
+    edges = sorted(((r["firsts"], r["lasts"]) for r in found.collect()), key=lambda e: e[0][0].encode())  # one row per range, n at most
+    lows, needs = [firsts[0].encode() for firsts, _ in edges], context_of(edges)
     kind = slim.schema["id"].dataType.simpleString()
     read_schema = f"range int, key string, context boolean, id {kind}, url string, {_LINES}"
     read_out = arrow_schema(read_schema)
@@ -247,42 +306,56 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for i in range(0, len(batch), 512):
                 part, rows = batch.slice(i, 512), []
                 for x in part.to_pylist():
-                    lines = [{"line": t, "marked": k} for t, k in read_lines(x["html"])]
-                    row = {"key": x["key"], "id": x["id"], "url": x["url"], "lines": lines}
-                    if x["key"] is None:
-                        rows.append(row | {"range": -1 - zlib.crc32(x["html"].encode()) % n, "context": False})  # spread, no neighbours
+                    own = read_lines(x["html"])
+                    row = {"key": None, "id": x["id"], "url": x["url"], "lines": [{"line": t, "marked": k} for t, k in own]}
+                    if x["key"] is None or not own:
+                        by = (x["html"] or x["url"] or "").encode("utf-8", "surrogatepass")
+                        rows.append(row | {"range": -1 - zlib.crc32(by) % n, "context": False})  # spread, no neighbours
                         continue
-                    key = x["key"].encode()
-                    rows.append(row | {"range": bisect_right(lows, key) - 1, "context": False})
-                    # the last page of a range is a neighbour of the next range's first, and the other way round
-                    rows += [row | {"range": k, "context": True} for k in (before.get(key), after.get(key)) if k is not None]
+                    row["key"] = key = page_key(x["key"], own)
+                    rows.append(row | {"range": bisect_right(lows, key.encode()) - 1, "context": False})
+                    rows += [row | {"range": k, "context": True} for k in needs.get(key, ())]
                 yield pa.RecordBatch.from_pylist(rows, schema=read_out)
 
     schema = f"id {kind}, url string, text string"
     out = arrow_schema(schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []  # the page before, the page itself
-
-        def done(after_: dict | None) -> list[dict]:
-            own = held[-1]
-            if own["context"]:
-                return []
-            near = [o for o in (held[0] if len(held) > 1 else None, after_) if o and o["key"] is not None
-                    and own["key"] is not None and o["range"] == own["range"] and _host(o["key"]) == _host(own["key"])]
-            pairs = [[(v["line"], v["marked"]) for v in o["lines"]] for o in (own, *near)]
-            return [{"id": own["id"], "url": own["url"], "text": "\n\n".join(difference(pairs[0], pairs[1:]))}]
+        # runs of copies: (range and run, lines, (id, url) of the pages to write); the pages of a run wait for the runs after it
+        runs: list[tuple[tuple, list[tuple[str, bool]], list[tuple]]] = []
+
+        def write(at: int) -> Iterator[pa.RecordBatch]:
+            (place, run), own, waiting = runs[at]
+            near = [[o[1] for o in side if o[0][0] == place and o[0][1][0] == run[0]]  # of this range and host
+                    for side in (runs[max(at - NEIGHBOURS, 0):at][::-1], runs[at + 1:at + 1 + NEIGHBOURS])]
+            some = [side[0] for side in near if side] if all(near) else near[0] + near[1]
+            if waiting:
+                text = "\n\n".join(difference(own, some))
+                step = max(1, min(512, (1 << 22) // (len(text) + 1)))
+                for i in range(0, len(waiting), step):
+                    yield pa.RecordBatch.from_pylist([{"id": a, "url": b, "text": text} for a, b in waiting[i:i + step]], schema=out)
+            waiting.clear()
 
         for batch in batches:
             for i in range(0, len(batch), 512):
-                rows = []
+                alone = []
                 for x in batch.slice(i, 512).to_pylist():
-                    if held:
-                        rows += done(x)
-                    held = [*held[-1:], x]
-                yield pa.RecordBatch.from_pylist(rows, schema=out)
-        if held:
-            yield pa.RecordBatch.from_pylist(done(None), schema=out)
+                    own = [(v["line"], v["marked"]) for v in x["lines"]]
+                    if x["key"] is None:
+                        alone.append({"id": x["id"], "url": x["url"], "text": "\n\n".join(difference(own, []))})
+                        continue
+                    place = x["range"], _run(x["key"])
+                    if not runs or runs[-1][0] != place:
+                        runs.append((place, own, []))
+                        if len(runs) > 2 * NEIGHBOURS + 1:
+                            del runs[0]
+                        if len(runs) > NEIGHBOURS:
+                            yield from write(len(runs) - 1 - NEIGHBOURS)
+                    if not x["context"]:
+                        runs[-1][2].append((x["id"], x["url"]))
+                yield pa.RecordBatch.from_pylist(alone, schema=out)
+        for at in range(len(runs)):
+            yield from write(at)
 
     return slim.mapInArrow(read, read_schema).repartition("range").sortWithinPartitions("range", "key") \
         .mapInArrow(compare, schema)

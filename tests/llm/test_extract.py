@@ -80,6 +80,46 @@ def test_copies_delete_nothing_and_odd_rows(spark):
     assert extract.digest(table).count() == len(rows)
 
 
+def test_copies_share_one_decision_across_ranges(spark):
+    def page(story):
+        return f"<div>Home | About us and more</div><div>Welcome to our site</div><p>{story}</p><div>(c) Site</div>"
+
+    copied = "A story that many addresses of the host hold, word for word, and no other page"
+    rows = [(i, f"http://h/m/{i:03d}", page(copied)) for i in range(150)]
+    rows += [(900, "http://h/a", page("The first page has a story of its own, long enough to be more than the rest")),
+             (901, "http://h/z", page("The last page has another story of its own, it also is more than the rest"))]
+    got = {r.page_id: r.text for r in extract.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[i] for i in range(150)} == {copied} and len(got) == 152
+    assert got[900].startswith("The first") and got[901].startswith("The last") and "\n" not in got[900] + got[901]
+
+
+def test_short_pages_lose_their_furniture(spark):
+    furniture = "<div>Home | About | News | Sport | Weather | Travel | Culture | Shop | Contact | Help | Jobs | Press</div>"
+    rows = [(i, f"http://h/{i}", f"{furniture}<p>Short {i}</p><div>(c) The owners of the site and their friends</div>") for i in range(9)]
+    rows += [(20 + i, f"http://g/{i}", f"<p>One story, two versions of it, nearly all the same text</p><p>v{i}</p>") for i in range(2)]
+    got = {r.page_id: r.text for r in extract.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == f"Short {i}" for i in range(9))
+    assert all(got[20 + i].startswith("One story") for i in range(2))
+
+
+def test_ranges_get_the_nearest_other_runs():
+    rng = random.Random(1)
+    for _ in range(500):
+        keys = [f"h\x01{i:04d}\x01u\x01{i}\x01{rng.choice('abc')}" for i in range(rng.randint(1, 25))]
+        cuts = sorted(rng.sample(range(1, len(keys)), rng.randint(0, len(keys) - 1))) if len(keys) > 1 else []
+        parts = [keys[a:b] for a, b in zip([0, *cuts], [*cuts, len(keys)])]
+
+        def runs(some):
+            return [k for i, k in enumerate(some) if not i or k[-1] != some[i - 1][-1]]
+
+        got = extract.context_of([(runs(p)[:3], runs(p)[-3:]) for p in parts])
+        for k, part in enumerate(parts):
+            before = [x[-1] for x in runs(keys[:keys.index(part[0]) + 1])][:-1][-2:]
+            after = [x[-1] for x in runs(keys[keys.index(part[-1]):])][1:][:2]
+            mine = sorted(key for key, ranges in got.items() if k in ranges)
+            assert [x[-1] for x in mine if x < part[0]] == before and [x[-1] for x in mine if x > part[-1]] == after
+
+
 def test_every_page_once_whatever_the_ranges(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     a = sorted(map(str, extract.digest(pages).collect()))
