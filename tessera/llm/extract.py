@@ -1,13 +1,13 @@
 """Main-text extraction by nearest-URL page differencing.
 
 Pages are read into text lines (blocks).  What is no text, or marks itself as something else than the
-article (menus, footers, forms, adverts, reader comments, ...), is left out while reading.  Pages of a host stand next to
-each other in the order of their URL paths; each page is aligned with its neighbours, the nearest pages with other
-lines, by the longest common subsequence of lines, and the shared lines, the host's furniture, are deleted.  Lines that the page itself
-marks as its article stay; they are all of the text where they make up most of what differencing leaves.  Pages
-of equal lines that stand together are copies: they have the same neighbours and the same text.  What a neighbour
-shares beyond most of the page goes only where the other neighbour shares it too, as one of them may be a version of
-the page.
+article (menus, footers, forms, adverts, reader comments, ...), is left out while reading; an element that does so
+but holds the article is kept without its inner parts.  Pages of a host stand next to each other in the order of
+their URL paths; each page is aligned with its neighbours, the nearest pages with other lines, by the longest common
+subsequence of lines, and the shared lines, the host's furniture, are deleted.  Lines that the page itself marks as its
+article stay; they are all of the text where they make up most of what differencing leaves.  Pages of equal lines that
+stand together are copies: they have the same neighbours and the same text.  What a neighbour shares beyond most of the
+page goes only where the other neighbour shares it too, as one of them may be a version of the page.
 
 The order is cut into ranges by a slim pass over the URLs and digests of the lines; then each page's lines are
 shuffled once, to the task of its range, and the pages that are neighbours across the edge of a range also to that
@@ -53,6 +53,15 @@ navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar asi
 gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related
 recommended recommendations comment comments commentlist disqus reply replies respond pagination pager skip toolbar
 copyright""".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: pieces of the names of wrappers, which may name a part that stands in them
+HOLDERS = frozenset("""and with layout page pages wrapper wrap container content contents main outer inner body left right col cols
+column columns grid row""".split())
+#: left out with all in it unless it holds the article: elements, roles and names by how sure they are
+HOLDER, NAMED, PART, NEVER = 1, 2, 3, 4
+#: share of a page's text that is next to nothing
+LITTLE = 0.1
+PART_ELEMENTS = {"form": HOLDER, "nav": PART, "aside": PART, "footer": PART, "header": PART, "menu": PART}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 MARKS = frozenset("article main".split())
 
@@ -63,52 +72,109 @@ _SPACE = re.compile(r"\s+")
 _NEGATED = re.compile(r"^(?:no|has|with|without|hide|hidden)[-_]", re.I)
 
 
-def _is_part(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(some other part of the page, the marked article) by the attributes of an element."""
-    other = mark = False
+def _name_kind(word: str) -> int:
+    """How surely a class or id names another part of the page; 0: it does not."""
+    if _NEGATED.match(word):
+        return 0
+    pieces = [p.lower() for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", word) if p]
+    named = [p for p in pieces if p in PARTS]
+    if not named:
+        return 0
+    if len(named) == len(pieces) or pieces[0] in COMMENTS:
+        return PART
+    if any(p in HOLDERS for p in pieces):
+        return HOLDER
+    return PART if any(p in COMMENTS for p in named) else NAMED
+
+
+def _is_part(attributes: str) -> tuple[int, bool]:
+    """(how surely another part of the page, the marked article) by the attributes of an element."""
+    kind, mark = 0, False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = next((v for v in values if v), ""), name.lower()
         if name == "hidden":
-            other = True
+            kind = NEVER
         elif name == "role":
-            other |= value.lower() in ROLES
+            kind = max(kind, PART if value.lower() in ROLES else 0)
             mark |= value.lower() in MARKS
         elif name == "itemprop":
             mark |= value == "articleBody"
         else:
-            for word in value.split():
-                if not _NEGATED.match(word):
-                    pieces = re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", word)
-                    other |= any(p.lower() in PARTS for p in pieces)
-    return other and tag not in ("html", "body", "article", "main"), mark
+            kind = max([kind, *map(_name_kind, value.split())])
+    return kind, mark
+
+
+#: text, marked as article, the left-out elements it stands in, in an article inside of these
+_Line = tuple[str, bool, tuple[int, ...], bool]
+
+
+def _kept(lines: list[_Line], kinds: list[int]) -> list[tuple[str, bool]]:
+    """The lines outside left-out elements, and those of left-out elements that hold the article.
+
+    A wrapper is kept, without its inner parts, when it holds most of the text that can be the article; one that is
+    no wrapper by its name only when next to nothing is kept without it.  So is an article in left-out elements when it
+    is most of the articles in such elements and of the text outside; in a certain part (a menu, reader comments) only
+    on pages that mark no other article."""
+    if not any(chain for _, _, chain, _ in lines):
+        return [(line, marked) for line, marked, _, _ in lines]
+
+    def holders(sizes: list[tuple[int, tuple[int, ...]]]) -> set[int]:
+        held, total = [0] * len(kinds), sum(n for n, _ in sizes)
+        for n, chain in sizes:
+            for w in chain:
+                held[w] += n
+        return {w for w, n in enumerate(held) if 2 * n > total}
+
+    def standing_in(most: int) -> list[tuple[int, tuple[int, ...]]]:
+        return [(len(line), chain) for line, _, chain, _ in lines if all(kinds[w] <= most for w in chain)]
+
+    articles = holders([(len(line), chain) for line, _, chain, article in lines if article or not chain])
+    if any(marked and not chain for _, marked, chain, _ in lines):
+        articles = {w for w in articles if kinds[w] < PART}
+    wrappers = {w for w in holders(standing_in(HOLDER)) if kinds[w] == HOLDER} | {w for w in articles if kinds[w] <= NAMED}
+
+    def choose() -> list[tuple[str, bool]]:
+        return [(line, marked) for line, marked, chain, article in lines
+                if all(w in wrappers or (article and w in articles) for w in chain)]
+
+    found, could = choose(), standing_in(NAMED)
+    if sum(len(line) for line, _ in found) < LITTLE * sum(n for n, _ in could):
+        wrappers |= {w for w in holders(could) if kinds[w] <= NAMED}
+        found = choose()
+    return found
 
 
 def read_lines(page: str) -> list[tuple[str, bool]]:
     """(text, marked as article) of the blocks of a page that may be article text, in page order."""
-    lines: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # (element, left out, marked) with what it stands in
-    text: list[str] = []
+    lines: list[_Line] = []
+    kinds: list[int] = []  # of the left-out elements
+    # element, (left-out elements it stands in or None for never, in an article inside of these), marked
+    stack: list[tuple[str, tuple[tuple[int, ...] | None, bool], bool]] = []
+    text: dict[tuple[tuple[int, ...] | None, bool], list[str]] = {}
     at = 0
-    out = marked = False
+    place, marked = ((), False), False
+
+    def add(piece: str) -> None:
+        if place[0] is not None:
+            text.setdefault(place, []).append(piece)
 
     def end_block() -> None:
-        if text:
-            line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-            text.clear()
+        for (chain, article), pieces in text.items():
+            line = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if line:
-                lines.append((line, marked))
+                lines.append((line, marked, chain, article))
+        text.clear()
 
     def leave(to: int) -> None:
-        nonlocal out, marked
+        nonlocal place, marked
         if any(tag in BLOCK for tag, *_ in stack[to:]):
             end_block()
         del stack[to:]
-        out, marked = stack[-1][1:] if stack else (False, False)
+        place, marked = stack[-1][1:] if stack else (((), False), False)
 
     while at < len(page):
         m = _TOKEN.search(page, at)
-        if not out:
-            text.append(page[at:m.start()] if m else page[at:])
+        add(page[at:m.start()] if m else page[at:])
         if not m:
             break
         at = m.end()
@@ -134,8 +200,7 @@ def read_lines(page: str) -> list[tuple[str, bool]]:
                 if open_ in BLOCK:
                     break
         if tag == "br":
-            if not out:
-                text.append(" ")
+            add(" ")
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -143,16 +208,26 @@ def read_lines(page: str) -> list[tuple[str, bool]]:
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
-        other, mark = _is_part(tag, m[3]) if m[3] else (False, False)
-        if tag in LEFT_OUT or other or (tag == "header" and not marked):
-            if not out:
-                end_block() if tag in BLOCK else None
-            stack.append((tag, True, marked))
-        else:
-            stack.append((tag, out, marked or mark or tag in MARKS))
-        out, marked = stack[-1][1:]
+        kind, mark = _is_part(m[3]) if m[3] else (0, False)
+        chain, article = place
+        mark |= tag in MARKS
+        named, kind = kind, 0 if tag in ("html", "body", "article", "main") or (mark and kind < NEVER) else kind
+        if tag in LEFT_OUT or (tag == "header" and not marked):
+            kind = max(kind, PART_ELEMENTS.get(tag, NEVER))
+        if kind:
+            if chain is None or kind == NEVER or article:  # an article's own parts are none of it
+                place = None, False
+            else:
+                kinds.append(kind)
+                place = (*chain, len(kinds) - 1), False
+        elif chain is None or (chain and named):  # such as the articles of a list of comments
+            mark = False
+        elif chain and mark:
+            place = chain, True
+        marked |= mark and not kind
+        stack.append((tag, place, marked))
     end_block()
-    return lines
+    return _kept(lines, kinds)
 
 
 # --------------------------------------------------------------------------- differencing

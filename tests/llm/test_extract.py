@@ -40,6 +40,34 @@ def test_reading(page, lines):
     assert [line for line, _ in extract.read_lines(page)] == lines
 
 
+STORY = "A long story in a paragraph that is most of the page. " * 3
+
+
+@pytest.mark.parametrize("page", [
+    "<nav>Home</nav><div class='layout-sidebar-right'>{}<div class='sidebar'>s</div></div><footer>f</footer>",
+    "<div>Skip</div><div id='content-and-comments'>{}<div class='comments'><article class='comment'>c</article></div></div>",
+    "<div class='banner-page'>{}<div class='ad'>x</div></div>",
+    "<form id='all'><div class='top-menu'>m</div>{}<select><option>a</select></form>",
+    "<div>Skip</div><form><div class='two-sidebar-theme'>{}</div></form>",
+    "<div role='main' class='page-sidebar'>{}</div>",
+])
+@pytest.mark.parametrize("body", ["<article><p>{}</p><aside>q</aside></article>", "<p>{}</p><aside>q</aside>"])
+def test_a_wrapper_named_like_a_part_keeps_the_article(page, body):
+    lines = [line for line, _ in extract.read_lines(page.format(body.format(STORY)))]
+    assert lines in ([STORY.strip()], ["Skip", STORY.strip()])
+
+
+@pytest.mark.parametrize("page, lines", [
+    (f"<article>Short story</article><div class='comments'>{'<article>' + STORY + '</article>'}</div>", ["Short story"]),
+    (f"<p>{STORY}</p><aside class='related'><article>t1</article><article>t2</article></aside>", [STORY.strip()]),
+    (f"<p>{STORY}</p><div class='post-comments'>{STORY * 3}</div><form class='newsletter-box'>Mail</form>", [STORY.strip()]),
+    (f"<div hidden><article>{STORY}</article></div><p>a <span class=ad>buy</span>b</p>", ["a b"]),
+    (f"<nav>{STORY}</nav>", []),
+])
+def test_parts_stay_out_however_long(page, lines):
+    assert [line for line, _ in extract.read_lines(page)] == lines
+
+
 def furnished(n):
     return [(i, f"https://h{i % 3}.org/a/{i:03d}.html?x={i}",
              f"<body><div>Home | About</div><div>Welcome to our site, please enjoy</div><div>Story {i} tells of {i * 7} and has a lot more text "
