@@ -285,22 +285,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         return last
     first = parts[0]
 
-    def merged(field: str):
-        spans = F.sort_array(F.flatten(F.array(*[F.col(p)[field] for p in parts])))
-        zero = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-        return F.aggregate(spans, zero, lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["start"].alias("start"),
-                F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))))
-            .otherwise(F.concat(acc, F.array(s))))
-
-    # touching word spans are one; byte spans are read off the word spans' bounds, so merge them through gaps of one
-    struct = F.struct(F.col(first)["n_words"].alias("n_words"), merged("spans").alias("spans"),
-                      merged("word_spans").alias("word_spans"),
+    # touching word spans are one; its bytes go from the first one's start to the last one's end, as in one block
+    def with_bytes(part: str):
+        return F.zip_with(F.col(part)["word_spans"], F.col(part)["spans"], lambda w, b: F.struct(
+            w["start"].alias("start"), w["end"].alias("end"), b["start"].alias("from"), b["end"].alias("to")))
+
+    zero = F.expr("cast(array() as array<struct<start:int,end:int,from:int,to:int>>)")
+    merged = F.aggregate(F.sort_array(F.flatten(F.array(*[with_bytes(p) for p in parts]))), zero, lambda acc, s: F.when(
+        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
+            F.element_at(acc, -1)["start"].alias("start"),
+            F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"),
+            F.element_at(acc, -1)["from"].alias("from"),
+            F.greatest(F.element_at(acc, -1)["to"], s["to"]).alias("to")))))
+        .otherwise(F.concat(acc, F.array(s))))
+    last = last.withColumn(f"{name}__merged", merged)
+    both = F.col(f"{name}__merged")
+    struct = F.struct(F.col(first)["n_words"].alias("n_words"),
+                      F.transform(both, lambda s: F.struct(s["from"].alias("start"), s["to"].alias("end"))).alias("spans"),
+                      F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("word_spans"),
                       F.sort_array(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in parts])))).alias("items"))
     found = last.withColumn(first, struct)
-    return found.drop(*parts[1:])
+    return found.drop(*parts[1:], f"{name}__merged")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -72,6 +72,18 @@ def test_phrase_blocks_give_the_same(spark):
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
 
 
+def test_phrase_blocks_give_the_same_byte_spans(spark):
+    docs, items = inputs()
+    passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(8)]
+    docs += [(500, "Own words; " + ", ".join(passages) + ". End"), (501, "; ".join(passages[::-1]))]
+    items += [(100 + k, p) for k, p in enumerate(passages)]
+    table, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)
+    pick = ["doc_id", "contamination.spans", "contamination.word_spans"]
+    one = decontaminate.find_contamination(table, bench).select(*pick)
+    many = decontaminate.find_contamination(table, bench, phrase_block_bytes=200).select(*pick)
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
 def test_whole_table(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     expected = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
