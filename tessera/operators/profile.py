@@ -219,27 +219,34 @@ def order_by_median(df: DataFrame, key: str, value: str) -> DataFrame:
     return m.withColumn("median_rank", F.row_number().over(Window.orderBy("median", key)).cast("bigint"))
 
 
-def kde_by_group(df: DataFrame, value: str, by: str, points: int = 64, pad_bandwidths: float = 3.0) -> DataFrame:
+def kde_by_group(df: DataFrame, value: str, by: str | Sequence[str], points: int = 64, pad_bandwidths: float = 3.0) -> DataFrame:
     """Gaussian kernel density per group on an even grid of ``points`` values spanning
     [min - 3h, max + 3h], bandwidth h = sd * n^(-1/5) (Scott).
 
     Each row contributes to every grid point of its group: the (row, grid point) terms
     are generated and summed map-side (partial aggregation), so the shuffle carries
     one row per (group, grid point, task) – the data is never replicated on disk."""
-    stats = df.where(F.col(value).isNotNull()).groupBy(by).agg(
+    by = [by] if isinstance(by, str) else list(by)
+    stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_sd"), F.min(value).alias("_lo"),
         F.max(value).alias("_hi"))
     stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))) \
         .withColumn("_g0", F.col("_lo") - pad_bandwidths * F.col("_h")) \
         .withColumn("_step", (F.col("_hi") + pad_bandwidths * F.col("_h") - F.col("_g0")) / (points - 1))
-    j = join_nullsafe(df.select(by, value), stats, [by], "inner")
-    terms = j.select(by, "_n", "_h", "_g0", "_step",
+    j = join_nullsafe(df.select(*by, value), stats, by, "inner")
+    terms = j.select(*by, "_n", "_h", "_g0", "_step",
                      F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
                                               lambda i: F.exp(-F.pow((F.col("_g0") + i * F.col("_step") - F.col(value))
                                                                      / F.col("_h"), 2) / 2.0)))
                      .alias("grid_index", "k"))
-    dens = terms.groupBy(by, "grid_index", "_n", "_h", "_g0", "_step").agg(F.sum("k").alias("_s"))
-    return dens.select(by, F.col("grid_index").cast("bigint").alias("grid_index"),
+    dens = terms.groupBy(*by, "grid_index", "_n", "_h", "_g0", "_step").agg(F.sum("k").alias("_s"))
+    return dens.select(*by, F.col("grid_index").cast("bigint").alias("grid_index"),
                        F.round(F.col("_g0") + F.col("grid_index") * F.col("_step"), 6).alias("x"),
                        F.round(F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))), 6)
                        .alias("density"))
+
+
+def kde_by_feature(df: DataFrame, features: Sequence[str], by: str, points: int = 64) -> DataFrame:
+    """``kde_by_group`` of every feature: one grouped job over the (feature, ``by``) pairs."""
+    long = df.select(by, *[F.col(c).cast("double").alias(c) for c in features]).unpivot([by], list(features), "feature", "value")
+    return kde_by_group(long, "value", ["feature", by], points)

@@ -432,3 +432,18 @@ GROUP BY s.quality, g.i, s.g0, s.step, s.n, s.h""", [
 def q_kde(spark, sf_dir):
     """Density of the last feature per (binary) class on a 64-point grid."""
     return P.kde_by_group(wine_binary(spark, sf_dir), "f11", "quality", 64)
+
+
+@register("kde_by_feature", wsql("""
+SELECT s.feature, s.quality, CAST(g.i AS BIGINT) AS grid_index, round(s.g0 + g.i * s.step, 6) AS x,
+       round(SUM(exp(-pow((s.g0 + g.i * s.step - l.v) / s.h, 2) / 2.0)) / (s.n * s.h * sqrt(2 * pi())), 6) AS density
+FROM long l JOIN st3 s ON s.quality = l.quality AND s.feature = l.feature, range(64) g(i)
+GROUP BY s.feature, s.quality, g.i, s.g0, s.step, s.n, s.h""", [
+    ("long", " UNION ALL ".join(f"SELECT '{c}' AS feature, quality, CAST({c} AS DOUBLE) AS v FROM z0 WHERE {c} IS NOT NULL"
+                                for c in WINE_FEATURES)),
+    ("st", "SELECT feature, quality, COUNT(*) AS n, STDDEV_SAMP(v) AS sd, MIN(v) AS lo, MAX(v) AS hi FROM long GROUP BY ALL"),
+    ("st2", "SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st"),
+    ("st3", "SELECT *, lo - 3.0 * h AS g0, (hi + 3.0 * h - (lo - 3.0 * h)) / 63 AS step FROM st2")]))
+def q_kde_features(spark, sf_dir):
+    """Densities of all features per (binary) class, each on a 64-point grid of its own."""
+    return P.kde_by_feature(wine_binary(spark, sf_dir), WINE_FEATURES, "quality", 64)

@@ -403,3 +403,11 @@ def test_histogram_by_bin_width(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.5, 2.9, 7.0, None)], "v double")
     got = [(r["bin_lo"], r["bin_hi"], r["n"]) for r in histogram(df, "v", binwidth=2.5).orderBy("bin").collect()]
     assert got == [(0.0, 2.5, 1), (2.5, 5.0, 2), (5.0, 7.5, 1)]
+
+
+def test_densities_of_every_feature(spark):
+    from tessera.plans import registry
+    rows = registry.queries()["kde_by_feature"](spark, SF_SMALL).collect()
+    one = {(r.quality, r.grid_index): (r.x, r.density) for r in registry.queries()["kde_by_group"](spark, SF_SMALL).collect()}
+    assert {r.feature for r in rows} == {f"f{i}" for i in range(1, 12)} and len(rows) == 11 * len(one)
+    assert {(r.quality, r.grid_index): (r.x, r.density) for r in rows if r.feature == "f11"} == one
