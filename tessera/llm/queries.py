@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, extract, packing, pii, quality, resample, simhash, substring, suffixes
+from . import chat, decontaminate, extract, langid, packing, pii, quality, resample, search, simhash, substring, suffixes, variants
 from .tables import read
 
 
@@ -50,11 +50,23 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.digest(read(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_suffix_array_dedup, op4_best_fit_packing, op5_chat_formatting, op6_benchmark_decontamination,
                                      op7_quality_rules, op8_simhash_near_dedup, op9_personal_data,
-                                     op10_importance_resampling)}
+                                     op10_importance_resampling, op11_ranked_search, op12_spelling_variants, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.ORACLE}
+    return {"op7_quality_rules": quality.ORACLE, "op11_ranked_search": search.ORACLE}

@@ -115,6 +115,13 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Arrow strings of the given byte lengths that stand one after the other in ``data``."""
+    offs = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offs[1:])
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
     """Prefix sums P of codes[i] * base**i (length n + 1); see :func:`range_hash`."""
     out = np.zeros(len(codes) + 1, np.uint64)
