@@ -1,135 +1,315 @@
-"""Exact k-nearest-neighbour search as a block-pair Spark job.
-
-Query rows are hashed into ``B`` blocks (``block_rows`` each) and reference rows into
-``T`` blocks (``ref_block_rows`` each).  Query rows are copied to every reference block
-and reference rows to every query block; each (query block, reference block) group
-holds a bounded number of rows and computes its local top-k with NumPy, 512 queries
-at a time (Arrow batches in, about k rows per query out).  A window over the k x T candidates of
-each query keeps the global top-k.  Candidates come from a BLAS distance
-expansion with a rounding margin; their exact squared Euclidean distances are then
-summed feature by feature in a fixed order, and ties break on the reference ids.
-
-The work is quadratic, as exact brute-force kNN is; no distance pair is written as
-a row, no block or group grows with the data, and nothing passes through the driver.
+"""Exact k-nearest-neighbour search over a sampled kd-tree.
+
+A bounded sample of the reference rows is cut by medians into cells; every reference row falls into one cell, and the
+smallest box around a cell's rows is kept (one aggregate, one row per cell).
+
+1. Home pass: a query row is compared with the rows of the cell it falls into.  A cell holds at least k sampled rows, so
+   this bounds its k-th distance.
+2. Visits: the tree is walked with all query rows at once; a row goes on to the other cells whose box is not farther
+   than its bound, and only rows within the bound come back from there.
+
+Cells with many rows, of either side, are dealt out in blocks, so no group grows with the data.  Distances are summed
+feature by feature in a fixed order and a box is never farther than a row in it, in floating point too; ties break on
+the reference ids.  Rows without one of the features (NULL or NaN) are no neighbours, and as queries have none.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_ROWS = 2048        # query rows per block
-REF_BLOCK_ROWS = 16384           # reference rows per block
-QUERY_CHUNK = 512                # queries per distance matrix inside a group
+from ..session import materialize
+
+CELL_ROWS = 2048                 # reference rows a cell is cut down to
+BLOCK_ROWS = 4096                # query rows of one group
+REF_BLOCK_ROWS = 16384           # reference rows of one group; a fuller cell is dealt out in blocks
+SAMPLE_ROWS = 1 << 18            # sampled reference rows the tree is cut from (on the driver)
+CELLS = 1 << 21                  # distances held at once inside a group
+
+
+# --------------------------------------------------------------------------- the tree
+
+class Tree:
+    """Median cuts: node i compares feature ``dim[i]`` with ``cut[i]``; a leaf has ``dim`` -1 and its number in ``leaf``."""
+
+    def __init__(self, sample: np.ndarray, leaf_rows: int, least: int):
+        self.dim, self.cut, self.left, self.right, self.leaf, self.leaves = [], [], [], [], [], 0
+        stack = [(sample, -1, False)]
+        while stack:
+            rows, parent, is_right = stack.pop()
+            node = len(self.dim)
+            if parent >= 0:
+                (self.right if is_right else self.left)[parent] = node
+            dim, cut = self._median(rows, least) if len(rows) > leaf_rows else (-1, 0.0)
+            self.dim.append(dim)
+            self.cut.append(cut)
+            self.left.append(-1)
+            self.right.append(-1)
+            self.leaf.append(self.leaves if dim < 0 else -1)
+            if dim < 0:
+                self.leaves += 1
+            else:
+                low = rows[:, dim] < cut
+                stack += [(rows[~low], node, True), (rows[low], node, False)]
+        self.dim, self.cut, self.leaf = np.array(self.dim), np.array(self.cut), np.array(self.leaf)
+        self.left, self.right = np.array(self.left), np.array(self.right)
+
+    @staticmethod
+    def _median(rows: np.ndarray, least: int) -> tuple[int, float]:
+        """Widest feature that a cut near its median divides into two parts of at least ``least`` rows."""
+        for dim in np.argsort(-(rows.max(axis=0) - rows.min(axis=0)), kind="stable"):
+            values = np.sort(rows[:, dim])
+            middle = values[len(values) // 2]
+            for cut in (middle, values[min(np.searchsorted(values, middle, "right"), len(values) - 1)]):
+                low = np.searchsorted(values, cut)
+                if min(low, len(values) - low) >= least:
+                    return int(dim), float(cut)
+        return -1, 0.0
+
+    def home(self, points: np.ndarray) -> np.ndarray:
+        """Leaf number of each point."""
+        node = np.zeros(len(points), np.int64)
+        while True:
+            inner = np.flatnonzero(self.dim[node] >= 0)
+            if not len(inner):
+                return self.leaf[node]
+            at = node[inner]
+            node[inner] = np.where(points[inner, self.dim[at]] < self.cut[at], self.left[at], self.right[at])
+
+    def boxes(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Boxes of all nodes from those of the leaves (children come after their node)."""
+        lo, hi = np.full((len(self.dim), low.shape[1]), np.inf), np.full((len(self.dim), low.shape[1]), -np.inf)
+        for i in range(len(self.dim) - 1, -1, -1):
+            if self.dim[i] < 0:
+                lo[i], hi[i] = low[self.leaf[i]], high[self.leaf[i]]
+            else:
+                lo[i] = np.minimum(lo[self.left[i]], lo[self.right[i]])
+                hi[i] = np.maximum(hi[self.left[i]], hi[self.right[i]])
+        return lo, hi
 
+    def near(self, points: np.ndarray, bound: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, leaf) for every leaf box at most ``bound`` (squared) away from the point."""
+        found, stack = [], [(0, np.arange(len(points)))]
+        while stack:
+            node, rows = stack.pop()
+            distance = np.zeros(len(rows))
+            for j in range(points.shape[1]):
+                x = points[rows, j]
+                gap = np.maximum(np.maximum(lo[node, j] - x, x - hi[node, j]), 0.0)
+                distance += gap * gap
+            rows = rows[distance <= bound[rows]]
+            if not len(rows):
+                continue
+            if self.dim[node] < 0:
+                found.append((rows, np.full(len(rows), self.leaf[node])))
+            else:
+                stack += [(self.left[node], rows), (self.right[node], rows)]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
+
+
+# --------------------------------------------------------------------------- one group
+
+_FOUND = "_q bigint, _r0 bigint, _r1 bigint, _dist double, _y double"
+
+
+def _nearest(n_features: int, k: int):
+    """The k nearest rows of the group for each of its query rows, within their bounds, of another ``_g`` than theirs."""
+    feats = [f"_f{j}" for j in range(n_features)]
 
-def _topk_block(features: list[str], k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["_side"] == 0]
-        r = pdf[pdf["_side"] == 1]
+        q, r = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        parts = [pd.DataFrame({"_q": pd.Series(dtype="int64"), "_r0": pd.Series(dtype="int64"), "_r1": pd.Series(dtype="int64"),
+                               "_dist": pd.Series(dtype="float64"), "_y": pd.Series(dtype="float64")})]
         if q.empty or r.empty:
-            return pd.DataFrame({"_qid": pd.Series(dtype="int64"), "_r0": pd.Series(dtype="int64"),
-                                 "_r1": pd.Series(dtype="int64"), "_dist": pd.Series(dtype="float64"),
-                                 "_y": pd.Series(dtype="float64")})
-        Q = q[features].to_numpy(dtype="float64")
-        R = r[features].to_numpy(dtype="float64")
-        kk = min(k, len(R))
-        # candidate search on data centred on the block mean (distances are unchanged,
-        # rounding errors shrink with the norms) in float32 for memory bandwidth
+            return parts[0]
+        Q, R = q[feats].to_numpy("float64"), r[feats].to_numpy("float64")
+        key, bound, own = q["_q"].to_numpy("int64"), q["_bound"].to_numpy("float64"), q["_g"].to_numpy("int64")
+        r0, r1, other, y = (r[c].to_numpy(t) for c, t in (("_r0", "int64"), ("_r1", "int64"), ("_g", "int64"), ("_y", "float64")))
+        # |q|^2 + |r|^2 - 2 q.r of centred rows finds the candidates; its rounding error is far below the margin
         centre = R.mean(axis=0)
-        R32 = (R - centre).astype(np.float32)
-        rn = np.einsum("ij,ij->i", R32, R32)
-        qid = q["_qid"].to_numpy(dtype="int64")
-        r0 = r["_r0"].to_numpy(dtype="int64")
-        r1 = r["_r1"].to_numpy(dtype="int64")
-        ry = r["_y"].to_numpy(dtype="float64")
-        rmax = float(rn.max())
-        parts = []
-        for lo in range(0, len(Q), QUERY_CHUNK):
-            Qc = Q[lo:lo + QUERY_CHUNK]
-            Q32 = (Qc - centre).astype(np.float32)
-            qn = np.einsum("ij,ij->i", Q32, Q32)
-            # 1) candidates from |q|^2 + |r|^2 - 2 q.r with a margin (1e-5 relative to the
-            #    norms, far above float32 rounding), so every true top-k row is kept
-            approx = qn[:, None] + rn[None, :] - 2.0 * (Q32 @ R32.T)
+        C = R - centre
+        rn = np.einsum("ij,ij->i", C, C)
+        step, kk = max(1, CELLS // len(R)), min(k, len(R))
+        for lo in range(0, len(Q), step):
+            part = Q[lo:lo + step] - centre
+            qn = np.einsum("ij,ij->i", part, part)
+            approx = qn[:, None] + rn[None, :] - 2.0 * (part @ C.T)
+            approx[own[lo:lo + step, None] == other[None, :]] = np.inf
+            margin = 16 * (n_features + 4) * np.finfo(float).eps * (qn + rn.max())
             kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            margin = 1e-5 * (qn.astype(np.float64) + rmax + 1.0)
-            rows, cols = np.nonzero(approx <= (kth + 2 * margin)[:, None])
-            # 2) exact distances of the candidates, summed feature by feature in a fixed order
+            limit = np.minimum(kth, bound[lo:lo + step]) + 2 * margin
+            rows, cols = np.nonzero((approx <= limit[:, None]) & (approx < np.inf))
             d = np.zeros(len(rows))
-            for j in range(Q.shape[1]):
-                diff = Qc[rows, j] - R[cols, j]
+            for j in range(n_features):  # the exact distances of the candidates
+                diff = Q[lo + rows, j] - R[cols, j]
                 d += diff * diff
-            parts.append(pd.DataFrame({"_qid": qid[lo + rows], "_r0": r0[cols], "_r1": r1[cols], "_dist": d,
-                                       "_y": ry[cols]}))
+            keep = d <= bound[lo + rows]
+            rows, cols, d = rows[keep], cols[keep], d[keep]
+            order = np.lexsort((r1[cols], r0[cols], d, rows))
+            rows, cols, d = rows[order], cols[order], d[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            rows, cols, d = rows[keep], cols[keep], d[keep]
+            parts.append(pd.DataFrame({"_q": key[lo + rows], "_r0": r0[cols], "_r1": r1[cols], "_dist": d, "_y": y[cols]}))
         return pd.concat(parts, ignore_index=True)
     return run
 
 
-def knn_neighbours(queries: DataFrame, reference: DataFrame, features: Sequence[str], k: int, query_id: str,
-                   ref_ids: Sequence[str], label: str, block_rows: int = DEFAULT_BLOCK_ROWS,
-                   ref_block_rows: int | None = None) -> DataFrame:
-    """(query_id, neighbour rank 1..k, dist, label) of the k nearest reference rows."""
-    feats = list(features)
-    nq = queries.count()
-    nr = reference.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    tb = max(1, math.ceil(nr / (ref_block_rows or max(block_rows, REF_BLOCK_ROWS))))
+def _compare(asked: DataFrame, held: DataFrame, cells: DataFrame, n_features: int, k: int) -> DataFrame:
+    """Candidates of the query rows (``_cell``, ``_bound``) from the reference rows of the same cell.
+
+    ``cells`` (one row per cell, at most the tree's leaves) says into how many blocks either side is dealt."""
+    cells = F.broadcast(cells)
+    feats = [f"_f{j}" for j in range(n_features)]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("_r0", "bigint"), ("_r1", "bigint"), ("_y", "double"))]
+    q = asked.join(cells, "_cell").withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).select(
+        "_cell", F.pmod(F.xxhash64("_q"), "_blocks").cast("int").alias("_blk"), "_sub", F.lit(0).alias("_side"), "_q", "_g", "_bound", *feats, *none)
+    r = held.join(cells, "_cell").withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        "_cell", "_blk", F.pmod("_n", "_subs").cast("int").alias("_sub"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_q"), "_g",
+        F.lit(None).cast("double").alias("_bound"), *feats, "_r0", "_r1", "_y")
+    return q.unionByName(r).groupBy("_cell", "_sub", "_blk").applyInPandas(_nearest(n_features, k), _FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    place = Window.partitionBy("_q").orderBy("_dist", "_r0", "_r1")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
+def _usable(features: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features])
+
+
+# --------------------------------------------------------------------------- the search
+
+def search(queries: DataFrame, reference: DataFrame, features: Sequence[str], k: int, query_id: str, ref_ids: Sequence[str],
+           label: str, group: str | None = None, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
+           ref_block_rows: int = REF_BLOCK_ROWS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(query rows ``_q``, ``query_id``, ``_usable``; neighbours ``_q``, ``rank``, ``_dist``, ``_y``, ``_r0``).
+
+    With ``group`` (an integer column of both sides) rows of a query row's own group are not its neighbours."""
+    feats = [F.col(c).cast("double").alias(f"_f{j}") for j, c in enumerate(features)]
+    names = [f"_f{j}" for j in range(len(features))]
+    own = F.col(group).cast("bigint") if group else F.lit(0).cast("bigint")
+    other = F.col(group).cast("bigint") if group else F.lit(1).cast("bigint")
     r1 = F.coalesce(F.col(ref_ids[1]).cast("bigint"), F.lit(-1)) if len(ref_ids) > 1 else F.lit(0).cast("bigint")
-    q = queries.select(F.col(query_id).cast("bigint").alias("_qid"), *[F.col(c).cast("double").alias(c) for c in feats]) \
-        .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb))) \
-        .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)))) \
-        .withColumn("_side", F.lit(0)).withColumn("_r0", F.lit(None).cast("bigint")) \
-        .withColumn("_r1", F.lit(None).cast("bigint")).withColumn("_y", F.lit(None).cast("double"))
-    r = reference.select(F.col(ref_ids[0]).cast("bigint").alias("_r0"), r1.alias("_r1"),
-                         F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in feats]) \
-        .withColumn("_tb", F.pmod(F.xxhash64("_r0", "_r1"), F.lit(tb))) \
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))) \
-        .withColumn("_side", F.lit(1)).withColumn("_qid", F.lit(None).cast("bigint"))
-    both = q.unionByName(r)
-    cand = both.groupBy("_qb", "_tb").applyInPandas(
-        _topk_block(feats, k), "_qid bigint, _r0 bigint, _r1 bigint, _dist double, _y double")
-    w = Window.partitionBy("_qid").orderBy("_dist", "_r0", "_r1")
-    best = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select(F.col("_qid").alias(query_id), "rank", F.col("_dist").alias("dist"),
-                       F.col("_y").alias(label), F.col("_r0").alias("ref_id"))
+    refs = reference.where(_usable(features) & F.col(label).isNotNull()).select(
+        F.col(ref_ids[0]).cast("bigint").alias("_r0"), r1.cast("bigint").alias("_r1"), F.col(label).cast("double").alias("_y"),
+        F.coalesce(other, F.lit(-1)).alias("_g"), *feats)
+    asked = queries.select(F.monotonically_increasing_id().alias("_q"), F.col(query_id), _usable(features).alias("_usable"),
+                           F.coalesce(own, F.lit(-2)).alias("_g"), *feats)
+
+    total = refs.count()
+    share = min(1.0, sample_rows / max(total, 1))
+    drawn = refs if share == 1.0 else refs.where(F.pmod(F.xxhash64("_r0", "_r1", *names), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = np.column_stack([c.to_numpy() for c in drawn.select(*names).limit(2 * sample_rows).toArrow().columns]) if total > cell_rows \
+        else np.zeros((0, len(names)))
+    tree = Tree(sample, max(2 * k, int(cell_rows * len(sample) / max(total, 1))), k)
+    shared = queries.sparkSession.sparkContext.broadcast(tree)
+
+    def in_cells(frame: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                points = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+                cell = shared.value.home(points) if len(batch) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "_cell"])
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+        return frame.mapInArrow(run, ddl + ", _cell int")
+
+    held = materialize(in_cells(refs).withColumn("_n", F.monotonically_increasing_id()), "knn-reference")
+    asked = materialize(in_cells(asked), "knn-queries")
+    usable = asked.where("_usable")
+
+    box = [f(c).alias(f"{f.__name__}{c}") for f in (F.min, F.max) for c in names]
+    boxes = {r["_cell"]: r for r in held.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"), *box).collect()}
+
+    def dealt(counts: DataFrame) -> DataFrame:
+        """Blocks of either side per cell (at most as many rows as the tree has leaves)."""
+        rows = [(c, -(-boxes[c]["_rows"] // ref_block_rows), -(-n // block_rows)) for c, n in counts.collect() if c in boxes]
+        return queries.sparkSession.createDataFrame(rows, "_cell int, _subs int, _blocks int")
+
+    home = _best(_compare(usable.withColumn("_bound", F.lit(float("inf"))), held,
+                          dealt(usable.groupBy("_cell").count()), len(names), k), k)
+    if tree.leaves == 1:
+        return asked, home
+    home = materialize(home, "knn-home")
+    low, high = np.full((tree.leaves, len(names)), np.inf), np.full((tree.leaves, len(names)), -np.inf)
+    for c, row in boxes.items():
+        low[c], high[c] = [row[f"min{n}"] for n in names], [row[f"max{n}"] for n in names]
+    walls = queries.sparkSession.sparkContext.broadcast(tree.boxes(low, high))
+    bound = home.groupBy("_q").agg(F.count(F.lit(1)).alias("_have"), F.max("_dist").alias("_kth"))
+    bounded = usable.join(bound, "_q", "left").select("_q", "_g", *names, "_cell", F.when(F.col("_have") >= k, F.col("_kth"))
+                                                     .otherwise(F.lit(float("inf"))).alias("_bound"))
+
+    at = {c: i for i, c in enumerate(bounded.columns)}
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, hi = walls.value
+        for whole in batches:
+            for first in range(0, len(whole), 4096):  # a row may visit many cells
+                batch = whole.slice(first, 4096)
+                points = np.column_stack([batch.column(at[c]).to_numpy(zero_copy_only=False) for c in names])
+                rows, cell = shared.value.near(points, batch.column(at["_bound"]).to_numpy(zero_copy_only=False), lo, hi)
+                away = cell != batch.column(at["_cell"]).to_numpy(zero_copy_only=False)[rows]
+                out = batch.take(pa.array(rows[away]))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[away], pa.int32()) if c == "_cell" else out.column(i) for c, i in at.items()], schema=batch.schema)
+
+    visits = materialize(bounded.mapInArrow(visit, bounded.schema), "knn-visits")
+    away = _compare(visits, held, dealt(visits.groupBy("_cell").count()), len(names), k)
+    return asked, _best(home.drop("rank").unionByName(away), k)
+
+
+def knn_neighbours(queries: DataFrame, reference: DataFrame, features: Sequence[str], k: int, query_id: str,
+                   ref_ids: Sequence[str], label: str, group: str | None = None, **kw) -> DataFrame:
+    """(query_id, neighbour rank 1..k, dist, label, ref_id) of the k nearest reference rows."""
+    asked, found = search(queries, reference, features, k, query_id, ref_ids, label, group, **kw)
+    return asked.select("_q", query_id).join(found, "_q").select(
+        query_id, "rank", F.col("_dist").alias("dist"), F.col("_y").alias(label), F.col("_r0").alias("ref_id"))
+
+
+def _averaged(queries, reference, features, k, query_id, ref_ids, label, **kw) -> DataFrame:
+    """(query_id, value): mean label of the k neighbours, NULL for a query row without all features."""
+    asked, found = search(queries, reference, features, k, query_id, ref_ids, label, **kw)
+    mean = found.groupBy("_q").agg(F.avg("_y").alias("value"))
+    return asked.select("_q", query_id).join(mean, "_q", "left").select(query_id, "value")
 
 
 def knn_regress(queries: DataFrame, reference: DataFrame, features, k: int, query_id: str, ref_ids, label: str,
                 **kw) -> DataFrame:
-    nb = knn_neighbours(queries, reference, features, k, query_id, ref_ids, label, **kw)
-    return nb.groupBy(query_id).agg(F.avg(label).alias("prediction"))
+    """Mean label of the neighbours; a query row that lacks a feature keeps its row, with a NULL prediction."""
+    return _averaged(queries, reference, features, k, query_id, ref_ids, label, **kw).withColumnRenamed("value", "prediction")
 
 
 def knn_classify(queries: DataFrame, reference: DataFrame, features, k: int, query_id: str, ref_ids, label: str,
                  **kw) -> DataFrame:
-    """Binary majority vote; probability = share of votes for class 1; a tied vote goes to 0."""
-    nb = knn_neighbours(queries, reference, features, k, query_id, ref_ids, label, **kw)
-    g = nb.groupBy(query_id).agg(F.avg(F.col(label)).alias("probability"))
+    """Binary majority vote; probability = share of votes for class 1; a tied vote goes to 0; NULL without all features."""
+    g = _averaged(queries, reference, features, k, query_id, ref_ids, label, **kw).withColumnRenamed("value", "probability")
     return g.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
 
 
+def knn_cv_predictions(train: DataFrame, features, label: str, id_cols: Sequence[str], ks: Sequence[int], fold_col: str, **kw) -> DataFrame:
+    """(ids, fold, label, p<k> per k): each row's mean neighbour label among the rows of the other folds.
+
+    All folds and all k share one search: neighbours of a row's own fold are passed over, the largest k is searched
+    and smaller k take the first of its ranked neighbours."""
+    keyed = train.withColumn("_id", F.struct(*id_cols))
+    asked, found = search(keyed, train, features, max(ks), "_id", id_cols, label, group=fold_col, **kw)
+    means = found.groupBy("_q").agg(*[F.avg(F.when(F.col("rank") <= k, F.col("_y"))).alias(f"p{k}") for k in ks])
+    rows = asked.select("_q", "_id").join(means, "_q", "left")
+    return rows.join(keyed.select("_id", fold_col, label), "_id").select("_id.*", fold_col, label, *[f"p{k}" for k in ks])
+
+
 def knn_cv_grid(train: DataFrame, features, label: str, id_col: str, ks, fold_col: str = "fold") -> DataFrame:
-    """Mean cross-validated R^2 of kNN regression for every k (scikit-learn's default
-    score).  All k share one neighbour search per fold: the largest k is searched once
-    and smaller k take a prefix of the ranked neighbours."""
-    spark = train.sparkSession
-    folds = [r[0] for r in train.select(fold_col).distinct().orderBy(fold_col).collect()]  # k folds
-    kmax = max(ks)
-    per_fold = None
-    for f in folds:
-        fit, val = train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f)
-        nb = knn_neighbours(val, fit, features, kmax, id_col, [id_col], label)
-        preds = nb.groupBy(id_col).agg(*[F.avg(F.when(F.col("rank") <= k, F.col(label))).alias(f"p{k}") for k in ks])
-        j = val.select(id_col, F.col(label).alias("_y")).join(preds, id_col)
-        sst = F.var_pop("_y") * F.count(F.lit(1))  # total sum of squares, one aggregate
-        scored = j.agg(*[(1 - F.sum(F.pow(F.col("_y") - F.col(f"p{k}"), 2)) / sst).alias(f"r2_{k}") for k in ks])
-        per_fold = scored if per_fold is None else per_fold.unionByName(scored)
-    means = per_fold.agg(*[F.avg(f"r2_{k}").alias(f"r2_{k}") for k in ks]).first()
-    return spark.createDataFrame([(f"n_neighbors={k}", float(means[f"r2_{k}"])) for k in ks],
-                                 "params string, cv_metric double")
+    """(params, cv_metric): mean over the folds of R^2 of kNN regression for every k (scikit-learn's default score)."""
+    j = knn_cv_predictions(train, features, label, [id_col], ks, fold_col)
+    sst = F.var_pop(label) * F.count(F.lit(1))  # total sum of squares
+    per_fold = j.groupBy(fold_col).agg(*[(1 - F.sum(F.pow(F.col(label) - F.col(f"p{k}"), 2)) / sst).alias(f"r2_{k}") for k in ks])
+    means = per_fold.agg(*[F.avg(f"r2_{k}").alias(f"r2_{k}") for k in ks])
+    return means.select(F.explode(F.array(*[F.struct(F.lit(f"n_neighbors={k}").alias("params"), F.col(f"r2_{k}").alias("cv_metric"))
+                                            for k in ks])).alias("s")).select("s.*")

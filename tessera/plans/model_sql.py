@@ -50,8 +50,9 @@ SELECT {", ".join("tr." + c for c in WCOLS.split(", "))}, CAST(p.j AS INTEGER) A
 FROM picks p JOIN tr ON tr.quality = p.quality AND tr.rk2 = p.rk2"""),
     ("mm", "SELECT " + ", ".join(f"MIN({c}) AS mn_{c}, MAX({c}) AS mx_{c}" for c in WF) + " FROM wtrain"),
     ("sdp", "SELECT " + ", ".join(f"AVG({c}) AS mu_{c}, STDDEV_POP({c}) AS sd_{c}" for c in WF) + " FROM wtrain"),
-    ("sq", _scaled("wtest", "mm", "minmax")),
-    ("sr", _scaled("wtrain", "mm", "minmax")),
+    ("smm", _scaled("wtest", "mm", "minmax")),
+    ("sq", _scaled("wtest", "sdp", "standard")),
+    ("sr", _scaled("wtrain", "sdp", "standard")),
     ("wnn", f"""
 SELECT * FROM (
   SELECT q.row_id AS qid, r.row_id AS rid, COALESCE(r.copy_index, -1) AS rc, CAST(r.quality AS DOUBLE) AS y,

@@ -140,23 +140,87 @@ def test_dissolve_cancels_shared_edge(spark):
     assert len(segs) == 6  # 4 + 4 edges, the shared one removed from both
 
 
-def test_knn_equals_bruteforce(spark):
+def brute_neighbours(ref, qry, k, ref_group=None, qry_group=None):
+    """[(ids, squared distances)] per query, ties by id; distances summed feature by feature."""
+    out = []
+    for i, q in enumerate(qry):
+        d = np.zeros(len(ref))
+        for j in range(ref.shape[1]):
+            d += (q[j] - ref[:, j]) ** 2
+        if ref_group is not None:
+            d = np.where(ref_group == qry_group[i], np.inf, d)
+        order = np.lexsort((np.arange(len(ref)), d))[:k]
+        out.append([(int(o), float(d[o])) for o in order if d[o] < np.inf])
+    return out
+
+
+def knn_frames(spark, ref, qry, ref_group=None, qry_group=None):
+    names = [f"x{j}" for j in range(ref.shape[1])]
+    ddl = "id long, y double, fold long, " + ", ".join(f"{n} double" for n in names)
+
+    def frame(rows, groups):
+        return spark.createDataFrame([(i, float(i % 2), None if groups is None else int(groups[i]), *map(float, r)) for i, r in enumerate(rows)], ddl)
+    return frame(qry, qry_group), frame(ref, ref_group), names
+
+
+@pytest.mark.parametrize("kind", ["normal", "tiny", "far from zero", "ties", "one place", "few rows"])
+def test_knn_equals_bruteforce(spark, kind):
     rng = np.random.default_rng(5)
-    ref = rng.normal(size=(300, 3))
-    qry = rng.normal(size=(40, 3))
-    rdf = spark.createDataFrame([(i, float(a), float(b), float(c), float(i % 2)) for i, (a, b, c) in enumerate(ref)],
-                                "rid long, a double, b double, c double, y double")
-    qdf = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(qry)],
-                                "qid long, a double, b double, c double")
-    nb = K.knn_neighbours(qdf, rdf, ["a", "b", "c"], 7, "qid", ["rid"], "y", block_rows=16,
-                          ref_block_rows=64).collect()
-    got = {}
-    for r in nb:
-        got.setdefault(r["qid"], []).append((r["rank"], r["ref_id"]))
-    for q in range(40):
-        d = ((ref - qry[q]) ** 2).sum(axis=1)
-        expect = list(np.lexsort((np.arange(300), d))[:7])
-        assert [rid for _, rid in sorted(got[q])] == expect
+    ref, qry = rng.normal(size=(900, 3)), rng.normal(size=(70, 3)) * 2
+    if kind == "tiny":
+        ref, qry = ref * 1e-4, qry * 1e-4
+    elif kind == "far from zero":
+        ref, qry = ref * 1e-3 + 1e6, qry * 1e-3 + 1e6
+    elif kind == "ties":
+        ref, qry = np.round(ref), np.round(qry)
+    elif kind == "one place":  # a third of all rows are copies of one
+        ref[:300], qry[:20] = ref[0], ref[0]
+    elif kind == "few rows":
+        ref = ref[:4]
+    q, r, names = knn_frames(spark, ref, qry)
+    nb = K.knn_neighbours(q, r, names, 7, "id", ["id"], "y", cell_rows=40, block_rows=16, ref_block_rows=32).collect()
+    got = {i: [] for i in range(len(qry))}
+    for n in sorted(nb, key=lambda n: n["rank"]):
+        got[n["id"]].append((n["ref_id"], n["dist"]))
+    assert [got[i] for i in range(len(qry))] == brute_neighbours(ref, qry, 7)
+
+
+def test_knn_candidates_stay_near_k_per_cell(spark):
+    """Rows within 0..0.001 of each other: the tree still sends a query to few cells, and k rows come back from each."""
+    rng = np.random.default_rng(6)
+    ref, qry = rng.random((4000, 2)) * 1e-3, rng.random((50, 2)) * 1e-3
+    run = K._nearest(2, 3)
+    import pandas as pd
+    side = [pd.DataFrame({"_side": s, "_q": np.arange(len(x)), "_bound": np.inf, "_g": s, "_f0": x[:, 0], "_f1": x[:, 1],
+                          "_r0": np.arange(len(x)), "_r1": 0, "_y": 0.0}) for s, x in ((0, qry), (1, ref))]
+    assert len(run(pd.concat(side))) == 150
+    tree = K.Tree(ref, 100, 3)
+    lo, hi = (np.array([f(ref[tree.home(ref) == c], axis=0) for c in range(tree.leaves)]) for f in (np.min, np.max))
+    bound = np.array([n[-1][1] for n in brute_neighbours(ref, qry, 3)])
+    rows, cells = tree.near(qry, bound, *tree.boxes(lo, hi))
+    assert tree.leaves > 30 and len(rows) < 3 * len(qry)
+
+
+def test_knn_rows_of_the_own_fold_are_no_neighbours(spark):
+    rng = np.random.default_rng(7)
+    x, fold = rng.normal(size=(500, 2)), rng.integers(0, 3, 500)
+    fold[:200] = 1
+    frame, _, names = knn_frames(spark, x, x, fold, fold)
+    nb = K.knn_neighbours(frame, frame, names, 5, "id", ["id"], "y", group="fold", cell_rows=30, block_rows=64, ref_block_rows=32).collect()
+    got = {i: [] for i in range(500)}
+    for n in sorted(nb, key=lambda n: n["rank"]):
+        got[n["id"]].append((n["ref_id"], n["dist"]))
+    assert [got[i] for i in range(500)] == brute_neighbours(x, x, 5, fold, fold)
+
+
+def test_knn_keeps_rows_with_missing_features_and_repeated_ids(spark):
+    r = spark.createDataFrame([(i, float(i), float(i)) for i in range(10)] + [(10, None, 99.0), (11, float("nan"), 99.0), (12, 0.0, None)], "id long, x double, y double")
+    q = spark.createDataFrame([(1, 0.1), (1, 8.9), (2, None), (3, float("nan"))], "id long, x double")
+    out = sorted((n["id"], n["prediction"]) for n in K.knn_regress(q, r, ["x"], 2, "id", ["id"], "y").collect() if n["prediction"] is not None)
+    assert out == [(1, 0.5), (1, 8.5)]
+    assert K.knn_regress(q, r, ["x"], 2, "id", ["id"], "y").where("prediction IS NULL").count() == 2
+    assert K.knn_classify(q.limit(0), r, ["x"], 2, "id", ["id"], "y").collect() == []
+    assert K.knn_regress(q, r.limit(0), ["x"], 2, "id", ["id"], "y").where("prediction IS NULL").count() == 4
 
 
 def test_bias_lambda_zero_is_group_mean(spark):
