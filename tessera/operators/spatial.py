@@ -1,10 +1,10 @@
 """Spatial joins and aggregates over points and polygon rings (milli-degree integers).
 
-Joins prune candidates with a grid: each polygon (bounding box, grown by the search
-distance) lists the cells it covers, each point falls in one cell, and the two meet
-in an equi-join on the cell – no cross product.  The exact predicate then runs as a
-column expression.  No side is hinted: the planner and AQE size them (rings can be large),
-and AQE splits a hot cell of a shuffled join.
+Polygons meet points in an equi-join on grid cells, through an index of their edges, never their rings: a cell that an
+edge touches (border) holds the polygon's edges there and whether the polygon holds the cell's lower right corner; a
+cell inside the polygon only says so.  A point is decided from the few edges of its own cell, exactly, so what is
+shuffled does not depend on the length of a ring.  No side is hinted: the planner and AQE size them, and AQE splits a
+hot cell of a shuffled join.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
+from ..session import materialize
 
 # Default grid cell: 500 milli-degrees (about 55 km) on each side.
 CELL_MD = 500
@@ -35,14 +36,78 @@ def _wrapped_cells(lo: Column, hi: Column, cell: int) -> Column:
     return F.array_distinct(F.concat(_cells_between(lo, hi, cell), F.coalesce(over, none), F.coalesce(under, none)))
 
 
-def polygon_cells(polys: DataFrame, ring: str = "ring", cell: int = CELL_MD, pad_x: Column | float = 0.0,
-                  pad_y: Column | float = 0.0) -> DataFrame:
-    """Polygons exploded to the grid cells their (padded) bounding box covers."""
-    x0, y0, x1, y1 = G.ring_bbox(ring)
-    px = pad_x if isinstance(pad_x, Column) else F.lit(float(pad_x))
-    py = pad_y if isinstance(pad_y, Column) else F.lit(float(pad_y))
-    return polys.withColumn("_cx", F.explode(_cells_between(x0 - px, x1 + px, cell))) \
-        .withColumn("_cy", F.explode(_cells_between(y0 - py, y1 + py, cell)))
+# ---- the edge index ---------------------------------------------------------------------
+
+EDGE = "struct<ax:double,ay:double,bx:double,by:double>"
+
+
+def _edge_rows(polys: DataFrame, ring: str) -> DataFrame:
+    """One row per ring edge that is not a point: polygon ``_pid`` and the ends, as they stand in the ring."""
+    e = polys.select("_pid", F.explode(G.edges(ring)).alias("e"))
+    return e.select("_pid", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by")) \
+        .where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
+
+
+def _edge_cells(edges: DataFrame, cell: int, pad_x: float = 0.0, pad_y: float = 0.0) -> DataFrame:
+    """Edges exploded to the cells they touch (left and lower side of a cell belong to it, the right side as well), or
+    come within the pads of: row by row, the part of the edge inside the row's band decides the columns."""
+    low, high = F.least("ay", "by") - pad_y, F.greatest("ay", "by") + pad_y
+    rows = edges.withColumn("_cy", F.explode(_cells_between(low, high, cell)))
+    slope = (F.col("bx") - F.col("ax")) / F.when(F.col("by") != F.col("ay"), F.col("by") - F.col("ay"))
+
+    def x_at(y: Column) -> Column:  # a milli-degree more to either side covers the rounding
+        inside = F.least(F.greatest(y, F.least("ay", "by").cast("double")), F.greatest("ay", "by").cast("double"))
+        return F.col("ax") + (inside - F.col("ay")) * slope
+
+    at_low, at_high = x_at(F.col("_cy") * cell - pad_y), x_at((F.col("_cy") + 1) * cell + pad_y)
+    left = F.greatest(F.coalesce(F.least(at_low, at_high) - 1, F.least("ax", "bx")), F.least("ax", "bx").cast("double")) - pad_x
+    right = F.least(F.coalesce(F.greatest(at_low, at_high) + 1, F.greatest("ax", "bx")), F.greatest("ax", "bx").cast("double")) + pad_x
+    return rows.withColumn("_cx", F.explode(F.sequence((F.ceil(left / cell) - 1).cast("bigint"), F.floor(right / cell).cast("bigint"))))
+
+
+def _line_crossings(edges: DataFrame, cell: int) -> DataFrame:
+    """(_pid, _cy, columns): where the polygon's edges cross the lower line of a grid row (just above it), as the columns
+    whose right end is the first one not left of the crossing, in order.  Exact on integers."""
+    up = F.col("by") > F.col("ay")
+    e = edges.where(F.col("ay") != F.col("by")).select(
+        "_pid", *[F.when(up, a).otherwise(F.col(b)).alias(c) for a, b, c in (
+            (F.col("ax"), "bx", "x0"), (F.col("ay"), "by", "y0"), (F.col("bx"), "ax", "x1"), (F.col("by"), "ay", "y1"))])
+    first, last = F.ceil(F.col("y0") / cell), F.ceil(F.col("y1") / cell) - 1  # lines y0 <= y < y1
+    e = e.where(first <= last).withColumn("_cy", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    place = (F.col("x0") * dy + (F.col("_cy") * cell - F.col("y0")) * dx) / (dy * cell)  # in columns
+    column = F.ceil(place) - 1 + F.when((place == F.ceil(place)) & (dx > 0), 1).otherwise(0)
+    return e.groupBy("_pid", "_cy").agg(F.sort_array(F.collect_list(column.cast("bigint"))).alias("columns"))
+
+
+def edge_index(polys: DataFrame, ring: str = "ring", cell: int = CELL_MD) -> DataFrame:
+    """(_cx, _cy, _pid, _base, _edges) of polygons with an id column ``_pid``: border cells with their edges and whether
+    the polygon holds their lower right corner, and inner cells (base true, no edges)."""
+    edges = _edge_rows(polys, ring)
+    ends = F.struct(*[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
+    border = _edge_cells(edges, cell).groupBy("_pid", "_cx", "_cy").agg(F.collect_list(ends).alias("_edges"))
+    lines = _line_crossings(edges, cell)
+    beyond = F.size(F.filter("columns", lambda k: k > F.col("_cx")))
+    border = border.join(lines, ["_pid", "_cy"], "left").select(
+        "_cx", "_cy", "_pid", F.coalesce(F.pmod(beyond, F.lit(2)) == 1, F.lit(False)).alias("_base"), "_edges")
+    runs = F.transform(F.sequence(F.lit(1), F.size("columns") - 1, F.lit(2)),
+                       lambda i: F.struct(F.element_at("columns", i).alias("f"), (F.element_at("columns", (i + 1).cast("int")) - 1).alias("t")))
+    held = lines.where(F.size("columns") > 1).select("_pid", "_cy", F.explode(runs).alias("run")).where("run.f <= run.t") \
+        .select("_pid", "_cy", F.explode(F.sequence("run.f", "run.t")).alias("_cx"))
+    inner = held.join(border.select("_pid", "_cx", "_cy"), ["_pid", "_cx", "_cy"], "left_anti") \
+        .select("_cx", "_cy", "_pid", F.lit(True).alias("_base"), F.expr(f"cast(array() as array<{EDGE}>)").alias("_edges"))
+    return border.unionByName(inner)
+
+
+def _numbered(polys: DataFrame, ring: str) -> DataFrame:
+    """Polygons with a number of their own, written once (repeated rows and ids stay apart)."""
+    return materialize(polys.where(F.size(ring) > 1).withColumn("_pid", F.monotonically_increasing_id()), "polygons")
+
+
+def _holds(base, edges, x, y, cell: int, strict: bool) -> Column:
+    inside = G.inside_from_corner(base, edges, F.col(x), F.col(y), (F.col("_cx") + 1) * cell, F.col("_cy") * cell)
+    on = G.on_cell_edge(edges, F.col(x), F.col(y))
+    return (inside & ~on) if strict else (inside | on)
 
 
 def point_cells(points: DataFrame, x: str, y: str, cell: int = CELL_MD) -> DataFrame:
@@ -50,25 +115,34 @@ def point_cells(points: DataFrame, x: str, y: str, cell: int = CELL_MD) -> DataF
         .withColumn("_cy", F.floor(F.col(y) / cell).cast("bigint"))
 
 
-def _cell_pairs(poly_cells: DataFrame, pts: DataFrame) -> DataFrame:
-    return pts.join(poly_cells, ["_cx", "_cy"]).drop("_cx", "_cy")
-
-
 def contains_join(polys: DataFrame, points: DataFrame, x: str = "x_md", y: str = "y_md", ring: str = "ring",
                   strict: bool = True, cell: int = CELL_MD) -> DataFrame:
-    """(polygon, point) pairs where the polygon contains the point (strictly, or with its
-    boundary when ``strict`` is False).  Each point meets each covering polygon once."""
-    pairs = _cell_pairs(polygon_cells(polys, ring, cell), point_cells(points, x, y, cell))
-    pred = G.st_contains(ring, x, y) if strict else G.st_anyinteract(ring, x, y)
-    return pairs.where(pred)
+    """(polygon, point) pairs where the polygon contains the point (strictly, or with its boundary when ``strict`` is
+    False), with the columns of both but the ring.  Points without a coordinate are in no polygon."""
+    numbered = _numbered(polys, ring)
+    pairs = point_cells(points, x, y, cell).join(edge_index(numbered, ring, cell), ["_cx", "_cy"]) \
+        .where(_holds("_base", "_edges", x, y, cell, strict)).drop("_cx", "_cy", "_base", "_edges")
+    return pairs.join(numbered.drop(ring), "_pid").drop("_pid")
+
+
+def cell_index(polys: DataFrame, ring: str = "ring", cell: int = CELL_MD) -> DataFrame:
+    """(_cx, _cy, _covered, _borders): one row per cell that any polygon touches; ``_covered`` if one holds all of it,
+    ``_borders`` the edges and corner flags of those that end in it."""
+    border = F.when(F.size("_edges") > 0, F.struct("_base", "_edges"))
+    return edge_index(polys, ring, cell).groupBy("_cx", "_cy").agg(
+        F.max(F.size("_edges") == 0).alias("_covered"), F.collect_list(border).alias("_borders"))
+
+
+def _in_any(x: str, y: str, cell: int, strict: bool) -> Column:
+    return F.col("_covered") | F.exists("_borders", lambda b: _holds(b["_base"], b["_edges"], x, y, cell, strict))
 
 
 def outside_all(polys: DataFrame, points: DataFrame, key: str, x: str = "x_md", y: str = "y_md",
-                ring: str = "ring", strict: bool = True) -> DataFrame:
-    """Points in no polygon (NOT EXISTS): matched keys from the grid join, then an anti join."""
-    pts = points.select(F.col(key).alias("_pk"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    matched = contains_join(polys.select(ring), pts, "_x", "_y", ring, strict).select("_pk").distinct()
-    return points.join(matched, points[key] == matched["_pk"], "left_anti")
+                ring: str = "ring", strict: bool = True, cell: int = CELL_MD) -> DataFrame:
+    """Points in no polygon (NOT EXISTS): a point meets at most one row, that of its cell."""
+    index = cell_index(_numbered(polys, ring), ring, cell)
+    met = point_cells(points, x, y, cell).join(index, ["_cx", "_cy"], "left")
+    return met.where(~F.coalesce(_in_any(x, y, cell, strict), F.lit(False))).select(*points.columns)
 
 
 def _lat_pad_md(km: float) -> float:
@@ -96,17 +170,27 @@ def within_distance_points(a: DataFrame, b: DataFrame, km: float, ax: str, ay: s
     return pairs.withColumn("distance_km", dist).where(F.col("distance_km") <= km)
 
 
-def within_distance_polygons(polys: DataFrame, points: DataFrame, km: float, key: str, x: str = "x_md",
-                             y: str = "y_md", ring: str = "ring", cell: int = CELL_MD) -> DataFrame:
-    """Points within ``km`` of any polygon – i.e. of their union, since the distance to a
-    union is the smallest distance to a member – with that smallest distance."""
-    max_lat = polys.select(F.array_max(F.transform(ring, lambda p: F.abs(p["y"]))).alias("m")) \
-        .agg(F.max("m")).first()[0] or 0
-    pc = polygon_cells(polys, ring, cell, _lon_pad_md(km, max_lat), _lat_pad_md(km))
-    pairs = _cell_pairs(pc.select(ring, "_cx", "_cy"), point_cells(points, x, y, cell))
-    d = pairs.withColumn("_d", G.point_ring_distance_km(ring, x, y)).where(F.col("_d") <= km)
-    near = d.groupBy(key).agg(F.min("_d").alias("distance_km"))
-    return points.join(near, key)
+def within_distance_polygons(polys: DataFrame, points: DataFrame, km: float, x: str = "x_md", y: str = "y_md",
+                             ring: str = "ring", cell: int = CELL_MD, ellipsoidal: bool = False) -> DataFrame:
+    """Points within ``km`` of any polygon – i.e. of their union, since the distance to a union is the smallest distance
+    to a member – with that smallest distance (0 inside or on one).
+
+    A cell's row holds the edges that come within ``km`` of the cell, so each point meets one row and keeps its columns.
+    Edges are straight in a local frame, or geodesics on WGS-84 when ``ellipsoidal``."""
+    numbered = _numbered(polys, ring)
+    edges = _edge_rows(numbered, ring)
+    max_lat = edges.agg(F.max(F.greatest(F.abs("ay"), F.abs("by")))).first()[0] or 0
+    slack = 1.01 if ellipsoidal else 1.0  # an ellipsoid's degrees are a little longer or shorter
+    near = _edge_cells(edges, cell, slack * _lon_pad_md(km, max_lat), slack * _lat_pad_md(km))
+    ends = F.struct("ax", "ay", "bx", "by")
+    index = near.groupBy("_cx", "_cy").agg(F.collect_set(ends).alias("_near")) \
+        .join(cell_index(numbered, ring, cell), ["_cx", "_cy"], "full")
+    met = point_cells(points, x, y, cell).join(index, ["_cx", "_cy"])
+    measure = G.geodesic_edge_km if ellipsoidal else G.planar_edge_km
+    to_edge = F.array_min(F.transform("_near", lambda e: measure(e, F.col(x), F.col(y))))
+    inside = F.coalesce(_in_any(x, y, cell, False), F.lit(False))
+    return met.withColumn("distance_km", F.when(inside, F.lit(0.0)).otherwise(to_edge)) \
+        .where(F.col("distance_km") <= km).select(*points.columns, "distance_km")
 
 
 # ---- convex hull ------------------------------------------------------------------------

@@ -217,9 +217,9 @@ WHERE e.name IN ({COAST})
 GROUP BY q.id""")
 
 
-def _coast_near(spark, sf_dir):
+def _coast_near(spark, sf_dir, ellipsoidal: bool = False):
     coast = provinces(spark, sf_dir).where(F.col("name").isin(*COAST_PROVINCES))
-    return S.within_distance_polygons(coast, quakes(spark, sf_dir), 10.0, "id")
+    return S.within_distance_polygons(coast, quakes(spark, sf_dir), 10.0, ellipsoidal=ellipsoidal)
 
 
 @register("distance_join_polygon", ssql(f"""
@@ -242,6 +242,66 @@ def q_offshore_near_coast(spark, sf_dir):
     return off.select("id", F.col("magnitude").cast("double").alias("magnitude"))
 
 
+def _geodesic_coast_ctes() -> list[tuple[str, str]]:
+    """Distance to the coast on WGS-84 by courses and arcs of the auxiliary sphere: how far the quake lies along the
+    course from one end of an edge to the other, and the distance to that foot or to the nearer end."""
+    f, a = "(1 / 298.257223563)", "6378.137"
+
+    def cosine(b1, l1, b2, l2):
+        return f"least(1.0, greatest(-1.0, sin({b1}) * sin({b2}) + cos({b1}) * cos({b2}) * cos({l2} - {l1})))"
+
+    def course(b1, l1, b2, l2):
+        return f"atan2(sin({l2} - {l1}) * cos({b2}), cos({b1}) * sin({b2}) - sin({b1}) * cos({b2}) * cos({l2} - {l1}))"
+
+    def km(c, b1, b2):
+        return (f"CASE WHEN acos({c}) > 0 THEN {a} * (acos({c}) - {f} / 2 * ((acos({c}) - sin(acos({c}))) * pow(sin({b1}) + sin({b2}), 2) / (2 * (1 + {c})) "
+                f"+ (acos({c}) + sin(acos({c}))) * pow(sin({b1}) - sin({b2}), 2) / (2 * (1 - {c})))) ELSE 0.0 END")
+
+    def reduced(y):
+        return f"atan((1 - {f}) * tan(radians({y} / 1000.0)))"
+
+    return [
+        ("g1", f"""
+SELECT q.id, {inside_sql('p', 'q.x_md', 'q.y_md', False)} AS touching,
+       {reduced('e.a_y')} AS ab, radians(e.a_x / 1000.0) AS al, {reduced('e.b_y')} AS bb, radians(e.b_x / 1000.0) AS bl,
+       {reduced('q.y_md')} AS qb, radians(q.x_md / 1000.0) AS ql
+FROM quakes q CROSS JOIN edges e JOIN prov p ON p.id = e.id WHERE e.name IN ({COAST})"""),
+        ("g2", f"""
+SELECT *, {cosine('ab', 'al', 'qb', 'ql')} AS to_a, {cosine('bb', 'bl', 'qb', 'ql')} AS to_b, acos({cosine('ab', 'al', 'bb', 'bl')}) AS len,
+       {course('ab', 'al', 'bb', 'bl')} AS heading, {course('ab', 'al', 'qb', 'ql')} AS bearing FROM g1"""),
+        ("g3", f"""
+SELECT *, least({km('to_a', 'ab', 'qb')}, {km('to_b', 'bb', 'qb')}) AS to_end,
+       atan2(sin(acos(to_a)) * cos(bearing - heading), to_a) AS along FROM g2"""),
+        ("g4", "SELECT *, asin(sin(ab) * cos(along) + cos(ab) * sin(along) * cos(heading)) AS fb FROM g3"),
+        ("g5", "SELECT *, al + atan2(sin(heading) * sin(along) * cos(ab), cos(along) - sin(ab) * sin(fb)) AS fl FROM g4"),
+        ("g6", f"SELECT *, {cosine('fb', 'fl', 'qb', 'ql')} AS to_foot FROM g5"),
+        ("geodesic_coast", f"""
+SELECT id, MIN(CASE WHEN touching THEN 0.0 WHEN along > 0 AND along < len THEN least(to_end, {km('to_foot', 'fb', 'qb')}) ELSE to_end END) AS d
+FROM g6 GROUP BY id""")]
+
+
+GEODESIC_COAST = _geodesic_coast_ctes()
+
+
+@register("distance_join_polygon_ellipsoid", ssql("""
+SELECT q.id, CAST(q.magnitude AS DOUBLE) AS magnitude, round(g.d, 4) AS distance_km
+FROM quakes q JOIN geodesic_coast g ON g.id = q.id WHERE g.d <= 10""", GEODESIC_COAST))
+def q_distance_join_polygon_ellipsoid(spark, sf_dir):
+    """Quakes within 10 km of the coastal provinces, by geodesics on the WGS-84 ellipsoid."""
+    n = _coast_near(spark, sf_dir, ellipsoidal=True)
+    return n.select("id", F.col("magnitude").cast("double").alias("magnitude"), F.round("distance_km", 4).alias("distance_km"))
+
+
+@register("offshore_near_coast_ellipsoid", ssql(f"""
+SELECT q.id, CAST(q.magnitude AS DOUBLE) AS magnitude
+FROM quakes q JOIN geodesic_coast g ON g.id = q.id
+WHERE g.d <= 10 AND NOT EXISTS (SELECT 1 FROM prov p WHERE {inside_sql('p', 'q.x_md', 'q.y_md', False)})""", GEODESIC_COAST))
+def q_offshore_near_coast_ellipsoid(spark, sf_dir):
+    near = _coast_near(spark, sf_dir, ellipsoidal=True).select("id", "magnitude", "x_md", "y_md")
+    off = S.outside_all(provinces(spark, sf_dir), near, "id", strict=False)
+    return off.select("id", F.col("magnitude").cast("double").alias("magnitude"))
+
+
 @register("polygon_area_km2", ssql("""
 SELECT id, name, round(abs(SUM((radians(a_x / 1000.0) * cos(radians(a_y / 1000.0)) * 6371.0088)
                                 * (radians(b_y / 1000.0) * 6371.0088)

@@ -475,3 +475,108 @@ def test_densities_of_every_feature(spark):
     one = {(r.quality, r.grid_index): (r.x, r.density) for r in registry.queries()["kde_by_group"](spark, SF_SMALL).collect()}
     assert {r.feature for r in rows} == {f"f{i}" for i in range(1, 12)} and len(rows) == 11 * len(one)
     assert {(r.quality, r.grid_index): (r.x, r.density) for r in rows if r.feature == "f11"} == one
+
+
+def random_rings(seed, n=25, size=3000):
+    """Concave integer rings (stars around a centre), one with a repeated vertex, one a line, in either direction."""
+    rng = np.random.default_rng(seed)
+    rings = []
+    for i in range(n):
+        cx, cy, k = *rng.integers(-2000, 2000, 2), int(rng.integers(3, 40))
+        angle = np.sort(rng.random(k) * 2 * np.pi)
+        radius = rng.integers(1, size, k)
+        pts = [(int(cx + r * np.cos(t)), int(cy + r * np.sin(t))) for r, t in zip(radius, angle)]
+        if i % 5 == 0:  # on grid lines
+            pts = [(100 * round(x / 100), 100 * round(y / 100)) for x, y in pts]
+        if i % 7 == 0:
+            pts.insert(1, pts[0])
+        if i % 2:
+            pts.reverse()
+        rings.append([*pts, pts[0]])
+    rings += [[(0, 0), (700, 0), (0, 0)], [(-2000, -2000), (2000, -2000), (2000, 2000), (-2000, 2000), (-2000, -2000)]]
+    return rings
+
+
+RINGS = "id long, ring array<struct<x:bigint,y:bigint>>"
+
+
+@pytest.mark.parametrize("seed,cell", [(1, 100), (2, 500), (3, 7), (4, 20_000)])
+def test_edge_index_equals_whole_rings(spark, seed, cell):
+    from tessera.operators import spatial as S
+    rings = random_rings(seed, 12 if cell < 50 else 25, 400 if cell < 50 else 3000)
+    rng = np.random.default_rng(seed)
+    places = [(int(x), int(y)) for x, y in rng.integers(-4000, 4000, (250, 2))] + [p for r in rings for p in r[:4]] \
+        + [((a[0] + b[0]) // 2, (a[1] + b[1]) // 2) for r in rings for a, b in zip(r, r[1:])] + [(100 * int(x), 100 * int(y)) for x, y in rng.integers(-30, 30, (80, 2))]
+    polys = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(rings)], RINGS)
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)] + [(-1, None, 5)], "pid long, x_md long, y_md long").cache()
+    pairs = points.crossJoin(polys)
+    inside = {(r["id"], r["pid"]) for r in pairs.where(G.st_contains("ring", "x_md", "y_md")).select("id", "pid").collect()}
+    touched = {(r["id"], r["pid"]) for r in pairs.where(G.st_anyinteract("ring", "x_md", "y_md")).select("id", "pid").collect()}
+    for strict, expected in ((True, inside), (False, touched)):
+        got = S.contains_join(polys, points, strict=strict, cell=cell).select("id", "pid").collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == expected
+        out = {r["pid"] for r in S.outside_all(polys, points, "pid", strict=strict, cell=cell).collect()}
+        assert out == {r["pid"] for r in points.collect()} - {p for _, p in expected}
+    assert len(touched) > len(inside) > 50
+
+
+def test_edge_index_carries_edges_not_rings(spark):
+    """A ring of 4,000 vertices: no row of the index holds more than the edges of its cell."""
+    from tessera.operators import spatial as S
+    ring = [(int(50_000 * np.cos(t) * (1 + 0.2 * np.sin(40 * t))), int(50_000 * np.sin(t) * (1 + 0.2 * np.sin(40 * t)))) for t in np.linspace(0, 2 * np.pi, 4000)]
+    polys = spark.createDataFrame([(0, [{"x": x, "y": y} for x, y in [*ring[:-1], ring[0]]])], "_pid long, ring array<struct<x:bigint,y:bigint>>")
+    index = S.edge_index(polys)
+    held = index.selectExpr("max(size(_edges))", "sum(size(_edges))", "count(*)").first()
+    assert held[0] < 60 and held[1] < 4 * 4000 and held[2] > 20_000
+
+
+def geodesic_brute(px, py, ax, ay, bx, by):
+    """Smallest Andoyer-Lambert distance over many places of the edge's arc on the auxiliary sphere."""
+    f = 1 / 298.257223563
+    red = lambda y: np.arctan((1 - f) * np.tan(np.radians(y / 1000)))
+    vec = lambda lon, b: np.array([np.cos(b) * np.cos(lon), np.cos(b) * np.sin(lon), np.sin(b)])
+    a, b = vec(np.radians(ax / 1000), red(ay)), vec(np.radians(bx / 1000), red(by))
+    t = np.linspace(0, 1, 20_001)[:, None]
+    v = a * (1 - t) + b * t
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    b1, b2, dl = np.arcsin(v[:, 2]), red(py), np.arctan2(v[:, 1], v[:, 0]) - np.radians(px / 1000)
+    s = 2 * np.arcsin(np.sqrt(np.sin((b1 - b2) / 2) ** 2 + np.cos(b1) * np.cos(b2) * np.sin(dl / 2) ** 2))
+    s = np.maximum(s, 1e-12)
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (s - np.sin(s)) * (np.sin(p) * np.cos(q)) ** 2 / np.cos(s / 2) ** 2
+    y = (s + np.sin(s)) * (np.cos(p) * np.sin(q)) ** 2 / np.sin(s / 2) ** 2
+    return float((6378.137 * (s - f / 2 * (x + y))).min())
+
+
+def test_geodesic_edge_distance(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(60):
+        x, y = int(rng.integers(-170_000, 170_000)), int(rng.integers(-75_000, 75_000))
+        d = rng.integers(-400, 400, 6)
+        rows.append((x, y, *(float(v) for v in (x + d[0], y + d[1], x + d[2], y + d[3]))))
+    rows += [(0, 0, 0.0, 100.0, 0.0, 100.0), (10, 0, 0.0, 0.0, 111.0, 0.0), (0, 60_000, -200.0, 60_000.0, 200.0, 60_000.0)]
+    df = spark.createDataFrame(rows, "px long, py long, ax double, ay double, bx double, by double")
+    got = df.select(G.geodesic_edge_km(F.struct("ax", "ay", "bx", "by"), "px", "py").alias("d")).collect()
+    for r, row in zip(got, rows):
+        assert abs(r["d"] - geodesic_brute(*row)) < 2e-3, row  # a milli-degree is about 0.1 km
+    # published lengths: a degree of longitude on the equator, a degree of latitude from it
+    deg = spark.createDataFrame([(0, 0, 1000.0, 0.0, 1000.0, 0.0), (0, 0, 0.0, 1000.0, 0.0, 1000.0)], df.schema)
+    assert [round(r[0], 3) for r in deg.select(G.geodesic_edge_km(F.struct("ax", "ay", "bx", "by"), "px", "py")).collect()] == [111.319, 110.574]
+
+
+@pytest.mark.parametrize("ellipsoidal", [False, True])
+def test_distance_to_polygons_meets_every_near_edge(spark, ellipsoidal):
+    from tessera.operators import spatial as S
+    rings = random_rings(9, 8)
+    places = [(int(x), int(y)) for x, y in np.random.default_rng(9).integers(-5000, 5000, (150, 2))]
+    polys = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(rings)], RINGS)
+    points = spark.createDataFrame([(i % 140, *p) for i, p in enumerate(places)], "pid long, x_md long, y_md long")  # ids repeat
+    edges = spark.createDataFrame([tuple(map(float, (*a, *b))) for r in rings for a, b in zip(r, r[1:]) if a != b], "ax double, ay double, bx double, by double")
+    measure = G.geodesic_edge_km if ellipsoidal else G.planar_edge_km
+    far = points.distinct().crossJoin(edges).groupBy("pid", "x_md", "y_md").agg(F.min(measure(F.struct("ax", "ay", "bx", "by"), "x_md", "y_md")).alias("d")).collect()
+    touched = {r["pid"] * 10**6 + r["x_md"] for r in points.crossJoin(polys).where(G.st_anyinteract("ring", "x_md", "y_md")).collect()}
+    expected = {(r["pid"], r["x_md"]): 0.0 if r["pid"] * 10**6 + r["x_md"] in touched else r["d"] for r in far}
+    got = S.within_distance_polygons(polys, points, 40.0, ellipsoidal=ellipsoidal, cell=300).collect()
+    assert {(r["pid"], r["x_md"]): round(r["distance_km"], 9) for r in got} == {k: round(d, 9) for k, d in expected.items() if d <= 40}
+    assert len(got) == sum(expected[i % 140, p[0]] <= 40 for i, p in enumerate(places))
