@@ -94,3 +94,9 @@ def month_start(d) -> Column:
 
 def binarize(c, threshold) -> Column:
     return (col(c) > threshold).cast("int")
+
+
+def significant(c, digits: int = 6) -> Column:
+    """A number rounded to so many significant digits (NULL stays NULL)."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits - 1}e", x.cast("double")).cast("double"))

@@ -9,11 +9,14 @@ from ..operators import knn as K
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import profile as P
+from ..operators.linear import least_squares
 from ..operators.sampling import kfold, split_random
 from ..session import cache, folder_state, materialize
 from ..sources.fixtures import SEED, fixture
 from .deliveries import deliveries
+from .delivery_models import COEFFICIENTS_SQL, coefficient_rows
 from .delivery_queries import dsql
+from .linear_sql import lm_ctes, recursive
 from .model_sql import WF, fsql, wsql
 from .modeling import (FIRE_FEATURES, REGION_CODES, WINE_FEATURES, apply_minmax, apply_standard, fire_sets,
                        minmax_params, standard_params, wine_binary, wine_sets)
@@ -275,7 +278,8 @@ def _regression_row(name, pred, label="fire_area"):
     return m.select(F.lit(name).alias("model"), _r("mae", 6), _r("mse", 6), _r("rmse", 6), F.col("n").cast("bigint"))
 
 
-@register("linreg")
+@register("linreg", recursive(fsql(
+    "SELECT term, round(estimate, 9) AS estimate FROM lm", lm_ctes("ftrain", {c: c for c in FIRE_FEATURES}, "fire_area_exact"))))
 def q_linreg(spark, sf_dir):
     """OLS on the noise-free fire target: recovers 0.003, 0.02, -0.01, 1.5 and intercept 2."""
     s = _fire_data(spark, sf_dir)
@@ -283,6 +287,12 @@ def q_linreg(spark, sf_dir):
     return ML.coefficients_table(model, FIRE_FEATURES, spark).select("term", F.round("estimate", 9).alias("estimate"))
 
 
+@register("linreg_noisy", recursive(fsql(COEFFICIENTS_SQL, lm_ctes("ftrain", {c: c for c in FIRE_FEATURES}, "fire_area"))))
+def q_linreg_noisy(spark, sf_dir):
+    """OLS on the noisy fire target, with standard errors, t and p."""
+    return coefficient_rows(spark, least_squares(_fire_data(spark, sf_dir).train, FIRE_FEATURES, "fire_area"))
+
+
 def _rf(spark, sf_dir):
     s = _fire_data(spark, sf_dir)
     return ML.random_forest(s.train, FIRE_FEATURES, "fire_area", num_trees=20, max_depth=8), s

@@ -44,4 +44,4 @@ def oracles() -> dict[str, str]:
 
 def _load_all() -> None:
     # Importing the modules registers their queries.
-    from . import delivery_queries, model_queries, ratings_queries, spatial_queries, star_queries  # noqa: F401
+    from . import delivery_models, delivery_queries, model_queries, ratings_queries, spatial_queries, star_queries  # noqa: F401

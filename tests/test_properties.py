@@ -580,3 +580,31 @@ def test_distance_to_polygons_meets_every_near_edge(spark, ellipsoidal):
     got = S.within_distance_polygons(polys, points, 40.0, ellipsoidal=ellipsoidal, cell=300).collect()
     assert {(r["pid"], r["x_md"]): round(r["distance_km"], 9) for r in got} == {k: round(d, 9) for k, d in expected.items() if d <= 40}
     assert len(got) == sum(expected[i % 140, p[0]] <= 40 for i, p in enumerate(places))
+
+
+def test_least_squares_equals_numpy_and_drops_aliased_terms(spark):
+    from tessera.operators.linear import dummy_columns, least_squares, levels_of, student_p
+    rng = np.random.default_rng(11)
+    rows = [(int(i), "abc"[int(rng.integers(3))], float(rng.normal()), float(rng.normal())) for i in range(400)]
+    rows = [(i, g, x, 2 * x, 3 + 2 * x + {"a": 0.0, "b": 1.0, "c": -2.0}[g] + e) for i, g, x, e in rows] + [(900, None, 1.0, 2.0, 5.0), (901, "a", None, 1.0, 5.0), (902, "a", 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, twice double, y double")
+    coded, names = dummy_columns(df, levels_of(df, ["g"]))
+    assert names == ["g_b", "g_c"]
+    fit = least_squares(coded, [*names, "x", "twice"], "y")
+    whole = [r for r in rows if None not in r]
+    X = np.array([[1, r[1] == "b", r[1] == "c", r[2]] for r in whole], float)
+    y = np.array([r[4] for r in whole])
+    beta, rss = np.linalg.lstsq(X, y, rcond=None)[:2]
+    errors = np.sqrt(rss[0] / (len(y) - 4) * np.diag(np.linalg.inv(X.T @ X)))
+    assert np.allclose(fit.estimates[:4], beta) and np.allclose(fit.std_errors[:4], errors) and fit.estimates[4] is None
+    assert (fit.rows, fit.rank, fit.df) == (400, 4, 396)
+    # two-sided p-values from tables of the t distribution
+    assert [round(student_p(t, d), 4) for t, d in ((2.228, 10), (1.96, 1e6), (0.0, 5), (12.706, 1), (2.0, 60))] == [0.05, 0.05, 1.0, 0.05, 0.05]
+
+
+def test_dummy_encode_levels(spark):
+    from tessera.operators.models import dummy_encode
+    df = spark.createDataFrame([(1, "b", 2), (2, "a", 1), (3, None, 1), (4, "c d", 2)], "id int, g string, n int")
+    out = dummy_encode(df, ["g", "n"]).orderBy("id").collect()
+    assert [tuple(r) for r in out] == [(1, "b", 2, 1, 0, 1), (2, "a", 1, 0, 0, 0), (4, "c d", 2, 0, 1, 1)]
+    assert out[0].__fields__ == ["id", "g", "n", "g_b", "g_c d", "n_2"]
