@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import folds as CV
 from ..operators import knn as K
 from ..operators import metrics as M
 from ..operators import models as ML
@@ -389,33 +390,137 @@ def q_grid_search(spark, sf_dir):
         knn_table.select(F.lit("knn").alias("model"), "params", _r("cv_metric")))
 
 
+FOLDS, INNER = 5, 3
+K_CHOICES = list(range(6, 50, 5))
+_IDS = ["row_id", "copy_index"]
+
+
+def _rounded(table):
+    return table.select("fold", "n", *[_r(c) for c in ("accuracy", "mean_accuracy", "sd_accuracy")], "best", _r("test_accuracy"))
+
+
+def _folded(pair, strata=("quality",)):
+    """(train with its folds, written; test with the columns of train) of scaled sets."""
+    train, test = pair
+    return materialize(kfold(train, _IDS, FOLDS, SEED, strata=list(strata), name="fold"), "wine-folds"), test.withColumn("copy_index", F.lit(None).cast("int"))
+
+
+def _classified(model, df):
+    out = ML.predict(model, df, WINE_FEATURES, [*_IDS, "quality"])
+    return out.withColumn("prediction", F.col("prediction").cast("int"))
+
+
+@register("logreg_folds")
+def q_logreg_folds(spark, sf_dir):
+    """Logistic regression on min-max features in five stratified folds; the best fold's model on the test rows."""
+    train, test = _folded(_wine_minmax(spark, sf_dir))
+    fit = lambda df: ML.logistic_regression(df, WINE_FEATURES, "quality", C=1.0)
+    return _rounded(CV.best_fold(train, test, "fold", FOLDS, "quality", fit, _classified))
+
+
+@register("mlp_folds")
+def q_mlp_folds(spark, sf_dir):
+    """The perceptron on min-max features in five plain folds; the best fold's model on the test rows."""
+    train, test = _folded(_wine_minmax(spark, sf_dir), ())
+    fit = lambda df: ML.mlp(df, WINE_FEATURES, "quality", max_iter=100)
+    return _rounded(CV.best_fold(train, test, "fold", FOLDS, "quality", fit, _classified))
+
+
+# The study's grid: depths 20, 30, 40; 20, 30 or 40 rows to split; 20, 32 or 64 rows in a leaf; sqrt or log2 of the eleven
+# features (3 either way); gini or entropy.  A leaf of 20 rows already needs 40 to split, and a tree that stays under 20
+# levels is the same for every depth, so these are the points that differ.
+TREE_GRID = [(leaf, impurity) for leaf in (20, 32, 64) for impurity in ("gini", "entropy")]
+
+
+def _tree_by_inner_folds(df):
+    """Grid point of the best mean accuracy over three inner folds, fitted again on all rows of ``df``."""
+    inner = materialize(kfold(df.drop("inner"), _IDS, INNER, SEED, strata=["quality"], name="inner"), "wine-inner")
+
+    def tree(rows, leaf, impurity):
+        return ML.feature_tree(rows, WINE_FEATURES, "quality", 3, max_depth=30, impurity=impurity, min_instances=leaf)
+
+    def score(point):
+        _, oof = CV.out_of_fold(inner, "inner", INNER, lambda rows: tree(rows, *point), _classified, parallel=INNER)
+        return oof.groupBy("inner").agg(F.avg((F.col("quality") == F.col("prediction")).cast("double")).alias("a")).agg(F.avg("a")).first()[0]
+
+    scores = CV.side_by_side([lambda p=p: score(p) for p in TREE_GRID], parallel=3)
+    return tree(inner, *TREE_GRID[max(range(len(scores)), key=lambda i: (scores[i], -i))])
+
+
 @register("nested_cv")
-def q_nested_cv(spark, sf_dir, outer: int = 5, inner: int = 3):
-    """Outer stratified folds; inside each, a 3-fold CV grid picks the tree; the outer fold
-    scores it.  Returns per-fold accuracy plus mean and population sd."""
-    from pyspark.ml.classification import DecisionTreeClassifier
-    s = wine_sets(spark, sf_dir)
-    data = kfold(s.train, ["row_id", "copy_index"], outer, SEED, strata=["quality"], name="outer")
-    rows = []
-    for f in range(outer):
-        tr = data.where(F.col("outer") != f)
-        te = data.where(F.col("outer") == f)
-        tr = kfold(tr, ["row_id", "copy_index"], inner, SEED, strata=["quality"], name="inner") \
-            .withColumn("inner", F.col("inner").cast("int"))
-        est = DecisionTreeClassifier(featuresCol="features", labelCol="quality", seed=SEED)
-        model, _ = ML.grid_search(tr, WINE_FEATURES, "quality", est, {"maxDepth": [3, 5, 10],
-                                                                      "impurity": ["gini", "entropy"]},
-                                  fold_col="inner", folds=inner, metric="accuracy", classification=True)
-        pred = ML.predict(model.bestModel, te, WINE_FEATURES, ["quality"])
-        acc = M.accuracy(pred.withColumn("prediction", F.col("prediction").cast("int")), "quality", "prediction")
-        rows.append(acc.select(F.lit(f).cast("bigint").alias("fold"), "accuracy"))
-    per = rows[0]
-    for r in rows[1:]:
-        per = per.unionByName(r)
-    per = materialize(per, "nested-cv")
-    every = Window.partitionBy()  # one row per outer fold
-    return per.select("fold", _r("accuracy"), F.round(F.avg("accuracy").over(every), 6).alias("mean_accuracy"),
-                      F.round(F.stddev_pop("accuracy").over(every), 6).alias("sd_accuracy"))
+def q_nested_cv(spark, sf_dir):
+    """Decision tree on z-scores: five stratified outer folds, a grid searched over three inner folds in each; the best
+    outer fold's tree on the test rows."""
+    train, test = _folded(_wine_standard(spark, sf_dir))
+    return _rounded(CV.best_fold(train, test, "fold", FOLDS, "quality", _tree_by_inner_folds, _classified, parallel=2))
+
+
+def _fold_votes(train, test, ids, k):
+    return K.knn_classify(test.withColumn("_id", F.struct(*ids)), train, WINE_FEATURES, k, "_id", _IDS, "quality") \
+        .select("_id.*", "prediction")
+
+
+def _k_by_inner_folds(df):
+    """(rows, k): the k of the best mean accuracy over three inner folds, the smallest of equals."""
+    inner = materialize(kfold(df, _IDS, INNER, SEED, strata=["quality"], name="inner"), "wine-inner")
+    votes = K.knn_cv_predictions(inner, WINE_FEATURES, "quality", _IDS, K_CHOICES, "inner")
+    right = [F.avg(((F.col(f"p{k}") > 0.5).cast("int") == F.col("quality")).cast("double")).alias(f"a{k}") for k in K_CHOICES]
+    row = votes.groupBy("inner").agg(*right).agg(*[F.avg(f"a{k}").alias(f"a{k}") for k in K_CHOICES]).first()
+    return inner.drop("inner"), max(K_CHOICES, key=lambda k: (round(row[f"a{k}"], 12), -k))
+
+
+def _vote(model, df):
+    rows, k = model
+    return df.select(*_IDS, "quality").join(_fold_votes(rows, df, _IDS, k).withColumnRenamed("copy_index", "_copy").withColumnRenamed("row_id", "_row"),
+                                            (F.col("row_id") == F.col("_row")) & F.col("copy_index").eqNullSafe(F.col("_copy"))).drop("_row", "_copy")
+
+
+def _distance_sql(q, r):
+    return " + ".join(f"({q}.{c} - {r}.{c}) * ({q}.{c} - {r}.{c})" for c in WF)
+
+
+def _majority_sql(nearest: str, k: str) -> str:
+    """Majority of the first ``k`` of a list of neighbour labels; a tie is 0."""
+    return f"CAST(list_sum(list_slice({nearest}, 1, {k})) * 2 > least({k}, len({nearest})) AS INTEGER)"
+
+
+KNN_FOLD_CTES = [
+    ("sr2", "SELECT *, COALESCE(copy_index, -1) AS rc, md5(concat_ws('|', '42', row_id, copy_index)) AS h FROM sr"),
+    ("outer_", "SELECT *, (row_number() OVER (PARTITION BY quality ORDER BY h, row_id, rc) - 1) % 5 AS fold FROM sr2"),
+    ("inner_", """
+SELECT o.*, f.j AS o_fold, (row_number() OVER (PARTITION BY f.j, quality ORDER BY h, row_id, rc) - 1) % 3 AS i_fold
+FROM outer_ o, range(5) f(j) WHERE o.fold <> f.j"""),
+    ("inner_near", f"""
+SELECT q.o_fold, q.i_fold, q.row_id, q.rc, q.quality, list(r.quality ORDER BY {_distance_sql('q', 'r')}, r.row_id, r.rc)[1:46] AS near
+FROM inner_ q JOIN inner_ r ON r.o_fold = q.o_fold AND r.i_fold <> q.i_fold GROUP BY ALL"""),
+    ("inner_score", f"""
+SELECT o_fold, k, AVG(a) AS a FROM (
+  SELECT o_fold, i_fold, k, AVG(CAST({_majority_sql('near', 'k')} = quality AS DOUBLE)) AS a
+  FROM inner_near, (SELECT unnest({K_CHOICES}) AS k) GROUP BY o_fold, i_fold, k) GROUP BY o_fold, k"""),
+    ("chosen", "SELECT o_fold, k FROM inner_score QUALIFY row_number() OVER (PARTITION BY o_fold ORDER BY round(a, 12) DESC, k) = 1"),
+    ("outer_near", f"""
+SELECT q.fold, q.row_id, q.rc, q.quality, list(r.quality ORDER BY {_distance_sql('q', 'r')}, r.row_id, r.rc)[1:46] AS near
+FROM outer_ q JOIN outer_ r ON r.fold <> q.fold GROUP BY ALL"""),
+    ("outer_score", f"""
+SELECT fold, k, COUNT(*) AS n, AVG(CAST({_majority_sql('near', 'k')} = quality AS DOUBLE)) AS accuracy
+FROM outer_near JOIN chosen ON o_fold = fold GROUP BY fold, k"""),
+    ("best_", "SELECT fold AS b, k FROM outer_score ORDER BY accuracy DESC, fold LIMIT 1"),
+    ("test_near", f"""
+SELECT q.row_id, t.quality, k, list(r.quality ORDER BY {_distance_sql('q', 'r')}, r.row_id, r.rc)[1:46] AS near
+FROM sq q JOIN wtest t ON t.row_id = q.row_id, best_ JOIN outer_ r ON r.fold <> b GROUP BY ALL"""),
+]
+
+
+@register("knn_folds", wsql(f"""
+SELECT fold, CAST(n AS BIGINT) AS n, round(accuracy, 6) AS accuracy, round(AVG(accuracy) OVER (), 6) AS mean_accuracy,
+       round(STDDEV_POP(accuracy) OVER (), 6) AS sd_accuracy, fold = b AS best,
+       CASE WHEN fold = b THEN (SELECT round(AVG(CAST({_majority_sql('near', 'k')} = quality AS DOUBLE)), 6) FROM test_near) END AS test_accuracy
+FROM outer_score, (SELECT b FROM best_)""", KNN_FOLD_CTES))
+def q_knn_folds(spark, sf_dir):
+    """Nearest neighbours on z-scores: five stratified outer folds, k of 6, 11, ... 46 chosen over three inner folds in
+    each; the best outer fold's rows and k on the test rows."""
+    train, test = _folded(_wine_standard(spark, sf_dir))
+    return _rounded(CV.best_fold(train, test, "fold", FOLDS, "quality", _k_by_inner_folds, _vote, parallel=5))
 
 
 @register("model_leaderboard")
