@@ -10,6 +10,7 @@ from ..operators import knn as K
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import profile as P
+from ..operators.bagging import BagGrid, bagged_cv_grid, bagged_predictions
 from ..operators.linear import least_squares
 from ..operators.sampling import kfold, split_random
 from ..session import cache, folder_state, materialize
@@ -318,29 +319,39 @@ def q_gbt(spark, sf_dir):
     return _regression_row("gradient_boosting", ML.predict(model, s.test, FIRE_FEATURES, ["fire_area"]))
 
 
-@register("bagged_knn")
-def q_bagged_knn(spark, sf_dir, estimators: int = 5, max_features: int = 3, k: int = K_FIRE):
-    """Bagging of kNN regressors: estimator e draws a bootstrap sample (with replacement,
-    by hash) and a feature subset (by hash order); predictions are averaged."""
-    from ..operators.sampling import hash_key
+# The study's grid: 5 x 3 x 3 x 7 = 315 points.
+BAG_GRID = BagGrid(tuple(FIRE_FEATURES), (10, 20, 50, 100, 200), (0.5, 0.7, 1.0), (0.5, 0.7, 1.0), (3, 5, 7, 9, 15, 18, 21), SEED)
+_BAGS: dict = cache()
+
+
+def bagged_knn_grid(spark, sf_dir):
+    """The grid's 315 scores, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir))
+    if key not in _BAGS:
+        train = materialize(kfold(_fire_data(spark, sf_dir).train, ["row_id"], 5, SEED), "fire-folds")
+        _BAGS[key] = materialize(bagged_cv_grid(train, BAG_GRID, "row_id", "fire_area", "fold"), "bag-grid")
+    return _BAGS[key]
+
+
+@register("bagged_knn_grid")
+def q_bagged_knn_grid(spark, sf_dir):
+    """Bagged neighbours: mean R^2 over five folds of every point of the study's grid."""
+    return bagged_knn_grid(spark, sf_dir).select("n_estimators", "max_samples", "max_features", "n_neighbors", _r("r2"))
+
+
+def bagged_knn_predictions(spark, sf_dir):
+    """Test-set predictions of the best grid point (the first of equals), trained on all training rows."""
     s = _fire_data(spark, sf_dir)
-    train = s.train.select("row_id", "fire_area", *FIRE_FEATURES)
-    n = train.count()
-    ranked = kfold(train, ["row_id"], n, SEED, name="_pos")  # a permutation position 0..n-1
-    preds = None
-    for e in range(estimators):
-        feats = sorted(FIRE_FEATURES, key=lambda f: __import__("hashlib").md5(f"{SEED}|{e}|{f}".encode()).hexdigest())
-        feats = feats[:max_features]
-        draws = spark.range(n).select(F.col("id").alias("_j")).withColumn(
-            "_pos", F.pmod(F.conv(F.substring(hash_key(SEED + e, ["_j"]), 1, 15), 16, 10).cast("decimal(20,0)"),
-                           F.lit(n)).cast("bigint"))
-        boot = draws.join(ranked, "_pos").select("row_id", "_j", "fire_area", *feats)
-        p = K.knn_regress(s.test, boot, feats, k, "row_id", ["row_id", "_j"], "fire_area") \
-            .withColumnRenamed("prediction", f"p{e}")
-        preds = p if preds is None else preds.join(p, "row_id")
-    avg = sum((F.col(f"p{e}") for e in range(estimators)), F.lit(0.0)) / estimators
-    out = s.test.select("row_id", "fire_area").join(preds.select("row_id", avg.alias("prediction")), "row_id")
-    return _regression_row("bagged_knn", out)
+    p = bagged_knn_grid(spark, sf_dir).orderBy(F.desc("r2"), "n_estimators", "max_samples", "max_features", "n_neighbors").first()
+    best = BagGrid(BAG_GRID.features, (p["n_estimators"],), (p["max_samples"],), (p["max_features"],), (p["n_neighbors"],), SEED)
+    preds = bagged_predictions(s.test, s.train, best, "row_id", "fire_area")
+    return s.test.select("row_id", "fire_area").join(preds, "row_id").select("row_id", "fire_area", F.element_at("preds", 1).alias("prediction"))
+
+
+@register("bagged_knn")
+def q_bagged_knn(spark, sf_dir):
+    """Test error of bagged neighbour regression at the best point of the grid."""
+    return _regression_row("bagged_knn", bagged_knn_predictions(spark, sf_dir))
 
 
 def _classification_row(name, pred):

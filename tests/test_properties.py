@@ -608,3 +608,54 @@ def test_dummy_encode_levels(spark):
     out = dummy_encode(df, ["g", "n"]).orderBy("id").collect()
     assert [tuple(r) for r in out] == [(1, "b", 2, 1, 0, 1), (2, "a", 1, 0, 0, 0), (4, "c d", 2, 0, 1, 1)]
     assert out[0].__fields__ == ["id", "g", "n", "g_b", "g_c d", "n_2"]
+
+
+def test_bagged_grid_equals_drawing_every_sample(spark):
+    """Every point of the grid against samples drawn one by one; short lists are searched again."""
+    from tessera.operators import bagging as B
+    rng = np.random.default_rng(13)
+    n = 90
+    x, fold = rng.normal(size=(n, 3)), rng.integers(0, 3, n)
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=n)
+    grid = B.BagGrid(("x0", "x1", "x2"), (2, 5), (0.5, 1.0), (0.4, 1.0), (1, 4), seed=9)
+    frame = spark.createDataFrame([(i, *map(float, r), float(t), int(f)) for i, (r, t, f) in enumerate(zip(x, y, fold))], "id long, x0 double, x1 double, x2 double, y double, fold int")
+    expected = np.zeros((n, len(grid.points())))
+    for p, (estimators, share, feature_share, k) in enumerate(grid.points()):
+        for q in range(n):
+            values = []
+            for e in range(estimators):
+                cols = [int(f[1]) for f in grid.drawn_features(e, feature_share)]
+                count = B.times_drawn(B.draws(np.arange(n), np.array([e]), 9)[:, 0], share) * (fold != fold[q])
+                d = ((x[:, cols] - x[q, cols]) ** 2).sum(axis=1)
+                sample = [y[i] for i in np.lexsort((np.arange(n), d)) for _ in range(count[i])][:k]
+                values.append(np.mean(sample))
+            expected[q, p] = np.mean(values)
+    got = B.bagged_predictions(frame, frame, grid, "id", "y", group="fold", depth=5).collect()
+    assert sorted(r["id"] for r in got) == list(range(n))
+    assert np.allclose([r["preds"] for r in sorted(got, key=lambda r: r["id"])], expected)
+    table = {(r["n_estimators"], r["max_samples"], r["max_features"], r["n_neighbors"]): r["r2"] for r in B.bagged_cv_grid(frame, grid, "id", "y", "fold", depth=200).collect()}
+    for p, point in enumerate(grid.points()):
+        r2 = [1 - ((y[fold == f] - expected[fold == f, p]) ** 2).sum() / ((y[fold == f] - y[fold == f].mean()) ** 2).sum() for f in range(3)]
+        assert abs(table[point] - np.mean(r2)) < 1e-9
+    # the draws are Poisson numbers
+    u = B.draws(np.arange(20_000), np.arange(3), 1)
+    assert abs(B.times_drawn(u, 0.7).mean() - 0.7) < 0.02 and abs(B.times_drawn(u, 0.7).var() - 0.7) < 0.03
+
+
+def test_best_fold_scores_are_those_of_the_out_of_fold_table(spark):
+    from tessera.operators import folds as CV
+    rows = [(i, i % 3, float(i % 7), int(i % 7 > 3) if i % 11 else 0) for i in range(90)]
+    train = spark.createDataFrame(rows, "id long, fold int, x double, y int")
+    fit = lambda df: df.agg(F.avg("x")).first()[0]
+    predict = lambda m, df: df.select("id", "y", (F.col("x") > m).cast("int").alias("prediction"))
+    models, oof = CV.out_of_fold(train, "fold", 3, fit, predict)
+    by = {f: [r for r in rows if r[1] == f] for f in range(3)}
+    for f in range(3):
+        assert abs(models[f] - np.mean([r[2] for r in rows if r[1] != f])) < 1e-12
+    accuracy = {f: np.mean([int(r[2] > models[f]) == r[3] for r in by[f]]) for f in range(3)}
+    assert {r["fold"]: r["accuracy"] for r in CV.fold_accuracy(oof, "fold", "y").collect()} == pytest.approx(accuracy)
+    table = {r["fold"]: r for r in CV.best_fold(train, train, "fold", 3, "y", fit, predict).collect()}
+    best = max(accuracy, key=lambda f: (accuracy[f], -f))
+    assert [f for f, r in table.items() if r["best"]] == [best] and oof.count() == 90
+    assert table[0]["mean_accuracy"] == pytest.approx(np.mean(list(accuracy.values()))) and table[0]["sd_accuracy"] == pytest.approx(np.std(list(accuracy.values())))
+    assert table[best]["test_accuracy"] == pytest.approx(np.mean([int(r[2] > models[best]) == r[3] for r in rows]))
