@@ -4,11 +4,12 @@ Stage k fits, for every value of its key, b_k = sum(residual) / (n + lambda) whe
 the residual is the rating minus the mean and all earlier biases; unseen keys get
 NULL (left joins), as in the reference.  The model is plain aggregates and joins:
 
-* the running residual is carried as a column, so stage k joins one coefficient
-  table instead of re-joining all k-1 earlier ones;
-* a lambda grid is evaluated **wide**: one residual column per lambda, so every
-  stage is a single aggregate (partial aggregation before the shuffle) however
-  many lambdas there are – rows are never multiplied by the grid size;
+* stage k joins the small coefficient tables of the stages before it to the narrow
+  training rows; no residual is ever written;
+* a lambda grid is evaluated in chunks, **wide** within a chunk: one residual column
+  per lambda, few enough that the generated code of a stage stays small enough for
+  the JVM to compile it, and the chunks run side by side.  Rows are never multiplied
+  by the grid size;
 * a key column that may be NULL (publication year) is matched NULL-safely.
 """
 
@@ -16,15 +17,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .folds import side_by_side
 
 # The lambda grid 0, 0.25, …, 10 (41 points).
 LAMBDA_GRID = [i * 0.25 for i in range(41)]
 
+#: lambdas of one pass
+CHUNK = 14
+
 
 def _lam_tag(i: int) -> str:
     return f"l{i}"
@@ -48,15 +54,15 @@ def _join_coef(df: DataFrame, table: DataFrame, factor: str) -> DataFrame:
     return df.join(table, df[factor].eqNullSafe(table[f"_k_{factor}"]), "left").drop(f"_k_{factor}")
 
 
-def fit(train: DataFrame, label: str, factors: Sequence[str], lambdas: Sequence[float] = (0.0,)) -> BiasModel:
-    """Fit mean + one bias per factor in order, for every lambda at once (wide).
+def fit(train: DataFrame, label: str, factors: Sequence[str], lambdas: Sequence[float] = (0.0,), mu: float | None = None) -> BiasModel:
+    """Fit mean + one bias per factor in order, for every lambda at once (wide; see :func:`grid_curve` for many).
 
     The first stage's residual (label - mu) does not depend on lambda: one sum per key,
     and the lambda columns appear only in its small coefficient table.  From the second
     stage on, each lambda has its own running-residual column."""
     lambdas = list(lambdas)
     n_l = len(lambdas)
-    mu = train.agg(F.avg(label)).first()[0]
+    mu = train.agg(F.avg(label)).first()[0] if mu is None else mu
     cur = train.select(*dict.fromkeys([label, *factors]))
     tables: dict[str, DataFrame] = {}
     model = BiasModel(mu, list(factors), lambdas, tables)
@@ -79,8 +85,6 @@ def fit(train: DataFrame, label: str, factors: Sequence[str], lambdas: Sequence[
         keep = [c for c in cur.columns if not c.startswith("_r")]
         prev = (lambda i: F.col(label) - F.lit(mu)) if stage == 0 else (lambda i: F.col(f"_r{i}"))
         cur = joined.select(*keep, *[(prev(i) - F.col(model.coef(f, i))).alias(f"_r{i}") for i in range(n_l)])
-        # the residuals are read twice from here on (next sums, next residuals): written once per stage
-        cur = materialize(cur, "bias-residual")
     return model
 
 
@@ -125,6 +129,19 @@ def grid_rmse(model: BiasModel, test: DataFrame, label: str) -> DataFrame:
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
+def grid_curve(train: DataFrame, test: DataFrame, label: str, factors: Sequence[str], lambdas: Sequence[float],
+               chunk: int = CHUNK) -> DataFrame:
+    """(lambda, rmse, null_predictions) of the model of all factors for every lambda, a chunk of them at a time."""
+    lambdas = list(lambdas)
+    mu = train.agg(F.avg(label)).first()[0]
+    parts = [lambdas[i:i + chunk] for i in range(0, len(lambdas), chunk)]
+
+    def curve(part: list[float]) -> DataFrame:
+        return materialize(grid_rmse(fit(train, label, factors, part, mu), test, label), "lambda-chunk")
+
+    return reduce(DataFrame.unionByName, side_by_side([lambda p=p: curve(p) for p in parts]))
+
+
 def best_lambda(curve: DataFrame) -> float:
     """First lambda with the smallest RMSE (which.min); the curve has one row per lambda."""
     return curve.orderBy(F.col("rmse").asc_nulls_last(), "lambda").first()["lambda"]

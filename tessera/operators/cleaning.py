@@ -54,14 +54,16 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
 
 
 def factor_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Alphabetical level table (R factor order): column, level, level_index (1-based)."""
-    parts = [df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level"))
-             .where(F.col("level").isNotNull()).distinct() for c in columns]
-    levels = parts[0]
-    for p in parts[1:]:
-        levels = levels.unionByName(p)
-    w = Window.partitionBy("column_name").orderBy("level")
-    return levels.withColumn("level_index", F.row_number().over(w).cast("bigint"))
+    """Alphabetical level table (R factor order): column, level, level_index (1-based).
+
+    All columns are read in one pass; levels are numbered over ranges of (column, level), so that a column with very
+    many levels is not numbered in one task."""
+    from .windows import global_row_number
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level")) for c in columns])).alias("p"))
+    levels = pairs.select("p.column_name", "p.level").where(F.col("level").isNotNull()).distinct()
+    numbered = global_row_number(levels, ["column_name", "level"], "_n")
+    first = numbered.groupBy("column_name").agg(F.min("_n").alias("_first"))
+    return numbered.join(first, "column_name").select("column_name", "level", (F.col("_n") - F.col("_first") + 1).cast("bigint").alias("level_index"))
 
 
 def decode_lookup(df: DataFrame, column: str, mapping: DataFrame, code: str, label: str) -> DataFrame:

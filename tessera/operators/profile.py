@@ -5,9 +5,11 @@ with the data (one row per column, bin, group or column pair)."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +48,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     hist = value_histogram(df, value, g) if hist is None else hist
     cum = global_cumsum(hist, [*[F.col(c).asc_nulls_first() for c in g], F.col("_v")], ["_c"], prefix="_all_")
     if g:
-        sizes = hist.groupBy(*g).agg(F.sum("_c").alias("_n"))
-        prior = Window.orderBy(*[F.col(c).asc_nulls_first() for c in g]).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0)))  # one row per group
+        sizes = cum.groupBy(*g).agg(F.sum("_c").alias("_n"), F.min(F.col("_all__c") - F.col("_c")).alias("_off"))
         h = join_nullsafe(cum, sizes, g, "inner")
     else:
         total = hist.agg(F.sum("_c")).first()[0]
@@ -124,7 +124,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = ()
     if by:
         # one spine row per (group, bin), generated from the distinct groups
         spine = df.select(*by).distinct().select(
-            *by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"))
+            *by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
     else:
         spine = spark.range(bins).withColumnRenamed("id", "bin")
     out = join_nullsafe(spine, counts, ["bin", *by], "left")
@@ -152,34 +152,46 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], scale: int = 6)
         F.col("outliers").cast("bigint").alias("outliers"), "n")
 
 
+def _pair_sums(batches: Iterator[pa.RecordBatch], shift: list[float]) -> Iterator[pa.RecordBatch]:
+    """Of all column pairs (i, j) over the rows that have both: rows, sums and sums of squares of i, sums of i * j."""
+    total = np.zeros((4, len(shift), len(shift)))
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift
+        has = ~np.isnan(x)
+        x, has = np.where(has, x, 0.0), has.astype(float)
+        total += np.stack([has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x])
+    i, j = np.indices(total.shape[1:]).reshape(2, -1)
+    yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()),
+                                      **{c: total[k].ravel() for k, c in enumerate(("n", "s", "q", "p"))}})
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:
     """Pearson correlations of every column pair, long form (var1, var2, value) – the
     melted matrix.
 
-    A pair's covariance and deviations are over the rows where both columns have a value.
-    One aggregate counts the missing values per column; a second one returns a single row of
-    covariances and deviations (a column without missing values needs one deviation for all
-    its pairs), and the k x k cells are assembled from that row.  A constant column has no
-    correlation: NULL (R's NA; ANSI ``corr`` would fail with a division by zero)."""
+    A pair's covariance and deviations are over the rows where both columns have a value (NULL and NaN are none).  One
+    pass over the rows: a task adds up k x k matrix products, and their sums give all cells.  Values are shifted by the
+    mean of the first rows, so that squares do not swamp the deviations.  A constant column has no correlation: NULL."""
     cols = list(columns)
-    idx = {c: i for i, c in enumerate(cols)}
-    gaps = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(c) for c in cols]).first()
-    sd, aggs = {}, []  # (i, j): name of the deviation of column i over the rows where j has a value
-    for a in cols:
-        for b in cols:
-            name = f"s{idx[a]}_{idx[b]}" if gaps[b] and a != b else f"s{idx[a]}"
-            if name not in sd.values():
-                aggs.append(F.stddev_samp(F.when(F.col(b).isNotNull(), F.col(a)) if "_" in name else F.col(a)).alias(name))
-            sd[idx[a], idx[b]] = name
-    row = df.agg(*aggs, *[F.covar_samp(a, b).alias(f"c{idx[a]}_{idx[b]}") for i, a in enumerate(cols) for b in cols[i + 1:]]).first()
-    cells = []
-    for a in cols:
-        for b in cols:
-            i, j = idx[a], idx[b]
-            si, sj = row[sd[i, j]], row[sd[j, i]]
-            cov = si * si if i == j and si is not None else row[f"c{min(i, j)}_{max(i, j)}"] if i != j else None
-            ok = si is not None and sj is not None and cov is not None and si > 0 and sj > 0
-            cells.append((a, b, cov / (si * sj) if ok else None))
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    head = wide.limit(64).toArrow()
+    first = [[v for v in head.column(i).to_pylist() if v is not None and v == v] for i in range(len(cols))]
+    shift = [sum(v) / len(v) if v else 0.0 for v in first]
+    sums = wide.mapInArrow(lambda batches: _pair_sums(batches, shift), "i int, j int, n double, s double, q double, p double") \
+        .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "p")])
+    cell = {(r["i"], r["j"]): r for r in sums.collect()}  # k x k rows
+
+    def value(i: int, j: int) -> float | None:
+        a, b = cell.get((i, j)), cell.get((j, i))
+        if a is None or a["n"] < 2:
+            return None
+        va, vb = (r["q"] - r["s"] * r["s"] / r["n"] for r in (a, b))
+        # what is left of equal values is rounding
+        if va <= 1e-12 * a["q"] or vb <= 1e-12 * b["q"]:
+            return None
+        return 1.0 if i == j else (a["p"] - a["s"] * b["s"] / a["n"]) / math.sqrt(va * vb)
+
+    cells = [(a, b, value(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     out = df.sparkSession.createDataFrame(cells, "var1 string, var2 string, value double")
     return out.select("var1", "var2", F.round("value", scale).alias("value"))
 
@@ -214,30 +226,34 @@ def binned_scatter(df: DataFrame, x: str, y: str, x_width: float, y_width: float
 
 
 def order_by_median(df: DataFrame, key: str, value: str) -> DataFrame:
+    from .windows import global_row_number
     m = exact_quantiles(df, value, [0.5], [key], ["median"])
-    # one row per category: a bounded table ranked in one task
-    return m.withColumn("median_rank", F.row_number().over(Window.orderBy("median", key)).cast("bigint"))
+    return global_row_number(m, ["median", key], "median_rank")
 
 
 def kde_by_group(df: DataFrame, value: str, by: str | Sequence[str], points: int = 64, pad_bandwidths: float = 3.0) -> DataFrame:
     """Gaussian kernel density per group on an even grid of ``points`` values spanning
     [min - 3h, max + 3h], bandwidth h = sd * n^(-1/5) (Scott).
 
-    Each row contributes to every grid point of its group: the (row, grid point) terms
-    are generated and summed map-side (partial aggregation), so the shuffle carries
-    one row per (group, grid point, task) – the data is never replicated on disk."""
+    The rows are first counted by group and value; a distinct value contributes once to every grid point of its group,
+    weighted by its count, and the terms are summed map-side.  A group whose values are all equal (or a single one) has
+    no bandwidth and no density: it is left out."""
     by = [by] if isinstance(by, str) else list(by)
-    stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_sd"), F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"))
-    stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))) \
+    hist = value_histogram(df, value, by)
+    mean = F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
+    stats = hist.groupBy(*by).agg(F.sum("_c").alias("_n"), mean.alias("_mean"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")) \
+        .where(F.col("_lo") < F.col("_hi"))
+    spread = join_nullsafe(hist, stats, by, "inner")
+    stats = spread.groupBy(*by, "_n", "_lo", "_hi").agg(F.sum(F.col("_c") * F.pow(F.col("_v") - F.col("_mean"), 2)).alias("_ss"))
+    stats = stats.withColumn("_h", F.sqrt(F.col("_ss") / (F.col("_n") - 1)) * F.pow(F.col("_n").cast("double"), F.lit(-0.2))) \
         .withColumn("_g0", F.col("_lo") - pad_bandwidths * F.col("_h")) \
-        .withColumn("_step", (F.col("_hi") + pad_bandwidths * F.col("_h") - F.col("_g0")) / (points - 1))
-    j = join_nullsafe(df.select(*by, value), stats, by, "inner")
+        .withColumn("_step", (F.col("_hi") + pad_bandwidths * F.col("_h") - F.col("_g0")) / (points - 1)) \
+        .select(*by, "_n", "_h", "_g0", "_step")
+    j = join_nullsafe(hist, stats, by, "inner")
     terms = j.select(*by, "_n", "_h", "_g0", "_step",
                      F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                                              lambda i: F.exp(-F.pow((F.col("_g0") + i * F.col("_step") - F.col(value))
-                                                                     / F.col("_h"), 2) / 2.0)))
+                                              lambda i: F.col("_c") * F.exp(-F.pow((F.col("_g0") + i * F.col("_step") - F.col("_v"))
+                                                                                   / F.col("_h"), 2) / 2.0)))
                      .alias("grid_index", "k"))
     dens = terms.groupBy(*by, "grid_index", "_n", "_h", "_g0", "_step").agg(F.sum("k").alias("_s"))
     return dens.select(*by, F.col("grid_index").cast("bigint").alias("grid_index"),

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import join_nullsafe
 
 
@@ -69,11 +70,38 @@ def hash_rank(df: DataFrame, seed: int, keys: Sequence[str], strata: Sequence[st
     return out.drop("_h", "_b", "_g", "_lr", "_boff", "_gn")
 
 
+#: leading hex digits of the hash that number the buckets of a split (65,536 of them per stratum at most)
+SPLIT_DIGITS = 4
+
+
 def split_exact(df: DataFrame, keys: Sequence[str], fraction: float, seed: int, strata: Sequence[str] = (),
-                name: str = "in_sample") -> DataFrame:
-    """Flag ceil(fraction * n) rows per stratum (all rows if no strata) chosen by hash order."""
-    r = hash_rank(df, seed, keys, strata, name="_r", size_name="_n")
-    return r.withColumn(name, F.col("_r") <= F.ceil(F.col("_n") * F.lit(float(fraction)))).drop("_r", "_n")
+                name: str = "in_sample", digits: int = SPLIT_DIGITS) -> DataFrame:
+    """Flag the ceil(fraction * n) rows per stratum (all rows if no strata) that come first in hash order.
+
+    The last row's hash is found by selection: counts of the hash's leading digits tell in which bucket of a stratum
+    it lies, and only the hashes of that one bucket are ranked.  The flag is then a comparison with one hash per
+    stratum: rows are not shuffled, sorted or numbered.  ``keys`` tell rows apart; rows with the same keys fall on the
+    same side."""
+    st = list(strata)
+    # one non-NULL text key per stratum (NULL is a stratum of its own)
+    g = F.to_json(F.struct(*[F.col(c) for c in st])) if st else F.lit("")
+    d = df.withColumn("_split_hash", hash_key(seed, keys)).withColumn("_split_stratum", g)
+    narrow = d.select("_split_stratum", "_split_hash", F.substring("_split_hash", 1, digits).alias("_b"))
+    counts = narrow.groupBy("_split_stratum", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_split_stratum")
+    counts = counts.select("_split_stratum", "_b", "_n", F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+                           F.ceil(F.sum("_n").over(whole) * F.lit(float(fraction))).alias("_want"))
+    last = counts.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want"))) \
+        .select("_split_stratum", "_b", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_need"))
+    last = materialize(last, "split-buckets")  # one row per stratum
+    place = F.row_number().over(Window.partitionBy("_split_stratum").orderBy("_split_hash"))
+    cut = narrow.join(last, ["_split_stratum", "_b"]).withColumn("_place", place).where(F.col("_place") == F.col("_need")).select("_split_stratum", F.col("_split_hash").alias("_split_cut"))
+    if not st:
+        row = cut.first()
+        flag = F.col("_split_hash") <= F.lit(row["_split_cut"]) if row is not None else F.lit(False)
+        return d.withColumn(name, flag).drop("_split_hash", "_split_stratum")
+    return d.join(materialize(cut, "split-cuts"), "_split_stratum", "left").withColumn(name, F.coalesce(F.col("_split_hash") <= F.col("_split_cut"), F.lit(False))) \
+        .drop("_split_hash", "_split_stratum", "_split_cut")
 
 
 def split_random(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.2, seed: int = 42) -> DataFrame:

@@ -246,6 +246,30 @@ def q_histogram(spark, sf_dir):
     return P.histogram(deliveries(spark, sf_dir), "delivery_person_age", 30)
 
 
+BIN_WIDTH = 2.5
+
+
+@register("histogram_width", dsql("""
+SELECT b.bin, lo + b.bin * 2.5 AS bin_lo, lo + (b.bin + 1) * 2.5 AS bin_hi, CAST(COUNT(c.distance) AS BIGINT) AS n
+FROM (SELECT floor(MIN(distance) / 2.5) * 2.5 AS lo, floor((MAX(distance) - floor(MIN(distance) / 2.5) * 2.5) / 2.5) AS last FROM clean) r
+JOIN (SELECT range AS bin FROM range(100000)) b ON b.bin <= last
+LEFT JOIN clean c ON floor((c.distance - lo) / 2.5) = b.bin GROUP BY b.bin, lo"""))
+def q_histogram_width(spark, sf_dir):
+    """Counts by bins of a given width, which start at a multiple of it."""
+    return P.histogram(deliveries(spark, sf_dir), "distance", binwidth=BIN_WIDTH)
+
+
+@register("histogram_by_group", dsql("""
+SELECT b.bin, t.traffic_level, lo + b.bin * w AS bin_lo, lo + (b.bin + 1) * w AS bin_hi, CAST(COUNT(c.row_id) AS BIGINT) AS n
+FROM (SELECT CAST(MIN(delivery_person_age) AS DOUBLE) AS lo, (MAX(delivery_person_age) - MIN(delivery_person_age)) / 10.0 AS w FROM clean) r
+CROSS JOIN (SELECT range AS bin FROM range(10)) b CROSS JOIN (SELECT DISTINCT traffic_level FROM clean) t
+LEFT JOIN clean c ON c.traffic_level = t.traffic_level AND least(floor((c.delivery_person_age - lo) / w), 9) = b.bin
+GROUP BY b.bin, t.traffic_level, lo, w"""))
+def q_histogram_by_group(spark, sf_dir):
+    """Counts by ten bins for every traffic level, empty bins included."""
+    return P.histogram(deliveries(spark, sf_dir), "delivery_person_age", 10, by=["traffic_level"])
+
+
 @register("boxplot_stats", dsql("""
 SELECT traffic_level, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
        round(MIN(CASE WHEN delivery_time_min BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN delivery_time_min END), 6) AS whisker_lo,

@@ -288,8 +288,8 @@ def lambda_curve(spark, sf_dir):
     application and input folder (41 rows, kept as a written table)."""
     key = (spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir))
     if key not in _CURVES:
-        m, s = _fit(spark, sf_dir, FACTORS, B.LAMBDA_GRID)
-        _CURVES[key] = materialize(B.grid_rmse(m, s.test, "rating"), "lambda-curve")
+        s = _sets(spark, sf_dir)
+        _CURVES[key] = materialize(B.grid_curve(s.train, s.test, "rating", FACTORS, B.LAMBDA_GRID), "lambda-curve")
     return _CURVES[key]
 
 

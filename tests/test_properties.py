@@ -659,3 +659,59 @@ def test_best_fold_scores_are_those_of_the_out_of_fold_table(spark):
     assert [f for f, r in table.items() if r["best"]] == [best] and oof.count() == 90
     assert table[0]["mean_accuracy"] == pytest.approx(np.mean(list(accuracy.values()))) and table[0]["sd_accuracy"] == pytest.approx(np.std(list(accuracy.values())))
     assert table[best]["test_accuracy"] == pytest.approx(np.mean([int(r[2] > models[best]) == r[3] for r in rows]))
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_split_by_selection_equals_ranking(spark, digits):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 50 == 0, None).otherwise((F.col("id") % 3 * (F.col("id") % 2)).cast("string")).alias("g"), (F.col("id") * 7).alias("x"))
+    for strata, fraction in (((), 0.2), (("g",), 0.37), (("g",), 0.0), ((), 1.0)):
+        got = split_exact(df, ["id"], fraction, 5, strata, name="t", digits=digits)
+        ranked = hash_rank(df, 5, ["id"], strata, name="r", size_name="n").where(F.col("r") <= F.ceil(F.col("n") * F.lit(fraction)))
+        assert {r["id"] for r in got.where("t").collect()} == {r["id"] for r in ranked.collect()}
+        assert got.columns == [*df.columns, "t"] and got.count() == 3000
+    assert split_exact(df.limit(0), ["id"], 0.5, 5).collect() == []
+
+
+def test_split_does_not_shuffle_whole_rows(spark):
+    from .test_plans import _plan as plan_of
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), F.lit("wide").alias("text"))
+    for strata in ((), ("g",)):
+        plan = plan_of(split_exact(df, ["id"], 0.2, 5, strata))
+        assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_histogram_by_group_and_by_width(spark):
+    from tessera.operators import profile as P
+    df = spark.createDataFrame([("a", 0.0), ("a", 9.9), ("b", 5.0), (None, 10.0), ("b", None)], "g string, v double")
+    out = {(r["g"], r["bin"]): r["n"] for r in P.histogram(df, "v", 2, by=["g"]).collect()}
+    assert out == {("a", 0): 1, ("a", 1): 1, ("b", 0): 0, ("b", 1): 1, (None, 0): 0, (None, 1): 1}
+    wide = P.histogram(df, "v", binwidth=4.0).orderBy("bin").collect()
+    assert [(r["bin"], r["bin_lo"], r["bin_hi"], r["n"]) for r in wide] == [(0, 0.0, 4.0, 1), (1, 4.0, 8.0, 1), (2, 8.0, 12.0, 2)]
+
+
+def test_density_leaves_out_constant_groups(spark):
+    from tessera.operators import profile as P
+    df = spark.createDataFrame([("c", 3.0)] * 5 + [("one", 1.0)] + [("x", float(i % 4)) for i in range(40)] + [("x", None)], "g string, v double")
+    rows = P.kde_by_group(df, "v", "g", 16).orderBy("grid_index").collect()
+    assert {r["g"] for r in rows} == {"x"} and len(rows) == 16
+    v = np.array([i % 4 for i in range(40)], float)
+    h = v.std(ddof=1) * 40 ** -0.2
+    for r in rows:
+        x = v.min() - 3 * h + r["grid_index"] * (v.max() - v.min() + 6 * h) / 15
+        assert abs(r["density"] - np.exp(-((x - v) / h) ** 2 / 2).sum() / (40 * h * np.sqrt(2 * np.pi))) < 2e-6
+
+
+def test_correlations_of_pairs_in_one_pass(spark):
+    from tessera.operators import profile as P
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(500, 4)) * [1, 1e-3, 50, 1] + [1e6, 5, 0, 7]
+    x[:, 2] += 20 * (x[:, 0] - 1e6)
+    x[rng.random((500, 4)) < 0.2] = np.nan
+    x[:, 3] = 7.25
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double, d double").repartition(5)
+    got = {(r["var1"], r["var2"]): r["value"] for r in P.correlation_matrix(df, list("abcd"), 6).collect()}
+    for i, a in enumerate("abcd"):
+        for j, b in enumerate("abcd"):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            expected = None if "d" in (a, b) else float(np.corrcoef(x[both, i], x[both, j])[0, 1])
+            assert got[a, b] == expected or abs(got[a, b] - expected) < 2e-6, (a, b)
