@@ -70,8 +70,8 @@ def hash_rank(df: DataFrame, seed: int, keys: Sequence[str], strata: Sequence[st
     return out.drop("_h", "_b", "_g", "_lr", "_boff", "_gn")
 
 
-#: leading hex digits of the hash that number the buckets of a split (65,536 of them per stratum at most)
-SPLIT_DIGITS = 4
+#: leading hex digits of the hash that number the buckets of a split (4,096 of them per stratum at most)
+SPLIT_DIGITS = 3
 
 
 def split_exact(df: DataFrame, keys: Sequence[str], fraction: float, seed: int, strata: Sequence[str] = (),
