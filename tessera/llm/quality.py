@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .tables import materialize
 
-#: a line is removed when more than this share of its host's documents hold it, and at least so many do
+#: a line is removed when more than this share of its host's distinct texts hold it, and at least so many do: enough that
+#: a few versions of one page do not make a line of it boilerplate
 MAX_SHARE = 0.05
-MIN_DOCUMENTS = 100
+MIN_DOCUMENTS = 5
 #: what a document must have left: words, and percent of its words
 MIN_WORDS_LEFT = 10
 MIN_PERCENT_LEFT = 30
@@ -114,7 +115,8 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", nam
     (without the removed lines) and ``kept``.
 
     A null text has no words and fails the base rules; a null host is a host; repeated rows are judged each for
-    itself and count as one text; an input column called ``name`` is replaced."""
+    itself and count as one text; a text of any length is judged whole; an empty table stays empty; an input column
+    called ``name`` is replaced."""
     docs = docs.drop(name) if name in docs.columns else docs
     frequent = frequent_lines(docs, host_col, text_col, max_share, min_documents) \
         .select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent"))
@@ -124,8 +126,9 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", nam
     text = F.coalesce(F.col("_text"), F.lit(""))
 
     def without(all_lines: Column) -> Column:
-        return F.filter(all_lines, lambda line: (F.btrim(line, F.lit(SPACE)) == "")
-                        | ~F.array_contains(F.col("_frequent"), line_hash(line)))
+        # the text's own frequent lines, by one hashed intersection: few, however many its host has
+        return let(F.array_intersect(F.transform(all_lines, line_hash), F.col("_frequent")), lambda own: F.filter(
+            all_lines, lambda line: (F.btrim(line, F.lit(SPACE)) == "") | ~F.array_contains(own, line_hash(line))))
 
     found = measures(found, "_text")
     found = found.withColumn("_left", F.when(F.col("_frequent").isNull(), text)
@@ -172,7 +175,7 @@ norm AS (SELECT uid, source, text, unnest(ls) AS l FROM w),
 nl AS (SELECT DISTINCT uid, source, text, regexp_replace(trim(lower(l), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\x20\x09-\x0D]+', ' ', 'g') AS l FROM norm),
 hosts AS (SELECT source, count(DISTINCT text) AS size FROM t GROUP BY source),
 freq AS (SELECT nl.source, l FROM nl JOIN hosts ON hosts.source IS NOT DISTINCT FROM nl.source
-         GROUP BY nl.source, l HAVING count(DISTINCT text) >= 100 AND count(DISTINCT text) > 0.05 * max(size)),
+         GROUP BY nl.source, l HAVING count(DISTINCT text) >= 5 AND count(DISTINCT text) > 0.05 * max(size)),
 gone AS (SELECT uid, sum(len(regexp_extract_all(n.l, '[^\x20\x09-\x0D]+'))) AS n FROM norm n JOIN freq f
          ON f.source IS NOT DISTINCT FROM n.source AND f.l = regexp_replace(trim(lower(n.l), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\x20\x09-\x0D]+', ' ', 'g') GROUP BY uid),
 m AS (SELECT doc_id, len(w) AS n_words,

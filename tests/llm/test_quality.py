@@ -81,7 +81,17 @@ def test_oracle_and_whole_table(spark):
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     got = ordered(quality.digest(docs).collect())
     assert got == ordered(con.execute(quality.ORACLE).fetchall())
-    assert got == ordered(brute([(r.doc_id, r.text, r.source) for r in docs.collect()], 0.05, 100))
+    assert got == ordered(brute([(r.doc_id, r.text, r.source) for r in docs.collect()], 0.05, 5))
+
+
+def test_lines_of_a_given_table_are_removed(spark):
+    """The method acts on a given table: lines above 5 % of their host's texts go, and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source")
+    rows = [tuple(r) for r in docs.collect()]
+    q = quality.judge(docs).select("doc_id", "quality.lines_removed", "quality.kept").collect()
+    expected = brute(rows, 0.05, 5)
+    assert sum(r.lines_removed for r in q) > 100
+    assert {r.doc_id: r.kept for r in q} == {r[0]: r[-1] for r in expected}
 
 
 def test_stage_removes_lines_and_rejected_rows(spark):
