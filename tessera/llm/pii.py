@@ -39,6 +39,9 @@ PERSONAL_WORDS = "tel|phone|call|fax|mobile|contact|ssn|social|reach|mail|write|
 OTHER_WORDS = "version|page|order|isbn|chapter|section|room|invoice|figure|table|year"
 UNITS = "%|km|kg|cm|usd|eur|pages|items|years|percent"
 
+#: matches whose places are gathered in one array before it joins the others
+PLACES = 256
+
 _SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 _NONE = f"cast(array() as {_SPAN})"
 
@@ -49,11 +52,18 @@ def located(text: Column, pattern: str, gate: Column | None = None) -> Column:
     The gaps between the matches (a split by the same pattern) give the places."""
     def places(found: Column) -> Column:
         def with_gaps(gaps: Column) -> Column:
-            begin = F.aggregate(
-                F.sequence(F.lit(0), F.size(found) - 1),
-                F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
-                lambda acc, i: F.struct((acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(found, i))).alias("at"),
-                                        F.array_append(acc["all"], acc["at"] + F.length(F.get(gaps, i))).alias("all")))["all"]
+            def step(acc: Column, i: Column) -> Column:
+                return F.struct((acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(found, i))).alias("at"),
+                                F.array_append(acc["all"], acc["at"] + F.length(F.get(gaps, i))).alias("all"))
+
+            def block(acc: Column, b: Column) -> Column:
+                # appending copies an array, so places are gathered in blocks
+                own = F.aggregate(F.sequence(b * PLACES, F.least(F.size(found), (b + 1) * PLACES) - 1),
+                                  F.struct(acc["at"].alias("at"), F.expr("cast(array() as array<int>)").alias("all")), step)
+                return let(own, lambda o: F.struct(o["at"].alias("at"), F.array_append(acc["all"], o["all"]).alias("all")))
+
+            blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PLACES).cast("int"))
+            begin = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("all")), block)["all"])
             return let(begin, lambda b: F.transform(found, lambda v, i: F.struct(
                 F.get(b, i).alias("start"), (F.get(b, i) + F.length(v)).alias("end"), v.alias("value"),
                 F.right(F.get(gaps, i), F.lit(24)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(12)).alias("right"))))
@@ -228,7 +238,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, list[float]]:
 # --------------------------------------------------------------------------- spans
 
 def _accepted(text: Column, weights: dict[str, list[float]], base: Column) -> Column:
-    """Entries of the candidates the classifier takes and no base span touches."""
+    """Entries of the candidates the classifier takes and no base span touches; a secret is added around base spans
+    inside it (digits of a key that pass as a card), unless one holds all of it."""
     def score(c: Column) -> Column:
         def of(bits: Column) -> Column:
             total = F.lit(None).cast("double")
@@ -243,7 +254,8 @@ def _accepted(text: Column, weights: dict[str, list[float]], base: Column) -> Co
     kind = lambda c: F.when(c["kind"] == "secret", F.lit("secret")).when(c["kind"] == "address", F.lit("email")) \
         .when(F.rlike(c["value"], F.lit(r"^\d{3}-\d{2}-\d{4}$")), F.lit("id")).otherwise(F.lit("phone"))
     taken = F.filter(candidates(text), lambda c: (score(c) > MIN_SCORE) & ~F.exists(
-        base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+        base, lambda s: F.when(c["kind"] == "secret", (s["start"] <= c["start"]) & (c["end"] <= s["end"]))
+        .otherwise((s["start"] < c["end"]) & (c["start"] < s["end"]))))
     place = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     return F.transform(taken, lambda c: let(kind(c), lambda k: F.struct(
         c["start"].alias("start"), F.element_at(place, k).alias("k"), c["end"].alias("end"), k.alias("kind"))))
@@ -257,8 +269,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", name: str = "pii
     """``docs`` with a struct column ``name``: ``base`` and ``spans`` (sorted arrays of start, k, end, kind; code points)
     and the counts n_email, n_ip, n_card, n_phone of the base spans.
 
-    Null and empty texts have no spans; equal rows have equal spans; an input column ``name`` is replaced; other
-    columns pass.  Without candidates in the table only base spans are found."""
+    Null and empty texts have no spans; equal rows have equal spans; a text of any length is searched whole; an empty
+    table stays empty; an input column ``name`` is replaced; other columns pass.  Without candidates in the table only
+    base spans are found."""
     weights = fit(docs, text_col) if weights is None else weights
     docs = docs.drop(name) if name in docs.columns else docs
     text = F.coalesce(F.col(text_col), F.lit(""))
