@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import text as T
 from .tables import arrow_schema, materialize
 
 CAPACITY = 2048
@@ -30,6 +31,8 @@ END_ID = 0
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: distinct words and parts of words whose ids a task remembers
 MEMORY_WORDS = 400_000
+#: bytes of text whose words are numbered at once
+BLOCK_BYTES = 4 * T.BLOCK_BYTES
 
 
 def default_vocabulary() -> str:
@@ -40,19 +43,6 @@ def default_vocabulary() -> str:
 
 # --------------------------------------------------------------------------- tokens
 
-class _Places(dict):
-    """Numbers words as they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, word) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
 class _Ragged:
     """Growing lists of ids, one per entry."""
 
@@ -78,11 +68,20 @@ class _Ragged:
         return self.flat[np.repeat(shift, count) + np.arange(int(count.sum()))], count
 
 
+def _byte_classes() -> np.ndarray:
+    """Of ASCII bytes: 1 letter, 2 digit, 3 other mark, 0 white space or one that only the slow way can read."""
+    table = np.full(256, 3, np.uint8)
+    table[0x30:0x3A], table[0x41:0x5B], table[0x61:0x7B] = 2, 1, 1
+    table[:0x21] = table[0x7F:] = table[0x27] = 0
+    return table
+
+
 class WordIds:
-    """Token ids of whole texts, put together from the ids of their white-space separated words.
+    """Token ids of whole texts, put together from the ids of the parts of their white-space separated words.
 
-    The tokenizer drops white space and never joins across it, nor across the parts its own pattern cuts a
-    word into: each distinct word is cut once, each distinct part encoded once."""
+    The tokenizer drops white space and never joins across it, nor across the parts its own pattern cuts a word into.
+    Words of ASCII and of the letters U+00C0..U+00FF are cut side by side, by classes of bytes; others (apostrophes,
+    further scripts, special tokens) by the pattern itself.  Each distinct part is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,11 +91,11 @@ class WordIds:
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cut = regex.compile(PARTS).findall
+        self.classes = _byte_classes()
         self.forget()
 
     def forget(self) -> None:
-        self.place, self.part = _Places(), _Places()
-        self.words, self.parts = _Ragged(), _Ragged()
+        self.parts, self.words, self.ids = {}, {}, _Ragged()
 
     def _by_position(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their number for each text): a token belongs to the text its first character stands in."""
@@ -105,50 +104,102 @@ class WordIds:
         at = np.searchsorted(place, [o[0] for o in encoded.offsets], "right") - 1
         return np.array(encoded.ids, np.int32), np.bincount(at, minlength=len(texts))
 
-    def _learn_parts(self) -> None:
-        new, self.part.new = self.part.new, []
+    def _part_numbers(self, texts: list[str]) -> np.ndarray:
+        """Number of each part's ids; unknown parts are encoded."""
+        new = list(dict.fromkeys(t for t in texts if t not in self.parts))
         for i in range(0, len(new), 4096):
-            texts = new[i:i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.int32)
+            own = new[i:i + 4096]
+            self.parts.update(zip(own, range(self.ids.entries, self.ids.entries + len(own))))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.closing[ids]) + 1  # every part ends in one token that closes it
             sizes = np.diff(ends, prepend=0)
-            if len(ends) != len(texts) or int(sizes.sum()) != len(ids):
-                ids, sizes = self._by_position(texts)
-            self.parts.extend(ids, sizes)
-
-    def _learn(self) -> None:
-        new, self.place.new = self.place.new, []
+            if len(ends) != len(own) or int(sizes.sum()) != len(ids):
+                ids, sizes = self._by_position(own)
+            self.ids.extend(ids, sizes)
+        return np.fromiter(map(self.parts.__getitem__, texts), np.int64, len(texts))
+
+    def _word_numbers(self, texts: list[str]) -> np.ndarray:
+        """The same for whole words that the pattern itself cuts."""
+        new = [t for t in texts if t not in self.words]
         for i in range(0, len(new), 4096):
-            texts = [w.decode() for w in new[i:i + 4096]]
-            joined = " ".join(texts)
+            own = new[i:i + 4096]
+            joined = " ".join(own)
             plain = unicodedata.normalize("NFC", joined).lower().split(" ")
-            if "<|" in joined or len(plain) != len(texts):  # special tokens are not cut into parts
-                self.words.extend(*self._by_position(texts))
-                continue
-            cut = [self.cut(w) for w in plain]
-            count = np.fromiter(map(len, cut), np.int64, len(cut))
-            at = np.fromiter((self.part[p] for own in cut for p in own), np.int64, int(count.sum()))
-            if self.part.new:
-                self._learn_parts()
-            ids, sizes = self.parts.gather(at)
-            self.words.extend(ids, np.bincount(np.repeat(np.arange(len(cut)), count), sizes, len(cut)).astype(np.int64))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.place) + len(self.part) > MEMORY_WORDS:
-            self.forget()
-        place, found = self.place, []
-        for text in texts:
-            words = text.encode().split()
-            found.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
-        if place.new:
-            self._learn()
-        return [self.words.gather(at)[0] for at in found]
+            if "<|" in joined or len(plain) != len(own):  # special tokens are not cut into parts
+                ids, sizes = self._by_position(own)
+            else:
+                cut = [self.cut(w) for w in plain]
+                count = np.fromiter(map(len, cut), np.int64, len(cut))
+                ids, each = self.ids.gather(self._part_numbers([p for word in cut for p in word]))
+                sizes = np.bincount(np.repeat(np.arange(len(cut)), count), each, len(cut)).astype(np.int64)
+            self.words.update(zip(own, range(self.ids.entries, self.ids.entries + len(own))))
+            self.ids.extend(ids, sizes)
+        return np.fromiter(map(self.words.__getitem__, texts), np.int64, len(texts))
+
+    def _units(self, data: np.ndarray, offs: np.ndarray):
+        """(strings, slow, row offsets): parts of the plain words, lower-cased, and whole words that are not plain."""
+        white = T.white_space()[data]
+        starts, ends, rows = T.words(data, offs, T.white_space())
+        kind = self.classes[data]
+        # the letters U+00C0..U+00FF are two bytes, C3 and one more; U+00D7 and U+00F7 are none
+        lead = np.zeros(len(data) + 1, bool)
+        lead[:-1] = data == 0xC3
+        second = np.append(data[1:], np.uint8(0))
+        lead[:-1] &= (second != 0x97) & (second != 0xB7)
+        tail = np.concatenate([[False], lead[:-2]]) if len(data) else lead[:0]
+        kind[lead[:-1] | tail] = 1
+        special = (data == 0x3C) & (second == 0x7C)
+        odd = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((kind == 0) & ~white | special, out=odd[1:])
+        slow = odd[ends] > odd[starts]
+        inside = np.zeros(len(data) + 1, np.int8)
+        np.add.at(inside, starts[slow], 1)
+        np.add.at(inside, ends[slow], -1)
+        plain = np.cumsum(inside[:-1], dtype=np.int8) == 0
+        lower = data.copy()
+        capital = (data >= 0x41) & (data <= 0x5A) | tail & (data >= 0x80) & (data <= 0x9E)
+        lower[capital & plain] += 0x20
+        begins = np.zeros(len(data), bool)
+        begins[starts] = True
+        change = np.zeros(len(data), bool)
+        change[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        begins |= change & plain & ~white
+        at = np.flatnonzero(begins)
+        word = np.searchsorted(starts, at, "right") - 1
+        stop = ends[word]
+        stop[:-1] = np.minimum(stop[:-1], at[1:])
+        return T.strings(lower[~white], stop - at), slow[word], np.searchsorted(at, offs)
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text (null: none).  The parts of a block of texts are numbered by Arrow; Python sees each of the
+        block's distinct parts once."""
+        data, offs = T.string_bytes(column)
+        for a, b in T.blocks(offs, BLOCK_BYTES):
+            if len(self.parts) + len(self.words) > MEMORY_WORDS:
+                self.forget()
+            strings, slow, rows = self._units(data[offs[a]:offs[b]], offs[a:b + 1] - offs[a])
+            coded = strings.dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            by_word = np.zeros(len(coded.dictionary), bool)
+            by_word[code] = slow  # a word of the slow way holds a byte that no part has
+            number = np.zeros(len(by_word), np.int64)
+            for chosen, learn in ((~by_word, self._part_numbers), (by_word, self._word_numbers)):
+                number[chosen] = learn(coded.dictionary.filter(pa.array(chosen)).to_pylist())
+            ids, count = self.ids.gather(number[code])
+            edge = np.zeros(len(count) + 1, np.int64)
+            np.cumsum(count, out=edge[1:])
+            edge = edge[rows]
+            for f, t in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                yield ids[f:t]
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32): every text's ids and a closing id, cut only where longer than a sequence."""
+    """(id, piece, start, length, ids_crc32): every text's ids and a closing id, cut only where longer than a sequence.
+
+    A null or empty text is one piece of the closing id; repeated rows have pieces each for itself; a text of any length
+    is encoded whole; an empty table has no pieces; other columns are not read.  ``vocabulary`` must be a tokenizer file
+    of the kind of ``word_bpe_49k.json`` (lower-cased NFC text, words cut by ``PARTS``, closing tokens end in ``</w>``)."""
     path = vocabulary or default_vocabulary()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {slim.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -158,9 +209,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         words = WordIds(path)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            many = (x for i in range(0, len(batch), 64)
-                    for x in words.encode([t or "" for t in batch.column(1).slice(i, 64).to_pylist()]))
-            for k, own in enumerate(many):
+            for k, own in enumerate(words.encode(batch.column(1))):
                 ids = np.append(own, END_ID).astype("<u4")
                 for p, s in enumerate(range(0, len(ids), capacity)):
                     part = ids[s:s + capacity]

@@ -3,7 +3,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm import packing
@@ -57,8 +60,8 @@ def test_reduction_keeps_an_optimum_and_best_fit_is_best_fit():
 def test_word_ids_are_the_tokenizers():
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
     texts = ["<|endoftext|>a <|startoftext|> it's x\u0301 y Z İ\x85k \x00 é", "\u0301a \u0301", "", "  ", "don't WON'T 12ab!!?",
-             "नमस्ते 你好 ΑΣ σς", "a" * 500, "tab\tnew\nline\u00a0nbsp \u2003em"]
-    got = packing.WordIds(packing.default_vocabulary()).encode(texts)
+             "नमस्ते 你好 ΑΣ σς", "a" * 500, "tab\tnew\nline\u00a0nbsp \u2003em", "ÀÉß×÷ÿ ÞÆ9a Ñ<b>a|c<|x|> a<|b 12.5%: x\x1cy Š Ž ÀÉ'S", "aÀ1À!Àb C\x7fD", "É", "÷", "x÷y É́"]
+    got = packing.WordIds(packing.default_vocabulary()).encode(pa.array(texts))
     assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -105,3 +108,11 @@ def test_empty_table(spark):
 def test_plan_of_simple_histograms(counts):
     plan = packing.plan(counts)
     assert sum(n for _, n in plan) == -(-sum(s * c for s, c in counts.items()) // 2048)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aBzÀéÞß×÷Š'sS tlLm19.,<|>\n\t\x0b\x1c\x85 ́你😀-_", max_size=60), min_size=1, max_size=8))
+def test_word_ids_of_any_text(texts):
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    got = packing.WordIds(packing.default_vocabulary()).encode(pa.array([*texts, None]))
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
