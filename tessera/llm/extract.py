@@ -270,10 +270,11 @@ def shared_lines(own: list[str], other: list[str]) -> set[int]:
 
 
 def difference(own: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> list[str]:
-    """The page's lines without those it shares with a neighbour.
+    """The page's lines without those it shares with its neighbours.
 
-    Marked lines stay; the others go with the shared ones where the marked lines hold most of what is left, and
-    stay where the mark is on a small part only (teasers, a quoted post)."""
+    A line goes where one neighbour shares it that is no version of the page (the page shares at most ``COPY_SHARE`` with
+    it), or where all do.  The mark of an article only protects: a marked line stays, as a sentence that articles of a
+    host have in common is no furniture.  A line that no neighbour shares always stays, marked or not."""
     lines = [line for line, _ in own]
     article = {i for i, (_, marked) in enumerate(own) if marked}
     if len(article) == len(lines):
@@ -285,10 +286,7 @@ def difference(own: list[tuple[str, bool]], neighbours: list[list[tuple[str, boo
             gone |= places
     if len(shared) > 1:
         gone |= set.intersection(*shared)
-    left = [i for i in range(len(lines)) if i in article or i not in gone]
-    if article and 2 * sum(len(lines[i]) for i in article) >= sum(len(lines[i]) for i in left):
-        left = sorted(article)
-    return [lines[i] for i in left]
+    return [lines[i] for i in range(len(lines)) if i in article or i not in gone]
 
 
 # --------------------------------------------------------------------------- operator

@@ -80,10 +80,51 @@ def test_furniture_goes_and_stories_stay(spark):
     assert all(t.startswith(f"Story {i} ") and "\n" not in t for i, t in got.items())
 
 
-def test_marked_article_is_all_of_the_text(spark):
-    rows = [(i, f"http://h/{i}", f"<div>outside {i}</div><article><p>Same line</p><p>own {i}</p></article>") for i in range(5)]
+def test_unshared_lines_stay_and_shared_ones_outside_the_mark_go(spark):
+    rows = [(i, f"http://h/{i}", f"<p>Lead of {i}, before the article</p><div>About us</div><article><p>own {i} " + f"and more of {i} " * 9 + "</p></article>")
+            for i in range(5)]
+    got = {r.page_id: r.text for r in extract.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"Lead of {i}, before the article\n\nown {i} " + (f"and more of {i} " * 9).strip() for i in range(5)}
+
+
+def test_a_mark_protects_what_one_neighbour_shares(spark):
+    told = "A paragraph that two articles of the host tell in the same words"
+    rows = [(i, f"http://h/{i}", f"<div>Home</div><article><p>{told if i in (1, 2) else f'Paragraph {i} of its own'}</p><p>{f'and the rest of {i} ' * 9}</p></article>") for i in range(6)]
     got = {r.page_id: r.text for r in extract.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {i: f"Same line\n\nown {i}" for i in range(5)}
+    assert got[1].startswith(told) and got[2].startswith(told) and all(not t.startswith("Home") for t in got.values())
+
+
+def plain_lcs(own, other):
+    """Table of longest common subsequences, walked back as the operator does: the places of one of them."""
+    n, m = len(own), len(other)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(m):
+            best[i + 1][j + 1] = best[i][j] + 1 if own[i] == other[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[n][m]
+
+
+def test_whole_query_matches_a_plain_version(spark):
+    """Pages without marks: nearest other pages by sorted URL, plain common subsequences, all in one list."""
+    rng = random.Random(4)
+    parts = [f"part {k} of the furniture" for k in range(6)] + [f"foot {k}" for k in range(4)]
+    rows = []
+    for i in range(120):
+        story = [f"line {j} of story {i} with words of its own, number {i * 31 + j}" for j in range(rng.randint(1, 4))]
+        head, foot = sorted(rng.sample(range(6), 2)), [rng.randint(6, 9)]
+        page = [parts[k] for k in head] + story + [parts[k] for k in foot]
+        rows.append((i, f"http://h{i % 2}.org/{rng.randint(0, 9)}/{i:03d}", "".join(f"<p>{x}</p>" for x in page), page))
+    got = {r.page_id: r.text for r in extract.digest(spark.createDataFrame([r[:3] for r in rows], SCHEMA)).collect()}
+    for host in (0, 1):
+        own = sorted((r for r in rows if r[0] % 2 == host), key=lambda r: r[1])
+        for at, (page_id, _, _, page) in enumerate(own):
+            near = [own[k][3] for k in ((at - 1, at + 1) if 0 < at < len(own) - 1 else (at + 1, at + 2) if not at else (at - 1, at - 2))]
+            left = got[page_id].split("\n\n")
+            assert [x for x in page if x in left] == left
+            # what no neighbour holds stays; as many lines go as the common subsequences hold, or fewer where both hold one
+            assert all(x in left for x in page if not any(x in n for n in near))
+            common = [plain_lcs(page, n) for n in near]
+            assert max(common) <= len(page) - len(left) <= sum(common)
 
 
 def test_a_mark_on_a_small_part_does_not_drop_the_rest(spark):
