@@ -32,7 +32,7 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: distinct words and parts of words whose ids a task remembers
 MEMORY_WORDS = 400_000
 #: bytes of text whose words are numbered at once
-BLOCK_BYTES = 4 * T.BLOCK_BYTES
+BLOCK_BYTES = T.BLOCK_BYTES
 
 
 def default_vocabulary() -> str:
