@@ -103,3 +103,15 @@ def log_loss(df: DataFrame, label: str, prob: str, eps: float = 1e-7) -> DataFra
     p = F.least(F.greatest(F.col(prob), F.lit(eps)), F.lit(1 - eps))
     y = F.col(label).cast("double")
     return df.agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
+
+
+def evaluate(df: DataFrame, label: str, pred: str, prob: str, classes=(0, 1)) -> DataFrame:
+    """One row of all scores of a binary classifier's predictions: n, accuracy, precision, recall and F1 (averages
+    weighted by class size), auc and log_loss."""
+    report = classification_report(df, label, pred, classes).where(F.col("class") == "weighted avg").select("precision", "recall", "f1")
+    parts = [accuracy(df, label, pred).select("accuracy", F.col("n").cast("bigint").alias("n")), report, roc_auc(df, label, prob), log_loss(df, label, prob)]
+    values = {}
+    for part in parts:
+        values |= part.first().asDict()  # one row each
+    names = ["n", "accuracy", "precision", "recall", "f1", "auc", "log_loss"]
+    return df.sparkSession.createDataFrame([tuple(values[c] for c in names)], ", ".join(f"{c} {'bigint' if c == 'n' else 'double'}" for c in names))

@@ -142,6 +142,17 @@ def kfold(df: DataFrame, keys: Sequence[str], k: int, seed: int = 42, strata: Se
     return r.withColumn(name, F.pmod(F.col("_r") - 1, F.lit(k)).cast("bigint")).drop("_r")
 
 
+def contiguous_folds(df: DataFrame, order: Sequence, k: int, name: str = "fold") -> DataFrame:
+    """Fold 0..k-1 of consecutive rows in the total order ``order`` (unshuffled k-fold): the first n mod k folds hold one
+    row more.  Rows are numbered over ranges of the order, not in one task."""
+    from .windows import global_row_number
+    numbered = global_row_number(df, order, "_fold_row", with_total="_fold_rows")
+    row, size = F.col("_fold_row") - 1, F.floor(F.col("_fold_rows") / k)
+    longer = F.col("_fold_rows") % k * (size + 1)  # rows of the folds with one more
+    fold = F.when(row < longer, F.floor(row / (size + 1))).otherwise(F.floor((row - longer) / F.greatest(size, F.lit(1))) + F.col("_fold_rows") % k)
+    return numbered.withColumn(name, fold.cast("bigint")).drop("_fold_row", "_fold_rows")
+
+
 def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Random over-sampling with replacement until every class has the majority count.
 

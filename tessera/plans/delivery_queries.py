@@ -340,7 +340,10 @@ def q_table_profile(spark, sf_dir):
     return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-@register("numeric_columns")
+@register("numeric_columns", dsql("""
+SELECT column_name, (SELECT CAST(COUNT(*) AS BIGINT) FROM clean) AS n_rows
+FROM (UNPIVOT (SELECT typeof(COLUMNS(*)) FROM clean LIMIT 1) ON * INTO NAME column_name VALUE kind)
+WHERE kind IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE') OR kind LIKE 'DECIMAL%'"""))
 def q_numeric_columns(spark, sf_dir):
     d = deliveries(spark, sf_dir)
     names = C.numeric_columns(d)

@@ -12,7 +12,7 @@ from ..operators import models as ML
 from ..operators import profile as P
 from ..operators.bagging import BagGrid, bagged_cv_grid, bagged_predictions
 from ..operators.linear import least_squares
-from ..operators.sampling import kfold, split_random
+from ..operators.sampling import contiguous_folds, kfold, split_random
 from ..session import cache, folder_state, materialize
 from ..sources.fixtures import SEED, fixture
 from .deliveries import deliveries
@@ -216,6 +216,24 @@ def fire_knn_predictions(spark, sf_dir, k=K_FIRE, with_seconds: bool = False):
     return _KNN[key] if with_seconds else _KNN[key][0]
 
 
+@register("kfold_contiguous", fsql("""
+SELECT row_id, CAST(CASE WHEN r < n % 5 * (n // 5 + 1) THEN r // (n // 5 + 1) ELSE (r - n % 5 * (n // 5 + 1)) // (n // 5) + n % 5 END AS BIGINT) AS fold
+FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS r, COUNT(*) OVER () AS n FROM ftrain)"""))
+def q_kfold_contiguous(spark, sf_dir):
+    """Five folds of consecutive rows, as an unshuffled grid search cuts them."""
+    return contiguous_folds(fire_sets(spark, sf_dir).train.select("row_id"), ["row_id"], 5).select("row_id", "fold")
+
+
+@register("kfold_ten", fsql("""
+SELECT fold, CAST(COUNT(*) AS BIGINT) AS n, CAST(MIN(row_id) AS BIGINT) AS first_row, CAST(MAX(row_id) AS BIGINT) AS last_row FROM (
+  SELECT row_id, CAST((row_number() OVER (ORDER BY md5(concat_ws('|', '42', row_id)), row_id) - 1) % 10 AS BIGINT) AS fold FROM ftrain)
+GROUP BY fold"""))
+def q_kfold_ten(spark, sf_dir):
+    """Sizes and ends of ten shuffled folds."""
+    return kfold(fire_sets(spark, sf_dir).train, ["row_id"], 10, SEED).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+
+
 @register("knn_regression", fsql("SELECT row_id, round(prediction, 4) AS prediction FROM fpred"))
 def q_knn_regression(spark, sf_dir):
     return fire_knn_predictions(spark, sf_dir).select("row_id", _r("prediction", 4))
@@ -322,6 +340,7 @@ def q_gbt(spark, sf_dir):
 # The study's grid: 5 x 3 x 3 x 7 = 315 points.
 BAG_GRID = BagGrid(tuple(FIRE_FEATURES), (10, 20, 50, 100, 200), (0.5, 0.7, 1.0), (0.5, 0.7, 1.0), (3, 5, 7, 9, 15, 18, 21), SEED)
 _BAGS: dict = cache()
+TABLE_BAG = BagGrid(tuple(FIRE_FEATURES), (50,), (1.0,), (1.0,), (9,), SEED)
 
 
 def bagged_knn_grid(spark, sf_dir):
@@ -534,6 +553,48 @@ def q_knn_folds(spark, sf_dir):
     return _rounded(CV.best_fold(train, test, "fold", FOLDS, "quality", _k_by_inner_folds, _vote, parallel=5))
 
 
+def _bagged_table_predictions(s):
+    preds = bagged_predictions(s.test, s.train, TABLE_BAG, "row_id", "fire_area")
+    out = s.test.select("row_id", "fire_area").join(preds, "row_id").select("row_id", "fire_area", F.element_at("preds", 1).alias("prediction"))
+    return materialize(out, "bag-table")
+
+
+@register("classifier_evaluation", wsql("""
+SELECT n, round(accuracy, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, round(auc, 6) AS auc, round(loss, 6) AS log_loss
+FROM (SELECT CAST(COUNT(*) AS BIGINT) AS n, AVG(CAST(quality = prediction AS DOUBLE)) AS accuracy,
+             AVG(-(quality * ln(least(greatest(probability, 1e-7), 1 - 1e-7)) + (1 - quality) * ln(1 - least(greatest(probability, 1e-7), 1 - 1e-7)))) AS loss FROM wpred),
+     (SELECT SUM(precision * support) / SUM(support) AS p, SUM(recall * support) / SUM(support) AS r, SUM(f1 * support) / SUM(support) AS f FROM per),
+     (SELECT AVG(CASE WHEN a.probability > b.probability THEN 1.0 WHEN a.probability = b.probability THEN 0.5 ELSE 0.0 END) AS auc
+      FROM wpred a, wpred b WHERE a.quality = 1 AND b.quality = 0)""", [("per", _CLS)]))
+def q_classifier_evaluation(spark, sf_dir):
+    """All scores of one set of predictions in one row."""
+    e = M.evaluate(wine_knn_predictions(spark, sf_dir), "quality", "prediction", "probability")
+    return e.select("n", *[_r(c) for c in ("accuracy", "precision", "recall", "f1", "auc", "log_loss")])
+
+
+@register("classifier_table")
+def q_classifier_table(spark, sf_dir):
+    """Test scores of the four wine classifiers side by side, best accuracy first."""
+    scaled = {"minmax": _wine_minmax(spark, sf_dir), "standard": _wine_standard(spark, sf_dir)}
+    fits = {"logistic_regression": ("minmax", lambda d: ML.logistic_regression(d, WINE_FEATURES, "quality", C=1.0)),
+            "decision_tree": ("standard", lambda d: ML.feature_tree(d, WINE_FEATURES, "quality", 3, max_depth=30, min_instances=20)),
+            "mlp": ("minmax", lambda d: ML.mlp(d, WINE_FEATURES, "quality", max_iter=100))}
+
+    def predictions(name):
+        kind, fit = fits[name]
+        train, test = scaled[kind]
+        out = ML.predict(fit(train), test, WINE_FEATURES, ["row_id", "quality"])
+        return out.withColumn("prediction", F.col("prediction").cast("int"))
+
+    parts = dict(zip(fits, CV.side_by_side([lambda n=n: predictions(n) for n in fits])))
+    parts["knn"] = wine_knn_predictions(spark, sf_dir)
+    out = None
+    for name, pred in sorted(parts.items()):
+        e = M.evaluate(pred, "quality", "prediction", "probability").select(F.lit(name).alias("model"), "n", *[_r(c) for c in ("accuracy", "precision", "recall", "f1", "auc", "log_loss")])
+        out = e if out is None else out.unionByName(e)
+    return out.withColumn("rank", F.rank().over(Window.orderBy(F.desc("accuracy"))).cast("bigint"))  # one row per model
+
+
 @register("model_leaderboard")
 def q_leaderboard(spark, sf_dir):
     """Test-set MAE / MSE / RMSE of every regression model with its fit time (driver-side
@@ -543,7 +604,9 @@ def q_leaderboard(spark, sf_dir):
     (rf, _), t_rf = ML.timed(_rf, spark, sf_dir)
     gbt, t_gbt = ML.timed(ML.gradient_boosting, s.train, FIRE_FEATURES, "fire_area", max_iter=30)
     knn_pred, t_knn = fire_knn_predictions(spark, sf_dir, with_seconds=True)
-    rows = [(_regression_row("linear_regression", ML.predict(lr, s.test, FIRE_FEATURES, ["fire_area"])), t_lr),
+    bag_pred, t_bag = ML.timed(_bagged_table_predictions, s)
+    rows = [(_regression_row("bagged_knn", bag_pred), t_bag),
+            (_regression_row("linear_regression", ML.predict(lr, s.test, FIRE_FEATURES, ["fire_area"])), t_lr),
             (_regression_row("knn", knn_pred), t_knn),
             (_regression_row("random_forest", ML.predict(rf, s.test, FIRE_FEATURES, ["fire_area"])), t_rf),
             (_regression_row("gradient_boosting", ML.predict(gbt, s.test, FIRE_FEATURES, ["fire_area"])), t_gbt)]

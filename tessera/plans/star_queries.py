@@ -161,6 +161,14 @@ STAR_TABLES = ["dim_car", "dim_car_origin", "dim_distributor", "dim_time", "cust
                "fact_sales"]
 
 
+@register("dim_car", star_sql("""
+SELECT car_dim_id, make, model, CAST(year AS INTEGER) AS year, market_category, target_market, vehicle_style, vehicle_size, driven_wheels,
+       number_of_doors, fuel_type, transmission_type, CAST(retail_price AS DOUBLE) AS retail_price, car_id FROM dim_car"""))
+def q_dim_car(spark, sf_dir):
+    """The car dimension with all of its attributes."""
+    return _star(spark, sf_dir).dim_car.withColumn("retail_price", F.col("retail_price").cast("double"))
+
+
 @register("load_star", star_sql(" UNION ALL ".join(
     f"SELECT '{t}' AS table_name, CAST(COUNT(*) AS BIGINT) AS n_rows FROM {t}" for t in STAR_TABLES)))
 def q_load_star(spark, sf_dir):

@@ -16,6 +16,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import age_bucket, month_start
 from ..operators.windows import global_ntile, surrogate_key
@@ -38,10 +39,30 @@ def _asc(*cols):
     return [F.col(c).asc_nulls_last() for c in cols]
 
 
+# The target tables as they are declared: names, order and types of the columns.
+SCHEMAS = {
+    "dim_car": "car_dim_id bigint, make string, model string, year int, market_category string, target_market string, "
+               "vehicle_style string, vehicle_size string, driven_wheels string, number_of_doors string, fuel_type string, "
+               "transmission_type string, retail_price decimal(12,2), car_id bigint",
+    "dim_car_origin": "origin_id bigint, make string, country string, region string",
+    "dim_distributor": "dist_dim_id bigint, distributor_name string, city string, state string, region string, distributor_id bigint",
+    "dim_time": "time_id bigint, month_start date, month_name string, month_number bigint, quarter_name string, quarter_number bigint, year bigint",
+    "dim_customer_data": "cust_dim_id bigint, gender string, educational_level string, age_bucket string, salary_range bigint",
+    "fact_sales": "car_dim_id bigint, dist_dim_id bigint, cust_dim_id bigint, time_dim_id bigint, origin_dim_id bigint, units_sold int, "
+                  "sell_price decimal(18,4), discount_amount decimal(19,4), sale_year bigint",
+}
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """``df`` in the declared schema of a target table; a missing column or a type that does not fit is an error."""
+    return df.to(StructType.fromDDL(SCHEMAS[table]))
+
+
 # ---- dimension builders (pure DataFrame -> DataFrame) ---------------------------------
 
 def build_dim_car(cars: DataFrame) -> DataFrame:
-    base = cars.select("make", "model", "year", "market_category", "target_market", "retail_price",
+    base = cars.select("make", "model", "year", "market_category", "target_market", "vehicle_style", "vehicle_size", "driven_wheels",
+                       F.col("number_of_doors_n").alias("number_of_doors"), "fuel_type", "transmission_type", "retail_price",
                        F.col("id").alias("car_id"))
     return surrogate_key(base, _asc("car_id"), "car_dim_id")
 
@@ -144,17 +165,19 @@ def load_star(spark: SparkSession, sf_dir: str, as_of: date = AS_OF) -> Star:
         def fx(name):
             return fixture(spark, sf_dir, name)
 
-        sell_orders = fx("sell_orders_data")
-        dim_car = _write_read(spark, build_dim_car(fx("cars")), f"{base}/dim_car")
-        dim_origin = _write_read(spark, build_dim_car_origin(fx("car_make_country")), f"{base}/dim_car_origin")
-        dim_dist = _write_read(spark, build_dim_distributor(fx("car_distributors"), fx("car_dist_region")),
-                               f"{base}/dim_distributor")
-        dim_time = _write_read(spark, build_dim_time(sell_orders), f"{base}/dim_time")
+        def load(df, table, **kw):
+            return _write_read(spark, conform(df, table), f"{base}/{table}", **kw)
+
+        # the sales are read twice (months, fact): their three-way source join runs once
+        sell_orders = _write_read(spark, fx("sell_orders_data"), f"{base}/sell_orders")
+        dim_car = load(build_dim_car(fx("cars")), "dim_car")
+        dim_origin = load(build_dim_car_origin(fx("car_make_country")), "dim_car_origin")
+        dim_dist = load(build_dim_distributor(fx("car_distributors"), fx("car_dist_region")), "dim_distributor")
+        dim_time = load(build_dim_time(sell_orders), "dim_time")
         prep = _write_read(spark, build_customer_prep(fx("customers_data"), as_of), f"{base}/customer_prep")
-        dim_cust = _write_read(spark, build_dim_customer_data(prep), f"{base}/dim_customer_data")
+        dim_cust = load(build_dim_customer_data(prep), "dim_customer_data")
         # the fact is partitioned by sale year: year-filtered reports prune partitions
-        fact = _write_read(spark, build_fact_sales(sell_orders, dim_car, dim_dist, dim_time, dim_origin,
-                                                   prep, dim_cust), f"{base}/fact_sales", partition_by="sale_year")
+        fact = load(build_fact_sales(sell_orders, dim_car, dim_dist, dim_time, dim_origin, prep, dim_cust), "fact_sales", partition_by="sale_year")
         star = Star(dim_car, dim_origin, dim_dist, dim_time, prep, dim_cust, fact)
         _LOADED[key] = star
         return star

@@ -33,6 +33,12 @@ FIXTURE_SQL: dict[str, str] = {
 SELECT p_partkey AS id, p_brand AS make, p_name AS model, CAST(2000 + p_partkey % 24 AS INT) AS year,
        CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE p_type END AS market_category,
        'TM' || CAST(p_size % 5 AS STRING) AS target_market,
+       CASE p_size % 4 WHEN 0 THEN 'Sedan' WHEN 1 THEN 'Coupe' WHEN 2 THEN 'Wagon' ELSE '4dr SUV' END AS vehicle_style,
+       CASE p_size % 3 WHEN 0 THEN 'Compact' WHEN 1 THEN 'Midsize' ELSE 'Large' END AS vehicle_size,
+       CASE p_partkey % 3 WHEN 0 THEN 'front wheel drive' WHEN 1 THEN 'rear wheel drive' ELSE 'all wheel drive' END AS driven_wheels,
+       CASE WHEN p_partkey % 67 = 0 THEN NULL ELSE CAST(2 + p_size % 3 AS STRING) END AS number_of_doors_n,
+       CASE WHEN p_partkey % 53 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'regular unleaded' ELSE 'diesel' END AS fuel_type,
+       CASE WHEN p_partkey % 5 < 3 THEN 'AUTOMATIC' ELSE 'MANUAL' END AS transmission_type,
        CAST(p_retailprice AS DECIMAL(12,2)) AS retail_price
 FROM {part}""",
     "car_make_country": """
