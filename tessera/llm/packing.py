@@ -30,7 +30,7 @@ END_ID = 0
 #: the vocabulary's own split of a word into parts
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: distinct words and parts of words whose ids a task remembers
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 300_000
 #: bytes of text whose words are numbered at once
 BLOCK_BYTES = T.BLOCK_BYTES
 
@@ -207,7 +207,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
-        for batch in batches:
+        for batch in T.slices(batches, 1024):
             row, piece, start, length, crc = [], [], [], [], []
             for k, own in enumerate(words.encode(batch.column(1))):
                 ids = np.append(own, END_ID).astype("<u4")

@@ -85,10 +85,12 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches, rows: int = 1024):
-    """The same rows in smaller batches, so that what is made of a batch stays small."""
+    """The same rows in smaller batches, so that what is made of a batch stays small; at the end Arrow's free memory goes
+    back, as the worker that ran the task is kept."""
     for batch in batches:
         for i in range(0, len(batch), rows):
             yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def blocks(offs: np.ndarray, size: int = BLOCK_BYTES):
