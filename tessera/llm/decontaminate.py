@@ -332,11 +332,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
     Documents without a hit keep their text as it is, null included; a text that was all benchmark is empty."""
     name = "_contamination"
-    found = find_contamination(docs, benchmark, text_col=text_col, name=name)
-    order = found.columns
+    order = [*[c for c in docs.columns if c != name], name]
     at = order.index(text_col)
 
-    def run(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, spans = batch.column(at), batch.column(order.index(name))
             sizes = np.diff(spans.field("spans").offsets.to_numpy()) if len(batch) else np.zeros(0)
@@ -348,5 +347,14 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
             columns = [text if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    out = found.mapInArrow(run, found.schema).drop(name)
+    blocks = _blocks_of(benchmark, "item_id", "text", PHRASE_BLOCK_BYTES)
+    only, more = next(blocks), next(blocks, None)
+    if more is None:  # one block of phrases: one Python worker searches and cuts
+        kept = docs.drop(name)
+        schema, arrow = with_column_struct(kept, name, _RESULT)
+        search = _searcher(Phrases(only, WINDOW), text_col, name, arrow)
+        out = kept.mapInArrow(lambda batches: cut(search(batches)), schema).drop(name)
+    else:
+        found = find_contamination(docs, benchmark, text_col=text_col, name=name)
+        out = found.mapInArrow(cut, found.schema).drop(name)
     return out.withColumn("n_chars", F.length(text_col).cast("bigint")) if "n_chars" in docs.columns else out
