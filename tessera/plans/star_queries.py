@@ -84,19 +84,19 @@ def q_country_units(spark, sf_dir):
     return R.report_country_units(_star(spark, sf_dir))
 
 
-def _pivot_cols():
-    out = []
-    for c in CATS:
-        out.append(f"CAST(SUM(CASE WHEN market_category = '{c}' THEN units_sold END) AS BIGINT) AS {c.lower()}_units")
-        out.append(f"CAST(SUM(CASE WHEN market_category = '{c}' THEN sell_price END) AS DOUBLE) AS {c.lower()}_sales")
-    return ",\n       ".join(out)
-
-
-@register("pivot_category", star_sql(f"""
-SELECT target_market,
-       {_pivot_cols()}
-FROM fact_sales fs JOIN dim_car dc ON fs.car_dim_id = dc.car_dim_id
-GROUP BY target_market"""))
+#: units and sales of every category in every market
+MARKET_CELLS = ("cells", """
+SELECT target_market AS market, market_category AS category, CAST(SUM(units_sold) AS BIGINT) AS units, CAST(SUM(sell_price) AS DOUBLE) AS sales
+FROM dim_car NATURAL JOIN fact_sales GROUP BY ALL""")
+
+
+def _cell(category: str, measure: str) -> str:
+    return f"(SELECT {measure} FROM cells x WHERE x.market = m.market AND x.category = '{category}') AS {category.lower()}_{measure}"
+
+
+@register("pivot_category", star_sql(
+    "SELECT market AS target_market, " + ", ".join(_cell(c, v) for c in CATS for v in ("units", "sales"))
+    + " FROM (SELECT DISTINCT market FROM cells) m", [MARKET_CELLS]))
 def q_pivot_category(spark, sf_dir):
     return R.pivot_category(_star(spark, sf_dir))
 
@@ -118,20 +118,22 @@ def q_discount_trend(spark, sf_dir):
     return R.report_discount_trend(_star(spark, sf_dir))
 
 
+#: units of every car in each year it was sold in; growth of those sold in the first year; their place, best growth first
+GROWTH = [
+    ("yearly", """
+SELECT make, model, c.year AS built, m.year AS sold, SUM(units_sold) AS units
+FROM dim_time m, dim_car c, fact_sales f WHERE m.time_id = f.time_dim_id AND c.car_dim_id = f.car_dim_id GROUP BY ALL"""),
+    ("grown", f"""
+SELECT a.make, a.model, a.built, COALESCE(b.units, 0) AS now, (COALESCE(b.units, 0) - a.units) / a.units * 100.0 AS growth
+FROM (FROM yearly WHERE sold = {Y0} AND units > 0) a LEFT JOIN (FROM yearly WHERE sold = {Y1}) b USING (make, model, built)"""),
+    ("placed", "SELECT *, COUNT(*) OVER () AS n, row_number() OVER (ORDER BY growth DESC, make, model, built) - 1 AS place FROM grown"),
+]
+
+
 @register("report_growth_quintile", star_sql(f"""
-SELECT make, model, CAST(car_model_year AS BIGINT) AS car_model_year, CAST(u1 AS BIGINT) AS units_{Y1},
-       ROUND(growth, 2) AS percent_growth,
-       CAST(NTILE(5) OVER (ORDER BY growth DESC NULLS LAST, make, model, car_model_year) AS BIGINT) AS growth_percentile
-FROM (SELECT make, model, car_model_year, COALESCE(u0, 0) AS u0, COALESCE(u1, 0) AS u1,
-             CASE WHEN COALESCE(u0, 0) > 0 THEN (COALESCE(u1, 0) - COALESCE(u0, 0)) / COALESCE(u0, 0) * 100.0 END AS growth
-      FROM (SELECT dc.make, dc.model, dc.year AS car_model_year,
-                   SUM(CASE WHEN dt.year = {Y0} THEN fs.units_sold END) AS u0,
-                   SUM(CASE WHEN dt.year = {Y1} THEN fs.units_sold END) AS u1
-            FROM fact_sales fs JOIN dim_car dc ON fs.car_dim_id = dc.car_dim_id
-            JOIN dim_time dt ON fs.time_dim_id = dt.time_id
-            WHERE dt.year IN ({Y0}, {Y1})
-            GROUP BY dc.make, dc.model, dc.year) p) g
-WHERE u0 > 0"""))
+SELECT make, model, CAST(built AS BIGINT) AS car_model_year, CAST(now AS BIGINT) AS units_{Y1}, ROUND(growth, 2) AS percent_growth,
+       CAST(CASE WHEN place < n % 5 * (n // 5 + 1) THEN place // (n // 5 + 1) ELSE (place - n % 5) // (n // 5) END + 1 AS BIGINT) AS growth_percentile
+FROM placed""", GROWTH))
 def q_growth_quintile(spark, sf_dir):
     return R.report_growth_quintile(_star(spark, sf_dir))
 
