@@ -1,9 +1,16 @@
+import math
+import struct
+from collections import Counter
+
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import resample
+from tessera.llm import text as T
 
-from .data import SCHEMA, odd_rows, with_extra_columns
+from .data import SCHEMA, lower, odd_rows, with_extra_columns, words
 
 
 @pytest.mark.parametrize("k", [0, 1, 100, 2500, 4999, 5000, 9000])
@@ -58,3 +65,38 @@ def test_held_out_labels(spark):
     other = labels.where("doc_id % 2 = 1").join(kept, "doc_id", "left").fillna({"kept": 0}).collect()
     rate = lambda own: sum(r.kept for r in own) / len(own)
     assert rate([r for r in other if r.quality and not r.toxic]) > rate([r for r in other if not r.quality]) + 0.2
+
+
+def plain_draw(rows, target, buckets, smoothing, seed):
+    """{row: (n_ngrams, log_weight, draw)} word by word: counts, log ratios, sums, and Gumbel noise from XXH64."""
+    def ngrams(text):
+        w = [T.word_hashes(np.frombuffer(lower(x).encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0] for x in words(text)]
+        pairs = [T.mix(np.array([a], np.uint64) * np.uint64(3) + b)[0] for a, b in zip(w, w[1:])]
+        return [int(h) % buckets for h in [*w, *pairs]]
+
+    own = [ngrams(t) for _, t in rows]
+    raw, good = Counter(b for g in own for b in g), Counter(b for (d, _), g in zip(rows, own) if d in target for b in g)
+
+    def logp(counts, b):
+        return math.log((counts[b] + smoothing) / (sum(counts.values()) + smoothing * buckets))
+
+    out = []
+    for (doc, _), g in zip(rows, own):
+        weight = round(sum(logp(good, b) - logp(raw, b) for b in g), 9)
+        noise = xxhash.xxh64(struct.pack("<i", seed), seed=xxhash.xxh64(struct.pack("<q", doc), seed=42).intdigest()).intdigest()
+        out.append((doc, len(g), weight, weight - math.log(-math.log(((noise >> 11) + 0.5) / 2**53))))
+    return out
+
+
+@pytest.mark.parametrize("buckets", [resample.BUCKETS, 64])
+def test_weights_and_draws_match_a_plain_version(spark, buckets):
+    good, bad = planted()
+    rows = good[:40] + bad[:40] + [(5000, "G1 g2, é 😀 g1"), (5001, ""), (5002, "lone"), (7, "repeated id, other text")]
+    target = {0, 3, 7, 12, 5000}
+    expected = plain_draw(rows, target, buckets, resample.SMOOTHING, resample.SEED)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    drawn = resample.resample(docs, spark.createDataFrame([(d,) for d in target], "doc_id bigint"), k=30, buckets=buckets).collect()
+    best = sorted(expected, key=lambda r: -r[3])[:30]
+    assert sorted((r.id, r.n_ngrams) for r in drawn) == sorted(r[:2] for r in best)
+    for a, b in zip(sorted(drawn, key=lambda r: -r.draw), best):
+        assert a.id == b[0] and abs(a.log_weight - b[2]) < 1e-6 and abs(a.draw - b[3]) < 1e-6
