@@ -6,8 +6,9 @@ windows within a token budget: each window opens with the system turn, repeats a
 turns as history, and goes on with as many new turns as fit.  The loss mask covers each assistant text
 once, where it is new; repeats are masked out.
 
-Rows are dealt by conversation and sorted by turn, and pass through a task as a stream: what a task holds
-is one window and its history, however long the conversation.
+Turn tokens are counted where the rows lie.  Rows are then dealt by conversation and sorted by turn, and pass
+through a task as a stream: what a task holds is one window and its history, however long the conversation, and
+the costly part, the tokenizer, does not wait for a hot conversation's task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import arrow_schema
+from .text import slices
 
 #: tokens per window, and tokens of repeated history in it
 BUDGET = 2048
@@ -125,22 +127,40 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def with_tokens(turns: DataFrame, path: str | None) -> DataFrame:
+    """(conv_id, turn, role, text) with ``tokens``, the tokens of the formatted turn."""
+    order = ["conv_id", "turn", "role", "text"]
+    kinds = ", ".join(f"{c} {turns.schema[c].dataType.simpleString()}" for c in order)
+    schema = f"{kinds}, tokens int"
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = token_counter(path)
+        for part in slices(batches, 256):
+            role, text = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("role", "text"))
+            tokens = count([format_turn(r, t)[0] for r, t in zip(role, text)])
+            columns = [part.column(part.schema.get_field_index(c)).cast(out.field(c).type) for c in order]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int32())], schema=out)
+
+    return turns.select(*order).mapInArrow(run, schema)
+
+
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str | None = None) -> DataFrame:
     """(conv_id, window, formatted, repeated, turns, loss_spans) of the rows (conv_id, turn, role, text).
 
     Windows are numbered from 0 in turn order; ``repeated`` turns at the front were in an earlier window.
     A turn longer than the budget has a window of its own, uncut.  Null text and role are empty, null
-    conv_ids are one conversation, equal turn numbers go by role and text, null turns come first.  Other
-    columns are not read; an empty table gives no windows."""
+    conv_ids are one conversation, equal turn numbers go by role and text, null turns come first.  A very long
+    text is one turn.  Other columns are not read; an empty table gives no windows."""
     path = vocabulary or default_vocabulary()
     kind = turns.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, {_WINDOW}"
     out = arrow_schema(schema)
     order = ["conv_id", "turn", "role", "text"]
-    dealt = turns.select(*order).repartition("conv_id").sortWithinPartitions(*order)
+    dealt = with_tokens(turns, path).repartition("conv_id").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, current, cutter, rows = token_counter(path), object(), None, []
+        current, cutter, rows = object(), None, []
         number = 0
 
         def emit(window: dict) -> None:
@@ -151,8 +171,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                conv, role, text = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "role", "text"))
-                tokens = count([format_turn(r, t)[0] for r, t in zip(role, text)])
+                conv, role, text, tokens = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "role", "text", "tokens"))
                 for c, r, t, n in zip(conv, role, text, tokens):
                     if cutter is None or c != current:
                         if cutter is not None:

@@ -98,7 +98,7 @@ def repeated_windows(docs: DataFrame, length: int, base: int) -> DataFrame:
     """(key, guard, pos, n, windows) of runs that hold repeated windows; ``windows`` is null for all n of them."""
     held = R.repeated_runs(docs, base, length, _items)  # level 9
     open_ = held.where(~F.col("pure"))
-    kinds = R.open_kinds(open_, base, length).drop("anchor")  # level 18
+    kinds = materialize(R.open_kinds(open_, base, length).drop("anchor"), "kinds")  # level 18
     # level 35: one text that has the run tells its windows
     told = open_.select("key", "guard", "pos", "run").join(kinds, ["run", "key"])
     wanted = materialize(R.per_text(told, ["run", "pos", "i0", "i1", "weight"]), "wanted")
@@ -108,6 +108,7 @@ def repeated_windows(docs: DataFrame, length: int, base: int) -> DataFrame:
         .dropDuplicates(["run", "i"])
     twice = windows.groupBy("hash").agg(F.sum("weight").alias("w")).where("w > 1").select("hash")
     found = windows.join(twice, "hash", "left_semi").groupBy("run").agg(F.collect_set("i").alias("windows"))
+    found = materialize(found, "found")  # as a table of its own, so that a hot run's rows can be split in the join
     whole = held.where("pure").select("key", "guard", "pos", "n", F.lit(None).cast("array<int>").alias("windows"))
     some = open_.join(found, "run").select("key", "guard", "pos", "n", "windows")
     return whole.unionByName(some)
@@ -118,7 +119,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, base: int | None = Non
     starts anywhere else is removed; ``kept`` joins the rest by one space, ``spans`` are the removed word ranges.
 
     Null and empty texts have no words; rows equal in id and text repeat each other; windows never cross
-    rows; texts shorter than a window stay.  Other columns are not read."""
+    rows; texts shorter than a window stay; a very long text is read whole, in one piece, and an empty table gives
+    no rows.  Other columns are not read, whatever their names."""
     base = base or max(1, (length + 1) // 4)
     if not 0 < 2 * base <= (length + 1) // 2 + 1:
         raise ValueError("the anchor must fit twice into half a window")

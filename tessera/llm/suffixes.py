@@ -7,7 +7,9 @@ repeats off the common prefixes of neighbours in the suffix array.
 
 Stretches that occur many times are sorted once, with their number.  An anchor with very many different
 stretches is dealt again by longer strings: its windows are cut into ranges, each keyed by the bytes that all
-windows of the range share.
+windows of the range share.  Where very many different stretches share even these bytes, every window is dealt
+for itself: window hashes are counted, combined in the tasks, and those seen twice go to the sorter in groups
+of bounded size.  One of a window's places stands in all of its groups, so that each group is judged whole.
 """
 
 from __future__ import annotations
@@ -161,11 +163,12 @@ def _items(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _STRETCH = "shard bigint, run bigint, i0 int, weight int, stretch binary"
+_DEALT = f"{_STRETCH}, again boolean"
 
 
 def _stretch_rows(length: int):
-    """(text, parts) -> the wanted stretches, each with the shard it is dealt to."""
-    out = arrow_schema(_STRETCH)
+    """(text, parts) -> the wanted stretches, each with the shard it is dealt to; ``again`` for ranges of a crowded anchor."""
+    out = arrow_schema(_DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
@@ -188,12 +191,57 @@ def _stretch_rows(length: int):
                             at = p["pos"] + p["off"] - r * RANGE
                             data = np.frombuffer(raw[at:at + length - RANGE + 1], np.uint8)
                             shard = int(T.range_hash(T.prefix_hash(T.byte_codes(data)), np.array([0]), np.array([len(data)])).view(np.int64)[0])
-                        rows.append((shard, p["run"], i0, p["weight"], raw[p["pos"] + i0:p["pos"] + i1 + length - 1]))
+                        rows.append((shard, p["run"], i0, p["weight"], raw[p["pos"] + i0:p["pos"] + i1 + length - 1], p["crowded"]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
     return run
 
 
+def _window_rows(length: int, wanted: R.BitFilter | None = None):
+    """Stretches -> their windows' (hash, run, weight); with ``wanted``, the windows that may be in it as stretches
+    of their own, dealt by hash."""
+    out = arrow_schema(_STRETCH if wanted else "hash bigint, run bigint, weight int")
+    test = wanted.test() if wanted else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches):
+            name, i0, weight, stretch = (batch.column(batch.schema.get_field_index(c)) for c in ("run", "i0", "weight", "stretch"))
+            raw = stretch.to_pylist()
+            rows = np.cumsum([0, *map(len, raw)])
+            start, row = T.window_rows(rows, length)
+            prefix = T.prefix_hash(T.byte_codes(np.frombuffer(b"".join(raw), np.uint8)))
+            hashes = T.range_hash(prefix, start, start + length)
+            if test:
+                may = test(hashes)
+                start, row, hashes = start[may], row[may], hashes[may]
+            columns = [pa.array(hashes.view(np.int64)), name.take(pa.array(row))]
+            if test:
+                at = start - rows[row]
+                columns += [pa.array((i0.to_numpy()[row] + at).astype(np.int32)), weight.take(pa.array(row)),
+                            pa.array([raw[r][x:x + length] for r, x in zip(row.tolist(), at.tolist())], pa.binary())]
+            else:
+                columns.append(weight.take(pa.array(row)))
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
+    return run
+
+
+def deal(stretches: DataFrame, length: int, crowded: int) -> DataFrame:
+    """The stretches as they go to the sorter: those of a range that very many share are dealt by window."""
+    ranges = stretches.where("again").drop("again")
+    hot = materialize(ranges.groupBy("shard").count().where(F.col("count") > crowded).select("shard"), "hot")
+    calm = stretches.where(~F.col("again")).drop("again").unionByName(ranges.join(hot, "shard", "left_anti"))
+    hot_ranges = ranges.join(hot, "shard", "left_semi").select(*calm.columns)
+    windows = hot_ranges.mapInArrow(_window_rows(length), "hash bigint, run bigint, weight int")
+    twice = materialize(windows.groupBy("hash").agg(F.sum("weight").alias("w"), F.min("run").alias("first")).where("w > 1")
+                        .select(F.col("hash").alias("shard"), "first", F.greatest(F.lit(1), F.floor(F.col("w") / crowded)).alias("groups")), "twice")
+    # a window's first run stands in every group, the others in one
+    group = F.when(F.col("run") == F.col("first"), F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)) \
+        .otherwise(F.array(F.pmod(F.xxhash64("run", "i0"), F.col("groups"))))
+    dealt = hot_ranges.mapInArrow(_window_rows(length, R.BitFilter(twice, "shard")), _STRETCH).join(twice, "shard") \
+        .withColumn("group", F.explode(group)).withColumn("shard", F.xxhash64("shard", "group"))
+    return calm.unionByName(dealt.select(*calm.columns))
+
+
 _FOUND = "run bigint, ranges array<struct<start:int,end:int>>"
 
 
@@ -212,15 +260,19 @@ def _sorter(length: int):
         rows = list({(r[0], r[1], r[2]): r for r in rows}.values())  # equal texts tell a run more than once
         shards = Counter(r[0] for r in rows)
         rows = [r for r in rows if shards[r[0]] > 1 or r[3] > 1 or _may_repeat_itself(r[4], length)]
+        equal: dict[bytes, list[tuple]] = {}  # stretches of different runs with the same bytes are sorted once
+        for r in rows:
+            equal.setdefault(r[4], []).append(r)
         runs, ranges = [], []
-        for row, starts in zip(rows, repeated_starts([r[4] for r in rows], length)):
-            if row[3] > 1:  # occurs several times: each copy's suffixes stand side by side
-                starts = np.arange(len(row[4]) - length + 1)
+        for own, starts in zip(equal.values(), repeated_starts(list(equal), length)):
+            if len(own) > 1 or own[0][3] > 1:  # occurs several times: each copy's suffixes stand side by side
+                starts = np.arange(len(own[0][4]) - length + 1)
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > 1)
-                lo, hi = starts[np.append(0, cut + 1)] + row[2], starts[np.append(cut, len(starts) - 1)] + row[2] + 1
-                runs.append(row[1])
-                ranges.append([{"start": int(x), "end": int(y)} for x, y in zip(lo, hi)])
+                lo, hi = starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + 1
+                for row in own:
+                    runs.append(row[1])
+                    ranges.append([{"start": int(x + row[2]), "end": int(y + row[2])} for x, y in zip(lo, hi)])
         return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(ranges, out.field(1).type)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +327,12 @@ def repeated_ranges(docs: DataFrame, length: int, base: int, crowded: int = CROW
     open_ = held.where(~F.col("pure"))
     kinds = materialize(R.open_kinds(open_, base, length), "kinds")
     many = kinds.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor", F.lit(True).alias("crowded"))
+    many = materialize(many, "many")  # as a table of its own, so that a hot anchor's rows can be split in the join
     kinds = kinds.join(many, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     told = open_.select("key", "guard", "pos", "run", "off").join(kinds, ["run", "key"])
     wanted = materialize(R.per_text(told, ["run", "pos", "off", "i0", "i1", "weight", "anchor", "crowded"]), "wanted")
-    stretches = R.BitFilter(wanted, "key").keep(docs, "key").join(wanted, ["key", "guard"]).mapInArrow(_stretch_rows(length), _STRETCH)
-    found = stretches.repartition("shard").sortWithinPartitions("shard", "run", "i0").mapInArrow(_sorter(length), _FOUND)
+    stretches = R.BitFilter(wanted, "key").keep(docs, "key").join(wanted, ["key", "guard"]).mapInArrow(_stretch_rows(length), _DEALT)
+    found = deal(materialize(stretches, "stretches"), length, crowded).repartition("shard").sortWithinPartitions("shard", "run", "i0").mapInArrow(_sorter(length), _FOUND)
     whole = held.where("pure").select("key", "guard", "pos", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).alias("ranges"))
     some = open_.select("key", "guard", "pos", "run").join(materialize(found, "found"), "run").select("key", "guard", "pos", "ranges")
     return whole.unionByName(some)
@@ -292,7 +345,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, base: int | None = Non
     need not be UTF-8 any more).
 
     Null texts are empty; rows equal in id and text repeat each other; strings never cross rows; shorter texts
-    stay.  Other columns are not read."""
+    stay; a very long text is read whole, in one piece, and an empty table gives no rows.  Other columns are not
+    read, whatever their names."""
     base = base or max(1, min(BASE, (length + 1) // 4))
     texts = R.keyed(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()

@@ -55,6 +55,41 @@ def test_matches_brute_force(spark, length, crowded):
     assert ordered(got) == ordered(brute(rows, length))
 
 
+def _around_one_passage(n, size):
+    """Different texts that share one passage; every fifth pair also shares three bytes behind it."""
+    rng = random.Random(size)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(size))
+    return [(i, "".join(rng.choice("uvwxyz") for _ in range(rng.randint(20, 50))) + passage
+             + ("".join(rng.choice("uvwxyz") for _ in range(40)) if i % 5 else f"pair{i % 25 // 5}" + "q" * 30)) for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [54, 58, 75])
+@pytest.mark.parametrize("crowded", [1, 10])
+def test_texts_around_one_passage(spark, size, crowded):
+    rows = _around_one_passage(150, size)
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA), 60, crowded=crowded) \
+        .select("id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    expected = brute(rows, 60)
+    assert sum(r[2] for r in expected) > 0
+    assert ordered(got) == ordered(expected)
+
+
+def test_hot_range_is_dealt_in_bounded_groups(spark):
+    """200 stretches share their range's bytes: single windows are dropped, equal ones come in groups that share a member."""
+    shared = bytes(range(40, 99))
+    rows = [(7, i, 0, 1, bytes([i]) + shared + bytes([i]), True) for i in range(200)]
+    rows += [(8, 1000 + i, 0, 1, b"calm" * 20 + bytes([i]), True) for i in range(5)] + [(9, 2000, 0, 1, b"x" * 70, False)]
+    stretches = spark.createDataFrame(rows, suffixes._DEALT)
+    got = suffixes.deal(stretches, 59, 20).collect()
+    calm = [r for r in got if r.run >= 1000]
+    assert sorted(r.run for r in calm) == [1000, 1001, 1002, 1003, 1004, 2000]
+    hot = [r for r in got if r.run < 1000]
+    groups = Counter(r.shard for r in hot)
+    assert {r.run for r in hot} == set(range(200)) and {(r.i0, r.stretch) for r in hot} == {(1, shared)}
+    assert len(groups) == 10 and min(groups.values()) > 1 and max(groups.values()) < 50
+    assert all(any(r.run == 0 for r in hot if r.shard == g) for g in groups)
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     expected = brute([tuple(r) for r in docs.collect()], 400)
