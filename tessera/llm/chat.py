@@ -14,6 +14,7 @@ the costly part, the tokenizer, does not wait for a hot conversation's task.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -113,9 +114,10 @@ def token_counter(path: str | None) -> Callable[[list[str]], list[int]]:
         return lambda texts: [len(t.encode()) // 4 + 1 for t in texts]
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _WINDOW = "window bigint, formatted string, repeated bigint, turns bigint, loss_spans array<struct<start:bigint,end:bigint>>"
