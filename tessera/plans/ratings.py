@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_to_day, title_year
-from ..operators.joins import semi_join_all
+from ..operators.joins import flag_unmatched
 from ..operators.sampling import split_quantile
-from ..session import cache, folder_state, scratch_path
+from ..session import cache, folder_state, materialize, scratch_path, write_read
 from ..sources.fixtures import SEED, fixture
 
 KEYS = ["userid", "movieid"]
@@ -32,27 +32,21 @@ def ratings_working_set(spark: SparkSession, sf_dir: str) -> DataFrame:
                      round_to_day("rated_at").alias("day"), title_year("title").alias("year_publication"))
 
 
-def holdout_split(ml: DataFrame, fraction: float = 0.1, seed: int = SEED, flagged: DataFrame | None = None
-                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edx, final_holdout, removed): sample ``fraction`` by rating quantile group, keep
-    only hold-out rows whose user and item occur in the rest, return the others."""
-    if flagged is None:
-        flagged = split_quantile(ml, "rating", KEYS, fraction, seed, name="_h")
-    temp = flagged.where("_h").drop("_h")
+def holdout_split(flagged: DataFrame, keep=materialize) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edx, final_holdout, removed) of rows flagged ``_h``: keep only hold-out rows whose user and item occur in the
+    rest, return the others.  The flagged rows with their verdict are written by ``keep``."""
     edx0 = flagged.where(~F.col("_h")).drop("_h")
-    final = semi_join_all(temp, [(edx0, "movieid"), (edx0, "userid")])
-    removed = temp.join(final.select(*KEYS), KEYS, "left_anti")
-    return edx0.unionByName(removed), final, removed
+    temp = keep(flag_unmatched(flagged.where("_h").drop("_h"), [(edx0, "movieid"), (edx0, "userid")], "_gone"), "holdout")
+    removed = temp.where("_gone").drop("_gone")
+    return edx0.unionByName(removed), temp.where(~F.col("_gone")).drop("_gone"), removed
 
 
-def inner_split(edx: DataFrame, fraction: float = 0.8, seed: int = SEED, flagged: DataFrame | None = None
-                ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, test_before_filter): test keeps only users and items seen in train."""
-    if flagged is None:
-        flagged = split_quantile(edx, "rating", KEYS, fraction, seed, name="_t")
+def inner_split(flagged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, test, test_before_filter) of rows flagged ``_t``: test keeps only users and items seen in train."""
     train = flagged.where("_t").drop("_t")
     test0 = flagged.where(~F.col("_t")).drop("_t")
-    return train, semi_join_all(test0, [(train, "movieid"), (train, "userid")]), test0
+    test = flag_unmatched(test0, [(train, "movieid"), (train, "userid")], "_gone").where(~F.col("_gone")).drop("_gone")
+    return train, test, test0
 
 
 @dataclass(frozen=True)
@@ -79,19 +73,15 @@ def rating_sets(spark: SparkSession, sf_dir: str, seed: int = SEED) -> RatingSet
         base = scratch_path(spark, f"ratings-{tag}")
 
         def keep(df, name):
-            df.write.mode("overwrite").parquet(f"{base}/{name}")
-            return spark.read.parquet(f"{base}/{name}")
+            return write_read(df, f"{base}/{name}")
 
         ml = keep(ratings_working_set(spark, sf_dir), "ml")
         # each split is computed once and written; every derived set is a filter of it
         flagged = keep(split_quantile(ml, "rating", KEYS, 0.1, seed, name="_h"), "holdout_flags")
-        edx, final, removed = holdout_split(ml, 0.1, seed, flagged=flagged)
-        final = keep(final, "holdout")
-        removed = flagged.where("_h").drop("_h").join(final.select(*KEYS), KEYS, "left_anti")
-        edx = keep(flagged.where(~F.col("_h")).drop("_h").unionByName(removed), "edx")
+        edx, final, removed = holdout_split(flagged, keep)
         flagged2 = keep(split_quantile(edx, "rating", KEYS, 0.8, seed, name="_t"), "train_flags")
-        train, test, test0 = inner_split(edx, 0.8, seed, flagged=flagged2)
+        train, test, test0 = inner_split(flagged2)
         test = keep(test, "test")
-        sets = RatingSets(ml, edx, final, removed, train, test, test0)
+        sets = RatingSets(ml, flagged2.drop("_t"), final, removed, train, test, test0)
         _SETS[key] = sets
         return sets

@@ -77,7 +77,7 @@ def q_join_semi(spark, sf_dir):
 def q_join_anti(spark, sf_dir):
     """Rows set aside for the hold-out that are in it no longer: an anti join on all common columns."""
     s = _sets(spark, sf_dir)
-    return anti_join_rows(s.holdout.unionByName(s.removed), s.holdout).select(*KEYS)
+    return materialize(anti_join_rows(s.holdout.unionByName(s.removed), s.holdout).select(*KEYS), "anti")
 
 
 @register("union_by_name", rsql("SELECT userid, movieid, rating FROM edx"))
