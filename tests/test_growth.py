@@ -10,6 +10,39 @@ from pyspark.sql import functions as F
 from .conftest import SF_SMALL
 
 
+def plain_biases(rows, factors, lam):
+    """[{key: bias} per factor] of rows (label, *keys), stage by stage; rows without a label are counted, not summed."""
+    known = [r for r in rows if r[0] is not None]
+    mu = sum(r[0] for r in known) / len(known)
+    tables = []
+    for j in range(len(factors)):
+        sums, n = {}, {}
+        for r in rows:
+            k = r[1 + j]
+            n[k] = n.get(k, 0) + 1
+            if r[0] is not None:
+                sums[k] = sums.get(k, 0.0) + r[0] - mu - sum(t[r[1 + i]] for i, t in enumerate(tables))
+        tables.append({k: sums[k] / (n[k] + lam) if k in sums else None for k in n})
+    return tables
+
+
+@pytest.mark.parametrize("few", [0, 20, 1 << 18])
+def test_bias_tables_however_many_keys(spark, few, monkeypatch):
+    from tessera.operators import bias as B
+    monkeypatch.setattr(B, "FEW_SUMS", few)
+    factors = ["item", "user", "genre", "year"]
+    rows = [(None if i == 7 else float(i * 7 % 11), i % 5, i * 3 % 13, f"g{i % 4}", None if i % 6 == 0 else i % 6) for i in range(120)]
+    df = spark.createDataFrame(rows, "rating double, item long, user long, genre string, year int").repartition(5)
+    lambdas = [0.0, 0.5, 3.0]
+    model = B.fit(df, "rating", factors, lambdas)
+    assert len(model.tables["item"].columns) == 3  # no column per lambda
+    for i, lam in enumerate(lambdas):
+        for f, expected in zip(factors, plain_biases(rows, factors, lam)):
+            got = {r[f]: r[f"b_{f}"] for r in B.coefficients(model, f, i).collect()}
+            assert got.keys() == expected.keys()
+            assert all(math.isclose(got[k], expected[k], abs_tol=1e-9) for k in got)
+
+
 def test_rows_meet_absent_keys_only(spark):
     from tessera.operators.joins import flag_unmatched, semi_join_all
     rows = [(i, None if i % 9 == 0 else i % 7, i % 5) for i in range(60)]
