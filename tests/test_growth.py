@@ -55,6 +55,24 @@ def test_rows_meet_absent_keys_only(spark):
     assert 0 < len(kept) < 60
 
 
+def test_orphans_are_counted_by_key(spark):
+    from tessera.operators.joins import fk_audit
+    fact = spark.createDataFrame([(1,), (1,), (5,), (5,), (6,), (None,)], "k long")
+    dim = spark.createDataFrame([(1,), (2,)], "id long")
+    audit = fk_audit(fact, "k", dim, "id")
+    assert audit.collect()[0].asDict() == {"fk_column": "k", "orphan_rows": 4, "orphan_keys": 2}
+    assert fk_audit(fact.limit(0), "k", dim, "id").collect()[0].asDict() == {"fk_column": "k", "orphan_rows": 0, "orphan_keys": 0}
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [k" in plan[plan.index("Join LeftAnti"):], plan
+
+
+@pytest.mark.parametrize("key", ["fk_audit", "join_expr_key", "join_fanout_audit"])
+def test_sales_are_read_from_the_written_table(spark, key):
+    import __spark_entry__ as entry
+    df = entry.queries()[key](spark, SF_SMALL)
+    assert not [f for f in df.inputFiles() if "lineitem" in f]
+
+
 def test_write_settings_are_back_afterwards(spark):
     from tessera.session import WRITE_CONF, unsorted_writes
     before = {k: spark.conf.get(k, None) for k in WRITE_CONF}
