@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import significant
 from ..operators import linear as L
 from ..operators.sampling import split_quantile
-from ..session import cache, folder_state, scratch_path
+from ..session import cache, folder_state, scratch_path, write_read
 from ..sources.fixtures import SEED
 from .deliveries import deliveries
 from .delivery_queries import dsql
@@ -32,9 +32,9 @@ def delivery_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     key = (spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir))
     if key not in _SETS:
         path = scratch_path(spark, "deliveries-" + hashlib.sha1(str(key).encode()).hexdigest()[:12])
-        rows = deliveries(spark, sf_dir).select("row_id", *FACTORS, *NUMBERS, LABEL).dropna()
-        split_quantile(rows, LABEL, ["row_id"], 0.8, SEED, name="in_train").write.mode("overwrite").parquet(path)
-        _SETS[key] = spark.read.parquet(path)
+        # read by every step of the split: the raw text is parsed once
+        rows = write_read(deliveries(spark, sf_dir).select("row_id", *FACTORS, *NUMBERS, LABEL).dropna(), f"{path}/rows")
+        _SETS[key] = write_read(split_quantile(rows, LABEL, ["row_id"], 0.8, SEED, name="in_train"), f"{path}/split")
     flagged = _SETS[key]
     return flagged.where("in_train").drop("in_train"), flagged.where(~F.col("in_train")).drop("in_train")
 

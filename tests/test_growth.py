@@ -73,6 +73,13 @@ def test_sales_are_read_from_the_written_table(spark, key):
     assert not [f for f in df.inputFiles() if "lineitem" in f]
 
 
+def test_split_of_deliveries_parses_the_raw_text_once(spark):
+    from tessera.plans.delivery_models import delivery_sets
+    from tessera.session import scratch_path
+    delivery_sets(spark, SF_SMALL)
+    assert glob.glob(scratch_path(spark, "deliveries-*", "rows", "*.parquet"))
+
+
 def test_write_settings_are_back_afterwards(spark):
     from tessera.session import WRITE_CONF, unsorted_writes
     before = {k: spark.conf.get(k, None) for k in WRITE_CONF}
