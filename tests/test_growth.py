@@ -88,3 +88,14 @@ def test_write_settings_are_back_afterwards(spark):
             pass
         assert {k: spark.conf.get(k) for k in WRITE_CONF} == WRITE_CONF
     assert {k: spark.conf.get(k, None) for k in WRITE_CONF} == before
+
+
+def test_home_rows_of_whole_cells_are_not_ranked_again(spark, monkeypatch):
+    from tessera.operators import knn as K
+    calls = []
+    best = K._best
+    monkeypatch.setattr(K, "_best", lambda found, k: calls.append(k) or best(found, k))
+    rows = [(i, float(i * 37 % 101), float(i * 53 % 97), float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    near = K.knn_neighbours(df, df, ["x", "y"], 4, "id", ["id"], "z", cell_rows=40)
+    assert near.count() == 1200 and calls == [4]
