@@ -90,6 +90,19 @@ def test_write_settings_are_back_afterwards(spark):
     assert {k: spark.conf.get(k, None) for k in WRITE_CONF} == before
 
 
+def test_draws_by_few_steps():
+    from tessera.operators.bagging import times_drawn
+    uniform = np.concatenate([np.random.default_rng(3).random(5000), [0.0, 1 - 2.0 ** -40, 0.9999, math.exp(-0.5)]])
+    for share in (0.5, 0.7, 1.0):
+        p, total = math.exp(-share), 0.0
+        expected = np.zeros(len(uniform), int)
+        for k in range(1, 20):
+            total += p
+            expected += uniform >= total
+            p *= share / k
+        assert (times_drawn(uniform, share) == expected).all() and expected.max() > 5
+
+
 def test_home_rows_of_whole_cells_are_not_ranked_again(spark, monkeypatch):
     from tessera.operators import knn as K
     calls = []
