@@ -112,3 +112,72 @@ def test_home_rows_of_whole_cells_are_not_ranked_again(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, x double, y double, z double")
     near = K.knn_neighbours(df, df, ["x", "y"], 4, "id", ["id"], "z", cell_rows=40)
     assert near.count() == 1200 and calls == [4]
+
+
+def knn_frame(spark, n, seed=4):
+    rng = np.random.default_rng(seed)
+    rows = [(i, *map(float, rng.normal(size=3)), float(rng.normal()), i % 3) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, x double, y double, z double, label double, fold int")
+
+
+def test_neighbours_are_not_written(spark):
+    from tessera.operators import knn as K
+    from tessera.session import scratch_path
+    df = knn_frame(spark, 400)
+    before = set(glob.glob(scratch_path(spark, "*")))
+    means = K.knn_regress(df, df, ["x", "y", "z"], 9, "id", ["id"], "label", cell_rows=60, block_rows=50)
+    assert means.where("prediction IS NOT NULL").count() == 400
+    assert K.knn_cv_predictions(df, ["x", "y"], "label", ["id"], [2, 5], "fold", cell_rows=60).count() == 400
+    assert set(glob.glob(scratch_path(spark, "*"))) == before
+
+
+def test_means_of_neighbours_that_stand_at_several_blocks(spark):
+    """Blocks and chunks of a few rows, repeated points, a group without neighbours of its own: as without any blocks."""
+    from tessera.operators import knn as K
+    rng = np.random.default_rng(8)
+    x, y, fold = np.round(rng.normal(size=(500, 2)), 1), rng.normal(size=500), rng.integers(0, 4, 500)
+    x[:120], fold[:120] = x[0], 2
+    df = spark.createDataFrame([(i, *map(float, p), float(t), int(f)) for i, (p, t, f) in enumerate(zip(x, y, fold))], "id long, x double, y double, label double, fold int")
+    got = {r["id"]: (r["p3"], r["p11"]) for r in K.knn_cv_predictions(df, ["x", "y"], "label", ["id"], [3, 11], "fold", cell_rows=40, block_rows=20, ref_block_rows=64).collect()}
+    for i in range(500):
+        d = np.where(fold == fold[i], np.inf, ((x - x[i]) ** 2).sum(axis=1))
+        order = np.lexsort((np.arange(500), d))
+        assert np.allclose(got[i], [y[order[:3]].mean(), y[order[:11]].mean()])
+
+
+def test_bagging_writes_no_neighbours(spark, monkeypatch):
+    from tessera.operators import bagging as B
+    written = {}
+
+    def counted(df, prefix="tbl", f=B.materialize):
+        out = f(df, prefix)
+        written[prefix] = written.get(prefix, 0) + out.count()
+        return out
+    monkeypatch.setattr(B, "materialize", counted)
+    grid = B.BagGrid(("x", "y", "z"), (2, 4), (0.5, 1.0), (0.4, 1.0), (1, 3), seed=5)
+    assert B.bagged_cv_grid(knn_frame(spark, 150), grid, "id", "label", "fold").count() == 16
+    # squared errors of 16 points and 3 folds from each of a few tasks; neither neighbours nor predictions of the 150 rows
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert set(written) == {"bag-scored"} and written["bag-scored"] <= 16 * 3 * tasks
+
+
+def test_walk_equals_counting_row_by_row():
+    from tessera.operators import bagging as B
+    from tessera.operators.knn import Near
+    rng = np.random.default_rng(6)
+    grid, rows, depth = B.BagGrid(("a",), (2, 5), (0.5, 1.0), (1.0,), (1, 4, 6), seed=3), 150, 12
+    have = rng.integers(0, depth + 1, rows)
+    near = Near(have, np.zeros((rows, depth)), rng.integers(0, 40, (rows, depth)), rng.normal(size=(rows, depth)))
+    estimators = np.arange(5)
+    sums, known, enough = B._walk(near, estimators, [estimators], grid)
+    for q in range(rows):
+        for s, share in enumerate(grid.shares):
+            count = B.times_drawn(B.draws(near.ids[q], estimators, 3), share)[:have[q]]
+            for i, k in enumerate(grid.ks):
+                drawn = [[v for v, n in zip(near.y[q], count[:, e]) for _ in range(n)] for e in estimators]
+                for step, part in enumerate((range(2), range(2, 5))):
+                    means = [np.mean(drawn[e][:k]) for e in part if drawn[e]]
+                    assert math.isclose(sums[q, 0, s, i, step], sum(means), abs_tol=1e-9) and known[q, 0, s, i, step] == len(means)
+        assert enough[q] == all((B.times_drawn(B.draws(near.ids[q], estimators, 3), share)[:have[q]].sum(axis=0) >= 6).all() for share in grid.shares)
+    numbers = rng.normal(size=(7, 5)) * 10.0 ** rng.integers(-3, 4, (7, 5))
+    assert (B._unpacked(B._packed(numbers), 5) == numbers).all() and B._unpacked(B._packed(numbers[:0]), 5).shape == (0, 5)
