@@ -181,3 +181,19 @@ def test_walk_equals_counting_row_by_row():
         assert enough[q] == all((B.times_drawn(B.draws(near.ids[q], estimators, 3), share)[:have[q]].sum(axis=0) >= 6).all() for share in grid.shares)
     numbers = rng.normal(size=(7, 5)) * 10.0 ** rng.integers(-3, 4, (7, 5))
     assert (B._unpacked(B._packed(numbers), 5) == numbers).all() and B._unpacked(B._packed(numbers[:0]), 5).shape == (0, 5)
+
+
+def test_errors_are_told_on_training_and_test_rows(spark):
+    import __spark_entry__ as entry
+    from tessera.plans.modeling import FIRE_FEATURES, fire_sets
+    got = {(r["model"], r["split"]): r for r in entry.queries()["metric_regression"](spark, SF_SMALL).collect()}
+    assert set(got) == {(m, s) for m in ("knn", "linear_regression") for s in ("test", "train")}
+    sets = fire_sets(spark, SF_SMALL)
+    x, y = (np.array([[float(v) for v in r] for r in sets.train.orderBy("row_id").select(*c).collect()]) for c in (FIRE_FEATURES, ["fire_area"]))
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, :15]
+    error = y[:, 0] - y[near, 0].mean(axis=1)
+    assert math.isclose(got["knn", "train"]["mae"], np.abs(error).mean(), abs_tol=1e-4) and got["knn", "train"]["n"] == len(y)
+    design = np.column_stack([np.ones(len(x)), x])
+    residual = y[:, 0] - design @ np.linalg.lstsq(design, y[:, 0], rcond=None)[0]
+    assert math.isclose(got["linear_regression", "train"]["rmse"], np.sqrt((residual ** 2).mean()), abs_tol=1e-4)
+    assert got["knn", "test"]["n"] == sets.test.count()
