@@ -197,3 +197,20 @@ def test_errors_are_told_on_training_and_test_rows(spark):
     residual = y[:, 0] - design @ np.linalg.lstsq(design, y[:, 0], rcond=None)[0]
     assert math.isclose(got["linear_regression", "train"]["rmse"], np.sqrt((residual ** 2).mean()), abs_tol=1e-4)
     assert got["knn", "test"]["n"] == sets.test.count()
+
+
+def test_folds_are_ranked_once_for_all_fits(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from tessera.operators import models as ML
+    plans = []
+
+    class Seen(Exception):
+        pass
+
+    def seen(train, *a, **kw):
+        plans.append(train._jdf.queryExecution().optimizedPlan().toString())
+        raise Seen
+    monkeypatch.setattr(ML, "grid_search", seen)
+    with pytest.raises(Seen):
+        entry.queries()["grid_search"](spark, SF_SMALL)
+    assert plans and "Window" not in plans[0] and "md5" not in plans[0]
