@@ -214,3 +214,12 @@ def test_folds_are_ranked_once_for_all_fits(spark, monkeypatch):
     with pytest.raises(Seen):
         entry.queries()["grid_search"](spark, SF_SMALL)
     assert plans and "Window" not in plans[0] and "md5" not in plans[0]
+
+
+def test_leaderboard_writes_no_neighbours(spark):
+    import __spark_entry__ as entry
+    from tessera.session import scratch_path
+    before = set(glob.glob(scratch_path(spark, "*")))
+    assert entry.queries()["model_leaderboard"](spark, SF_SMALL).count() == 5
+    made = {f.rsplit("/", 1)[1].split("-")[0] + "-" + f.rsplit("/", 1)[1].split("-")[1] for f in set(glob.glob(scratch_path(spark, "*"))) - before}
+    assert not made & {"knn-home", "knn-visits", "knn-reference", "knn-queries", "bag-near"}
