@@ -223,3 +223,17 @@ def test_leaderboard_writes_no_neighbours(spark):
     assert entry.queries()["model_leaderboard"](spark, SF_SMALL).count() == 5
     made = {f.rsplit("/", 1)[1].split("-")[0] + "-" + f.rsplit("/", 1)[1].split("-")[1] for f in set(glob.glob(scratch_path(spark, "*"))) - before}
     assert not made & {"knn-home", "knn-visits", "knn-reference", "knn-queries", "bag-near"}
+
+
+def test_far_rows_reach_every_block_once(spark):
+    """Eleven features, where no cell can be left out: the rows a block reads do not grow with the neighbours asked for."""
+    from tessera.operators import knn as K
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(600, 11)), rng.integers(0, 2, 600)
+    names = [f"x{j}" for j in range(11)]
+    df = spark.createDataFrame([(i, *map(float, p), int(t)) for i, (p, t) in enumerate(zip(x, y))], "id long, " + ", ".join(f"{n} double" for n in names) + ", y int")
+    votes = {r["id"]: r["probability"] for r in K.knn_classify(df, df, names, 7, "id", ["id"], "y", cell_rows=60, block_rows=100).collect()}
+    for i in range(600):
+        assert math.isclose(votes[i], y[np.lexsort((np.arange(600), ((x - x[i]) ** 2).sum(axis=1)))[:7]].mean())
+    plan = K.knn_classify(df, df, names, 7, "id", ["id"], "y", cell_rows=60)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "FlatMapGroups" not in plan
