@@ -202,18 +202,11 @@ def test_errors_are_told_on_training_and_test_rows(spark):
 def test_folds_are_ranked_once_for_all_fits(spark, monkeypatch):
     import __spark_entry__ as entry
     from tessera.operators import models as ML
-    plans = []
-
-    class Seen(Exception):
-        pass
-
-    def seen(train, *a, **kw):
-        plans.append(train._jdf.queryExecution().optimizedPlan().toString())
-        raise Seen
-    monkeypatch.setattr(ML, "grid_search", seen)
-    with pytest.raises(Seen):
-        entry.queries()["grid_search"](spark, SF_SMALL)
-    assert plans and "Window" not in plans[0] and "md5" not in plans[0]
+    kept = []
+    search = ML.grid_search
+    monkeypatch.setattr(ML, "grid_search", lambda train, *a, **kw: kept.append((train, train.storageLevel.useDisk)) or search(train, *a, **kw))
+    assert entry.queries()["grid_search"](spark, SF_SMALL).count() == 7
+    assert kept[0][1] and not kept[0][0].is_cached
 
 
 def test_leaderboard_writes_no_neighbours(spark):
@@ -237,3 +230,21 @@ def test_far_rows_reach_every_block_once(spark):
         assert math.isclose(votes[i], y[np.lexsort((np.arange(600), ((x - x[i]) ** 2).sum(axis=1)))[:7]].mean())
     plan = K.knn_classify(df, df, names, 7, "id", ["id"], "y", cell_rows=60)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "FlatMapGroups" not in plan
+
+
+def test_rows_that_come_twice_are_predicted_without_their_own_fold(spark):
+    from tessera.operators import bagging as B
+    rng = np.random.default_rng(14)
+    x, ids = rng.normal(size=(60, 2)), np.arange(60)
+    x, ids, fold = np.concatenate([x, x[:20]]), np.concatenate([ids, ids[:20]]), np.concatenate([np.arange(60) % 3, (np.arange(20) + 1) % 3])
+    y = x.sum(axis=1) + np.sin(7 * ids)
+    grid = B.BagGrid(("x", "y"), (3,), (0.5,), (1.0,), (2,), seed=5)
+    df = spark.createDataFrame([(int(i), *map(float, p), float(t), int(f)) for i, p, t, f in zip(ids, x, y, fold)], "id long, x double, y double, label double, fold int")
+    sse = np.zeros(3)
+    for q in range(80):
+        count = B.times_drawn(B.draws(ids, np.arange(3), 5), 0.5) * (fold != fold[q])[:, None]
+        order = np.lexsort((ids, ((x - x[q]) ** 2).sum(axis=1)))
+        means = [np.mean([y[i] for i in order for _ in range(count[i, e])][:2]) for e in range(3)]
+        sse[fold[q]] += (y[q] - np.mean(means)) ** 2
+    got = {r["g"]: (r["sse"], r["n"]) for r in B.squared_errors(df, grid, "id", "label", "fold", depth=70).collect()}
+    assert all(math.isclose(got[f][0], sse[f], rel_tol=1e-9) and got[f][1] == (fold == f).sum() for f in range(3))
